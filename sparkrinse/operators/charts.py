@@ -71,7 +71,7 @@ def box_statistics(df: DataFrame, column: str, by: str | None = None) -> DataFra
             return fences.limit(0).selectExpr(
                 "n", "q25", "median", "q75", "q25 AS low_whisker", "q75 AS high_whisker", "n AS outliers_count"
             )
-        joined = points.select("*", *[F.lit(edges[c]).alias(c) for c in fences.columns])
+        joined = points.select("*", *[F.lit(edges[f.name]).cast(f.dataType).alias(f.name) for f in fences.schema])
     inside = (F.col("x") >= F.col("low_fence")) & (F.col("x") <= F.col("high_fence"))
     labels = ["label"] if by else []
     return joined.groupBy(*labels).agg(

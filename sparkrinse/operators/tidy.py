@@ -44,7 +44,10 @@ def measure_columns(df: DataFrame, columns: Sequence[str], measures: Measures) -
         wanted = [
             m.alias(f"{i}_{label}") for i, ms in enumerate(measured.values()) for label, m in ms.items()
         ]
-        totals: Row = df.agg(F.count(F.lit(1)).alias("rows"), *wanted).first()
+        if not wanted:
+            found |= {name: {} for name in batch}
+            continue
+        totals: Row = df.agg(*wanted).first()
         for i, (name, ms) in enumerate(measured.items()):
             found[name] = {label: totals[f"{i}_{label}"] for label in ms}
     return found

@@ -87,7 +87,8 @@ class CleanResult:
     cleaned: DataFrame
     plan: CleaningPlan
     audit: list[AuditEntry]
-    before: dict[str, int]
+    source: DataFrame
+    before: dict[str, int | None]
     rows_after: int
     missing_after: int
 
@@ -98,6 +99,8 @@ class CleanResult:
     def summary_frame(self) -> DataFrame:
         """Before and after counts in one row; only the remaining duplicates need another job."""
         remaining = duplicate_count(self.cleaned).select("duplicate_rows")
+        if self.before["duplicates"] is None:
+            self.before["duplicates"] = duplicate_count(self.source).first()["duplicate_rows"]
         kinds = {
             "rows_before": self.before["rows"],
             "columns_before": self.before["columns"],
@@ -232,7 +235,7 @@ class _Fitting:
         plan = CleaningPlan([ColumnPlan(c, self.steps[c]) for c in self.names])
         return CleanResult(
             plan.apply(self.rows.select(*[schema.col(c) for c in self.names])),
-            plan, self._ordered_audit(), self.before, self.total, self.missing_after,
+            plan, self._ordered_audit(), self.source, self.before, self.total, self.missing_after,
         )
 
     def _collapse(self) -> None:
@@ -240,11 +243,9 @@ class _Fitting:
         if self.config.remove_duplicates:
             self.rows = stage(collapse_duplicates(self.source), "distinct-rows")
             self.weight = F.col(COPIES)
-            self.raw_duplicates = None
         else:
             self.rows = self.source
             self.weight = F.lit(1)
-            self.raw_duplicates = duplicate_count(self.source).first()["duplicate_rows"]
 
     def _value(self, name: str, steps: list[Step] | None = None) -> tuple[Column, T.DataType]:
         return run_steps(schema.col(name), self.kinds[name], self.steps[name] if steps is None else steps)
@@ -253,6 +254,8 @@ class _Fitting:
         def measures(name: str) -> dict[str, Column]:
             kind, value = self.kinds[name], schema.col(name)
             found = {
+                "rows": F.count(F.lit(1)),
+                "raw_rows": F.sum(self.weight),
                 "present": F.count(value),
                 "raw_missing": F.sum(F.when(value.isNull(), self.weight).otherwise(0)),
             }
@@ -274,13 +277,14 @@ class _Fitting:
 
         dates = set(self._date_candidates()) if self.config.standardize_dates else set()
         self.found = measure_columns(self.rows, self.names, measures)
-        sizes = self.rows.agg(F.count(F.lit(1)).alias("n"), F.sum(self.weight).alias("raw")).first()
-        self.total, raw = sizes["n"], sizes["raw"] or 0
+        sizes = self.found[self.names[0]]
+        self.total, raw = sizes["rows"], sizes["raw_rows"] or 0
         self.before = {
             "rows": raw,
             "columns": len(self.names),
             "missing": sum(f["raw_missing"] or 0 for f in self.found.values()),
-            "duplicates": raw - self.total if self.raw_duplicates is None else self.raw_duplicates,
+            # without removal the duplicates are only counted when a summary asks for them
+            "duplicates": raw - self.total if self.config.remove_duplicates else None,
         }
 
     def _decide_dates_and_case(self) -> None:

@@ -117,7 +117,9 @@ def read_delimited(
         .csv(path)
     )
     fields = _occurrences(_outside_quotes(F.col(_RAW)), sep) + 1
-    kept = rows.where(F.col(_RAW).isNull() | (fields <= len(names)))
+    # Spark refuses to read nothing but the raw line, so the filter looks at a data column as well.
+    any_value = F.length(F.coalesce("c0", F.lit(""))) >= 0
+    kept = rows.where((F.col(_RAW).isNull() | (fields <= len(names))) & any_value)
     return kept.select(*[F.col(f"c{i}").alias(name) for i, name in enumerate(names)])
 
 

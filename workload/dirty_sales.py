@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkrinse.staging import stage
 from workload.registry import table
 
 TEXT_COLUMNS = (
@@ -84,9 +85,14 @@ def dirty_sales(spark: SparkSession, folder: str) -> DataFrame:
     return selected.withColumn("copy", F.explode(copies)).drop("copy")
 
 
+def stored_sales(spark: SparkSession, folder: str) -> DataFrame:
+    """The same table written once, for operators that read their input several times."""
+    return stage(dirty_sales(spark, folder), "dirty-sales")
+
+
 # The same table for the checking engine, as the first entry of a WITH clause.
 DIRTY_SALES = """
-dirty_sales AS (SELECT * EXCLUDE (dup) FROM (SELECT
+dirty_sales AS MATERIALIZED (SELECT * EXCLUDE (dup) FROM (SELECT
     l.l_orderkey * 10 + l.l_linenumber AS order_id,
     CASE WHEN l.l_orderkey % 17 = 0 THEN NULL
          WHEN l.l_orderkey % 19 = 0 THEN 'invalid_date'
