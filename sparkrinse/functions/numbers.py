@@ -37,13 +37,3 @@ def outside(number: Column, low: Column, high: Column) -> Column:
 def rounded_share(part: Column, whole: Column, scale: int = 2) -> Column:
     """Percentage of ``part`` in ``whole``, 0 when there is nothing to divide by."""
     return F.round(F.coalesce(F.try_divide(part * 100.0, whole), F.lit(0.0)), scale)
-
-
-def pearson(x: Column, y: Column) -> Column:
-    """Correlation over complete pairs; NULL when a side is constant.
-
-    ``corr`` raises a division error on a constant column in ANSI mode, hence the explicit form.
-    """
-    both = x.isNotNull() & y.isNotNull()
-    spread = F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y))
-    return F.try_divide(F.covar_pop(x, y), spread)

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 from itertools import combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame
@@ -14,14 +15,17 @@ from pyspark.sql import functions as F
 
 from sparkrinse import schema
 from sparkrinse.functions.dates import DATE_FORMATS, month_of, parse_date
-from sparkrinse.functions.numbers import pearson, to_number
-from sparkrinse.operators.frequency import top_values, value_frequencies
+from sparkrinse.functions.numbers import to_number
+from sparkrinse.operators.duplicates import duplicate_count
+from sparkrinse.operators.frequency import first_values, value_frequencies
 from sparkrinse.operators.quantiles import quantile_values
 from sparkrinse.operators.semantics import SemanticMapping, detect_semantics
-from sparkrinse.operators.tidy import rows_per_column
+from sparkrinse.operators.tidy import batches, measure_columns, rows_per_column
 
 TOP_GROUPS = 10
 CATEGORICALS_SHOWN = 8
+# Correlated pairs summed in one aggregation; further pairs run beside it in the same job.
+PAIRS_PER_PASS = 12
 
 
 def _number_or_zero(df: DataFrame, name: str) -> Column:
@@ -88,15 +92,15 @@ def monthly_revenue(df: DataFrame, roles: SemanticMapping, formats: Sequence[str
 def general_kpis(df: DataFrame) -> DataFrame:
     """One row: size, column classes, missing cells, duplicates and density."""
     width = len(df.columns)
+    clean = schema.nan_to_null(df)
     empty = F.lit(0)
     for name in df.columns:
         empty = empty + schema.col(name).isNull().cast("int")
-    # counted before and after collapsing copies in one grouping, so the table is read once
-    collapsed = schema.nan_to_null(df).groupBy(*[schema.col(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("__n"))
-    totals = collapsed.agg(
-        F.coalesce(F.sum("__n"), F.lit(0)).alias("total_records"),
-        F.coalesce(F.sum(empty * F.col("__n")), F.lit(0)).alias("missing_values"),
-        F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).alias("duplicate_records"),
+    missing = clean.agg(F.coalesce(F.sum(empty), F.lit(0)).alias("n")).first()["n"]
+    totals = duplicate_count(clean).select(
+        F.col("total_rows").alias("total_records"),
+        F.lit(missing).cast("bigint").alias("missing_values"),
+        F.col("duplicate_rows").alias("duplicate_records"),
     )
     density = (1 - F.coalesce(F.try_divide(F.col("missing_values"), F.col("total_records") * width), F.lit(0.0))) * 100
     return totals.select(
@@ -148,25 +152,55 @@ def categorical_distributions(
     """Top values, missing included, of the first categorical columns, with their share of rows."""
     if columns is None:
         columns = schema.categorical_columns(df)[:CATEGORICALS_SHOWN]
-    freq = value_frequencies(df, columns, keep_missing=True)
     rows = df.count()
-    return top_values(freq, top).select(
-        "column_name", "rank", "value", "n", F.round(F.col("n") * 100.0 / F.lit(rows), 1).alias("percentage")
+    return first_values(value_frequencies(df, columns, keep_missing=True), top).withColumn(
+        "percentage", F.round(F.col("n") * 100.0 / F.lit(rows), 1)
     )
 
 
 def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Pearson r of every ordered pair over complete pairs: all pairs in one aggregation."""
+    """Pearson r of every ordered pair over complete pairs; NULL when a side is constant.
+
+    Values are centred on their column mean first, then plain sums of products suffice, which
+    compile to far less code than a streaming covariance per pair and lose no digits. Columns
+    without gaps share their own sums among all pairs.
+    """
     columns = list(columns or schema.numeric_columns(df))
-    x = {c: to_number(schema.col(c), schema.type_of(df, c)) for c in columns}
+    raw = {c: to_number(schema.col(c), schema.type_of(df, c)) for c in columns}
+    found = measure_columns(
+        df, columns, lambda c: {"mean": F.avg(raw[c]), "gaps": F.count_if(raw[c].isNull())}
+    )
+    centred = df.select(*[(raw[c] - F.lit(found[c]["mean"])).alias(f"x{i}") for i, c in enumerate(columns)])
+
+    def given(i: int, j: int) -> Column:
+        """Column i where column j has a value too."""
+        x = F.col(f"x{i}")
+        return F.when(F.col(f"x{j}").isNotNull(), x) if found[columns[j]]["gaps"] else x
+
     pairs = list(combinations_with_replacement(range(len(columns)), 2))
-    totals = df.agg(*[pearson(x[columns[i]], x[columns[j]]).alias(f"r{i}_{j}") for i, j in pairs])
-    cells = []
-    for i, first in enumerate(columns):
-        for j, second in enumerate(columns):
-            r = F.round(F.col(f"r{min(i, j)}_{max(i, j)}"), 2)
-            cells.append(F.struct(F.lit(first).alias("col_x"), F.lit(second).alias("col_y"), r.alias("r")))
-    return totals.select(F.inline(F.array(*cells)))
+    parts = []
+    for batch in batches(pairs, PAIRS_PER_PASS):
+        sums, entries = [], []
+        for i, j in batch:
+            x, y = given(i, j), given(j, i)
+            labels = [f"{label}{i}_{j}" for label in ("n", "sx", "sy", "sxx", "syy", "sxy")]
+            measures = (F.count(x * y), F.sum(x), F.sum(y), F.sum(x * x), F.sum(y * y), F.sum(x * y))
+            sums += [m.alias(label) for m, label in zip(measures, labels)]
+            n, sx, sy, sxx, syy, sxy = (F.col(label) for label in labels)
+            spread = F.sqrt(sxx - sx * F.try_divide(sx, n)) * F.sqrt(syy - sy * F.try_divide(sy, n))
+            r = F.round(F.try_divide(sxy - sx * F.try_divide(sy, n), F.when(_varies(i, j), spread)), 2)
+            names = {(columns[i], columns[j]), (columns[j], columns[i])}
+            entries += [F.struct(F.lit(a).alias("col_x"), F.lit(b).alias("col_y"), r.alias("r")) for a, b in names]
+            sums += [
+                (F.min(x) != F.max(x)).alias(f"vx{i}_{j}"),
+                (F.min(y) != F.max(y)).alias(f"vy{i}_{j}"),
+            ]
+        parts.append(centred.agg(*sums).select(F.inline(F.array(*entries))))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _varies(i: int, j: int) -> Column:
+    return F.col(f"vx{i}_{j}") & F.col(f"vy{i}_{j}")
 
 
 def grouped_insight(df: DataFrame, category: str, number: str, top: int = TOP_GROUPS) -> DataFrame:

@@ -1,7 +1,9 @@
-"""How often does each value occur? Distinct counts, top values and modes all come from here.
+"""How often does each value occur? The table of distinct values behind profiles and cleaning.
 
-Rows are unpivoted to (column, value) and counted. The map-side partial count collapses repeated
-values before the shuffle, so a value that fills a third of the table costs one record per task.
+A per-value question (is it a date, an e-mail, a number, oddly spaced?) is answered once per
+distinct value and weighted by its count instead of once per row. The map-side partial count
+collapses repeated values before the shuffle, so a value that fills a third of the table costs one
+record per task.
 """
 from __future__ import annotations
 
@@ -11,12 +13,14 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkrinse import schema
+from sparkrinse.functions.numbers import to_number
 from sparkrinse.functions.text import fold
 
 
-def _comparable(df: DataFrame, name: str) -> Column:
+def comparable(df: DataFrame, name: str) -> Column:
     """NaN is missing and -0.0 equals 0.0."""
     value = schema.null_if_nan(df, name)
     data_type = schema.type_of(df, name)
@@ -25,58 +29,94 @@ def _comparable(df: DataFrame, name: str) -> Column:
     return value
 
 
-def value_frequencies(df: DataFrame, columns: Sequence[str], keep_missing: bool = False) -> DataFrame:
-    """``column_name, value, n`` over all given columns, values rendered as text."""
-    texts = df.select(*[_comparable(df, c).cast("string").alias(c) for c in columns])
-    long = texts.unpivot([], [schema.col(c) for c in columns], "column_name", "value")
-    if not keep_missing:
-        long = long.where(F.col("value").isNotNull())
-    return long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
+def _family(data_type: T.DataType) -> str:
+    """Columns that can share one value column without changing what their values are."""
+    if isinstance(data_type, T.IntegralType):
+        return "bigint"
+    if schema.is_float(data_type):
+        return "double"
+    if schema.is_text(data_type) or schema.is_boolean(data_type):
+        return "string"
+    return data_type.simpleString()
 
 
-def first_per_column(freq: DataFrame, k: int, *order: Column) -> DataFrame:
-    """The first ``k`` rows of each column, numbered by ``rank``.
+def value_frequencies(
+    df: DataFrame, columns: Sequence[str], keep_missing: bool = False, weight: str | None = None
+) -> DataFrame:
+    """``column_name, whole, number, text, n``: each distinct value in the slot of its type.
 
-    Spark applies the limit inside every map task before the shuffle (window group limit), so one
-    column with a huge number of values still sends only ``k`` rows per task.
+    Columns of one type are unpivoted and grouped together, one shuffle per type. Decimals fill
+    ``number`` as well as ``text``; dates and booleans are texts. ``weight`` names a column to sum
+    as ``weighted``.
     """
-    ranked = freq.withColumn("rank", F.row_number().over(Window.partitionBy("column_name").orderBy(*order)))
-    return ranked.where(F.col("rank") <= k)
-
-
-def top_values(freq: DataFrame, k: int = 5) -> DataFrame:
-    """Most frequent values; ties are broken by the value itself."""
-    return first_per_column(freq, k, F.col("n").desc(), F.col("value").asc_nulls_first())
+    families: dict[str, list[str]] = defaultdict(list)
+    for name in columns:
+        families[_family(schema.type_of(df, name))].append(name)
+    kept = [F.lit(1).alias("__weight") if weight is None else schema.col(weight).alias("__weight")]
+    frames = []
+    for family, members in families.items():
+        typed = df.select(*[comparable(df, c).cast(family).alias(c) for c in members], *kept)
+        long = typed.unpivot(["__weight"], [schema.col(c) for c in members], "column_name", "value")
+        if not keep_missing:
+            long = long.where(F.col("value").isNotNull())
+        value, none = F.col("value"), F.lit(None)
+        whole, decimal = family == "bigint", family.startswith("decimal")
+        grouped = long.groupBy("column_name", "value").agg(
+            F.count(F.lit(1)).alias("n"), *([F.sum("__weight").alias("weighted")] if weight else [])
+        )
+        frames.append(
+            grouped.select(
+                "column_name",
+                (value if whole else none).cast("bigint").alias("whole"),
+                (value if family == "double" or decimal else none).cast("double").alias("number"),
+                (none if whole or family == "double" else value).cast("string").alias("text"),
+                "n",
+                *(["weighted"] if weight else []),
+            )
+        )
+    return reduce(DataFrame.unionByName, frames)
+
+
+def shown_value() -> Column:
+    """A value of the table as text."""
+    return F.coalesce("text", F.col("number").cast("string"), F.col("whole").cast("string"))
+
+
+def numeric_value() -> Column:
+    """A value of the table as DOUBLE, NULL when it spells no number."""
+    return F.coalesce("number", F.col("whole").cast("double"), to_number(F.col("text"), T.StringType()))
 
 
 def distinct_counts(freq: DataFrame) -> DataFrame:
-    """Distinct values per column. ``n`` is carried so the shuffle of ``freq`` can be shared."""
-    return freq.groupBy("column_name").agg(
-        F.count(F.lit(1)).alias("distinct_count"), F.sum("n").alias("non_null_count")
-    )
+    """Distinct values of each column, exactly and with case and surrounding blanks ignored.
 
-
-def folded_distinct_counts(freq: DataFrame) -> DataFrame:
-    """Distinct values per column when case and surrounding blanks are ignored."""
-    folded = freq.groupBy("column_name", fold(F.col("value")).alias("folded")).agg(F.sum("n").alias("n"))
-    return folded.groupBy("column_name").agg(
-        F.count(F.lit(1)).alias("distinct_count"), F.sum("n").alias("non_null_count")
+    ``column_name, distinct_count, folded_count, non_null_count``; only texts fold.
+    """
+    spellings = freq.groupBy("column_name", fold(F.col("text")).alias("folded")).agg(
+        F.count(F.lit(1)).alias("spellings"), F.sum("n").alias("n")
+    )
+    return spellings.groupBy("column_name").agg(
+        F.sum("spellings").alias("distinct_count"),
+        F.count(F.lit(1)).alias("folded_count"),
+        F.sum("n").alias("non_null_count"),
     )
 
 
-def modes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Most frequent value of each column, the smallest among equals, as text.
+def first_values(freq: DataFrame, k: int, by_count: bool = True) -> DataFrame:
+    """``column_name, rank, value, n`` of the ``k`` most frequent values, or of the ``k`` smallest.
 
-    Columns of one type are counted together so that ties compare as that type: 9 before 10.
+    Ties in frequency are broken by the value. Spark applies the limit inside every task before the
+    shuffle (window group limit), so a column of very many values sends ``k`` rows per task.
     """
-    families: dict[str, list[str]] = defaultdict(list)
-    for name in columns:
-        families[schema.type_of(df, name).simpleString()].append(name)
-    found = []
-    for members in families.values():
-        typed = df.select(*[_comparable(df, c).alias(c) for c in members])
-        long = typed.unpivot([], [schema.col(c) for c in members], "column_name", "value")
-        counts = long.where(F.col("value").isNotNull()).groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
-        best = first_per_column(counts, 1, F.col("n").desc(), F.col("value").asc())
-        found.append(best.select("column_name", F.col("value").cast("string").alias("mode"), "n"))
-    return reduce(DataFrame.unionByName, found)
+    order = [F.col(slot).asc_nulls_first() for slot in ("whole", "number", "text")]
+    if by_count:
+        order.insert(0, F.col("n").desc())
+    place = F.row_number().over(Window.partitionBy("column_name").orderBy(*order))
+    ranked = freq.withColumn("rank", place).where(F.col("rank") <= k)
+    return ranked.select("column_name", "rank", shown_value().alias("value"), "n")
+
+
+def modes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``column_name, mode, n``: the most frequent value, the smallest among equals, as text."""
+    best = first_values(value_frequencies(df, columns), 1)
+    return best.select("column_name", F.col("value").alias("mode"), "n")

@@ -1,28 +1,31 @@
 """Profile every column of a table and score the whole.
 
-The work on the rows is a fixed handful of jobs however many columns there are: one fused
-aggregation, one value-frequency job, quartiles, one outlier count and one duplicate count. What
-comes back is a few numbers per column; classes, issues and scores are rules over those numbers.
+The rows are read for the duplicate count and for the table of distinct values, and once more only
+for quartiles of columns with very many values. All checks run on the distinct values, weighted by
+their counts. What comes back is a few numbers per column; classes, issues and scores are rules
+over those numbers.
 """
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, fields
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkrinse import schema
 from sparkrinse.functions.dates import DATE_FORMATS, parse_date
-from sparkrinse.functions.numbers import outside, to_number
-from sparkrinse.functions.text import has_space_defect, is_email
+from sparkrinse.functions.numbers import outside
+from sparkrinse.functions.text import fold, has_space_defect, is_email
 from sparkrinse.operators import frequency
 from sparkrinse.operators.duplicates import duplicate_count
 from sparkrinse.operators.quality import QualityScore, quality_score
-from sparkrinse.operators.quantiles import iqr_fences, quantile_values
+from sparkrinse.operators.frequency import numeric_value
+from sparkrinse.operators.quantiles import SMALL_DISTINCT, iqr_fences, quantile_values
 from sparkrinse.operators.semantics import SemanticMapping, detect_semantics, looks_like_date, looks_like_email
 from sparkrinse.operators.tidy import measure_columns
+from sparkrinse.staging import stage
 
 # What makes a column numeric, boolean, an e-mail column or categorical.
 NUMERIC_SHARE = 0.85
@@ -30,6 +33,8 @@ BOOLEAN_WORDS = ("true", "false", "0", "1", "yes", "no")
 AT_SIGN_SHARE = 0.5
 CATEGORY_FLOOR, CATEGORY_SHARE = 30, 0.05
 TOP_VALUES = SAMPLE_VALUES = 5
+# Rows looked at for samples; a column empty in all of them shows none.
+SAMPLE_ROWS = 200
 # The issue texts.
 ISSUE_MISSING = "{} missing values ({:.1f}%)"
 ISSUE_DATES = "{} invalid date formats"
@@ -140,80 +145,107 @@ def _percent(part: int, whole: int) -> float:
     return round(part / whole * 100.0, 2) if whole else 0.0
 
 
-def _scan_measures(df: DataFrame, roles: SemanticMapping, formats: Sequence[str], name: str) -> dict[str, Column]:
-    """What the first pass counts for one column, by its type."""
-    kind = schema.type_of(df, name)
-    value = schema.null_if_nan(df, name)
-    found = {"non_null": F.count(value)}
-    if not schema.is_scalar(kind):
-        return found
-    found["approx_distinct"] = F.approx_count_distinct(value)
-    if schema.is_temporal(kind) or (schema.is_text(kind) and looks_like_date(name, roles)):
-        day = parse_date(value, kind, formats)
-        found |= {
-            "days": F.count(day),
-            "min_date": F.date_format(F.min(day), "yyyy-MM-dd"),
-            "max_date": F.date_format(F.max(day), "yyyy-MM-dd"),
-        }
-        return found
-    if schema.is_number(kind) or schema.is_text(kind):
-        number = to_number(value, kind)
-        found |= {
-            "numbers": F.count(number),
-            "least": F.min(number),
-            "most": F.max(number),
-            "mean": F.avg(number),
-            "std": F.stddev_samp(number),
-            "negatives": F.count_if(number < 0),
-        }
-    if schema.is_text(kind):
-        found |= {
-            "boolean_words": F.count_if(F.lower(value).isin(*BOOLEAN_WORDS)),
-            "at_signs": F.count_if(F.contains(value, F.lit("@"))),
-            "bad_emails": F.count_if(~is_email(value)),
-            "space_defects": F.count_if(has_space_defect(value)),
-        }
-    return found
+def measure_values(values: DataFrame, dated: Sequence[str], timed: Sequence[str], formats: Sequence[str]) -> DataFrame:
+    """One row per column: every per-value check, weighted by how often the value occurs.
+
+    ``dated`` are text columns to be read as dates, ``timed`` columns whose texts are timestamps.
+    """
+    text, name, n = F.col("text"), F.col("column_name"), F.col("n")
+    checked = values.select(
+        name,
+        n,
+        text,
+        numeric_value().alias("x"),
+        F.when(name.isin(*dated), parse_date(text, T.StringType(), formats))
+        .when(name.isin(*timed), text.try_cast("date"))
+        .alias("day"),
+    )
+
+    def occurrences(condition: Column) -> Column:
+        return F.sum(F.when(condition, n).otherwise(0))
+
+    # copies of a spelling meet first, so the last step adds up a few partial rows per column
+    spellings = checked.groupBy("column_name", fold(text).alias("folded")).agg(
+        F.count(F.lit(1)).alias("spellings"),
+        F.sum("n").alias("present"),
+        occurrences(F.col("x").isNotNull()).alias("numbers"),
+        F.sum(F.col("x") * n).alias("total"),
+        F.min("x").alias("least"),
+        F.max("x").alias("most"),
+        occurrences(F.col("x") < 0).alias("negatives"),
+        occurrences(F.contains(text, F.lit("@"))).alias("at_signs"),
+        occurrences(~is_email(text)).alias("bad_emails"),
+        occurrences(has_space_defect(text)).alias("space_defects"),
+        occurrences(F.col("day").isNotNull()).alias("days"),
+        F.min("day").alias("first_day"),
+        F.max("day").alias("last_day"),
+    )
+    sums = ("present", "numbers", "total", "negatives", "at_signs", "bad_emails", "space_defects", "days")
+    return spellings.groupBy("column_name").agg(
+        F.sum("spellings").alias("distinct"),
+        F.count(F.lit(1)).alias("folded"),
+        *[F.sum(c).alias(c) for c in sums],
+        F.min("least").alias("least"),
+        F.max("most").alias("most"),
+        F.date_format(F.min("first_day"), "yyyy-MM-dd").alias("min_date"),
+        F.date_format(F.max("last_day"), "yyyy-MM-dd").alias("max_date"),
+    )
+
+
+def measure_spread(values: DataFrame, means: Mapping[str, float], fences: Mapping[str, tuple[float, float]]) -> DataFrame:
+    """One row per numeric column: squared deviations from the mean, and occurrences beyond the fences."""
+    settings = F.create_map(
+        *[
+            part
+            for c in fences
+            for part in (F.lit(c), F.array(*[F.lit(float(v)) for v in (means[c], *fences[c])]))
+        ]
+    )
+    numbers = values.where(F.col("column_name").isin(*fences)).select(
+        "column_name", "n", numeric_value().alias("x"), F.element_at(settings, F.col("column_name")).alias("at")
+    )
+    gap = F.col("x") - F.col("at")[0]
+    beyond = outside(F.col("x"), F.col("at")[1], F.col("at")[2])
+    return numbers.groupBy("column_name").agg(
+        F.sum(gap * gap * F.col("n")).alias("squares"),
+        F.sum(F.when(beyond, F.col("n")).otherwise(0)).alias("outliers"),
+    )
 
 
-def _base_class(kind, scan: dict) -> str:
-    """Datetime and Numeric are settled by the first pass, the rest needs distinct counts."""
-    if "days" in scan:
+def _base_class(kind, scan: dict, dated: bool) -> str:
+    """Datetime and Numeric are settled by what the values spell, the rest by how many there are."""
+    if dated or schema.is_temporal(kind):
         return "Datetime"
     if schema.is_number(kind):
         return "Numeric"
-    if schema.is_text(kind) and scan["non_null"] and scan["numbers"] / scan["non_null"] > NUMERIC_SHARE:
+    if schema.is_text(kind) and scan["present"] and scan["numbers"] / scan["present"] > NUMERIC_SHARE:
         return "Numeric"
     return "other"
 
 
-def value_report(df: DataFrame, columns: Sequence[str], folding: Sequence[str]) -> DataFrame:
-    """Distinct counts, top values and smallest values of all columns in one job.
+# Counts of a column without any value.
+_EMPTY = ("present", "distinct", "folded", "numbers", "days", "at_signs", "bad_emails", "space_defects", "negatives", "outliers")
 
-    The branches below read the same grouped table, so Spark computes its shuffle once and reuses it.
-    """
 
-    def lines(frame: DataFrame, kind: str, n: str, rank: str | None = None, value: str | None = None) -> DataFrame:
-        return frame.select(
-            "column_name",
-            F.lit(kind).alias("kind"),
-            (F.col(rank) if rank else F.lit(0)).cast("int").alias("rank"),
-            (F.col(value) if value else F.lit(None)).cast("string").alias("value"),
-            F.col(n).cast("bigint").alias("n"),
-        )
+def profile_quantiles(
+    df: DataFrame, values: DataFrame, distinct: Mapping[str, int], points: Sequence[float]
+) -> dict[str, list[float]]:
+    """Quantiles from the table of distinct values while they are few, else from the rows."""
+    few = [c for c, d in distinct.items() if d <= SMALL_DISTINCT]
+    many = {c: d for c, d in distinct.items() if d > SMALL_DISTINCT}
+    found = quantile_values(df, list(many), points, estimates=many)
+    if few:
+        numbers = values.where(F.col("column_name").isin(*few)).select("column_name", numeric_value().alias("x"), "n")
+        wanted = F.array(*[F.lit(p) for p in points])
+        small = numbers.groupBy("column_name").agg(F.percentile("x", wanted, F.col("n")).alias("q"))
+        found |= {line["column_name"]: list(line["q"]) for line in small.collect()}
+    return found
+
 
-    parts = []
-    for members, folded in ((folding, True), ([c for c in columns if c not in set(folding)], False)):
-        if not members:
-            continue
-        freq = frequency.value_frequencies(df, members)
-        parts.append(lines(frequency.distinct_counts(freq), "distinct", "distinct_count"))
-        parts.append(lines(frequency.top_values(freq, TOP_VALUES), "top", "n", "rank", "value"))
-        smallest = frequency.first_per_column(freq, SAMPLE_VALUES, F.col("value").asc())
-        parts.append(lines(smallest, "sample", "n", "rank", "value"))
-        if folded:
-            parts.append(lines(frequency.folded_distinct_counts(freq), "folded", "distinct_count"))
-    return reduce(DataFrame.unionByName, parts)
+def sample_values(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
+    """The first values met in each column, from the first rows Spark delivers."""
+    head = df.select(*[schema.col(c).cast("string").alias(c) for c in columns]).head(SAMPLE_ROWS)
+    return {c: [row[c] for row in head if row[c] is not None][:SAMPLE_VALUES] for c in columns}
 
 
 def profile_dataset(
@@ -232,42 +264,46 @@ def profile_dataset(
     roles = detect_semantics(df.columns, overrides)
     kinds = {f.name: f.dataType for f in df.schema.fields}
     scalars = [c for c in df.columns if schema.is_scalar(kinds[c])]
+    nested = [c for c in df.columns if c not in scalars]
+    dated = [c for c in scalars if schema.is_text(kinds[c]) and looks_like_date(c, roles)]
+    timed = [c for c in scalars if schema.is_temporal(kinds[c])]
 
     repeated = duplicate_count(schema.nan_to_null(df)).first()
     total, duplicates = repeated["total_rows"], repeated["duplicate_rows"]
-    scan = measure_columns(df, df.columns, lambda c: _scan_measures(df, roles, formats, c))
-    base = {c: _base_class(kinds[c], scan[c]) for c in df.columns}
-
-    values: dict[str, dict[str, list]] = {c: {} for c in df.columns}
+    scan = {c: dict.fromkeys(_EMPTY, 0) for c in df.columns}
+    top: dict[str, list] = {c: [] for c in df.columns}
+    if nested:
+        for name, found in measure_columns(df, nested, lambda c: {"present": F.count(schema.col(c))}).items():
+            scan[name] |= found
+    base = {c: "other" for c in df.columns}
+    quartiles: dict[str, list[float]] = {}
     if scalars:
-        texts = [c for c in scalars if base[c] == "other" and schema.is_text(kinds[c])]
-        for line in value_report(df, scalars, texts).collect():
-            values[line["column_name"]].setdefault(line["kind"], []).append(line)
-
-    numeric = [c for c in scalars if base[c] == "Numeric" and scan[c]["numbers"]]
-    estimates = {c: scan[c]["approx_distinct"] for c in numeric}
-    quartiles = quantile_values(df, numeric, (0.25, 0.5, 0.75), estimates)
-    fences = iqr_fences(quartiles)
-
-    def outliers(name: str) -> dict[str, Column]:
-        low, high = fences[name]
-        number = to_number(schema.col(name), kinds[name])
-        return {"count": F.count_if(outside(number, F.lit(low), F.lit(high)))}
-
-    beyond = measure_columns(df, numeric, outliers) if numeric else {}
+        values = stage(frequency.value_frequencies(df, scalars), "values")
+        for line in measure_values(values, dated, timed, formats).collect():
+            scan[line["column_name"]] |= line.asDict()
+        for line in frequency.first_values(values, TOP_VALUES).collect():
+            top[line["column_name"]].append((line["rank"], line["value"], line["n"]))
+        base = {c: _base_class(kinds[c], scan[c], c in dated) for c in df.columns}
+        numeric = [c for c in scalars if base[c] == "Numeric" and scan[c]["numbers"]]
+        quartiles = profile_quantiles(df, values, {c: scan[c]["distinct"] for c in numeric}, (0.25, 0.5, 0.75))
+        if quartiles:
+            means = {c: scan[c]["total"] / scan[c]["numbers"] for c in quartiles}
+            for line in measure_spread(values, means, iqr_fences(quartiles)).collect():
+                scan[line["column_name"]] |= line.asDict()
+    samples = sample_values(df, scalars)
 
     profiles = {}
     for position, name in enumerate(df.columns, start=1):
         profiles[name] = _describe(
-            name, position, kinds[name], total, scan[name], values[name], base[name],
-            quartiles.get(name), beyond.get(name, {}).get("count", 0), roles,
+            name, position, kinds[name], total, scan[name], top[name], base[name], quartiles.get(name), roles
         )
+        profiles[name].sample_values = samples.get(name, [])
     return _assemble(df.sparkSession, total, duplicates, profiles, roles, negatives)
 
 
-def _describe(name, position, kind, total, scan, values, base, quartiles, outliers, roles) -> ColumnProfile:
+def _describe(name, position, kind, total, scan, top, base, quartiles, roles) -> ColumnProfile:
     """Apply the classification and issue rules to the measured numbers of one column."""
-    present = scan["non_null"]
+    present = scan["present"]
     missing = total - present
     p = ColumnProfile(
         name, position, "Text/ID", kind.simpleString(), total, present, missing, _percent(missing, total)
@@ -277,13 +313,9 @@ def _describe(name, position, kind, total, scan, values, base, quartiles, outlie
     if not schema.is_scalar(kind):
         return p
 
-    def counted(label: str) -> int:
-        return values[label][0]["n"] if label in values else 0
-
-    p.unique_count = counted("distinct")
+    p.unique_count = scan["distinct"]
     p.unique_percentage = _percent(p.unique_count, present)
-    p.top_values = [(v["value"], v["n"]) for v in sorted(values.get("top", []), key=lambda v: v["rank"])]
-    p.sample_values = [v["value"] for v in sorted(values.get("sample", []), key=lambda v: v["rank"])]
+    p.top_values = [(value, n) for _, value, n in sorted(top, key=lambda entry: entry[0])]
 
     if base == "Datetime" and (scan["days"] or looks_like_date(name, roles)):
         p.inferred_type = "Datetime"
@@ -296,17 +328,18 @@ def _describe(name, position, kind, total, scan, values, base, quartiles, outlie
     if base == "Numeric":
         p.inferred_type = "Numeric"
         if quartiles:
-            p.min_val, p.max_val, p.mean_val = scan["least"], scan["most"], scan["mean"]
-            p.std_val = scan["std"] if scan["numbers"] > 1 else 0.0
+            p.min_val, p.max_val, p.mean_val = scan["least"], scan["most"], scan["total"] / scan["numbers"]
+            p.std_val = (scan["squares"] / (scan["numbers"] - 1)) ** 0.5 if scan["numbers"] > 1 else 0.0
             p.q25_val, p.median_val, p.q75_val = quartiles
-            p.outliers_count, p.negatives_count = outliers, scan["negatives"]
+            p.outliers_count, p.negatives_count = scan["outliers"], scan["negatives"]
             if p.negatives_count and name in roles.money_columns:
                 p.quality_issues.append(ISSUE_NEGATIVE.format(p.negatives_count))
             if p.outliers_count:
                 p.quality_issues.append(ISSUE_OUTLIERS.format(p.outliers_count))
         return p
 
-    only_words = scan.get("boolean_words", 0) == present
+    # two values at most are all among the top values
+    only_words = all(value.lower() in BOOLEAN_WORDS for value, _ in p.top_values)
     if schema.is_boolean(kind) or (p.unique_count <= 2 and only_words):
         p.inferred_type = "Boolean"
         return p
@@ -318,7 +351,7 @@ def _describe(name, position, kind, total, scan, values, base, quartiles, outlie
     p.has_leading_trailing_spaces = scan["space_defects"] > 0
     if p.has_leading_trailing_spaces:
         p.quality_issues.append(ISSUE_SPACES)
-    folded = counted("folded")
+    folded = scan["folded"]
     p.has_mixed_case = folded < p.unique_count
     if p.has_mixed_case:
         p.quality_issues.append(ISSUE_CASE.format(p.unique_count, folded))

@@ -265,12 +265,8 @@ class _Fitting:
                     changed, _ = run_step(current, kind, step)
                     found[f"changed_{step['step']}"] = F.count_if(current != changed)
                     current = changed
-                if self._may_recase(name):
-                    found["distinct"] = F.approx_count_distinct(current)
-            elif schema.is_number(kind):
-                if self._must_be_positive(name):
-                    found["negatives"] = F.count_if(value < 0)
-                found["distinct"] = F.approx_count_distinct(value)
+            elif schema.is_number(kind) and self._must_be_positive(name):
+                found["negatives"] = F.count_if(value < 0)
             if name in dates:
                 found["days"] = F.count(parse_date(value, kind, self.config.date_formats))
             return found
@@ -305,13 +301,21 @@ class _Fitting:
                     {"step": "date", "format": target, "formats": list(self.config.date_formats)}
                 )
 
+        self.recased = self._below_casing_limit(recased)
+
+    def _below_casing_limit(self, names: list[str]) -> set[str]:
+        """Columns with few enough spellings: estimated first, counted exactly where it is close."""
         limit = max(CASING_FLOOR, int(self.total * CASING_SHARE))
-        unsure = [c for c in recased if abs(self.found[c]["distinct"] - limit) <= ESTIMATE_BAND * limit]
+        if not names:
+            return set()
+        texts = self.rows.select(*[self._value(c)[0].alias(c) for c in names])
+        sizes = measure_columns(texts, names, lambda c: {"distinct": F.approx_count_distinct(schema.col(c))})
+        distinct = {c: sizes[c]["distinct"] for c in names}
+        unsure = [c for c in names if abs(distinct[c] - limit) <= ESTIMATE_BAND * limit]
         if unsure:
-            texts = self.rows.select(*[self._value(c)[0].alias(c) for c in unsure])
-            for line in frequency.distinct_counts(frequency.value_frequencies(texts, unsure)).collect():
-                self.found[line["column_name"]]["distinct"] = line["distinct_count"]
-        self.recased = {c for c in recased if self.found[c]["distinct"] < limit}
+            exact = frequency.distinct_counts(frequency.value_frequencies(texts, unsure)).collect()
+            distinct |= {line["column_name"]: line["distinct_count"] for line in exact}
+        return {c for c in names if distinct[c] < limit}
 
     def _fit_outliers(self) -> None:
         self.fences, self.centers = {}, {}
@@ -323,8 +327,7 @@ class _Fitting:
             if schema.is_number(self.kinds[c]) and self.found[c]["present"] > OUTLIER_MINIMUM
         ]
         frame = self.rows.select(*[self._value(c)[0].alias(c) for c in numbers])
-        estimates = {c: self.found[c]["distinct"] for c in numbers}
-        quartiles = quantile_values(frame, numbers, (0.25, 0.5, 0.75), estimates)
+        quartiles = quantile_values(frame, numbers, (0.25, 0.5, 0.75))
         self.fences = iqr_fences(quartiles)
         self.centers = {c: q[1] for c, q in quartiles.items()}
 
@@ -375,8 +378,7 @@ class _Fitting:
         medians = {}
         halves = [c for c, r in wanted.items() if r == "median" and self.found[c]["present"]]
         if halves:
-            estimates = {c: self.found[c]["distinct"] for c in halves}
-            medians = {c: q[0] for c, q in quantile_values(current, halves, (0.5,), estimates).items()}
+            medians = {c: q[0] for c, q in quantile_values(current, halves, (0.5,)).items()}
         modes = {}
         usual = [c for c, r in wanted.items() if r == "mode"]
         if usual:
@@ -427,7 +429,7 @@ class _Fitting:
         fill = self.filled[name][2] if name in self.filled else None
         if schema.is_float(kind):
             values_whole = found.get("all_whole")
-            if values_whole is False or (values_whole is None and fill is None):
+            if values_whole == 0 or (values_whole is None and fill is None):
                 return None
             return "bigint" if fill is None or float(fill).is_integer() else None
         if not schema.is_text(kind) or name == self.roles.email or not found.get("all_numbers"):

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkrinse.staging import stage
+from sparkrinse.staging import spread, stage
 from workload.registry import table
 
 TEXT_COLUMNS = (
@@ -29,7 +29,7 @@ def dirty_sales(spark: SparkSession, folder: str) -> DataFrame:
         table(spark, folder, name) for name in ("lineitem", "orders", "customer", "part", "nation", "region")
     )
     joined = (
-        lines.join(orders, lines.l_orderkey == orders.o_orderkey)
+        spread(lines).join(orders, lines.l_orderkey == orders.o_orderkey)
         .join(customers, F.col("o_custkey") == F.col("c_custkey"))
         .join(parts, F.col("l_partkey") == F.col("p_partkey"))
         .join(nations, F.col("c_nationkey") == F.col("n_nationkey"))

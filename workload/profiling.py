@@ -11,6 +11,7 @@ from sparkrinse.operators import duplicates, frequency, validate
 from sparkrinse.operators.analytics import general_kpis
 from sparkrinse.operators.profile import DatasetProfile, profile_dataset
 from sparkrinse.operators.tidy import rows_per_column
+from sparkrinse.staging import balanced
 from workload.dirty_sales import (
     COLUMNS, EMAIL, NUMBER_COLUMNS, TEXT_COLUMNS, day_of, dirty_sales, stored_sales, union_all, with_dirty,
 )
@@ -39,7 +40,7 @@ def missing_by_column(spark, folder):
             "null_percentage": rounded_share(missing, F.count(F.lit(1))),
         }
 
-    return rows_per_column(dirty_sales(spark, folder), COLUMNS, measures)
+    return rows_per_column(stored_sales(spark, folder), COLUMNS, measures)
 
 
 _MISSING = " + ".join(f"count(*) - count({c})" for c in COLUMNS)
@@ -53,7 +54,7 @@ FROM dirty_sales""")
 
 @query("dataset_totals", DATASET_TOTALS)
 def dataset_totals(spark, folder):
-    return general_kpis(dirty_sales(spark, folder))
+    return general_kpis(stored_sales(spark, folder))
 
 
 @query(
@@ -62,7 +63,7 @@ def dataset_totals(spark, folder):
     count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM dirty_sales)) AS duplicate_rows FROM dirty_sales"""),
 )
 def dup_count(spark, folder):
-    return duplicates.duplicate_count(dirty_sales(spark, folder))
+    return duplicates.duplicate_count(stored_sales(spark, folder))
 
 
 @query(
@@ -83,22 +84,22 @@ def dup_count_lineitem(spark, folder):
     ])),
 )
 def distinct_by_column(spark, folder):
-    counts = frequency.distinct_counts(frequency.value_frequencies(dirty_sales(spark, folder), COLUMNS))
+    counts = frequency.distinct_counts(frequency.value_frequencies(stored_sales(spark, folder), COLUMNS))
     share = rounded_share(F.col("distinct_count"), F.col("non_null_count"))
-    return counts.withColumn("unique_percentage", share)
+    return counts.drop("folded_count").withColumn("unique_percentage", share)
 
 
 @query(
     "top5_by_column",
     with_dirty(union_all([
         f"""SELECT * FROM (SELECT '{c}' AS column_name, {c}::VARCHAR AS value, count(*) AS n,
-        row_number() OVER (ORDER BY count(*) DESC, {c}::VARCHAR)::INTEGER AS rank
+        row_number() OVER (ORDER BY count(*) DESC, {c})::INTEGER AS rank
         FROM dirty_sales WHERE {c} IS NOT NULL GROUP BY {c}) WHERE rank <= 5"""
         for c in COLUMNS
     ])),
 )
 def top5_by_column(spark, folder):
-    return frequency.top_values(frequency.value_frequencies(dirty_sales(spark, folder), COLUMNS))
+    return frequency.first_values(frequency.value_frequencies(stored_sales(spark, folder), COLUMNS), 5)
 
 
 @query(
@@ -111,8 +112,9 @@ def top5_by_column(spark, folder):
     ])),
 )
 def sample_values(spark, folder):
-    freq = frequency.value_frequencies(dirty_sales(spark, folder), TEXT_COLUMNS)
-    return frequency.first_per_column(freq, 5, F.col("value").asc()).drop("n")
+    return frequency.first_values(
+        frequency.value_frequencies(stored_sales(spark, folder), TEXT_COLUMNS), 5, by_count=False
+    ).drop("n")
 
 
 @query(
@@ -125,14 +127,8 @@ def sample_values(spark, folder):
     ])),
 )
 def casing_defects(spark, folder):
-    freq = frequency.value_frequencies(dirty_sales(spark, folder), TEXT_COLUMNS)
-    folded = frequency.folded_distinct_counts(freq).select("column_name", F.col("distinct_count").alias("folded_count"))
-    return (
-        frequency.distinct_counts(freq)
-        .select("column_name", "distinct_count")
-        .join(folded, "column_name")
-        .withColumn("has_mixed_case", F.col("folded_count") < F.col("distinct_count"))
-    )
+    counts = frequency.distinct_counts(frequency.value_frequencies(stored_sales(spark, folder), TEXT_COLUMNS))
+    return counts.drop("non_null_count").withColumn("has_mixed_case", F.col("folded_count") < F.col("distinct_count"))
 
 
 @query(
@@ -149,7 +145,7 @@ def whitespace_defects(spark, folder):
         found = F.count_if(has_space_defect(schema.col(name)))
         return {"defects": found, "has_space_defect": found > 0}
 
-    return rows_per_column(dirty_sales(spark, folder), TEXT_COLUMNS, measures)
+    return rows_per_column(stored_sales(spark, folder), TEXT_COLUMNS, measures)
 
 
 @query(
@@ -240,7 +236,7 @@ LINE_NUMBERS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 
 @query("iqr_outliers", union_all([_numeric_counts(c, "lineitem") for c in LINE_NUMBERS]))
 def iqr_outliers(spark, folder):
-    return validate.validate_numeric(table(spark, folder, "lineitem"), LINE_NUMBERS)
+    return validate.validate_numeric(balanced(table(spark, folder, "lineitem")), LINE_NUMBERS)
 
 
 @query(
@@ -269,7 +265,7 @@ def outlier_samples(spark, folder):
     ]),
 )
 def numeric_profile(spark, folder):
-    found = profile_dataset(table(spark, folder, "lineitem")).columns_frame().where("inferred_type = 'Numeric'")
+    found = profile_dataset(balanced(table(spark, folder, "lineitem"))).columns_frame().where("inferred_type = 'Numeric'")
     return found.select(
         "column_name", "min_val", "max_val",
         *[F.round(c, 4).alias(c) for c in ("mean_val", "median_val", "std_val", "q25_val", "q75_val")],
@@ -415,7 +411,7 @@ def _register_given(name: str) -> None:
 
     @query(f"column_classes_{name}", f"WITH {', '.join(ctes)} SELECT {CLASS_COLUMNS} FROM described")
     def column_classes_of(spark, folder):
-        return classes(profile_dataset(table(spark, folder, name)))
+        return classes(profile_dataset(balanced(table(spark, folder, name))))
 
 
 for _name in GIVEN:
@@ -424,7 +420,7 @@ for _name in GIVEN:
 
 @query("column_classes_documents")
 def column_classes_documents(spark, folder):
-    return classes(profile_dataset(table(spark, folder, "documents")))
+    return classes(profile_dataset(balanced(table(spark, folder, "documents"))))
 
 
 @query("column_classes_embeddings")
@@ -469,7 +465,7 @@ def quality_score(spark, folder):
     f"WITH {', '.join(profile_ctes('lineitem', *GIVEN['lineitem']) + score_ctes('lineitem', 11))} {SCORE}",
 )
 def quality_score_lineitem(spark, folder):
-    return score(profile_dataset(table(spark, folder, "lineitem")))
+    return score(profile_dataset(balanced(table(spark, folder, "lineitem"))))
 
 
 @query(
