@@ -5,6 +5,7 @@ that holds a third of all rows is no more work than any other.
 """
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
@@ -18,9 +19,9 @@ from sparkrinse.functions.dates import DATE_FORMATS, month_of, parse_date
 from sparkrinse.functions.numbers import to_number
 from sparkrinse.operators.duplicates import duplicate_count
 from sparkrinse.operators.frequency import first_values, value_frequencies
-from sparkrinse.operators.quantiles import quantile_values
+from sparkrinse.operators.quantiles import numeric_summaries
 from sparkrinse.operators.semantics import SemanticMapping, detect_semantics
-from sparkrinse.operators.tidy import batches, measure_columns, rows_per_column
+from sparkrinse.operators.tidy import batches, measure_columns
 
 TOP_GROUPS = 10
 CATEGORICALS_SHOWN = 8
@@ -114,36 +115,32 @@ def general_kpis(df: DataFrame) -> DataFrame:
     )
 
 
-def _corrected_skew(x: Column) -> Column:
-    """Bias-corrected skewness: NULL below three values, 0 for a constant column."""
-    n = F.count(x).cast("double")
-    factor = F.try_divide(F.sqrt(n * F.greatest(n - 1, F.lit(0.0))), n - 2)
-    flat = F.min(x) == F.max(x)
-    return F.when(n >= 3, F.when(flat, F.lit(0.0)).otherwise(factor * F.skewness(x)))
+def _corrected_skew(f: Mapping) -> float | None:
+    """Bias-corrected skewness: none below three values, 0 for a constant column."""
+    n = f["numbers"]
+    if n < 3:
+        return None
+    if f["least"] == f["most"]:
+        return 0.0
+    return math.sqrt(n * (n - 1)) / (n - 2) * (f["cubes"] / n) / (f["squares"] / n) ** 1.5
 
 
 def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """One row per numeric column: count, mean, std, min, quartiles, max and skew, two decimals."""
     columns = list(columns or schema.numeric_columns(df))
-    quartiles = quantile_values(df, columns, (0.25, 0.5, 0.75))
-
-    def measures(name: str) -> dict[str, Column]:
-        x = to_number(schema.col(name), schema.type_of(df, name))
-        q25, q50, q75 = quartiles.get(name, (None, None, None))
-        return {
-            "count": F.count(x),
-            "mean": F.round(F.avg(x), 2),
-            "std": F.round(F.stddev_samp(x), 2),
-            "min": F.round(F.min(x), 2),
-            **{
-                label: F.round(F.first(F.lit(q).cast("double")), 2)
-                for label, q in (("q25", q25), ("q50", q50), ("q75", q75))
-            },
-            "max": F.round(F.max(x), 2),
-            "skew": F.round(_corrected_skew(x), 2),
-        }
-
-    return rows_per_column(df, columns, measures)
+    found = numeric_summaries(df, columns)
+    rows = []
+    for name in columns:
+        f = found.get(name)
+        if f is None:
+            rows.append((name, 0, *[None] * 8))
+            continue
+        n = f["numbers"]
+        std = math.sqrt(f["squares"] / (n - 1)) if n > 1 else None
+        rows.append((name, n, f["mean"], std, f["least"], *f["quartiles"], f["most"], _corrected_skew(f)))
+    figures = ("mean", "std", "min", "q25", "q50", "q75", "max", "skew")
+    shape = "column_name STRING, count BIGINT, " + ", ".join(f"{c} DOUBLE" for c in figures)
+    return df.sparkSession.createDataFrame(rows, shape).withColumns({c: F.round(c, 2) for c in figures})
 
 
 def categorical_distributions(

@@ -16,13 +16,12 @@ from pyspark.sql import types as T
 
 from sparkrinse import schema
 from sparkrinse.functions.dates import DATE_FORMATS, parse_date
-from sparkrinse.functions.numbers import outside
 from sparkrinse.functions.text import fold, has_space_defect, is_email
 from sparkrinse.operators import frequency
 from sparkrinse.operators.duplicates import duplicate_count
 from sparkrinse.operators.quality import QualityScore, quality_score
 from sparkrinse.operators.frequency import numeric_value
-from sparkrinse.operators.quantiles import SMALL_DISTINCT, iqr_fences, quantile_values
+from sparkrinse.operators.quantiles import iqr_fences, measure_spread, value_quantiles
 from sparkrinse.operators.semantics import SemanticMapping, detect_semantics, looks_like_date, looks_like_email
 from sparkrinse.operators.tidy import measure_columns
 from sparkrinse.staging import stage
@@ -192,26 +191,6 @@ def measure_values(values: DataFrame, dated: Sequence[str], timed: Sequence[str]
     )
 
 
-def measure_spread(values: DataFrame, means: Mapping[str, float], fences: Mapping[str, tuple[float, float]]) -> DataFrame:
-    """One row per numeric column: squared deviations from the mean, and occurrences beyond the fences."""
-    settings = F.create_map(
-        *[
-            part
-            for c in fences
-            for part in (F.lit(c), F.array(*[F.lit(float(v)) for v in (means[c], *fences[c])]))
-        ]
-    )
-    numbers = values.where(F.col("column_name").isin(*fences)).select(
-        "column_name", "n", numeric_value().alias("x"), F.element_at(settings, F.col("column_name")).alias("at")
-    )
-    gap = F.col("x") - F.col("at")[0]
-    beyond = outside(F.col("x"), F.col("at")[1], F.col("at")[2])
-    return numbers.groupBy("column_name").agg(
-        F.sum(gap * gap * F.col("n")).alias("squares"),
-        F.sum(F.when(beyond, F.col("n")).otherwise(0)).alias("outliers"),
-    )
-
-
 def _base_class(kind, scan: dict, dated: bool) -> str:
     """Datetime and Numeric are settled by what the values spell, the rest by how many there are."""
     if dated or schema.is_temporal(kind):
@@ -227,21 +206,6 @@ def _base_class(kind, scan: dict, dated: bool) -> str:
 _EMPTY = ("present", "distinct", "folded", "numbers", "days", "at_signs", "bad_emails", "space_defects", "negatives", "outliers")
 
 
-def profile_quantiles(
-    df: DataFrame, values: DataFrame, distinct: Mapping[str, int], points: Sequence[float]
-) -> dict[str, list[float]]:
-    """Quantiles from the table of distinct values while they are few, else from the rows."""
-    few = [c for c, d in distinct.items() if d <= SMALL_DISTINCT]
-    many = {c: d for c, d in distinct.items() if d > SMALL_DISTINCT}
-    found = quantile_values(df, list(many), points, estimates=many)
-    if few:
-        numbers = values.where(F.col("column_name").isin(*few)).select("column_name", numeric_value().alias("x"), "n")
-        wanted = F.array(*[F.lit(p) for p in points])
-        small = numbers.groupBy("column_name").agg(F.percentile("x", wanted, F.col("n")).alias("q"))
-        found |= {line["column_name"]: list(line["q"]) for line in small.collect()}
-    return found
-
-
 def sample_values(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
     """The first values met in each column, from the first rows Spark delivers."""
     head = df.select(*[schema.col(c).cast("string").alias(c) for c in columns]).head(SAMPLE_ROWS)
@@ -285,7 +249,7 @@ def profile_dataset(
             top[line["column_name"]].append((line["rank"], line["value"], line["n"]))
         base = {c: _base_class(kinds[c], scan[c], c in dated) for c in df.columns}
         numeric = [c for c in scalars if base[c] == "Numeric" and scan[c]["numbers"]]
-        quartiles = profile_quantiles(df, values, {c: scan[c]["distinct"] for c in numeric}, (0.25, 0.5, 0.75))
+        quartiles = value_quantiles(df, values, {c: scan[c]["distinct"] for c in numeric}, (0.25, 0.5, 0.75))
         if quartiles:
             means = {c: scan[c]["total"] / scan[c]["numbers"] for c in quartiles}
             for line in measure_spread(values, means, iqr_fences(quartiles)).collect():

@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkrinse import schema
-from sparkrinse.functions.numbers import to_number
+from sparkrinse.functions.numbers import outside, to_number
+from sparkrinse.operators.frequency import numeric_value, value_frequencies
 from sparkrinse.operators.tidy import measure_columns
 from sparkrinse.staging import stage
 
@@ -181,6 +182,74 @@ def quantile_values(
     return {r["column_name"]: list(r["q"]) for r in found if r["n"]}
 
 
+def value_quantiles(
+    df: DataFrame, values: DataFrame, distinct: Mapping[str, int], points: Sequence[float]
+) -> dict[str, list[float]]:
+    """Quantiles from the table of distinct values while a column has few of them, else from the rows."""
+    few = [c for c, d in distinct.items() if d <= SMALL_DISTINCT]
+    many = {c: d for c, d in distinct.items() if d > SMALL_DISTINCT}
+    found = quantile_values(df, list(many), points, estimates=many)
+    if few:
+        numbers = values.where(F.col("column_name").isin(*few)).select("column_name", numeric_value().alias("x"), "n")
+        wanted = F.array(*[F.lit(float(p)) for p in points])
+        small = numbers.groupBy("column_name").agg(F.percentile("x", wanted, F.col("n")).alias("q"))
+        found |= {line["column_name"]: list(line["q"]) for line in small.collect() if line["q"]}
+    return found
+
+
+def per_column_constants(settings: Mapping[str, Sequence[float]]) -> Column:
+    """The constants of the row's column, from a literal of one short array per column."""
+    entries = [part for c, v in settings.items() for part in (F.lit(c), F.array(*[F.lit(float(x)) for x in v]))]
+    return F.element_at(F.create_map(*entries), F.col("column_name"))
+
+
+def measure_spread(values: DataFrame, means: Mapping[str, float], fences: Mapping[str, tuple[float, float]]) -> DataFrame:
+    """One row per numeric column: second and third moments about the mean, and occurrences beyond the fences."""
+    settings = {c: (means[c], *fences[c]) for c in fences}
+    numbers = values.where(F.col("column_name").isin(*fences)).select(
+        "column_name", "n", numeric_value().alias("x"), per_column_constants(settings).alias("at")
+    )
+    gap = F.col("x") - F.col("at")[0]
+    beyond = outside(F.col("x"), F.col("at")[1], F.col("at")[2])
+    return numbers.groupBy("column_name").agg(
+        F.sum(gap * gap * F.col("n")).alias("squares"),
+        F.sum(gap * gap * gap * F.col("n")).alias("cubes"),
+        F.sum(F.when(beyond, F.col("n")).otherwise(0)).alias("outliers"),
+    )
+
+
+def numeric_summaries(df: DataFrame, columns: Sequence[str]) -> dict[str, dict]:
+    """Counts by sign, moments, quartiles and outliers of numeric columns, a few numbers each.
+
+    A column without a number is left out.
+    """
+    typed = df.select(*[to_number(schema.col(c), schema.type_of(df, c)).alias(c) for c in columns])
+    values = stage(value_frequencies(typed, columns), "numbers")
+    n = F.col("n")
+    counted = values.groupBy("column_name").agg(
+        F.count(F.lit(1)).alias("distinct"),
+        F.sum("n").alias("numbers"),
+        F.sum(F.col("number") * n).alias("total"),
+        F.min("number").alias("least"),
+        F.max("number").alias("most"),
+        *[
+            F.sum(F.when(condition, n).otherwise(0)).alias(label)
+            for label, condition in (
+                ("negative", F.col("number") < 0), ("zero", F.col("number") == 0), ("positive", F.col("number") > 0)
+            )
+        ],
+    )
+    found = {line["column_name"]: line.asDict() for line in counted.collect()}
+    if found:
+        quartiles = value_quantiles(typed, values, {c: f["distinct"] for c, f in found.items()}, (0.25, 0.5, 0.75))
+        fences = iqr_fences(quartiles)
+        for c, f in found.items():
+            f |= {"mean": f["total"] / f["numbers"], "quartiles": quartiles[c], "fence": fences[c]}
+        for line in measure_spread(values, {c: f["mean"] for c, f in found.items()}, fences).collect():
+            found[line["column_name"]] |= line.asDict()
+    return found
+
+
 def iqr_fences(quartiles: Mapping[str, Sequence[float]]) -> dict[str, tuple[float, float]]:
     """Tukey's fences from (q25, ..., q75) of each column."""
     fences = {}

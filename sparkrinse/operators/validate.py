@@ -10,8 +10,8 @@ from sparkrinse import schema
 from sparkrinse.functions.dates import DATE_FORMATS, parse_date
 from sparkrinse.functions.numbers import outside, rounded_share, to_number
 from sparkrinse.functions.text import is_email, trim_spaces
-from sparkrinse.operators.quantiles import iqr_fences, quantile_values
-from sparkrinse.operators.tidy import rows_per_column
+from sparkrinse.operators.quantiles import iqr_fences, numeric_summaries, quantile_values
+from sparkrinse.operators.tidy import measure_columns, rows_per_column
 
 SAMPLES = 10
 # The reasons shown next to a rejected value.
@@ -95,25 +95,23 @@ def numeric_fences(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[flo
 
 
 def validate_numeric(df: DataFrame, columns: Sequence[str], check_negatives: bool = True) -> DataFrame:
-    """One row per column: sign counts, IQR fences and the values outside them."""
-    fences = numeric_fences(df, columns)
-
-    def measures(name: str) -> dict[str, Column]:
-        number = to_number(schema.col(name), schema.type_of(df, name))
-        low, high = (F.lit(float(b)) for b in fences.get(name, (0.0, 0.0)))
-        return {
-            "total_records": F.count(F.lit(1)),
-            "negative_count": F.count_if(number < 0),
-            "zero_count": F.count_if(number == 0),
-            "positive_count": F.count_if(number > 0),
-            "missing_count": F.count_if(schema.null_if_nan(df, name).isNull()),
-            "outliers_count": F.count_if(outside(number, low, high)),
-            "lower_bound": F.round(F.first(low), 2),
-            "upper_bound": F.round(F.first(high), 2),
-        }
-
-    return rows_per_column(df, columns, measures).withColumn(
-        "has_negative_issues", F.lit(check_negatives) & (F.col("negative_count") > 0)
+    """One row per column: sign counts, IQR fences and how many values lie outside them."""
+    found = numeric_summaries(df, columns)
+    total = df.count()
+    missing = measure_columns(df, columns, lambda c: {"n": F.count_if(schema.null_if_nan(df, c).isNull())})
+    rows = []
+    for name in columns:
+        f = found.get(name, {})
+        low, high = f.get("fence", (0.0, 0.0))
+        signs = [f.get(sign, 0) for sign in ("negative", "zero", "positive")]
+        rows.append((name, total, *signs, missing[name]["n"], f.get("outliers", 0), low, high, check_negatives and signs[0] > 0))
+    shape = (
+        "column_name STRING, total_records BIGINT, negative_count BIGINT, zero_count BIGINT, positive_count BIGINT, "
+        "missing_count BIGINT, outliers_count BIGINT, lower_bound DOUBLE, upper_bound DOUBLE, has_negative_issues BOOLEAN"
+    )
+    # rounded by Spark, half up like every other figure
+    return df.sparkSession.createDataFrame(rows, shape).withColumns(
+        {c: F.round(c, 2) for c in ("lower_bound", "upper_bound")}
     )
 
 

@@ -1,7 +1,7 @@
 """Fit a cleaning plan on a table, apply it as one projection, account for every change.
 
 Cleaning decisions depend on the data: how many spellings a column has, where its fences and median
-lie, what share of its dates can be read. ``fit`` measures them in a few fused aggregations and
+lie, what share of its dates can be read. ``fit`` measures them on the table of distinct values and
 records the decisions as a plan of constants; ``CleaningPlan.apply`` is then a single narrow select
 that also works on new data and on streams.
 
@@ -11,6 +11,7 @@ after capping, and a date that cannot be read is filled like any other missing v
 from __future__ import annotations
 
 import json
+from collections import defaultdict
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
@@ -24,7 +25,7 @@ from sparkrinse.functions.dates import parse_date
 from sparkrinse.functions.numbers import is_whole, outside, to_number
 from sparkrinse.operators import frequency
 from sparkrinse.operators.duplicates import COPIES, collapse_duplicates, duplicate_count
-from sparkrinse.operators.quantiles import iqr_fences, quantile_values
+from sparkrinse.operators.quantiles import iqr_fences, per_column_constants, value_quantiles
 from sparkrinse.operators.semantics import SemanticMapping, detect_semantics, looks_like_date, looks_like_email
 from sparkrinse.operators.tidy import measure_columns
 from sparkrinse.plans.config import NUMERIC_FILLS, TEXT_FILLS, CleaningConfig
@@ -41,9 +42,6 @@ OUTLIER_MINIMUM = 10
 DATE_SHARE = 0.5
 UNKNOWN = "Unknown"
 
-# An estimated distinct count this close to the casing limit is counted exactly.
-ESTIMATE_BAND = 0.25
-
 
 @dataclass
 class ColumnPlan:
@@ -159,6 +157,15 @@ def fit(df: DataFrame, config: CleaningConfig | None = None) -> CleaningPlan:
     return _Fitting(df, config or CleaningConfig(), keep_idle=True).run().plan
 
 
+def _typed(kind: T.DataType) -> Column:
+    """A value of the table of distinct values in the type of its column."""
+    if isinstance(kind, T.IntegralType):
+        return F.col("whole").cast(kind)
+    if schema.is_float(kind):
+        return F.col("number").cast(kind)
+    return F.col("text") if schema.is_text(kind) else F.col("text").try_cast(kind)
+
+
 class _Fitting:
     """State of one fit: the rows, what was measured, and the steps decided so far."""
 
@@ -228,7 +235,7 @@ class _Fitting:
     def run(self) -> CleanResult:
         self._collapse()
         self._first_pass()
-        self._decide_dates_and_case()
+        self._decide_text_signs_and_dates()
         self._fit_outliers()
         self._second_pass()
         self._decide_fills_and_types()
@@ -239,83 +246,151 @@ class _Fitting:
         )
 
     def _collapse(self) -> None:
-        """Remove duplicates once, on shared storage; the copies counter still tells the raw counts."""
+        """Remove duplicates and list the distinct values, each once, on shared storage.
+
+        The copies counter still tells the raw counts. All later passes but one read only the
+        distinct values: the quantiles of columns with very many values need the rows.
+        """
         if self.config.remove_duplicates:
             self.rows = stage(collapse_duplicates(self.source), "distinct-rows")
-            self.weight = F.col(COPIES)
+            weighted, weight = self.rows, COPIES
         else:
             self.rows = self.source
-            self.weight = F.lit(1)
-
-    def _value(self, name: str, steps: list[Step] | None = None) -> tuple[Column, T.DataType]:
-        return run_steps(schema.col(name), self.kinds[name], self.steps[name] if steps is None else steps)
+            weighted, weight = self.source.withColumn(COPIES, F.lit(1)), COPIES
+        self.scalars = [c for c in self.names if schema.is_scalar(self.kinds[c])]
+        freq = frequency.value_frequencies(weighted, self.scalars, keep_missing=True, weight=weight)
+        self.values = stage(freq, "values")
+
+    def _value(self, name: str) -> tuple[Column, T.DataType]:
+        """A column of the rows after the steps decided so far."""
+        return run_steps(schema.col(name), self.kinds[name], self.steps[name])
+
+    def _current(self) -> DataFrame:
+        """The distinct values after the steps decided so far; columns treated alike share an expression."""
+        alike: dict[tuple[str, str], list[str]] = defaultdict(list)
+        for c in self.scalars:
+            alike[self.kinds[c].simpleString(), json.dumps(self.steps[c])].append(c)
+        slots = {slot: F.when(F.lit(False), F.lit(None)) for slot in ("whole", "number", "text")}
+        for members in alike.values():
+            kind = self.kinds[members[0]]
+            value, kind = run_steps(_typed(kind), kind, self.steps[members[0]])
+            here = F.col("column_name").isin(*members)
+            if isinstance(kind, T.IntegralType):
+                slots["whole"] = slots["whole"].when(here, value.cast("bigint"))
+            elif schema.is_number(kind):
+                slots["number"] = slots["number"].when(here, value.cast("double"))
+            if not isinstance(kind, T.IntegralType) and not schema.is_float(kind):
+                slots["text"] = slots["text"].when(here, value.cast("string"))
+        return self.values.select("column_name", *[c.alias(slot) for slot, c in slots.items()], "n")
 
     def _first_pass(self) -> None:
-        def measures(name: str) -> dict[str, Column]:
-            kind, value = self.kinds[name], schema.col(name)
-            found = {
-                "rows": F.count(F.lit(1)),
-                "raw_rows": F.sum(self.weight),
-                "present": F.count(value),
-                "raw_missing": F.sum(F.when(value.isNull(), self.weight).otherwise(0)),
-            }
-            if self._is_cleanable_text(name):
-                current = value
-                for step in self._text_steps(name):
-                    changed, _ = run_step(current, kind, step)
-                    found[f"changed_{step['step']}"] = F.count_if(current != changed)
-                    current = changed
-            elif schema.is_number(kind) and self._must_be_positive(name):
-                found["negatives"] = F.count_if(value < 0)
-            if name in dates:
-                found["days"] = F.count(parse_date(value, kind, self.config.date_formats))
-            return found
-
-        dates = set(self._date_candidates()) if self.config.standardize_dates else set()
-        self.found = measure_columns(self.rows, self.names, measures)
-        sizes = self.found[self.names[0]]
-        self.total, raw = sizes["rows"], sizes["raw_rows"] or 0
+        """Count per column what the text steps, the sign fix and the date parser would do."""
+        spaced: list[str] = []
+        renamed: dict[str, list[str]] = defaultdict(list)
+        for c in self.scalars:
+            if self._is_cleanable_text(c):
+                for step in self._text_steps(c):
+                    if step["step"] == "squeeze":
+                        spaced.append(c)
+                    else:
+                        renamed[json.dumps(step)].append(c)
+        dates = self._date_candidates() if self.config.standardize_dates else []
+        timed = [c for c in dates if schema.is_temporal(self.kinds[c])]
+        positive = [c for c in self.scalars if schema.is_number(self.kinds[c]) and self._must_be_positive(c)]
+
+        name, n, raw = F.col("column_name"), F.col("n"), F.col("text")
+        squeezed = F.when(name.isin(*spaced), run_step(raw, T.StringType(), {"step": "squeeze"})[0]).otherwise(raw)
+        termed = F.col("squeezed")
+        for step, members in renamed.items():
+            termed = F.when(name.isin(*members), run_step(F.col("squeezed"), T.StringType(), json.loads(step))[0]).otherwise(termed)
+        day = F.when(name.isin(*timed), raw.try_cast("date")).when(
+            name.isin(*dates), parse_date(raw, T.StringType(), self.config.date_formats)
+        )
+        negative = name.isin(*positive) & (F.coalesce("number", F.col("whole").cast("double")) < 0)
+        missing = F.coalesce(raw, F.col("number").cast("string"), F.col("whole").cast("string")).isNull()
+        read = self.values.withColumn("squeezed", squeezed).select(
+            name, n, "weighted", raw, "squeezed", termed.alias("termed"), day.alias("day"),
+            negative.alias("negative"), missing.alias("missing"),
+        )
+
+        def occurrences(condition: Column, of: Column = n) -> Column:
+            return F.sum(F.when(condition, of).otherwise(0))
+
+        # copies of a spelling meet first, which also counts the spellings left after these steps
+        sums = {
+            "rows": F.sum(n),
+            "raw_rows": F.sum("weighted"),
+            "present": occurrences(~F.col("missing")),
+            "raw_missing": occurrences(F.col("missing"), F.col("weighted")),
+            "changed_squeeze": occurrences(raw != F.col("squeezed")),
+            "changed_term": occurrences(F.col("squeezed") != F.col("termed")),
+            "negatives": occurrences(F.col("negative")),
+            "days": occurrences(F.col("day").isNotNull()),
+            "values": F.count_if(~F.col("missing")),
+        }
+        spellings = read.groupBy("column_name", "termed").agg(*[m.alias(k) for k, m in sums.items()])
+        counted = spellings.groupBy("column_name").agg(
+            *[F.sum(k).alias(k) for k in sums], F.count("termed").alias("spellings")
+        )
+        empty = dict.fromkeys((*sums, "spellings"), 0)
+        self.found = {c: dict(empty) for c in self.names}
+        for line in counted.collect():
+            self.found[line["column_name"]] |= line.asDict()
+        self._count_nested()
+
+        sizes = self.found[self.scalars[0]] if self.scalars else self.found[self.names[0]]
+        self.total, raw_rows = sizes["rows"], sizes["raw_rows"]
         self.before = {
-            "rows": raw,
+            "rows": raw_rows,
             "columns": len(self.names),
-            "missing": sum(f["raw_missing"] or 0 for f in self.found.values()),
+            "missing": sum(f["raw_missing"] for f in self.found.values()),
             # without removal the duplicates are only counted when a summary asks for them
-            "duplicates": raw - self.total if self.config.remove_duplicates else None,
+            "duplicates": raw_rows - self.total if self.config.remove_duplicates else None,
         }
 
-    def _decide_dates_and_case(self) -> None:
-        recased = []
-        for name in self.names:
+    def _count_nested(self) -> None:
+        """Columns with nested types are only looked at for missing values."""
+        nested = [c for c in self.names if c not in self.scalars]
+        copies = F.col(COPIES) if self.config.remove_duplicates else F.lit(1)
+
+        def measures(name: str) -> dict[str, Column]:
+            return {
+                "rows": F.count(F.lit(1)),
+                "raw_rows": F.sum(copies),
+                "present": F.count(schema.col(name)),
+                "raw_missing": F.sum(F.when(schema.col(name).isNull(), copies).otherwise(0)),
+            }
+
+        for name, found in measure_columns(self.rows, nested, measures).items():
+            self.found[name] |= {k: v or 0 for k, v in found.items()}
+
+    def _decide_text_signs_and_dates(self) -> None:
+        limit = max(CASING_FLOOR, int(self.total * CASING_SHARE))
+        self.recased = set()
+        for name in self.scalars:
             found = self.found[name]
             if self._is_cleanable_text(name) and found["present"]:
-                self.steps[name] += [
-                    s for s in self._text_steps(name) if self.keep_idle or found[f"changed_{s['step']}"]
-                ]
-                if self._may_recase(name):
-                    recased.append(name)
-            if found.get("negatives") or (self.keep_idle and "negatives" in found):
-                self.steps[name].append({"step": "abs"})
-            if found.get("days") and found["days"] / found["present"] >= DATE_SHARE:
+                for step in self._text_steps(name):
+                    counter = "changed_squeeze" if step["step"] == "squeeze" else "changed_term"
+                    if self.keep_idle or found[counter]:
+                        self.steps[name].append(step)
+                if self._may_recase(name) and found["spellings"] < limit:
+                    self.recased.add(name)
+            if schema.is_number(self.kinds[name]) and self._must_be_positive(name):
+                if self.keep_idle or found["negatives"]:
+                    self.steps[name].append({"step": "abs"})
+            if found["days"] and found["days"] / found["present"] >= DATE_SHARE:
                 target = None if self.config.as_date else self.config.target_date_format
                 self.steps[name].append(
                     {"step": "date", "format": target, "formats": list(self.config.date_formats)}
                 )
 
-        self.recased = self._below_casing_limit(recased)
-
-    def _below_casing_limit(self, names: list[str]) -> set[str]:
-        """Columns with few enough spellings: estimated first, counted exactly where it is close."""
-        limit = max(CASING_FLOOR, int(self.total * CASING_SHARE))
+    def _quantiles(self, names: list[str], points: tuple[float, ...]) -> dict[str, list[float]]:
         if not names:
-            return set()
-        texts = self.rows.select(*[self._value(c)[0].alias(c) for c in names])
-        sizes = measure_columns(texts, names, lambda c: {"distinct": F.approx_count_distinct(schema.col(c))})
-        distinct = {c: sizes[c]["distinct"] for c in names}
-        unsure = [c for c in names if abs(distinct[c] - limit) <= ESTIMATE_BAND * limit]
-        if unsure:
-            exact = frequency.distinct_counts(frequency.value_frequencies(texts, unsure)).collect()
-            distinct |= {line["column_name"]: line["distinct_count"] for line in exact}
-        return {c for c in names if distinct[c] < limit}
+            return {}
+        rows = self.rows.select(*[self._value(c)[0].alias(c) for c in names])
+        sizes = {c: self.found[c]["values"] for c in names}
+        return value_quantiles(rows, self._current(), sizes, points)
 
     def _fit_outliers(self) -> None:
         self.fences, self.centers = {}, {}
@@ -323,11 +398,10 @@ class _Fitting:
             return
         numbers = [
             c
-            for c in self.names
+            for c in self.scalars
             if schema.is_number(self.kinds[c]) and self.found[c]["present"] > OUTLIER_MINIMUM
         ]
-        frame = self.rows.select(*[self._value(c)[0].alias(c) for c in numbers])
-        quartiles = quantile_values(frame, numbers, (0.25, 0.5, 0.75))
+        quartiles = self._quantiles(numbers, (0.25, 0.5, 0.75))
         self.fences = iqr_fences(quartiles)
         self.centers = {c: q[1] for c, q in quartiles.items()}
 
@@ -338,34 +412,38 @@ class _Fitting:
         return {"step": "replace", "low": low, "high": high, "value": self.centers[name]}
 
     def _second_pass(self) -> None:
-        def measures(name: str) -> dict[str, Column]:
-            value, kind = self._value(name)
-            found = {}
-            if name in self.recased:
-                step = {"step": "case", "style": self.config.casing_strategy}
-                cased, _ = run_step(value, kind, step)
-                found["changed_case"] = F.count_if(value != cased)
-                value = cased
-            if name in self.fences:
-                low, high = self.fences[name]
-                found["outliers"] = F.count_if(outside(value.cast("double"), F.lit(low), F.lit(high)))
-                value, kind = run_step(value, kind, self._outlier_step(name))
-            if schema.is_float(kind):
-                found["all_whole"] = F.bool_and(is_whole(value.cast("double")))
-            elif schema.is_text(kind):
-                number = to_number(value, kind)
-                found["all_numbers"] = F.bool_and(F.when(value.isNotNull(), number.isNotNull()))
-                found["all_whole"] = F.bool_and(is_whole(number))
-            if schema.is_number(kind):
-                found["mean"] = F.avg(value.cast("double"))
-            return found
-
-        for name, found in measure_columns(self.rows, self.names, measures).items():
-            self.found[name] |= found
-            if found.get("changed_case") or (self.keep_idle and "changed_case" in found):
-                self.steps[name].append({"step": "case", "style": self.config.casing_strategy})
-            if found.get("outliers"):
-                self.steps[name].append(self._outlier_step(name))
+        """Count casing changes and outliers, then look at the values as they are after both."""
+        if not self.scalars:
+            return
+        name, n, text = F.col("column_name"), F.col("n"), F.col("text")
+        case = {"step": "case", "style": self.config.casing_strategy}
+        cased = F.when(name.isin(*self.recased), run_step(text, T.StringType(), case)[0]).otherwise(text)
+        x = F.coalesce("number", F.col("whole").cast("double"))
+        beyond, treated = F.lit(False), x
+        if self.fences:
+            bounds = {c: (*self.fences[c], self.centers[c]) for c in self.fences}
+            low, high, center = (per_column_constants(bounds)[i] for i in range(3))
+            beyond = F.coalesce(outside(x, low, high), F.lit(False))
+            capped = F.greatest(F.least(x, high), low)
+            treated = F.when(beyond, capped if self.config.outlier_strategy == "cap_iqr" else center).otherwise(x)
+        read = self._current().select(
+            name, n, text, cased.alias("cased"), beyond.alias("beyond"), treated.alias("x")
+        ).withColumn("spelled", F.coalesce("x", to_number(F.col("cased"), T.StringType())))
+        present = F.coalesce("cased", F.col("x").cast("string")).isNotNull()
+        counted = read.groupBy("column_name").agg(
+            F.sum(F.when(text != F.col("cased"), n).otherwise(0)).alias("changed_case"),
+            F.sum(F.when(F.col("beyond"), n).otherwise(0)).alias("outliers"),
+            F.try_divide(F.sum(F.col("x") * n), F.sum(F.when(F.col("x").isNotNull(), n))).alias("mean"),
+            F.bool_and(F.when(present, F.col("spelled").isNotNull())).alias("all_numbers"),
+            F.bool_and(is_whole(F.col("spelled"))).alias("all_whole"),
+        )
+        for line in counted.collect():
+            self.found[line["column_name"]] |= line.asDict()
+        for c in self.scalars:
+            if c in self.recased and (self.keep_idle or self.found[c]["changed_case"]):
+                self.steps[c].append(case)
+            if self.found[c].get("outliers"):
+                self.steps[c].append(self._outlier_step(c))
 
     def _decide_fills_and_types(self) -> None:
         missing = {}
@@ -373,16 +451,16 @@ class _Fitting:
             found = self.found[name]
             dated = any(s["step"] == "date" for s in self.steps[name])
             missing[name] = self.total - (found["days"] if dated else found["present"])
-        wanted = {c: self._rule(c) for c in self.names if missing[c] and schema.is_scalar(self.kinds[c])}
-        current = self.rows.select(*[self._value(c)[0].alias(c) for c in wanted]) if wanted else None
-        medians = {}
+        wanted = {c: self._rule(c) for c in self.scalars if missing[c]}
         halves = [c for c, r in wanted.items() if r == "median" and self.found[c]["present"]]
-        if halves:
-            medians = {c: q[0] for c, q in quantile_values(current, halves, (0.5,)).items()}
+        medians = {c: q[0] for c, q in self._quantiles(halves, (0.5,)).items()}
         modes = {}
         usual = [c for c, r in wanted.items() if r == "mode"]
         if usual:
-            modes = {r["column_name"]: r["mode"] for r in frequency.modes(current, usual).collect()}
+            present = F.coalesce("text", F.col("number").cast("string"), F.col("whole").cast("string")).isNotNull()
+            counts = self._current().where(F.col("column_name").isin(*usual) & present)
+            counts = counts.groupBy("column_name", "whole", "number", "text").agg(F.sum("n").alias("n"))
+            modes = {r["column_name"]: r["value"] for r in frequency.first_values(counts, 1).collect()}
 
         self.filled = {}
         for name, rule in wanted.items():
@@ -394,7 +472,7 @@ class _Fitting:
 
         self.typed = {}
         if self.config.auto_convert_types:
-            for name in self.names:
+            for name in self.scalars:
                 target = self._target_type(name)
                 if target:
                     self.typed[name] = (self._value(name)[1].simpleString(), target)
@@ -429,7 +507,7 @@ class _Fitting:
         fill = self.filled[name][2] if name in self.filled else None
         if schema.is_float(kind):
             values_whole = found.get("all_whole")
-            if values_whole == 0 or (values_whole is None and fill is None):
+            if values_whole is False or (values_whole is None and fill is None):
                 return None
             return "bigint" if fill is None or float(fill).is_integer() else None
         if not schema.is_text(kind) or name == self.roles.email or not found.get("all_numbers"):
@@ -464,7 +542,7 @@ class _Fitting:
         for name in self.names:
             for step in self.steps[name]:
                 if step["step"] in _TEXT_NOTES:
-                    n = self.found[name][f"changed_{step['step']}"]
+                    n = self.found[name][_COUNTERS[step["step"]]]
                     operation, description = _TEXT_NOTES[step["step"]]
                     note(operation, name, n, description.format(n=n, style=step.get("style", "").capitalize()))
         for name in self.names:
@@ -507,6 +585,10 @@ class _Fitting:
         return log
 
 
+# Which count of the fit tells how many rows a text step changed.
+_COUNTERS = {
+    "squeeze": "changed_squeeze", "email": "changed_term", "synonyms": "changed_term", "case": "changed_case",
+}
 # Operation name and description of the text steps.
 _TEXT_NOTES = {
     "squeeze": (
