@@ -65,28 +65,57 @@ def _shape(pattern: str) -> tuple[str, list[str]]:
     return "^" + "".join(pieces) + "$", captured
 
 
-def _parse_one(text: Column, pattern: str) -> Column:
-    """Date spelled by ``pattern`` or NULL.
+def _merged(formats: Sequence[str]) -> list[list[str]]:
+    """Group the formats that name year, month and day in the same order, so one expression reads them.
 
-    A numeric pattern is recognised by its shape and rearranged to ISO, because casting an ISO text
-    is far cheaper than a formatter that throws and catches an exception for every mismatch.
+    A format joins an earlier group unless a format in between, of another group, has the same
+    punctuation: those two could read the same text and their order matters.
     """
-    expression, captured = _shape(pattern)
-    fits = text.rlike(expression)
-    if "MMM" in pattern:
-        long_month = pattern.replace("MMM", "MMMM")
-        return F.when(fits, F.coalesce(F.try_to_date(text, pattern), F.try_to_date(text, long_month)))
-    position = {name: f"${i}" for i, name in enumerate(captured, start=1)}
-    if "short_year" in position:
-        short = F.regexp_extract(text, expression, captured.index("short_year") + 1)
-        century = F.when(short >= "69", F.lit("19")).otherwise(F.lit("20"))
-        iso = F.concat(
-            century,
-            F.regexp_replace(text, expression, f"{position['short_year']}-{position['month']}-{position['day']}"),
-        )
-    else:
-        iso = F.regexp_replace(text, expression, f"{position['year']}-{position['month']}-{position['day']}")
-    return F.when(fits, iso).try_cast("date")
+    groups: list[list[str]] = []
+    for pattern in formats:
+        joined = None
+        for group in groups:
+            if "MMM" not in pattern and _order(group[0]) == _order(pattern):
+                joined = group
+            elif any(_punctuation(other) == _punctuation(pattern) for other in group):
+                joined = None
+        if joined is None:
+            groups.append([pattern])
+        else:
+            joined.append(pattern)
+    return groups
+
+
+def _order(pattern: str) -> tuple[str, ...]:
+    return ("named", pattern) if "MMM" in pattern else tuple(_shape(pattern)[1])
+
+
+def _punctuation(pattern: str) -> str:
+    return re.sub(r"[A-Za-z]", "", pattern)
+
+
+def _parse_group(text: Column, patterns: list[str]) -> Column:
+    """Date spelled by one of the patterns or NULL.
+
+    Numeric patterns are recognised by their shape and rearranged to ISO, because casting an ISO
+    text is far cheaper than a formatter that throws and catches an exception for every mismatch.
+    """
+    if "MMM" in patterns[0]:
+        fits, long_month = text.rlike(_shape(patterns[0])[0]), patterns[0].replace("MMM", "MMMM")
+        return F.when(fits, F.coalesce(F.try_to_date(text, patterns[0]), F.try_to_date(text, long_month)))
+    shapes = [_shape(pattern) for pattern in patterns]
+    expression = "|".join(shape for shape, _ in shapes)
+    # groups of the alternatives that did not match are empty in the replacement
+    places: dict[str, str] = {}
+    for i, (_, names) in enumerate(shapes):
+        for j, name in enumerate(names, start=1):
+            places[name] = places.get(name, "") + f"${len(names) * i + j}"
+    year = places.get("year", places.get("short_year"))
+    iso = F.regexp_replace(text, expression, f"{year}-{places['month']}-{places['day']}")
+    if "short_year" in places:
+        century = F.when(F.left(iso, F.lit(2)) >= "69", F.lit("19")).otherwise(F.lit("20"))
+        iso = F.concat(century, iso)
+    return F.when(text.rlike(expression), iso).try_cast("date")
 
 
 def parse_date(value: Column, data_type: T.DataType, formats: Sequence[str] = DATE_FORMATS) -> Column:
@@ -96,7 +125,8 @@ def parse_date(value: Column, data_type: T.DataType, formats: Sequence[str] = DA
     if not schema.is_text(data_type):
         return F.lit(None).cast("date")
     text = trim_spaces(value)
-    return F.coalesce(*[_parse_one(text, pattern) for pattern in formats])
+    # no date is spelled without a digit, so other texts are spared the formats
+    return F.when(text.rlike(r"\d"), F.coalesce(*[_parse_group(text, group) for group in _merged(formats)]))
 
 
 def java_pattern(strftime: str) -> str:

@@ -98,3 +98,10 @@ def test_display(spark):
     assert column(spark, [1234.5, 2e6, None], display.show_currency, "double") == ["$1,234.50", "$2.00M", "N/A"]
     assert column(spark, [12.34, None], display.show_percent, "double") == ["12.3%", "0.0%"]
     assert column(spark, [4096.0, 12.0, 5 * 1024.0**3, None], display.show_bytes, "double") == ["4.0 KB", "12.0 B", "5.0 GB", "0 B"]
+
+
+def test_order_of_formats_decides_between_readings(spark):
+    formats = ["d/M/yyyy", "M-d-yyyy", "M/d/yyyy", "d-M-yyyy"]
+    got = column(spark, ["3/2/2024", "3-2-2024", "3/13/2024", "13-3-2024"], lambda c: dates.parse_date(c, T.StringType(), formats))
+    assert got == [datetime.date(2024, *md) for md in ((2, 3), (3, 2), (3, 13), (3, 13))]
+    assert [len(g) for g in dates._merged(dates.DATE_FORMATS)] == [4, 3, 1, 1, 1, 1, 1]
