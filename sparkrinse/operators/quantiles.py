@@ -36,13 +36,15 @@ def quantiles(
     points: Sequence[float],
     by: Sequence[str] = (),
     estimates: Mapping[str, int] | None = None,
-    small_distinct: int = SMALL_DISTINCT,
+    small_distinct: int | None = None,
 ) -> DataFrame:
     """``by..., column_name, n, q`` with ``q`` an array aligned with ``points``.
 
     Rows whose group key is missing form no group. ``estimates`` are known distinct counts; without
     them one extra aggregation measures them.
     """
+    if small_distinct is None:
+        small_distinct = SMALL_DISTINCT
     groups = list(by)
     numbers = df.select(
         *[schema.col(g) for g in groups],
@@ -173,7 +175,7 @@ def quantile_values(
     columns: Sequence[str],
     points: Sequence[float],
     estimates: Mapping[str, int] | None = None,
-    small_distinct: int = SMALL_DISTINCT,
+    small_distinct: int | None = None,
 ) -> dict[str, list[float]]:
     """Quantiles of whole columns on the driver: one short list per column that has a value."""
     if not columns:
@@ -224,6 +226,15 @@ def numeric_summaries(df: DataFrame, columns: Sequence[str]) -> dict[str, dict]:
     A column without a number is left out.
     """
     typed = df.select(*[to_number(schema.col(c), schema.type_of(df, c)).alias(c) for c in columns])
+    sizes = measure_columns(typed, columns, lambda c: {"d": F.approx_count_distinct(schema.col(c))})
+    few = [c for c in columns if sizes[c]["d"] <= SMALL_DISTINCT]
+    many = {c: sizes[c]["d"] for c in columns if sizes[c]["d"] > SMALL_DISTINCT}
+    found = _summaries_from_values(typed, few) if few else {}
+    return found | (_summaries_from_rows(typed, many) if many else {})
+
+
+def _summaries_from_values(typed: DataFrame, columns: list[str]) -> dict[str, dict]:
+    """Few distinct values: count them once and work on the counts."""
     values = stage(value_frequencies(typed, columns), "numbers")
     n = F.col("n")
     counted = values.groupBy("column_name").agg(
@@ -250,6 +261,34 @@ def numeric_summaries(df: DataFrame, columns: Sequence[str]) -> dict[str, dict]:
     return found
 
 
+def _summaries_from_rows(typed: DataFrame, sizes: Mapping[str, int]) -> dict[str, dict]:
+    """Many distinct values: one aggregation over the rows, which never leave their tasks."""
+    columns = list(sizes)
+    quartiles = quantile_values(typed, columns, (0.25, 0.5, 0.75), estimates=sizes)
+    fences = iqr_fences(quartiles)
+
+    def measures(name: str) -> dict[str, Column]:
+        x, (low, high) = schema.col(name), fences[name]
+        return {
+            "numbers": F.count(x),
+            "mean": F.avg(x),
+            "least": F.min(x),
+            "most": F.max(x),
+            "variance": F.var_pop(x),
+            "skewness": F.skewness(x),
+            "negative": F.count_if(x < 0),
+            "zero": F.count_if(x == 0),
+            "positive": F.count_if(x > 0),
+            "outliers": F.count_if(outside(x, F.lit(low), F.lit(high))),
+        }
+
+    found = measure_columns(typed, columns, measures)
+    for c, f in found.items():
+        f |= {"quartiles": quartiles[c], "fence": fences[c], "squares": f["variance"] * f["numbers"]}
+        f["cubes"] = (f["skewness"] or 0.0) * f["variance"] ** 1.5 * f["numbers"]
+    return found
+
+
 def iqr_fences(quartiles: Mapping[str, Sequence[float]]) -> dict[str, tuple[float, float]]:
     """Tukey's fences from (q25, ..., q75) of each column."""
     fences = {}

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 
 from sparkrinse import analyze_dataset, detect_semantics
-from sparkrinse.operators import analytics, charts
+from sparkrinse.operators import analytics, charts, quantiles
 from sparkrinse.plans.report import build_report
 from sparkrinse.plans.cleaning import fit
 from sparkrinse.staging import fresh_path, release
@@ -15,7 +15,10 @@ from workload.dirty_sales import stored_sales
 FOLDER = "/root/testdata/sf0.001"
 
 
-def test_statistics_match_pandas(spark):
+@pytest.mark.parametrize("few", [100_000, 20])
+def test_statistics_match_pandas(spark, monkeypatch, few):
+    # the second run takes column a from its rows, through brackets
+    monkeypatch.setattr(quantiles, "SMALL_DISTINCT", few)
     rng = np.random.default_rng(1)
     data = pd.DataFrame({"a": rng.exponential(size=300), "b": rng.integers(0, 9, 300).astype(float)})
     data.loc[::7, "b"] = np.nan
