@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkrinse.llm import packing
+from sparkrinse.llm import decontaminate, packing
 
 QUERIES = {}
 ORACLES = {}
@@ -27,3 +27,9 @@ def word_tokenizer() -> str:
 @query
 def op2_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), word_tokenizer())
+
+
+@query
+def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return decontaminate.verdicts(found).drop("text_md5")

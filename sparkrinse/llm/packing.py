@@ -22,6 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sparkrinse.llm.words import portions
 from sparkrinse.staging import stage
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, ids binary"
@@ -42,16 +43,6 @@ def packed(ids: Iterable[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
-def portions(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
-    """Row ranges whose texts have about ``most`` bytes together, one row at least."""
-    sizes = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False))
-    lo = 0
-    while lo < len(texts):
-        hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + most, "right")))
-        yield lo, hi
-        lo = hi
-
-
 def token_pieces(
     docs: DataFrame,
     tokenizer_json: str,
