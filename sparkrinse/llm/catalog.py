@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkrinse.llm import decontaminate, packing
+from sparkrinse.llm import decontaminate, near_duplicates, packing
 
 QUERIES = {}
 ORACLES = {}
@@ -33,3 +33,8 @@ def op2_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return decontaminate.verdicts(found).drop("text_md5")
+
+
+@query
+def op10_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates.with_verdict(near_duplicates.near_duplicates(table(spark, folder, "documents")))
