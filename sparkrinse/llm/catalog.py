@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkrinse.llm import decontaminate, near_duplicates, packing
+from sparkrinse.llm import decontaminate, near_duplicates, packing, quality_rules
 
 QUERIES = {}
 ORACLES = {}
@@ -38,3 +38,8 @@ def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.with_verdict(near_duplicates.near_duplicates(table(spark, folder, "documents")))
+
+
+@query
+def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules.assess(table(spark, folder, "documents")).drop("failed")
