@@ -30,7 +30,9 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    staged = spark.read.schema(df.schema).parquet(path)
+    staged.staged_path = path
+    return staged
 
 
 def spread(table: DataFrame) -> DataFrame:
@@ -48,11 +50,21 @@ def balanced(table: DataFrame) -> DataFrame:
     return table if pieces is table else stage(pieces, "balanced")
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def discard(staged: DataFrame) -> None:
+    """Delete what ``stage`` wrote for this frame, once everything built on it has been staged itself."""
+    spark = staged.sparkSession
+    _staged[spark.sparkContext.applicationId].remove(staged.staged_path)
+    _delete(spark, staged.staged_path)
+
+
 def release(spark: SparkSession) -> int:
     """Delete what this application staged, once no result built on it is needed any more."""
     paths = _staged.pop(spark.sparkContext.applicationId, [])
-    jvm = spark.sparkContext._jvm
     for path in paths:
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        _delete(spark, path)
     return len(paths)
