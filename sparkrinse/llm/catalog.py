@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkrinse.llm import decontaminate, near_duplicates, packing, quality_rules
+from sparkrinse.llm import decontaminate, line_dedup, near_duplicates, packing, quality_rules
 
 QUERIES = {}
 ORACLES = {}
@@ -43,3 +43,8 @@ def op10_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.assess(table(spark, folder, "documents")).drop("failed")
+
+
+@query
+def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.line_report(table(spark, folder, "documents"))
