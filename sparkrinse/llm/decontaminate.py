@@ -227,3 +227,13 @@ def verdicts(found: DataFrame) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
     )
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
+    """``docs`` without the contaminated ones, columns as they were; options as in ``contamination``."""
+    judged = verdicts(contamination(docs, benchmark, id_column=id_column, text_column=text_column, **options))
+    bad = judged.filter("contaminated").select(F.col("doc_id").alias("__b_id"), F.col("text_md5").alias("__b_key")).distinct()
+    key = F.md5(F.coalesce(F.col(text_column).cast("string"), F.lit("")))
+    on = F.col("__c_id").eqNullSafe(F.col("__b_id")) & (F.col("__c_key") == F.col("__b_key"))
+    marked = docs.withColumn("__c_key", key).withColumn("__c_id", F.col(id_column).cast("bigint"))
+    return marked.join(bad, on, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

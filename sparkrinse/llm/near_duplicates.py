@@ -35,7 +35,7 @@ def set_key(numbers: np.ndarray) -> bytes:
 
 
 def signatures(docs: DataFrame, id_column: str, text_column: str, words: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles, key (null without words), bands: one number per band of signature values."""
+    """doc_id, text_hash, n_shingles, key (null without words), bands: one number per band of signature values."""
     bands = 2 * PERMUTATIONS // BAND_VALUES
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,12 +53,13 @@ def signatures(docs: DataFrame, id_column: str, text_column: str, words: int = W
                 else:
                     values.append(None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(values, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "key", "bands"],
+                [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(values, pa.list_(pa.int64()))],
+                ["doc_id", "text_hash", "n_shingles", "key", "bands"],
             )
 
-    chosen = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    return chosen.mapInArrow(sign, "doc_id bigint, n_shingles bigint, key binary, bands array<bigint>")
+    text = F.col(text_column).cast("string")
+    chosen = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
+    return chosen.mapInArrow(sign, "doc_id bigint, text_hash bigint, n_shingles bigint, key binary, bands array<bigint>")
 
 
 def confirmed(sets: list[np.ndarray], numerator: int, denominator: int, apart: int | None = None) -> np.ndarray:
@@ -110,7 +111,7 @@ def near_duplicates(
     denominator: int = 100,
     words: int = WORDS,
 ) -> DataFrame:
-    """One row per document: doc_id, n_shingles, key (of its shingle set), component_id.
+    """One row per document: doc_id, text_hash, n_shingles, group (a key, null without words), component_id.
 
     Documents are linked if denominator * intersection >= numerator * union of their shingle sets;
     ``component_id`` is the smallest doc_id reachable. Null or wordless texts have no set and are their
@@ -136,12 +137,34 @@ def near_duplicates(
     )
     links = _links(docs, members, id_column, text_column, numerator, denominator, words)
     groups = components(links)
-    placed = signed.select("doc_id", "n_shingles", "key").join(
+    placed = signed.select("doc_id", "text_hash", "n_shingles", "key").join(
         groups.select(F.col("node").alias("key"), F.col("component").alias("__group")), "key", "left"
     ).withColumn("__group", F.coalesce("__group", "key"))
     first = placed.filter("key is not null").groupBy("__group").agg(F.min("doc_id").alias("__first"))
     return placed.join(first, "__group", "left").select(
-        "doc_id", "n_shingles", "key", F.coalesce(F.col("__first"), F.col("doc_id")).alias("component_id")
+        "doc_id", "text_hash", "n_shingles", F.col("__group").alias("group"),
+        F.coalesce(F.col("__first"), F.col("doc_id")).alias("component_id"),
+    )
+
+
+def keep_one(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
+    """``docs`` with one row of every group, the one with the smallest id; options as in ``near_duplicates``.
+
+    Rows without words are in no group and all stay.
+    """
+    found = stage(near_duplicates(docs, id_column=id_column, text_column=text_column, **options), "near-duplicates")
+    kept = found.filter("group is not null").groupBy("group").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("best")
+    ).select(F.col("best.doc_id").alias("__k_id"), F.col("best.text_hash").alias("__k_hash"))
+    wordless = found.filter("group is null").select(F.col("doc_id").alias("__k_id"), F.col("text_hash").alias("__k_hash")).distinct()
+    chosen = kept.withColumn("__once", F.lit(True)).unionByName(wordless.withColumn("__once", F.lit(False)))
+    hashed = docs.withColumn("__t_hash", F.xxhash64(F.col(text_column).cast("string"))).withColumn("__t_id", F.col(id_column).cast("bigint"))
+    on = F.col("__t_id").eqNullSafe(F.col("__k_id")) & (F.col("__t_hash") == F.col("__k_hash"))
+    # Of rows with the same id and text one stays, unless they have no words.
+    row = F.when(F.col("__once"), F.lit(0)).otherwise(F.monotonically_increasing_id())
+    return (
+        hashed.join(chosen, on).withColumn("__copy", row)
+        .dropDuplicates(["__t_id", "__t_hash", "__copy"]).select(*[F.col(f"`{c}`") for c in docs.columns])
     )
 
 

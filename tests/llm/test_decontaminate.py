@@ -54,3 +54,12 @@ def test_empty_tables(spark):
     assert run(spark, docs, []) == expected(docs, [])
     assert run(spark, [], bench) == []
     assert [r[2] for r in run(spark, docs, bench)] == [2, 0]
+
+
+def test_contaminated_rows_go(spark):
+    passage = " ".join(f"w{i}" for i in range(13))
+    docs = [(1, passage, "en"), (2, "clean " * 30, None), (2, passage + " x", "de"), (3, passage + " y" * 300, "de"), (None, None, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    out = decontaminate.drop_contaminated(df, spark.createDataFrame([(1, passage)], "item_id long, text string"))
+    assert out.columns == df.columns
+    assert sorted((tuple(r) for r in out.collect()), key=str) == sorted([docs[1], docs[3], docs[4]], key=str)

@@ -72,3 +72,16 @@ def test_components(spark):
     links = [(i + 1, i) for i in range(1, 30)] + [(100, 40), (40, 60), (60, 100), (7, 7), (None, 3), (200, 201), (200, 201)]
     found = dict(components(spark.createDataFrame(links, "a long, b long")).collect())
     assert found == {**{i: 1 for i in range(1, 31)}, 40: 40, 60: 40, 100: 40, 200: 200, 201: 200}
+
+
+def test_one_row_of_each_group_stays(spark):
+    rows = texts(5)
+    df = spark.createDataFrame([(*r, "k") for r in rows], "doc_id long, text string, group string")
+    out = near_duplicates.keep_one(df)
+    assert out.columns == df.columns
+    kept = [(r.doc_id, r.text) for r in out.collect()]
+    wordless = [r for r in rows if not (r[1] or "").split()]
+    firsts = {r[0] for r in expected(rows, 85, 100) if r[3] and r[0] is not None}
+    assert sorted(d for d, t in kept if d is not None and (t or "").split()) == sorted(firsts - {d for d, _ in wordless})
+    assert sorted((r for r in kept if not (r[1] or "").split()), key=str) == sorted(wordless, key=str)
+    assert sorted(t.lower() for d, t in kept if d is None) == ["a null id", "two null ids"]
