@@ -3,7 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkrinse.llm import decontaminate, line_dedup, near_duplicates, packing, quality_rules
+from sparkrinse.llm import decontaminate, line_dedup, near_duplicates, packing, quality_rules, warc
+from sparkrinse.staging import fresh_path
 
 QUERIES = {}
 ORACLES = {}
@@ -48,3 +49,10 @@ def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.line_report(table(spark, folder, "documents"))
+
+
+@query
+def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
+    path = fresh_path(spark, "warc")
+    warc.write_warc(table(spark, folder, "pages"), path)
+    return warc.payload_report(warc.captures(warc.read_warc(spark, path)))
