@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkrinse.llm import decontaminate, line_dedup, near_duplicates, packing, quality_rules, warc
+from sparkrinse.llm import decontaminate, line_dedup, near_duplicates, packing, quality_rules, secret_scan, warc
 from sparkrinse.staging import fresh_path
 
 QUERIES = {}
@@ -56,3 +56,8 @@ def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
     path = fresh_path(spark, "warc")
     warc.write_warc(table(spark, folder, "pages"), path)
     return warc.payload_report(warc.captures(warc.read_warc(spark, path)))
+
+
+@query
+def op5_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scan.with_digest(secret_scan.secrets(table(spark, folder, "documents")))
