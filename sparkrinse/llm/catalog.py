@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkrinse.llm import decontaminate, line_dedup, near_duplicates, packing, quality_rules, secret_scan, warc
+from sparkrinse.llm import decontaminate, line_dedup, near_duplicates, packing, quality_rules, secret_scan, url_filter, warc
 from sparkrinse.staging import fresh_path
 
 QUERIES = {}
@@ -61,3 +61,8 @@ def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op5_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scan.with_digest(secret_scan.secrets(table(spark, folder, "documents")))
+
+
+@query
+def op1_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filter.judge(table(spark, folder, "pages"))
