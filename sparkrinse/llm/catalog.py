@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkrinse.llm import decontaminate, line_dedup, near_duplicates, packing, quality_rules, secret_scan, url_filter, warc
+from sparkrinse.llm import decontaminate, line_dedup, near_duplicates, packing, quality_rules, repeats, secret_scan, url_filter, warc
 from sparkrinse.staging import fresh_path
 
 QUERIES = {}
@@ -66,3 +66,8 @@ def op5_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op1_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judge(table(spark, folder, "pages"))
+
+
+@query
+def op3_repeated_strings(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.with_digest(repeats.remove_repeats(table(spark, folder, "documents")))
