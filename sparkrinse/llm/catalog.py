@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkrinse.llm import decontaminate, line_dedup, near_duplicates, packing, quality_rules, repeats, secret_scan, url_filter, warc
+from sparkrinse.llm import decontaminate, language_model, line_dedup, near_duplicates, packing, quality_rules, repeats, secret_scan, url_filter, warc
 from sparkrinse.staging import fresh_path
 
 QUERIES = {}
@@ -71,3 +71,8 @@ def op1_url_filter(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op3_repeated_strings(spark: SparkSession, folder: str) -> DataFrame:
     return repeats.with_digest(repeats.remove_repeats(table(spark, folder, "documents")))
+
+
+@query
+def op4_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    return language_model.score(table(spark, folder, "documents"))
