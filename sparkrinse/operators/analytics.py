@@ -6,11 +6,11 @@ that holds a third of all rows is no more work than any other.
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
-from functools import reduce
-from itertools import combinations_with_replacement
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,12 +21,10 @@ from sparkrinse.operators.duplicates import duplicate_count
 from sparkrinse.operators.frequency import first_values, value_frequencies
 from sparkrinse.operators.quantiles import numeric_summaries
 from sparkrinse.operators.semantics import SemanticMapping, detect_semantics
-from sparkrinse.operators.tidy import batches, measure_columns
+from sparkrinse.operators.tidy import measure_columns
 
 TOP_GROUPS = 10
-CATEGORICALS_SHOWN = 8
-# Correlated pairs summed in one aggregation; further pairs run beside it in the same job.
-PAIRS_PER_PASS = 12
+REPORT_CATEGORICALS = 8
 
 
 def _number_or_zero(df: DataFrame, name: str) -> Column:
@@ -81,11 +79,13 @@ def value_distribution(df: DataFrame, key: str, top: int = TOP_GROUPS) -> DataFr
 
 def monthly_revenue(df: DataFrame, roles: SemanticMapping, formats: Sequence[str] = DATE_FORMATS) -> DataFrame:
     """Revenue and orders per calendar month; rows without a readable date are left out."""
-    day = parse_date(schema.col(roles.date), schema.type_of(df, roles.date), formats)
-    dated = df.select(day.alias("day"), revenue(df, roles).alias("money")).where(F.col("day").isNotNull())
+    month = month_of(parse_date(schema.col(roles.date), schema.type_of(df, roles.date), formats))
+    # The undated group goes after the sums: a filter on the date would be pushed to the rows and read it twice.
     return (
-        dated.groupBy(month_of(F.col("day")).alias("month"))
-        .agg(F.round(F.sum("money"), 2).alias("revenue"), F.count(F.lit(1)).alias("orders"))
+        df.select(month.alias("month"), revenue(df, roles).alias("money"))
+        .groupBy("month")
+        .agg(F.round(F.sum("money"), 2).alias("revenue"), F.count("month").alias("orders"))
+        .where(F.col("orders") > 0)
         .orderBy("month")
     )
 
@@ -146,9 +146,9 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
 def categorical_distributions(
     df: DataFrame, columns: Sequence[str] | None = None, top: int = TOP_GROUPS
 ) -> DataFrame:
-    """Top values, missing included, of the first categorical columns, with their share of rows."""
+    """Top values, missing included, of the categorical columns, with their share of rows."""
     if columns is None:
-        columns = schema.categorical_columns(df)[:CATEGORICALS_SHOWN]
+        columns = schema.categorical_columns(df)
     rows = df.count()
     return first_values(value_frequencies(df, columns, keep_missing=True), top).withColumn(
         "percentage", F.round(F.col("n") * 100.0 / F.lit(rows), 1)
@@ -158,46 +158,43 @@ def categorical_distributions(
 def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Pearson r of every ordered pair over complete pairs; NULL when a side is constant.
 
-    Values are centred on their column mean first, then plain sums of products suffice, which
-    compile to far less code than a streaming covariance per pair and lose no digits. Columns
-    without gaps share their own sums among all pairs.
+    Values are centred on their column mean, and then one pass over the rows sums, per task, the
+    products of all columns at once: a few numbers per pair leave each task, however many rows it has.
     """
     columns = list(columns or schema.numeric_columns(df))
+    width = len(columns)
     raw = {c: to_number(schema.col(c), schema.type_of(df, c)) for c in columns}
-    found = measure_columns(
-        df, columns, lambda c: {"mean": F.avg(raw[c]), "gaps": F.count_if(raw[c].isNull())}
+    means = measure_columns(df, columns, lambda c: {"mean": F.avg(raw[c])})
+    centred = df.select(*[(raw[c] - F.lit(means[c]["mean"])).alias(f"x{i}") for i, c in enumerate(columns)])
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((4, width, width))
+        lows, highs = np.full((width, width), np.inf), np.full((width, width), -np.inf)
+        for batch in batches:
+            values = np.column_stack([c.cast(pa.float64()).to_numpy(zero_copy_only=False) for c in batch.columns])
+            given = ~np.isnan(values)
+            x, m = np.where(given, values, 0.0), given.astype(np.float64)
+            sums += (m.T @ m, x.T @ m, (x * x).T @ m, x.T @ x)
+            for j in range(width):  # what the others span where column j has a value
+                rows = given[:, j]
+                if rows.any():
+                    lows[:, j] = np.minimum(lows[:, j], np.where(given[rows], values[rows], np.inf).min(axis=0))
+                    highs[:, j] = np.maximum(highs[:, j], np.where(given[rows], values[rows], -np.inf).max(axis=0))
+        at = np.indices((width, width)).reshape(2, -1)
+        columns_out = [*at.astype(np.int32), *sums.reshape(4, -1), lows.ravel(), highs.ravel()]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns_out], ["i", "j", "n", "s", "ss", "p", "low", "high"])
+
+    parts = centred.mapInArrow(products, "i INT, j INT, n DOUBLE, s DOUBLE, ss DOUBLE, p DOUBLE, low DOUBLE, high DOUBLE")
+    total = parts.groupBy("i", "j").agg(
+        *[F.sum(c).alias(c) for c in ("n", "s", "ss", "p")], F.min("low").alias("low"), F.max("high").alias("high")
     )
-    centred = df.select(*[(raw[c] - F.lit(found[c]["mean"])).alias(f"x{i}") for i, c in enumerate(columns)])
-
-    def given(i: int, j: int) -> Column:
-        """Column i where column j has a value too."""
-        x = F.col(f"x{i}")
-        return F.when(F.col(f"x{j}").isNotNull(), x) if found[columns[j]]["gaps"] else x
-
-    pairs = list(combinations_with_replacement(range(len(columns)), 2))
-    parts = []
-    for batch in batches(pairs, PAIRS_PER_PASS):
-        sums, entries = [], []
-        for i, j in batch:
-            x, y = given(i, j), given(j, i)
-            labels = [f"{label}{i}_{j}" for label in ("n", "sx", "sy", "sxx", "syy", "sxy")]
-            measures = (F.count(x * y), F.sum(x), F.sum(y), F.sum(x * x), F.sum(y * y), F.sum(x * y))
-            sums += [m.alias(label) for m, label in zip(measures, labels)]
-            n, sx, sy, sxx, syy, sxy = (F.col(label) for label in labels)
-            spread = F.sqrt(sxx - sx * F.try_divide(sx, n)) * F.sqrt(syy - sy * F.try_divide(sy, n))
-            r = F.round(F.try_divide(sxy - sx * F.try_divide(sy, n), F.when(_varies(i, j), spread)), 2)
-            names = {(columns[i], columns[j]), (columns[j], columns[i])}
-            entries += [F.struct(F.lit(a).alias("col_x"), F.lit(b).alias("col_y"), r.alias("r")) for a, b in names]
-            sums += [
-                (F.min(x) != F.max(x)).alias(f"vx{i}_{j}"),
-                (F.min(y) != F.max(y)).alias(f"vy{i}_{j}"),
-            ]
-        parts.append(centred.agg(*sums).select(F.inline(F.array(*entries))))
-    return reduce(DataFrame.unionByName, parts)
-
-
-def _varies(i: int, j: int) -> Column:
-    return F.col(f"vx{i}_{j}") & F.col(f"vy{i}_{j}")
+    other = total.select(F.col("j").alias("i"), F.col("i").alias("j"), *[F.col(c).alias(f"{c}2") for c in ("s", "ss", "low", "high")])
+    both = total.join(other, ["i", "j"])
+    spread = F.sqrt(F.col("ss") - F.col("s") * F.try_divide("s", "n")) * F.sqrt(F.col("ss2") - F.col("s2") * F.try_divide("s2", "n"))
+    varies = (F.col("low") < F.col("high")) & (F.col("low2") < F.col("high2"))
+    names = F.array(*[F.lit(c) for c in columns])
+    r = F.try_divide(F.col("p") - F.col("s") * F.try_divide("s2", "n"), F.when(varies, spread))
+    return both.select(F.get(names, F.col("i")).alias("col_x"), F.get(names, F.col("j")).alias("col_y"), F.round(r, 2).alias("r"))
 
 
 def grouped_insight(df: DataFrame, category: str, number: str, top: int = TOP_GROUPS) -> DataFrame:
@@ -224,8 +221,13 @@ class AnalyticsReport:
         return {"general_kpis": self.general_kpis, **self.sales, **self.generic}
 
 
-def analyze_dataset(df: DataFrame, overrides: Mapping[str, str | None] | None = None) -> AnalyticsReport:
-    """The figures that suit the table: sales figures for a sales table, statistics for any."""
+def analyze_dataset(
+    df: DataFrame, overrides: Mapping[str, str | None] | None = None, formats: Sequence[str] = DATE_FORMATS
+) -> AnalyticsReport:
+    """The figures that suit the table: sales figures for a sales table, statistics for any.
+
+    ``formats`` are the spellings of dates to look for; a cleaned table has one.
+    """
     roles = detect_semantics(df.columns, overrides)
     numbers = schema.numeric_columns(df)
     categories = schema.categorical_columns(df)
@@ -243,11 +245,11 @@ def analyze_dataset(df: DataFrame, overrides: Mapping[str, str | None] | None =
             if key:
                 report.sales[name] = value_distribution(df, key)
         if roles.date:
-            report.sales["monthly_revenue"] = monthly_revenue(df, roles)
+            report.sales["monthly_revenue"] = monthly_revenue(df, roles, formats)
     if numbers:
         report.generic["statistics"] = describe(df, numbers)
     if categories:
-        report.generic["categorical_distributions"] = categorical_distributions(df)
+        report.generic["categorical_distributions"] = categorical_distributions(df, categories[:REPORT_CATEGORICALS])
     if len(numbers) >= 2:
         report.generic["correlations"] = correlations(df, numbers)
     if numbers and categories:

@@ -1,7 +1,7 @@
 """The data behind each chart; drawing them is left to whatever front end is at hand."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from sparkrinse import schema
@@ -14,7 +14,6 @@ HISTOGRAM_BINS = 30
 EXPLORER_BINS = 35
 CATEGORY_BARS, PRODUCT_BARS, REPORT_PRODUCTS = 7, 8, 6
 TRENDLINE_MINIMUM = 5
-SCATTER_POINTS = 5_000
 
 
 def histogram(df: DataFrame, column: str, bins: int = HISTOGRAM_BINS) -> DataFrame:
@@ -60,21 +59,12 @@ def box_statistics(df: DataFrame, column: str, by: str | None = None) -> DataFra
     )
     x = to_number(schema.col(column), schema.type_of(df, column))
     points = df.select(*[schema.col(k).alias("label") for k in keys], x.alias("x")).where(F.col("x").isNotNull())
-    if by:
-        # values are counted before the join, so a hot group crosses it once per distinct value
-        points = points.groupBy("label", "x").agg(F.count(F.lit(1)).alias("c"))
-        joined = points.join(fences, "label")
-    else:
-        edges = fences.first()
-        points = points.groupBy("x").agg(F.count(F.lit(1)).alias("c"))
-        if edges is None or not edges["n"]:
-            return fences.limit(0).selectExpr(
-                "n", "q25", "median", "q75", "q25 AS low_whisker", "q75 AS high_whisker", "n AS outliers_count"
-            )
-        joined = points.select("*", *[F.lit(edges[f.name]).cast(f.dataType).alias(f.name) for f in fences.schema])
+    if not by:
+        return _whole_box(points, fences.first())
+    # values are counted before the join, so a hot group crosses it once per distinct value
+    points = points.groupBy("label", "x").agg(F.count(F.lit(1)).alias("c"))
     inside = (F.col("x") >= F.col("low_fence")) & (F.col("x") <= F.col("high_fence"))
-    labels = ["label"] if by else []
-    return joined.groupBy(*labels).agg(
+    return points.join(fences, "label").groupBy("label").agg(
         F.first("n").alias("n"),
         F.first("q25").alias("q25"),
         F.first("median").alias("median"),
@@ -85,6 +75,22 @@ def box_statistics(df: DataFrame, column: str, by: str | None = None) -> DataFra
     )
 
 
+def _whole_box(points: DataFrame, edges: Row | None) -> DataFrame:
+    """Without groups one aggregation over the rows suffices, and nothing is shuffled but its result."""
+    if edges is None or not edges["n"]:
+        shape = "n BIGINT, q25 DOUBLE, median DOUBLE, q75 DOUBLE, low_whisker DOUBLE, high_whisker DOUBLE, outliers_count BIGINT"
+        return points.sparkSession.createDataFrame([], shape)
+    x = F.col("x")
+    inside = (x >= F.lit(edges["low_fence"])) & (x <= F.lit(edges["high_fence"]))
+    return points.agg(
+        F.lit(edges["n"]).cast("bigint").alias("n"),
+        *[F.lit(edges[c]).alias(c) for c in ("q25", "median", "q75")],
+        F.min(F.when(inside, x)).alias("low_whisker"),
+        F.max(F.when(inside, x)).alias("high_whisker"),
+        F.count_if(~inside).alias("outliers_count"),
+    )
+
+
 def trendlines(df: DataFrame, x: str, y: str, by: str | None = None) -> DataFrame:
     """Least-squares line per colour group; none for tables of five rows or fewer."""
     across = to_number(schema.col(x), schema.type_of(df, x))
@@ -110,15 +116,14 @@ def trendlines(df: DataFrame, x: str, y: str, by: str | None = None) -> DataFram
     return fitted
 
 
-def scatter_points(
-    df: DataFrame, x: str, y: str, by: str | None = None, points: int = SCATTER_POINTS, seed: int = 42
-) -> DataFrame:
-    """At most ``points`` rows to draw, sampled evenly over the table."""
+def scatter_points(df: DataFrame, x: str, y: str, by: str | None = None, fraction: float | None = None) -> DataFrame:
+    """The rows to draw: all of them, or about ``fraction`` of them chosen by a hash of the row."""
     chosen = [schema.col(c) for c in dict.fromkeys(c for c in (x, y, by) if c)]
-    rows = df.count()
-    if rows <= points:
-        return df.select(*chosen)
-    return df.select(*chosen).sample(fraction=min(1.0, 1.2 * points / rows), seed=seed).limit(points)
+    points = df.select(*chosen)
+    if fraction is None:
+        return points
+    hashed = F.xxhash64(*[schema.col(f.name) for f in df.schema.fields if "map<" not in f.dataType.simpleString()])
+    return df.where(F.pmod(hashed, F.lit(1_000_000)) < F.lit(round(fraction * 1_000_000))).select(*chosen)
 
 
 def category_counts(df: DataFrame, column: str, top: int = 10) -> DataFrame:

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkrinse import schema
@@ -12,7 +12,6 @@ from sparkrinse.staging import stage
 COPIES = "__copies"
 _HASH = "__hash"
 # Hashes held by several rows are broadcast up to this number, 8 MB of them.
-SHARED_HASHES = 1_000_000
 
 
 def collapse_duplicates(df: DataFrame) -> DataFrame:
@@ -33,29 +32,25 @@ def duplicate_count(df: DataFrame) -> DataFrame:
     """``total_rows, distinct_rows, duplicate_rows``, exact.
 
     Rows are first grouped by a 64-bit hash, which shuffles a few bytes per row instead of whole
-    rows. A row whose hash occurs once has no copy. Only rows that share a hash are compared in
-    full, found through a broadcast of those hashes while they are few; a table with more of them
-    is grouped by its full rows instead.
+    rows. A row whose hash occurs once has no copy; only rows that share a hash are compared in full.
+    The shared hashes are stored, so their true size decides how they are joined.
     """
     # maps cannot be hashed; leaving them out only makes the first test coarser
     hashed = F.xxhash64(*[schema.col(f.name) for f in df.schema.fields if "map<" not in f.dataType.simpleString()])
-    grouped = df.select(hashed.alias(_HASH)).groupBy(_HASH).agg(F.count(F.lit(1)).alias(COPIES))
-    shared = stage(grouped.where(F.col(COPIES) > 1).select(_HASH), "shared-hashes")
-    total, repeated = df.count(), shared.count()
-    if not repeated:
-        return _counts(df.sparkSession.range(1, numPartitions=1), total, F.lit(0))
-    rows = df
-    if repeated <= SHARED_HASHES:
-        rows = df.withColumn(_HASH, hashed).join(F.broadcast(shared), _HASH, "left_semi").drop(_HASH)
-    extra = collapse_duplicates(rows).agg(F.coalesce(F.sum(F.col(COPIES) - 1), F.lit(0)).alias("extra"))
-    return _counts(extra, total, F.col("extra"))
-
-
-def _counts(one_row: DataFrame, rows: int, extra: Column) -> DataFrame:
-    total, extra = F.lit(rows).cast("bigint"), extra.cast("bigint")
-    return one_row.select(
-        total.alias("total_rows"), (total - extra).alias("distinct_rows"), extra.alias("duplicate_rows")
+    grouped = stage(
+        df.select(hashed.alias(_HASH)).groupBy(_HASH).agg(F.count(F.lit(1)).alias(COPIES)).groupBy(
+            F.when(F.col(COPIES) > 1, F.col(_HASH)).alias(_HASH)
+        ).agg(F.sum(COPIES).alias(COPIES)),
+        "shared-hashes",
     )
+    shared = grouped.where(F.col(_HASH).isNotNull()).select(_HASH)
+    rows = df.withColumn(_HASH, hashed).join(shared, _HASH, "left_semi").drop(_HASH)
+    extra = collapse_duplicates(rows).agg(F.coalesce(F.sum(F.col(COPIES) - 1), F.lit(0)).cast("bigint").alias("duplicate_rows"))
+    total = grouped.agg(F.coalesce(F.sum(COPIES), F.lit(0)).cast("bigint").alias("n")).first()["n"]
+    return extra.select(
+        F.lit(total).cast("bigint").alias("total_rows"), (F.lit(total).cast("bigint") - F.col("duplicate_rows")).alias("distinct_rows"), "duplicate_rows"
+    )
+
 
 
 def dedupe_by_key(

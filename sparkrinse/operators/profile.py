@@ -33,7 +33,6 @@ AT_SIGN_SHARE = 0.5
 CATEGORY_FLOOR, CATEGORY_SHARE = 30, 0.05
 TOP_VALUES = SAMPLE_VALUES = 5
 # Rows looked at for samples; a column empty in all of them shows none.
-SAMPLE_ROWS = 200
 # The issue texts.
 ISSUE_MISSING = "{} missing values ({:.1f}%)"
 ISSUE_DATES = "{} invalid date formats"
@@ -206,12 +205,6 @@ def _base_class(kind, scan: dict, dated: bool) -> str:
 _EMPTY = ("present", "distinct", "folded", "numbers", "days", "at_signs", "bad_emails", "space_defects", "negatives", "outliers")
 
 
-def sample_values(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
-    """The first values met in each column, from the first rows Spark delivers."""
-    head = df.select(*[schema.col(c).cast("string").alias(c) for c in columns]).head(SAMPLE_ROWS)
-    return {c: [row[c] for row in head if row[c] is not None][:SAMPLE_VALUES] for c in columns}
-
-
 def profile_dataset(
     df: DataFrame,
     overrides: Mapping[str, str | None] | None = None,
@@ -236,6 +229,7 @@ def profile_dataset(
     total, duplicates = repeated["total_rows"], repeated["duplicate_rows"]
     scan = {c: dict.fromkeys(_EMPTY, 0) for c in df.columns}
     top: dict[str, list] = {c: [] for c in df.columns}
+    samples: dict[str, list[str]] = {c: [] for c in df.columns}
     if nested:
         for name, found in measure_columns(df, nested, lambda c: {"present": F.count(schema.col(c))}).items():
             scan[name] |= found
@@ -247,6 +241,8 @@ def profile_dataset(
             scan[line["column_name"]] |= line.asDict()
         for line in frequency.first_values(values, TOP_VALUES).collect():
             top[line["column_name"]].append((line["rank"], line["value"], line["n"]))
+        for line in frequency.first_values(values, SAMPLE_VALUES, by_count=False).orderBy("rank").collect():
+            samples[line["column_name"]].append(line["value"])
         base = {c: _base_class(kinds[c], scan[c], c in dated) for c in df.columns}
         numeric = [c for c in scalars if base[c] == "Numeric" and scan[c]["numbers"]]
         quartiles = value_quantiles(df, values, {c: scan[c]["distinct"] for c in numeric}, (0.25, 0.5, 0.75))
@@ -254,14 +250,13 @@ def profile_dataset(
             means = {c: scan[c]["total"] / scan[c]["numbers"] for c in quartiles}
             for line in measure_spread(values, means, iqr_fences(quartiles)).collect():
                 scan[line["column_name"]] |= line.asDict()
-    samples = sample_values(df, scalars)
 
     profiles = {}
     for position, name in enumerate(df.columns, start=1):
         profiles[name] = _describe(
             name, position, kinds[name], total, scan[name], top[name], base[name], quartiles.get(name), roles
         )
-        profiles[name].sample_values = samples.get(name, [])
+        profiles[name].sample_values = samples[name]
     return _assemble(df.sparkSession, total, duplicates, profiles, roles, negatives)
 
 

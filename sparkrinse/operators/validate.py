@@ -115,6 +115,20 @@ def validate_numeric(df: DataFrame, columns: Sequence[str], check_negatives: boo
     )
 
 
+def flag_outliers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``df`` with a Boolean ``<column>_is_outlier`` per column: beyond the IQR fences, NULL without a number.
+
+    A column without any number is flagged NULL throughout.
+    """
+    found = numeric_fences(df, columns)
+    flags = {}
+    for name in columns:
+        number = to_number(schema.col(name), schema.type_of(df, name))
+        low, high = found.get(name, (None, None))
+        flags[f"{name}_is_outlier"] = outside(number, F.lit(low).cast("double"), F.lit(high).cast("double"))
+    return df.withColumns(flags)
+
+
 def outlier_samples(df: DataFrame, column: str, key: Sequence[str], limit: int = SAMPLES) -> DataFrame:
     number = to_number(schema.col(column), schema.type_of(df, column))
     fence = numeric_fences(df, [column]).get(column)

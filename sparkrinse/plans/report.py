@@ -5,6 +5,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
+from sparkrinse.functions.dates import java_pattern
 from sparkrinse.operators import reports
 from sparkrinse.operators.analytics import AnalyticsReport, analyze_dataset
 from sparkrinse.operators.profile import DatasetProfile, profile_dataset
@@ -55,5 +56,5 @@ def build_report(df: DataFrame, config: CleaningConfig | None = None) -> Report:
         profile_dataset(cleaned, config.role_overrides, config.date_formats),
         result,
         cleaned,
-        analyze_dataset(cleaned, config.role_overrides),
+        analyze_dataset(cleaned, config.role_overrides, (java_pattern(config.target_date_format),)),
     )

@@ -35,21 +35,6 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return staged
 
 
-def spread(table: DataFrame) -> DataFrame:
-    """Use all cores on a stored table that arrives in fewer pieces than there are cores.
-
-    A table of many files or row groups is returned as it is, without a shuffle.
-    """
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
-
-
-def balanced(table: DataFrame) -> DataFrame:
-    """A stored table in at least as many pieces as cores, for operators that read it repeatedly."""
-    pieces = spread(table)
-    return table if pieces is table else stage(pieces, "balanced")
-
-
 def _delete(spark: SparkSession, path: str) -> None:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

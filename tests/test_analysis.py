@@ -70,9 +70,12 @@ def test_trendline_needs_rows_and_spread(spark):
     assert charts.trendlines(df.limit(5), "x", "y").first()["slope"] is None
 
 
-def test_scatter_is_capped(spark):
+def test_scatter_has_all_points_or_an_even_share(spark):
     df = spark.range(20_000).selectExpr("id AS x", "id AS y")
-    assert 0 < charts.scatter_points(df, "x", "y", points=500).count() <= 500
+    assert charts.scatter_points(df, "x", "y").count() == 20_000
+    some = [r["x"] for r in charts.scatter_points(df, "x", "y", fraction=0.1).collect()]
+    assert 1_700 < len(some) < 2_300 and max(some) > 19_900
+    assert sorted(some) == sorted(r["x"] for r in charts.scatter_points(df.repartition(7), "x", "y", fraction=0.1).collect())
 
 
 def test_whole_report(spark, tmp_path):

@@ -1,7 +1,6 @@
 import pytest
 
 from sparkrinse.operators.duplicates import dedupe_by_key, duplicate_count
-from sparkrinse.operators import duplicates
 from sparkrinse.operators.profile import profile_dataset
 from sparkrinse.operators.quality import grade_of, quality_score
 
@@ -78,12 +77,16 @@ def test_only_failing_checks_enlarge_the_base():
     assert quality_score(100, 4, 0, 0, 0, []).recommendations == ("Dataset meets professional quality benchmarks.",)
 
 
-@pytest.mark.parametrize("limit", [1_000_000, 0])
-def test_duplicates_in_full_whatever_the_way(spark, monkeypatch, limit):
-    monkeypatch.setattr(duplicates, "SHARED_HASHES", limit)
+def test_duplicates_are_compared_in_full(spark):
     rows = [(1, None), (1, None), (None, "a"), (None, "a"), (None, "a"), (2, "b")] + [(9, "hot")] * 50
     df = frame(spark, rows, "a INT, b STRING").repartition(4)
     assert tuple(duplicate_count(df).first()) == (56, 4, 52)
+    assert tuple(duplicate_count(df.limit(0)).first()) == (0, 0, 0)
+
+
+def test_samples_come_from_the_whole_column(spark):
+    df = spark.range(1000).selectExpr("id", "CASE WHEN id >= 300 THEN concat('v', id) END AS late")
+    assert profile_dataset(df).columns["late"].sample_values == ["v300", "v301", "v302", "v303", "v304"]
 
 
 def test_dedupe_by_key(spark):

@@ -8,7 +8,6 @@ from sparkrinse.functions import display
 from sparkrinse.operators import analytics, charts, reports
 from sparkrinse.operators.profile import profile_dataset
 from sparkrinse.operators.semantics import detect_semantics
-from sparkrinse.operators.tidy import metric_rows
 from sparkrinse.plans.cleaning import clean, fit
 from sparkrinse.plans.report import build_report
 from sparkrinse.sources.metadata import dataset_metadata as metadata_of
@@ -101,7 +100,7 @@ _MONTHLY_CLEANED = with_dirty(
 
 @query("monthly_revenue_cleaned", _MONTHLY_CLEANED)
 def monthly_revenue_cleaned(spark, folder):
-    return analytics.monthly_revenue(clean(dirty_sales(spark, folder)).cleaned, ROLES)
+    return analytics.monthly_revenue(clean(dirty_sales(spark, folder)).cleaned, ROLES, ("yyyy-MM-dd",))
 
 
 @query(
@@ -151,6 +150,29 @@ def describe_stats_sales(spark, folder):
 _CATEGORICAL = tuple(c for c in COLUMNS if c not in ("order_id", "quantity", "unit_price"))
 
 
+_PART_TEXTS = ("p_name", "p_brand", "p_type", "c_name", "c_mktsegment", "o_orderstatus", "o_orderpriority", "l_returnflag", "l_linestatus")
+_PART_ROWS = """lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey"""
+
+
+@query(
+    "cat_distributions_wide",
+    f"WITH wide AS (SELECT {', '.join(_PART_TEXTS)} FROM {_PART_ROWS}) " + union_all([
+        f"""SELECT * FROM (SELECT '{c}' AS column_name, row_number() OVER (ORDER BY count(*) DESC, {c} NULLS FIRST)::INTEGER AS rank,
+        {c} AS value, count(*) AS n, round(count(*) * 100.0::DOUBLE / (SELECT count(*) FROM wide), 1) AS percentage
+        FROM wide GROUP BY {c}) WHERE rank <= 10"""
+        for c in _PART_TEXTS
+    ]),
+)
+def cat_distributions_wide(spark, folder):
+    """More categorical columns than a report shows."""
+    lines, orders, customers, parts = (table(spark, folder, name) for name in ("lineitem", "orders", "customer", "part"))
+    wide = (
+        lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customers, F.col("o_custkey") == F.col("c_custkey"))
+        .join(parts, F.col("l_partkey") == F.col("p_partkey")).select(*_PART_TEXTS)
+    )
+    return analytics.categorical_distributions(stage(wide, "wide"))
+
+
 @query(
     "cat_distributions",
     with_dirty(union_all([
@@ -278,7 +300,7 @@ def ols_overall(spark, folder):
     return _fitted(table(spark, folder, "lineitem"), "l_quantity", "l_extendedprice")
 
 
-@query("scatter_points")
+@query("scatter_points", "SELECT l_quantity, l_extendedprice, l_returnflag FROM lineitem")
 def scatter_points(spark, folder):
     return charts.scatter_points(table(spark, folder, "lineitem"), "l_quantity", "l_extendedprice", "l_returnflag")
 
@@ -553,15 +575,3 @@ def clean_stream_orders(spark, folder):
     rows = spark.readStream.schema(orders.schema).option("pathGlobFilter", "orders.parquet").parquet(folder)
     clean_stream(rows, plan, path, checkpoint).awaitTermination()
     return spark.read.parquet(path)
-
-
-@query(
-    "sales_totals_metrics",
-    """SELECT 1 AS position, 'orders' AS metric, count(*)::DOUBLE AS value FROM orders
-    UNION ALL SELECT 2, 'revenue', round(sum(o_totalprice), 2) FROM orders""",
-)
-def sales_totals_metrics(spark, folder):
-    totals = table(spark, folder, "orders").agg(
-        F.count(F.lit(1)).cast("double").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("revenue")
-    )
-    return metric_rows(totals, {"orders": F.col("orders"), "revenue": F.col("revenue")})

@@ -6,9 +6,7 @@ from pyspark.sql import functions as F
 from sparkrinse import schema
 from sparkrinse.functions import dates as dt
 from sparkrinse.functions import text as tx
-from sparkrinse.functions.numbers import outside
-from sparkrinse.operators import reports
-from sparkrinse.operators.validate import numeric_fences
+from sparkrinse.operators import reports, validate
 from sparkrinse.plans.cleaning import clean
 from sparkrinse.plans.config import CleaningConfig
 from sparkrinse.plans.steps import SYNONYMS
@@ -161,11 +159,7 @@ def replace_outlier_median(spark, folder):
 )
 def flag_outliers(spark, folder):
     columns = ["quantity", "unit_price"]
-    df = dirty_sales(spark, folder).select("order_id", *columns)
-    found = numeric_fences(df, columns)
-    return df.withColumns(
-        {f"{c}_is_outlier": outside(F.col(c), F.lit(found[c][0]), F.lit(found[c][1])) for c in columns}
-    )
+    return validate.flag_outliers(dirty_sales(spark, folder).select("order_id", *columns), columns)
 
 
 @query(

@@ -11,7 +11,6 @@ from sparkrinse.operators import duplicates, frequency, validate
 from sparkrinse.operators.analytics import general_kpis
 from sparkrinse.operators.profile import DatasetProfile, profile_dataset
 from sparkrinse.operators.tidy import rows_per_column
-from sparkrinse.staging import balanced
 from workload.dirty_sales import (
     COLUMNS, EMAIL, NUMBER_COLUMNS, TEXT_COLUMNS, day_of, dirty_sales, stored_sales, union_all, with_dirty,
 )
@@ -149,17 +148,18 @@ def whitespace_defects(spark, folder):
 
 
 @query(
-    "category_duplicates",
-    with_dirty("SELECT DISTINCT lower(trim(product)) AS folded, count(DISTINCT product) AS spellings, count(*) AS n "
-               "FROM dirty_sales GROUP BY 1"),
+    "profile_samples",
+    with_dirty(union_all([
+        f"""SELECT * FROM (SELECT '{c}' AS column_name, {c} AS value,
+        row_number() OVER (ORDER BY {c})::INTEGER AS rank
+        FROM (SELECT DISTINCT {c} FROM dirty_sales WHERE {c} IS NOT NULL)) WHERE rank <= 5"""
+        for c in TEXT_COLUMNS
+    ])),
 )
-def category_duplicates(spark, folder):
-    from sparkrinse.functions.text import fold
-
-    rows = dirty_sales(spark, folder).groupBy(fold(F.col("product")).alias("folded"), "product").agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    return rows.groupBy("folded").agg(F.count(F.lit(1)).alias("spellings"), F.sum("n").alias("n"))
+def profile_samples(spark, folder):
+    found = profile_dataset(stored_sales(spark, folder)).columns_frame().where(F.col("column_name").isin(*TEXT_COLUMNS))
+    ranked = found.select("column_name", F.posexplode("sample_values").alias("rank", "value"))
+    return ranked.withColumn("rank", F.col("rank") + 1)
 
 
 # ---- validation ----------------------------------------------------------------------------------
@@ -236,7 +236,7 @@ LINE_NUMBERS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 
 @query("iqr_outliers", union_all([_numeric_counts(c, "lineitem") for c in LINE_NUMBERS]))
 def iqr_outliers(spark, folder):
-    return validate.validate_numeric(balanced(table(spark, folder, "lineitem")), LINE_NUMBERS)
+    return validate.validate_numeric(table(spark, folder, "lineitem"), LINE_NUMBERS)
 
 
 @query(
@@ -265,7 +265,7 @@ def outlier_samples(spark, folder):
     ]),
 )
 def numeric_profile(spark, folder):
-    found = profile_dataset(balanced(table(spark, folder, "lineitem"))).columns_frame().where("inferred_type = 'Numeric'")
+    found = profile_dataset(table(spark, folder, "lineitem")).columns_frame().where("inferred_type = 'Numeric'")
     return found.select(
         "column_name", "min_val", "max_val",
         *[F.round(c, 4).alias(c) for c in ("mean_val", "median_val", "std_val", "q25_val", "q75_val")],
@@ -411,7 +411,7 @@ def _register_given(name: str) -> None:
 
     @query(f"column_classes_{name}", f"WITH {', '.join(ctes)} SELECT {CLASS_COLUMNS} FROM described")
     def column_classes_of(spark, folder):
-        return classes(profile_dataset(balanced(table(spark, folder, name))))
+        return classes(profile_dataset(table(spark, folder, name)))
 
 
 for _name in GIVEN:
@@ -420,7 +420,7 @@ for _name in GIVEN:
 
 @query("column_classes_documents")
 def column_classes_documents(spark, folder):
-    return classes(profile_dataset(balanced(table(spark, folder, "documents"))))
+    return classes(profile_dataset(table(spark, folder, "documents")))
 
 
 @query("column_classes_embeddings")
@@ -465,7 +465,7 @@ def quality_score(spark, folder):
     f"WITH {', '.join(profile_ctes('lineitem', *GIVEN['lineitem']) + score_ctes('lineitem', 11))} {SCORE}",
 )
 def quality_score_lineitem(spark, folder):
-    return score(profile_dataset(balanced(table(spark, folder, "lineitem"))))
+    return score(profile_dataset(table(spark, folder, "lineitem")))
 
 
 @query(
