@@ -11,10 +11,13 @@ items themselves stay distributed: each gets its rank among the items of its len
 from __future__ import annotations
 
 import bisect
+import hashlib
 import re
 import struct
+import sys
+import types
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,13 +25,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkrinse.llm.words import portions
+from sparkrinse.llm.words import portions, spaced_table, split_words
 from sparkrinse.staging import stage
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, ids binary"
 RUNS = "__len bigint, __first bigint, __last bigint, __per_bin bigint, __bin bigint, __at bigint"
-CACHED_WORDS = 700_000
-PORTION_BYTES = 8 << 20
+CACHED_WORDS = 1_000_000
+# Parts in which the items of one length are ranked.
+RANK_PARTS = 64
+PORTION_BYTES = 4 << 20
 # Marks that end a run of letters and, alone, are a word of their own.
 MARKS = ".,;:!?"
 # Letters up to U+024F: composed already, one lower-case letter each.
@@ -38,8 +43,13 @@ _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_CHARACTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 
 
-def packed(ids: Iterable[int]) -> bytes:
-    ids = list(ids)
+def worker_memory(name: str) -> dict:
+    """A dictionary that lives as long as this Python worker, which runs many tasks."""
+    held = sys.modules.setdefault("sparkrinse_worker_memory", types.ModuleType("sparkrinse_worker_memory"))
+    return vars(held).setdefault(name, {})
+
+
+def packed(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
@@ -64,21 +74,21 @@ def token_pieces(
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_str(tokenizer_json)
-        model, known, cores = tokenizer.model, {}, {}
+        memory = worker_memory(hashlib.sha256(tokenizer_json.encode()).hexdigest())
+        if "tokenizer" not in memory:
+            memory.update(tokenizer=Tokenizer.from_str(tokenizer_json), known={})
+        tokenizer, known = memory["tokenizer"], memory["known"]
+        model = tokenizer.model
         end = np.uint32(end_id)
 
         def letters(core: str) -> bytes:
             # The pre-tokeniser would hand the model just this: one run of letters, its bytes as characters.
-            if core not in cores:
+            if core not in known:
                 characters = core.encode().decode("latin-1").translate(BYTE_CHARACTERS)
-                cores[core] = packed(t.id for t in model.tokenize(characters))
-            return cores[core]
+                known[core] = packed([t.id for t in model.tokenize(characters)])
+            return known[core]
 
         def learn(words: list[str]) -> None:
-            if len(known) > CACHED_WORDS:
-                known.clear()
-                cores.clear()
             odd = []
             for word in words:
                 core = word.rstrip(MARKS)
@@ -93,21 +103,28 @@ def token_pieces(
 
         def encoded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
             """Ids of all texts one after the other, and where each text ends."""
-            split = pc.ascii_split_whitespace(texts)
-            coded = split.flatten().dictionary_encode()
+            # The vocabulary is lower case; only its special tokens, which start with "<|", tell cases apart.
+            special = pc.any(pc.match_substring(texts, "<|")).as_py()
+            found, bounds = split_words(texts, spaced_table(lower=not special))
+            coded = found.dictionary_encode()
             words = coded.dictionary.to_pylist()
+            if len(known) > CACHED_WORDS:
+                known.clear()
+                known.update(alone)
             learn([w for w in words if w not in known])
             each = [known[w] for w in words]
-            sizes = np.fromiter(map(len, each), np.int64, len(each)) // 4
+            sizes = np.fromiter(map(len, each), np.int32, len(each)) // 4
             flat = np.frombuffer(b"".join(each), np.uint32)
             index = coded.indices.to_numpy(zero_copy_only=False)
             length = sizes[index]
-            until = np.concatenate([[0], np.cumsum(length)])
-            ids = flat[np.repeat((np.cumsum(sizes) - sizes)[index] - until[:-1], length) + np.arange(until[-1])]
-            return ids, until[split.offsets.to_numpy()[1:] - split.offsets[0].as_py()]
+            until = np.concatenate([[0], np.cumsum(length, dtype=np.int32)])
+            first = (np.cumsum(sizes, dtype=np.int32) - sizes)[index] - until[:-1]
+            ids = flat[np.repeat(first, length) + np.arange(until[-1], dtype=np.int32)]
+            return ids, until[bounds[1:]]
 
+        alone = {mark: packed(tokenizer.encode(mark, add_special_tokens=False).ids) for mark in ["", *MARKS]}
+        known.update(alone)
         for batch in batches:
-            known.update((mark, packed(tokenizer.encode(mark, add_special_tokens=False).ids)) for mark in ["", *MARKS])
             for lo, hi in portions(batch.column(1), PORTION_BYTES):
                 texts = batch.column(1).slice(lo, hi - lo).fill_null("")
                 ids, ends = encoded(texts)
@@ -213,15 +230,14 @@ def pack(items: DataFrame, *, capacity: int = 4096, length_column: str = "length
 
     A length that is null, below 1 or above the capacity cannot be placed: both columns are null.
     ``items`` is read twice and must give the same rows both times (a stored table). The histogram that
-    reaches the driver has at most ``capacity`` rows; a frequent length is ranked in as many parts as
-    there are shuffle partitions.
+    reaches the driver has at most ``capacity`` rows; every length is ranked in ``RANK_PARTS`` parts,
+    so what is broadcast has at most ``capacity * RANK_PARTS`` rows.
     """
     spark = items.sparkSession
     kept = items.drop("sequence_id", "offset").withColumn("__len", F.col(length_column).cast("bigint"))
     fits = F.col("__len").between(1, capacity)
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     plain = [F.col(f"`{name}`") for name, kind in kept.dtypes if not kind.startswith(("map", "variant", "void"))]
-    dealt = kept.withColumn("__part", F.pmod(F.xxhash64(*plain), F.lit(parts)).cast("int"))
+    dealt = kept.withColumn("__part", F.pmod(F.xxhash64(*plain), F.lit(RANK_PARTS)).cast("int"))
     sizes = dealt.filter(fits).groupBy("__len", "__part").agg(F.count("*").alias("__n"))
     before = Window.partitionBy("__len").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(
@@ -232,7 +248,7 @@ def pack(items: DataFrame, *, capacity: int = 4096, length_column: str = "length
     runs = spark.createDataFrame(plan_runs(counts, capacity), RUNS)
     within = Window.partitionBy("__len", "__part").orderBy(*([F.xxhash64(*plain)]))
     ranked = (
-        dealt.join(starts.drop("__n"), ["__len", "__part"], "left")
+        dealt.join(F.broadcast(starts.drop("__n")), ["__len", "__part"], "left")
         .withColumn("__rank", F.col("__before") + F.row_number().over(within) - 1)
     )
     # At most a few runs for each of `capacity` lengths, whatever the number of items.
