@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import csv
 from collections.abc import Sequence
+from dataclasses import dataclass
 from pathlib import PurePosixPath
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,14 +44,45 @@ def stored_bytes(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+@dataclass(frozen=True)
+class TextLayout:
+    """What one scan of delimited text tells: its encoding, whether quoted values span lines, its first lines."""
+
+    encoding: str
+    quoted_breaks: bool
+    first_lines: tuple[str, ...]
+
+
+def text_layout(spark: SparkSession, path: str) -> TextLayout:
+    """UTF-8 if every line is valid UTF-8, else Latin-1, which can decode any bytes.
+
+    A line with an odd number of quotes begins or ends a value that spans lines. ``first_lines`` are the
+    distinct first lines that are not blank, one file each, two at most, as they are stored.
+    """
+    line, place = F.col("value"), F.col("_metadata")
+    lines = spark.read.text(path).select(
+        line.alias("line"), place["file_path"].alias("file"), F.is_valid_utf8(line).alias("valid"),
+        (_occurrences(line, '"') % 2 == 1).alias("odd"),
+        F.struct(place["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("id")).alias("at"),
+    )
+    files = lines.groupBy("file").agg(
+        F.bool_and("valid").alias("valid"), F.bool_or("odd").alias("odd"),
+        F.min_by("line", F.when(F.length(F.trim("line")) > 0, F.col("at"))).alias("first"),
+    )
+    found = files.agg(
+        F.bool_and("valid").alias("valid"), F.bool_or("odd").alias("odd"), F.min("first").alias("least"), F.max("first").alias("most")
+    ).first()
+    firsts = tuple(dict.fromkeys(x for x in (found["least"], found["most"]) if x is not None))
+    return TextLayout("ISO-8859-1" if found["valid"] is False else "UTF-8", bool(found["odd"]), firsts)
+
+
 def detect_encoding(spark: SparkSession, path: str) -> str:
-    """UTF-8 when every line is valid UTF-8, else Latin-1, which can decode any bytes."""
-    valid = spark.read.text(path).agg(F.bool_and(F.is_valid_utf8("value")).alias("ok")).first()["ok"]
-    return "ISO-8859-1" if valid is False else "UTF-8"
+    return text_layout(spark, path).encoding
 
 
 def _outside_quotes(line: Column) -> Column:
-    return F.regexp_replace(line, '"([^"]|"")*"', "")
+    # Possessive, or a long quoted value would exhaust the stack.
+    return F.regexp_replace(line, '"[^"]*+(?:""[^"]*+)*+"', "")
 
 
 def _occurrences(line: Column, delimiter: str) -> Column:
@@ -98,14 +130,19 @@ def read_delimited(
     path: str,
     sep: str | None = None,
     encoding: str | None = None,
-    multi_line: bool = False,
+    multi_line: bool | None = None,
 ) -> DataFrame:
     """All columns as text. Rows with too many fields are dropped, short rows padded with nulls.
 
-    ``multi_line`` admits line breaks inside quotes; each file is then read by one task.
+    Line breaks inside quotes are found out unless ``multi_line`` tells; a file that has them is read by
+    one task. Files whose first lines differ have no common header and raise ``ValueError``.
     """
+    layout = text_layout(spark, path)
+    if len({line.lstrip("\ufeff").rstrip("\r") for line in layout.first_lines}) > 1:
+        raise ValueError(f"the files of {path} have different headers: {' and '.join(layout.first_lines)}")
+    multi_line = layout.quoted_breaks if multi_line is None else multi_line
     sep = sep or detect_delimiter(spark, path)
-    encoding = encoding or detect_encoding(spark, path)
+    encoding = encoding or layout.encoding
     names = _unique(_header(spark, path, sep, encoding))
     columns = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
     rows = (
@@ -172,7 +209,7 @@ def read_dataset(
     fmt: str | None = None,
     sep: str | None = None,
     encoding: str | None = None,
-    multi_line: bool = False,
+    multi_line: bool | None = None,
 ) -> DataFrame:
     """Load a file, folder or glob: delimited text with everything detected, or parquet, ORC, JSON."""
     fmt = _format_of(path) if fmt is None else fmt.lower()

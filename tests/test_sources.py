@@ -81,3 +81,17 @@ def test_sinks(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "t")).count() == 2
     write_audit(df, str(tmp_path / "audit"))
     assert len(list((tmp_path / "audit").glob("*.csv"))) == 1
+
+
+def test_line_breaks_inside_quotes(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('id,note\n1,"x\ny, ""z"""\n2,z\n')
+    (tmp_path / "b.csv").write_text('id,note\r\n3,plain\r\n')
+    rows = read_dataset(spark, str(tmp_path), fmt="csv").collect()
+    assert sorted((r["id"], r["note"]) for r in rows) == [(1, 'x\ny, "z"'), (2, "z"), (3, "plain")]
+
+
+def test_files_with_other_headers_raise(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("a,b\n1,x\n")
+    (tmp_path / "b.csv").write_text("b,a\ny,2\n")
+    with pytest.raises(ValueError, match="different headers"):
+        read_dataset(spark, str(tmp_path), fmt="csv")

@@ -471,6 +471,40 @@ def csv_round_trip(spark, folder):
     return read_dataset(spark, path, fmt="csv")
 
 
+@query("csv_quoted_breaks", "SELECT doc_id, text, lang FROM documents")
+def csv_quoted_breaks(spark, folder):
+    """Texts with line breaks, commas and quotes, several files."""
+    path = fresh_path(spark, "documents-csv")
+    rows = table(spark, folder, "documents").select("doc_id", "text", "lang").repartition(3)
+    rows.write.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    return read_dataset(spark, path, fmt="csv")
+
+
+@query("csv_latin1", "SELECT doc_id, lang, substr(text, 1, strpos(text || ' ', ' ') - 1) AS word FROM documents WHERE lang IN ('de', 'fr', 'es')")
+def csv_latin1(spark, folder):
+    """A Latin-1 file, one word of each text that needs it."""
+    path = fresh_path(spark, "words-csv")
+    rows = table(spark, folder, "documents").where(F.col("lang").isin("de", "fr", "es"))
+    rows.select("doc_id", "lang", F.substring_index("text", " ", 1).alias("word")).write.options(header=True, encoding="ISO-8859-1").csv(path)
+    return read_dataset(spark, path, fmt="csv")
+
+
+@query(
+    "csv_ragged",
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 3 > 0 THEN o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 3 > 0 THEN o_orderpriority END AS o_orderpriority
+    FROM orders WHERE o_orderkey % 3 < 2""",
+)
+def csv_ragged(spark, folder):
+    """Short rows are padded, rows with too many fields go."""
+    path = fresh_path(spark, "ragged-csv")
+    key, rest = F.col("o_orderkey").cast("string"), F.concat_ws(",", "o_orderstatus", "o_orderpriority")
+    line = F.when(F.col("o_orderkey") % 3 == 0, key).when(F.col("o_orderkey") % 3 == 1, F.concat_ws(",", key, rest)).otherwise(F.concat_ws(",", key, rest, F.lit("more")))
+    lines = table(spark, folder, "orders").select(line.alias("value")).coalesce(1)
+    header = spark.createDataFrame([("o_orderkey,o_orderstatus,o_orderpriority",)], "value STRING")
+    header.unionByName(lines).coalesce(1).write.text(path)
+    return read_dataset(spark, path, fmt="csv")
+
+
 @query(
     "csv_missing_tokens",
     with_dirty("SELECT order_id, order_date, customer_email, quantity::BIGINT AS quantity, unit_price FROM dirty_sales"),
@@ -539,26 +573,24 @@ def audit_sink(spark, folder):
 @query(
     "report_bundle",
     with_dirty(
-        f"""SELECT 'before_after' AS name, 6::BIGINT AS n UNION ALL SELECT 'column_diagnostics', 11
-        UNION ALL SELECT 'monthly_revenue', count(DISTINCT order_date[1:7]) FROM cleaned WHERE order_date <> 'Unknown'
-        UNION ALL SELECT 'revenue_by_category', count(DISTINCT category) FROM cleaned
-        UNION ALL SELECT 'business_kpis', 5 UNION ALL SELECT 'correlations', 9""",
+        f"""SELECT 'revenue_by_category' AS name, category AS label, round(sum(unit_price * quantity), 2) AS value FROM cleaned GROUP BY 2
+        UNION ALL SELECT 'monthly_revenue', order_date[1:7], round(sum(unit_price * quantity), 2) FROM cleaned WHERE order_date <> 'Unknown' GROUP BY 2
+        UNION ALL SELECT 'revenue_by_region', region, round(sum(unit_price * quantity), 2) FROM cleaned GROUP BY 2""",
         *CLEANED,
     ),
 )
 def report_bundle(spark, folder):
-    """Everything written to a folder; the row counts of some of its tables."""
+    """The whole bundle written to a folder; every table of it read back, the values of three compared."""
     path = fresh_path(spark, "report")
     tables = build_report(stored_sales(spark, folder)).tables()
-    names = ("before_after", "column_diagnostics", "monthly_revenue", "revenue_by_category", "business_kpis", "correlations")
-    write_report({name: tables[name] for name in names}, path)
-    counts = [
-        spark.read.parquet(f"{path}/{name}").agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n")) for name in names
-    ]
-    found = counts[0]
-    for frame in counts[1:]:
-        found = found.unionByName(frame)
-    return found
+    write_report(tables, path)
+    back = {name: spark.read.parquet(f"{path}/{name}") for name in tables}
+    for name, frame in back.items():
+        if frame.columns != tables[name].columns:
+            raise ValueError(f"{name} came back with other columns")
+    keys = {"revenue_by_category": "label", "monthly_revenue": "month", "revenue_by_region": "label"}
+    parts = [back[name].select(F.lit(name).alias("name"), F.col(key).alias("label"), F.col("revenue").alias("value")) for name, key in keys.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query(

@@ -56,9 +56,20 @@ def clean_email(spark, folder):
     )
 
 
+# What each spelling stands for, written out apart from the library's own list.
+TERMS = {
+    "payment": """WHEN 'credit card' THEN 'Credit Card' WHEN 'credit_card' THEN 'Credit Card' WHEN 'cc' THEN 'Credit Card'
+    WHEN 'paypal' THEN 'PayPal' WHEN 'pay-pal' THEN 'PayPal' WHEN 'bank transfer' THEN 'Bank Transfer'
+    WHEN 'bank_transfer' THEN 'Bank Transfer' WHEN 'wire' THEN 'Bank Transfer' WHEN 'wire transfer' THEN 'Bank Transfer'
+    WHEN 'cash on delivery' THEN 'Cash on Delivery' WHEN 'cod' THEN 'Cash on Delivery' WHEN 'debit card' THEN 'Debit Card'
+    WHEN 'debit_card' THEN 'Debit Card' WHEN 'debit' THEN 'Debit Card'""",
+    "status": """WHEN 'completed' THEN 'Completed' WHEN 'complete' THEN 'Completed' WHEN 'shipped' THEN 'Shipped'
+    WHEN 'pending' THEN 'Pending' WHEN 'cancelled' THEN 'Cancelled' WHEN 'canceled' THEN 'Cancelled' WHEN 'refunded' THEN 'Refunded'""",
+}
+
+
 def mapped(column: str, domain: str) -> str:
-    cases = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in SYNONYMS[domain].items())
-    return f"CASE lower(trim({column})) {cases} ELSE {column} END"
+    return f"CASE lower(trim({column})) {TERMS[domain]} ELSE {column} END"
 
 
 @query(
