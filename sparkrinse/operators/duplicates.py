@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkrinse import schema
-from sparkrinse.staging import stage
+from sparkrinse.staging import discard, stage
 
 COPIES = "__copies"
 _HASH = "__hash"
@@ -45,10 +45,11 @@ def duplicate_count(df: DataFrame) -> DataFrame:
     )
     shared = grouped.where(F.col(_HASH).isNotNull()).select(_HASH)
     rows = df.withColumn(_HASH, hashed).join(shared, _HASH, "left_semi").drop(_HASH)
-    extra = collapse_duplicates(rows).agg(F.coalesce(F.sum(F.col(COPIES) - 1), F.lit(0)).cast("bigint").alias("duplicate_rows"))
-    total = grouped.agg(F.coalesce(F.sum(COPIES), F.lit(0)).cast("bigint").alias("n")).first()["n"]
-    return extra.select(
-        F.lit(total).cast("bigint").alias("total_rows"), (F.lit(total).cast("bigint") - F.col("duplicate_rows")).alias("distinct_rows"), "duplicate_rows"
+    extra = collapse_duplicates(rows).agg(F.coalesce(F.sum(F.col(COPIES) - 1), F.lit(0)).alias("n")).first()["n"]
+    total = grouped.agg(F.coalesce(F.sum(COPIES), F.lit(0)).alias("n")).first()["n"]
+    discard(grouped)
+    return df.sparkSession.createDataFrame(
+        [(total, total - extra, extra)], "total_rows BIGINT, distinct_rows BIGINT, duplicate_rows BIGINT"
     )
 
 

@@ -24,7 +24,7 @@ from sparkrinse.operators.frequency import numeric_value
 from sparkrinse.operators.quantiles import iqr_fences, measure_spread, value_quantiles
 from sparkrinse.operators.semantics import SemanticMapping, detect_semantics, looks_like_date, looks_like_email
 from sparkrinse.operators.tidy import measure_columns
-from sparkrinse.staging import stage
+from sparkrinse.staging import discard, stage
 
 # What makes a column numeric, boolean, an e-mail column or categorical.
 NUMERIC_SHARE = 0.85
@@ -245,11 +245,12 @@ def profile_dataset(
             samples[line["column_name"]].append(line["value"])
         base = {c: _base_class(kinds[c], scan[c], c in dated) for c in df.columns}
         numeric = [c for c in scalars if base[c] == "Numeric" and scan[c]["numbers"]]
-        quartiles = value_quantiles(df, values, {c: scan[c]["distinct"] for c in numeric}, (0.25, 0.5, 0.75))
+        quartiles = value_quantiles(values, numeric, (0.25, 0.5, 0.75))
         if quartiles:
             means = {c: scan[c]["total"] / scan[c]["numbers"] for c in quartiles}
             for line in measure_spread(values, means, iqr_fences(quartiles)).collect():
                 scan[line["column_name"]] |= line.asDict()
+        discard(values)
 
     profiles = {}
     for position, name in enumerate(df.columns, start=1):

@@ -1,202 +1,132 @@
 """Exact, linearly interpolated quantiles that never gather a column in one task.
 
-Spark's ``percentile`` keeps a map of all distinct values in one reducer. That is fine while the
-distinct count is known to be small; every other column goes through three bounded steps:
-
-1. a quantile sketch per column (or per group and column) brackets each wanted rank,
-2. values between two brackets are only counted; values inside a bracket, a few per ten thousand,
-   are counted one by one in equal-width cells,
-3. running totals over the cells show which cell holds the rank, and only that cell is ordered.
+The values between the smallest and the largest are counted in cells of equal width, which is one
+aggregation with a partial count per task. The cell that holds a wanted rank is cut into cells again,
+between its own smallest and largest value, until it holds one value or so few that they can be listed.
+The smallest and the largest value of a range never share a cell, so every round leaves fewer.
 """
 from __future__ import annotations
 
+import sys
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkrinse import schema
 from sparkrinse.functions.numbers import outside, to_number
-from sparkrinse.operators.frequency import numeric_value, value_frequencies
+from sparkrinse.operators.frequency import numeric_value
 from sparkrinse.operators.tidy import measure_columns
-from sparkrinse.staging import stage
+from sparkrinse.staging import discard, stage
 
-# Up to this many distinct values the built-in keeps a map of a few megabytes.
-SMALL_DISTINCT = 100_000
-SKETCH_ACCURACY = 20_000
-# The sketch errs by at most 1/accuracy of the rows; brackets are this many times wider.
-BRACKET_SLACK = 8
 CELLS = 1_000
+# A range with so few occurrences is listed and sorted.
+LISTED = 4_096
+HALF = sys.float_info.max / 2
 
 
-def quantiles(
-    df: DataFrame,
-    columns: Sequence[str],
-    points: Sequence[float],
-    by: Sequence[str] = (),
-    estimates: Mapping[str, int] | None = None,
-    small_distinct: int | None = None,
-) -> DataFrame:
+def quantiles(df: DataFrame, columns: Sequence[str], points: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """``by..., column_name, n, q`` with ``q`` an array aligned with ``points``.
 
-    Rows whose group key is missing form no group. ``estimates`` are known distinct counts; without
-    them one extra aggregation measures them.
+    Rows whose group key is missing form no group, and a column without a number in a group has no row.
+    ``df`` is read once for the ends of the columns and once or twice more.
     """
-    if small_distinct is None:
-        small_distinct = SMALL_DISTINCT
     groups = list(by)
     numbers = df.select(
-        *[schema.col(g) for g in groups],
-        *[to_number(schema.col(c), schema.type_of(df, c)).alias(f"v{i}") for i, c in enumerate(columns)],
-    )
-    for g in groups:
-        numbers = numbers.where(schema.col(g).isNotNull())
-    if estimates is None:
-        slots = [f"v{i}" for i in range(len(columns))]
-        sizes = measure_columns(numbers, slots, lambda v: {"d": F.approx_count_distinct(v)})
-        estimates = {c: sizes[f"v{i}"]["d"] for i, c in enumerate(columns)}
-    few = [(f"v{i}", c) for i, c in enumerate(columns) if estimates[c] <= small_distinct]
-    many = [(f"v{i}", c) for i, c in enumerate(columns) if estimates[c] > small_distinct]
-    parts = []
-    if few:
-        parts.append(_builtin(numbers, few, points, groups))
-    if many:
-        parts.append(_bracketed(numbers, many, points, groups))
-    return reduce(DataFrame.unionByName, parts)
-
-
-def _builtin(numbers: DataFrame, few: list[tuple[str, str]], points: Sequence[float], groups: list[str]) -> DataFrame:
-    wanted = F.array(*[F.lit(float(p)) for p in points])
-    totals = numbers.groupBy(*[schema.col(g) for g in groups]).agg(
-        *[F.count(v).alias(f"{v}_n") for v, _ in few],
-        *[F.percentile(v, wanted).alias(f"{v}_q") for v, _ in few],
+        *[schema.col(g).alias(f"__g{i}") for i, g in enumerate(groups)],
+        *[to_number(schema.col(c), schema.type_of(df, c)).alias(c) for c in columns],
     )
-    rows = [
-        F.struct(F.lit(name).alias("column_name"), F.col(f"{v}_n").alias("n"), F.col(f"{v}_q").alias("q"))
-        for v, name in few
-    ]
-    return totals.select(*[schema.col(g) for g in groups], F.inline(F.array(*rows)))
-
-
-def _total(parts: list[Column]) -> Column:
-    return reduce(lambda a, b: a + b, parts)
+    keys = [f"__g{i}" for i in range(len(groups))]
+    for key in keys:
+        numbers = numbers.where(F.col(key).isNotNull())
+    long = numbers.unpivot(keys, [schema.col(c) for c in columns], "column_name", "x").withColumn("w", F.lit(1).cast("bigint"))
+    found = located(long, [*keys, "column_name"], points)
+    return found.select(*[F.col(f"__g{i}").alias(g) for i, g in enumerate(groups)], "column_name", "n", "q")
 
 
-def _bracketed(numbers: DataFrame, many: list[tuple[str, str]], points: Sequence[float], groups: list[str]) -> DataFrame:
-    long = numbers.select(
-        *[schema.col(g).alias(f"g{i}") for i, g in enumerate(groups)],
-        *[F.col(v).alias(name) for v, name in many],
-    ).unpivot([f"g{i}" for i in range(len(groups))], [schema.col(name) for _, name in many], "column_name", "x")
+def located(long: DataFrame, keys: list[str], points: Sequence[float]) -> DataFrame:
+    """``keys..., n, q`` for rows ``keys..., x, w``: value ``x`` occurs ``w`` times. The result is stored."""
     long = long.where(F.col("x").isNotNull())
-    keys = [f"g{i}" for i in range(len(groups))] + ["column_name"]
-    each = range(len(points))
-
-    margin = BRACKET_SLACK / SKETCH_ACCURACY
-    edges = [min(max(p + side * margin, 0.0), 1.0) for p in points for side in (-1, 1)]
-    sketch = long.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min("x").alias("least"),
-        F.max("x").alias("most"),
-        F.percentile_approx("x", edges, SKETCH_ACCURACY).alias("edge"),
-    )
-    # A group smaller than the sketch is taken whole: its bracket runs from least to most.
-    tiny = F.col("n") < SKETCH_ACCURACY
-    brackets = sketch.select(
-        *keys,
-        "n",
-        *[
-            F.when(tiny | F.lit(edges[2 * t] <= 0.0), F.col("least")).otherwise(F.col("edge")[2 * t]).alias(f"a{t}")
-            for t in each
-        ],
-        *[
-            F.when(tiny | F.lit(edges[2 * t + 1] >= 1.0), F.col("most")).otherwise(F.col("edge")[2 * t + 1]).alias(f"b{t}")
-            for t in each
-        ],
-        *[(F.lit(float(p)) * (F.col("n") - 1)).alias(f"at{t}") for t, p in enumerate(points)],
-    )
-    # Written once and read by both joins below; its true size lets the optimizer pick the join.
-    brackets = stage(brackets, "quantile-brackets")
-
-    x = F.col("x")
-    reached = [(x >= F.col(f"a{t}")).cast("int") for t in each] + [(x > F.col(f"b{t}")).cast("int") for t in each]
-    in_bracket = [(x >= F.col(f"a{t}")) & (x <= F.col(f"b{t}")) for t in each]
-    cell = F.lit(None).cast("int")
-    for t in reversed(each):
-        width = F.col(f"b{t}") - F.col(f"a{t}")
-        place = F.coalesce(F.try_divide((x - F.col(f"a{t}")) * CELLS, width), F.lit(0.0))
-        cell = F.when(in_bracket[t], F.least(F.floor(place), F.lit(CELLS - 1)).cast("int")).otherwise(cell)
-    placed = long.join(brackets, keys).select(
-        *keys,
-        _total(reached).alias("slot"),
-        cell.alias("cell"),
-        F.when(reduce(lambda a, b: a | b, in_bracket), x).alias("x"),
+    ends = stage(
+        long.groupBy(*keys).agg(F.sum("w").alias("n"), F.min("x").alias("low"), F.max("x").alias("high")), "quantile-ends"
     )
-    counted = placed.groupBy(*keys, "slot", "cell", "x").agg(F.count(F.lit(1)).alias("c"))
-
-    in_order = Window.partitionBy(*keys).orderBy("slot", "cell")
-    cells = counted.groupBy(*keys, "slot", "cell").agg(F.sum("c").alias("cell_n"))
-    cells = cells.withColumn("before", F.sum("cell_n").over(in_order) - F.col("cell_n")).join(brackets, keys)
-    ranks = [(F.floor(F.col(f"at{t}")), F.ceil(F.col(f"at{t}"))) for t in each]
-    holds = [
-        (F.col("before") <= rank) & (rank < F.col("before") + F.col("cell_n")) for pair in ranks for rank in pair
-    ]
-    cells = cells.where(F.col("cell").isNotNull() & reduce(lambda a, b: a | b, holds))
-
-    in_cell = Window.partitionBy(*keys, "slot", "cell").orderBy("x")
-    located = counted.join(cells, [*keys, "slot", "cell"]).withColumn(
-        "end", F.col("before") + F.sum("c").over(in_cell)
+    at = [F.lit(float(p)) * (F.col("n") - 1) for p in points]
+    wanted = F.array_distinct(F.array(*[side(a).cast("bigint") for a in at for side in (F.floor, F.ceil)]))
+    # Per wanted rank the closed range it lies in, how much is below it and how much is in it.
+    ranges = ends.select(*keys, F.explode(wanted).alias("rank"), "low", "high", F.lit(0).cast("bigint").alias("below"), F.col("n").alias("inside"))
+    ranges = stage(ranges, "quantile-ranges")
+    wide = (F.col("low") < F.col("high")) & (F.col("inside") > LISTED)
+    while not ranges.where(wide).isEmpty():
+        narrowed = ranges.where(~wide).unionByName(_narrowed(long, keys, ranges.where(wide)))
+        before, ranges = ranges, stage(narrowed, "quantile-ranges")
+        discard(before)
+    single = ranges.where(F.col("low") == F.col("high")).select(*keys, "rank", F.col("low").alias("value"))
+    some = ranges.where(F.col("low") < F.col("high"))
+    listed = _inside(long, keys, some).groupBy(*keys, "low", "high").agg(F.array_sort(F.collect_list(F.struct("x", "w"))).alias("values"))
+    place = F.aggregate(
+        "values", F.struct(F.col("below").alias("seen"), F.lit(None).cast("double").alias("value")),
+        lambda s, v: F.struct(
+            (s["seen"] + v["w"]).alias("seen"),
+            F.when(s["value"].isNull() & (F.col("rank") < s["seen"] + v["w"]), v["x"]).otherwise(s["value"]).alias("value"),
+        ),
+        lambda s: s["value"],
     )
-    start = F.col("end") - F.col("c")
-    found = located.groupBy(*keys).agg(
-        F.first("n").alias("n"),
-        *[F.first(f"at{t}").alias(f"at{t}") for t in each],
-        *[
-            F.max(F.when((start <= rank) & (rank < F.col("end")), x)).alias(f"{side}{t}")
-            for t in each
-            for side, rank in zip(("lo", "hi"), ranks[t])
-        ],
+    values = single.unionByName(some.join(listed, [*keys, "low", "high"]).select(*keys, "rank", place.alias("value")))
+    ranked = values.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("at"))
+    found = []
+    for a in at:
+        low, high = (F.element_at("at", side(a).cast("bigint")) for side in (F.floor, F.ceil))
+        share = a - F.floor(a)
+        found.append(F.when(share == 0, low).otherwise(low * (1 - share) + high * share))
+    done = stage(ends.join(ranked, keys).select(*keys, "n", F.array(*found).alias("q")), "quantiles")
+    discard(ranges)
+    discard(ends)
+    return done
+
+
+def _inside(long: DataFrame, keys: list[str], ranges: DataFrame) -> DataFrame:
+    """The rows within a range, with its ``low`` and ``high``. Ranges of a key are equal or apart."""
+    held = ranges.groupBy(*keys).agg(F.collect_set(F.struct("low", "high")).alias("ranges"))
+    within = F.filter("ranges", lambda r: (F.col("x") >= r["low"]) & (F.col("x") <= r["high"]))
+    return long.join(held, keys).select(*keys, "x", "w", F.inline(within))
+
+
+def _narrowed(long: DataFrame, keys: list[str], ranges: DataFrame) -> DataFrame:
+    """One round: the cell of each range that holds its rank, as the new range."""
+    x, low, high = F.col("x"), F.col("low"), F.col("high")
+    top, bottom = F.lit(float("inf")), F.lit(float("-inf"))
+    # Halves, so that the width of the widest range is still a number; infinities have cells of their own.
+    least, most = (F.greatest(F.least(end / 2, F.lit(HALF)), F.lit(-HALF)) for end in (low, high))
+    share = F.try_divide(x / 2 - least, most - least)
+    inner = F.least(F.greatest(F.floor(F.coalesce(share, F.lit(0.0)) * CELLS), F.lit(0)), F.lit(CELLS - 1))
+    # The ends are told apart whatever the rounding, so that every round makes progress.
+    cell = F.when(x == bottom, -1).when(x == top, CELLS).when(x == low, 0).when(x == high, CELLS - 1).otherwise(inner).cast("int")
+    cells = _inside(long, keys, ranges).withColumn("cell", cell).groupBy(*keys, "low", "high", "cell").agg(
+        F.sum("w").alias("c"), F.min("x").alias("a"), F.max("x").alias("b")
     )
-    values = []
-    for t in each:
-        share = F.col(f"at{t}") - F.floor(F.col(f"at{t}"))
-        value = F.when(share == 0, F.col(f"lo{t}")).otherwise(F.col(f"lo{t}") * (1 - share) + F.col(f"hi{t}") * share)
-        values.append(F.coalesce(value, F.raise_error(F.lit("quantile rank lies outside its bracket")).cast("double")))
-    return found.select(
-        *[F.col(f"g{i}").alias(g) for i, g in enumerate(groups)],
-        "column_name",
-        "n",
-        F.array(*values).alias("q"),
+    order = Window.partitionBy(*keys, "low", "high").orderBy("cell")
+    cells = cells.withColumn("under", F.sum("c").over(order) - F.col("c"))
+    start = F.col("below") + F.col("under")
+    return (
+        ranges.join(cells, [*keys, "low", "high"])
+        .where((start <= F.col("rank")) & (F.col("rank") < start + F.col("c")))
+        .select(*keys, "rank", F.col("a").alias("low"), F.col("b").alias("high"), start.alias("below"), F.col("c").alias("inside"))
     )
 
 
-def quantile_values(
-    df: DataFrame,
-    columns: Sequence[str],
-    points: Sequence[float],
-    estimates: Mapping[str, int] | None = None,
-    small_distinct: int | None = None,
-) -> dict[str, list[float]]:
+def quantile_values(df: DataFrame, columns: Sequence[str], points: Sequence[float]) -> dict[str, list[float]]:
     """Quantiles of whole columns on the driver: one short list per column that has a value."""
     if not columns:
         return {}
-    found = quantiles(df, columns, points, estimates=estimates, small_distinct=small_distinct).collect()
-    return {r["column_name"]: list(r["q"]) for r in found if r["n"]}
+    return {r["column_name"]: list(r["q"]) for r in quantiles(df, columns, points).collect()}
 
 
-def value_quantiles(
-    df: DataFrame, values: DataFrame, distinct: Mapping[str, int], points: Sequence[float]
-) -> dict[str, list[float]]:
-    """Quantiles from the table of distinct values while a column has few of them, else from the rows."""
-    few = [c for c, d in distinct.items() if d <= SMALL_DISTINCT]
-    many = {c: d for c, d in distinct.items() if d > SMALL_DISTINCT}
-    found = quantile_values(df, list(many), points, estimates=many)
-    if few:
-        numbers = values.where(F.col("column_name").isin(*few)).select("column_name", numeric_value().alias("x"), "n")
-        wanted = F.array(*[F.lit(float(p)) for p in points])
-        small = numbers.groupBy("column_name").agg(F.percentile("x", wanted, F.col("n")).alias("q"))
-        found |= {line["column_name"]: list(line["q"]) for line in small.collect() if line["q"]}
-    return found
+def value_quantiles(values: DataFrame, columns: Sequence[str], points: Sequence[float]) -> dict[str, list[float]]:
+    """The same from the table of distinct values."""
+    if not columns:
+        return {}
+    numbers = values.where(F.col("column_name").isin(*columns)).select("column_name", numeric_value().alias("x"), F.col("n").alias("w"))
+    return {r["column_name"]: list(r["q"]) for r in located(numbers, ["column_name"], points).collect()}
 
 
 def per_column_constants(settings: Mapping[str, Sequence[float]]) -> Column:
@@ -226,46 +156,11 @@ def numeric_summaries(df: DataFrame, columns: Sequence[str]) -> dict[str, dict]:
     A column without a number is left out.
     """
     typed = df.select(*[to_number(schema.col(c), schema.type_of(df, c)).alias(c) for c in columns])
-    sizes = measure_columns(typed, columns, lambda c: {"d": F.approx_count_distinct(schema.col(c))})
-    few = [c for c in columns if sizes[c]["d"] <= SMALL_DISTINCT]
-    many = {c: sizes[c]["d"] for c in columns if sizes[c]["d"] > SMALL_DISTINCT}
-    found = _summaries_from_values(typed, few) if few else {}
-    return found | (_summaries_from_rows(typed, many) if many else {})
-
-
-def _summaries_from_values(typed: DataFrame, columns: list[str]) -> dict[str, dict]:
-    """Few distinct values: count them once and work on the counts."""
-    values = stage(value_frequencies(typed, columns), "numbers")
-    n = F.col("n")
-    counted = values.groupBy("column_name").agg(
-        F.count(F.lit(1)).alias("distinct"),
-        F.sum("n").alias("numbers"),
-        F.sum(F.col("number") * n).alias("total"),
-        F.min("number").alias("least"),
-        F.max("number").alias("most"),
-        *[
-            F.sum(F.when(condition, n).otherwise(0)).alias(label)
-            for label, condition in (
-                ("negative", F.col("number") < 0), ("zero", F.col("number") == 0), ("positive", F.col("number") > 0)
-            )
-        ],
-    )
-    found = {line["column_name"]: line.asDict() for line in counted.collect()}
-    if found:
-        quartiles = value_quantiles(typed, values, {c: f["distinct"] for c, f in found.items()}, (0.25, 0.5, 0.75))
-        fences = iqr_fences(quartiles)
-        for c, f in found.items():
-            f |= {"mean": f["total"] / f["numbers"], "quartiles": quartiles[c], "fence": fences[c]}
-        for line in measure_spread(values, {c: f["mean"] for c, f in found.items()}, fences).collect():
-            found[line["column_name"]] |= line.asDict()
-    return found
-
-
-def _summaries_from_rows(typed: DataFrame, sizes: Mapping[str, int]) -> dict[str, dict]:
-    """Many distinct values: one aggregation over the rows, which never leave their tasks."""
-    columns = list(sizes)
-    quartiles = quantile_values(typed, columns, (0.25, 0.5, 0.75), estimates=sizes)
+    quartiles = quantile_values(typed, columns, (0.25, 0.5, 0.75))
     fences = iqr_fences(quartiles)
+    columns = [c for c in columns if c in quartiles]
+    if not columns:
+        return {}
 
     def measures(name: str) -> dict[str, Column]:
         x, (low, high) = schema.col(name), fences[name]

@@ -248,8 +248,7 @@ class _Fitting:
     def _collapse(self) -> None:
         """Remove duplicates and list the distinct values, each once, on shared storage.
 
-        The copies counter still tells the raw counts. All later passes but one read only the
-        distinct values: the quantiles of columns with very many values need the rows.
+        The copies counter still tells the raw counts. All later passes read only the distinct values.
         """
         if self.config.remove_duplicates:
             self.rows = stage(collapse_duplicates(self.source), "distinct-rows")
@@ -386,11 +385,7 @@ class _Fitting:
                 )
 
     def _quantiles(self, names: list[str], points: tuple[float, ...]) -> dict[str, list[float]]:
-        if not names:
-            return {}
-        rows = self.rows.select(*[self._value(c)[0].alias(c) for c in names])
-        sizes = {c: self.found[c]["values"] for c in names}
-        return value_quantiles(rows, self._current(), sizes, points)
+        return value_quantiles(self._current(), names, points) if names else {}
 
     def _fit_outliers(self) -> None:
         self.fences, self.centers = {}, {}
