@@ -17,50 +17,57 @@ from sparkrinse.staging import discard, stage
 
 EDITS = 2
 LEAST_CHARACTERS = 24
-# Characters counted together; any split of the alphabet would do.
-COUNTED = ("aAzZ", "eExX", "nNwW", "rRvV", "tTcCkK", "iIuUjJ", "sSdDqQ", "oOhHlL")
+# Characters that are counted; any four would do, frequent ones tell more.
+COUNTED = ("e", "n", "t", "a")
 
 
-def segment_starts(length: Column, segments: int) -> list[tuple[Column, Column]]:
-    """Start (from 1) and length of each segment; the last ones take the remainder, one character each."""
-    short = F.floor(length / segments).cast("int")
-    plain = segments - length % segments  # segments of the short length
-    out = []
-    for i in range(segments):
-        start = 1 + i * short + F.greatest(F.lit(i) - plain, F.lit(0))
-        out.append((start.cast("int"), (short + F.when(F.lit(i) >= plain, 1).otherwise(0)).cast("int")))
-    return out
+def _keys(wide: Column, length: Column, edits: int, places: list[tuple[int, int, int]]) -> Column:
+    """Keys of segments, read at ``places``: by how much the other line is shorter, the segment, how far it moved.
 
+    The last segments take the remainder, one character each. ``wide`` is the line in UTF-32, where every
+    character is four bytes and so found at once. A place outside the line gives a key that finds nothing
+    or a candidate that is refused. A lambda over the places: written out, the code would be too long.
+    """
+    number = edits + 1
+
+    def cut(size: Column) -> Column:
+        # Length, length of a short segment, number of short segments.
+        return F.struct(size.alias("length"), F.floor(size / number).cast("int").alias("short"), (number - size % number).alias("plain"))
+
+    def key(p: Column, z: Column) -> Column:
+        start = p["segment"] * z["short"] + F.greatest(p["segment"] - z["plain"], F.lit(0)) + p["moved"]
+        size = z["short"] + F.when(p["segment"] >= z["plain"], 1).otherwise(0)
+        return F.xxhash64(z["length"], p["segment"], F.substr(wide, 4 * start + 1, 4 * size))
 
-def index_keys(line: Column, length: Column, edits: int) -> list[Column]:
-    return [
-        F.xxhash64(length, F.lit(i), F.substr(line, start, size))
-        for i, (start, size) in enumerate(segment_starts(length, edits + 1))
-    ]
+    each = F.array(*[F.struct(F.lit(a).alias("shorter"), F.lit(b).alias("segment"), F.lit(c).alias("moved")) for a, b, c in places])
+    sizes = F.transform(F.array(*[F.lit(k) for k in range(edits + 1)]), lambda k: let(length - k, cut))
+    return let(sizes, lambda z: F.transform(each, lambda p: let(F.get(z, p["shorter"]), lambda y: key(p, y))))
 
 
-def probe_keys(line: Column, length: Column, edits: int) -> list[Column]:
-    """Keys under which a line not longer, within ``edits``, would be found. Null where no substring fits."""
-    out = []
+def index_keys(wide: Column, length: Column, edits: int) -> Column:
+    """One key per segment."""
+    return _keys(wide, length, edits, [(0, i, 0) for i in range(edits + 1)])
+
+
+def probe_keys(wide: Column, length: Column, edits: int) -> Column:
+    """Keys under which a line not longer, within ``edits``, would be found."""
+    places = []
     for shorter in range(edits + 1):
-        for i, (start, size) in enumerate(segment_starts(length - shorter, edits + 1)):
+        for i in range(edits + 1):
             right = edits - i  # segments to the right of this one
-            for move in range(max(-i, shorter - right), min(i, shorter + right) + 1):
-                at = start + move
-                fits = (at >= 1) & (at + size - 1 <= length)
-                out.append(F.when(fits, F.xxhash64((length - shorter).cast("int"), F.lit(i), F.substr(line, at, size))))
-    return out
+            places += [(shorter, i, moved) for moved in range(max(-i, shorter - right), min(i, shorter + right) + 1)]
+    return F.array_distinct(_keys(wide, length, edits, places))
 
 
 def candidate_id(line: Column) -> Column:
-    """A number for the line whose low 24 bits are eight character counts, each modulo 8.
+    """A number for the line whose low 24 bits are four character counts, each modulo 64.
 
     Lines that share a number are told apart when their texts are compared.
     """
     counts = F.lit(0).cast("bigint")
-    for k, group in enumerate(COUNTED):
-        count = (F.length(line) - F.length(F.translate(line, group, ""))) % 8
-        counts = counts.bitwiseOR(F.shiftleft(count.cast("bigint"), 3 * k))
+    for k, character in enumerate(COUNTED):
+        count = (F.length(line) - F.length(F.replace(line, F.lit(character), F.lit("")))) % 64
+        counts = counts.bitwiseOR(F.shiftleft(count.cast("bigint"), 6 * k))
     return F.xxhash64(line).bitwiseAND(F.lit(-1 << 24).cast("bigint")).bitwiseOR(counts)
 
 
@@ -68,8 +75,8 @@ def counts_apart(a: Column, b: Column) -> Column:
     """At most twice the edit distance: an edit takes from one count and adds to another."""
     total = F.lit(0)
     for k in range(len(COUNTED)):
-        apart = F.abs(F.shiftrightunsigned(a, 3 * k).bitwiseAND(F.lit(7)) - F.shiftrightunsigned(b, 3 * k).bitwiseAND(F.lit(7)))
-        total = total + F.least(apart, 8 - apart)
+        apart = F.abs(F.shiftrightunsigned(a, 6 * k).bitwiseAND(F.lit(63)) - F.shiftrightunsigned(b, 6 * k).bitwiseAND(F.lit(63)))
+        total = total + F.least(apart, 64 - apart)
     return total
 
 
@@ -141,16 +148,18 @@ def line_table(docs: DataFrame, id_column: str, text_column: str, least: int) ->
 def close_lines(known: DataFrame, edits: int) -> DataFrame:
     """h1, h2 of the distinct lines that have a line within ``edits`` which first stands earlier.
 
-    ``known``: h1, h2, line and ``first`` (what lines are ordered by), one row per line.
+    ``known``: h1, h2, line, ``id`` (``candidate_id``) and ``first`` (what orders lines), one row per line.
     """
     if edits < 1:
         return known.select("h1", "h2").limit(0)
-    size = F.length("line")
-    index = known.select(F.explode(F.array(*index_keys(F.col("line"), size, edits))).alias("key"), candidate_id(F.col("line")).alias("shorter"))
-    probe = known.select(
-        F.explode(F.array_distinct(F.array_compact(F.array(*probe_keys(F.col("line"), size, edits))))).alias("key"),
-        candidate_id(F.col("line")).alias("longer"),
-    )
+    def keys(of) -> Column:
+        # Bound once per line; left to the optimizer, encoding would move into the loop over the places.
+        line = F.col("line")
+        return let(F.encode(line, "UTF-32"), lambda wide: let(F.length(line), lambda size: of(wide, size, edits)))
+
+    # Outer: an inner one would add a filter that makes all keys another time.
+    index = known.select("id", keys(index_keys).alias("keys")).select(F.explode_outer("keys").alias("key"), F.col("id").alias("shorter"))
+    probe = known.select("id", keys(probe_keys).alias("keys")).select(F.explode_outer("keys").alias("key"), F.col("id").alias("longer"))
     pairs = stage(
         probe.join(index, "key")
         .filter(counts_apart(F.col("longer"), F.col("shorter")) <= 2 * edits).filter("longer != shorter")
@@ -158,7 +167,7 @@ def close_lines(known: DataFrame, edits: int) -> DataFrame:
         "line-pairs",
     )
     involved = pairs.select(F.col("longer").alias("id")).unionByName(pairs.select(F.col("shorter").alias("id"))).distinct()
-    held = stage(known.withColumn("id", candidate_id(F.col("line"))).join(involved, "id", "left_semi"), "line-texts")
+    held = stage(known.join(involved, "id", "left_semi"), "line-texts")
 
     def side(name: str) -> DataFrame:
         return held.select(F.col("id").alias(name), F.struct("h1", "h2", "line", "first").alias(name[0]))
@@ -188,7 +197,7 @@ def duplicate_lines(
     known = stage(
         lines.groupBy("h1", "h2").agg(
             F.min(F.struct("__id", "place")).alias("first"), F.count("*").alias("n"), F.any_value("line").alias("line")
-        ),
+        ).withColumn("id", candidate_id(F.col("line"))),
         "lines",
     )
     near = close_lines(known, edits).withColumn("is_near", F.lit(True))
