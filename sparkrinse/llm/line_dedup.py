@@ -17,8 +17,10 @@ from sparkrinse.staging import discard, stage
 
 EDITS = 2
 LEAST_CHARACTERS = 24
-# Characters that are counted; any four would do, frequent ones tell more.
-COUNTED = ("e", "n", "t", "a")
+# Characters that are counted; any eight would do, frequent ones tell more.
+COUNTED = ("e", "n", "r", "t", "i", "s", "a", "o")
+# Numbers of lines that are sent to every task; more of them are joined by a shuffle.
+MOST_BROADCAST = 1_000_000
 
 
 def _keys(wide: Column, length: Column, edits: int, places: list[tuple[int, int, int]]) -> Column:
@@ -60,14 +62,14 @@ def probe_keys(wide: Column, length: Column, edits: int) -> Column:
 
 
 def candidate_id(line: Column) -> Column:
-    """A number for the line whose low 24 bits are four character counts, each modulo 64.
+    """A number for the line whose low 24 bits are eight character counts, each modulo 8.
 
     Lines that share a number are told apart when their texts are compared.
     """
     counts = F.lit(0).cast("bigint")
     for k, character in enumerate(COUNTED):
-        count = (F.length(line) - F.length(F.replace(line, F.lit(character), F.lit("")))) % 64
-        counts = counts.bitwiseOR(F.shiftleft(count.cast("bigint"), 6 * k))
+        count = (F.length(line) - F.length(F.replace(line, F.lit(character), F.lit("")))) % 8
+        counts = counts.bitwiseOR(F.shiftleft(count.cast("bigint"), 3 * k))
     return F.xxhash64(line).bitwiseAND(F.lit(-1 << 24).cast("bigint")).bitwiseOR(counts)
 
 
@@ -75,8 +77,8 @@ def counts_apart(a: Column, b: Column) -> Column:
     """At most twice the edit distance: an edit takes from one count and adds to another."""
     total = F.lit(0)
     for k in range(len(COUNTED)):
-        apart = F.abs(F.shiftrightunsigned(a, 6 * k).bitwiseAND(F.lit(63)) - F.shiftrightunsigned(b, 6 * k).bitwiseAND(F.lit(63)))
-        total = total + F.least(apart, 64 - apart)
+        apart = F.abs(F.shiftrightunsigned(a, 3 * k).bitwiseAND(F.lit(7)) - F.shiftrightunsigned(b, 3 * k).bitwiseAND(F.lit(7)))
+        total = total + F.least(apart, 8 - apart)
     return total
 
 
@@ -166,8 +168,10 @@ def close_lines(known: DataFrame, edits: int) -> DataFrame:
         .select("longer", "shorter").distinct(),
         "line-pairs",
     )
-    involved = pairs.select(F.col("longer").alias("id")).unionByName(pairs.select(F.col("shorter").alias("id"))).distinct()
-    held = stage(known.join(involved, "id", "left_semi"), "line-texts")
+    involved = stage(pairs.select(F.col("longer").alias("id")).unionByName(pairs.select(F.col("shorter").alias("id"))).distinct(), "line-ids")
+    # Eight bytes a line: while they are few, the texts of all others need not be shuffled.
+    few = involved.count() <= MOST_BROADCAST
+    held = stage(known.join(F.broadcast(involved) if few else involved, "id", "left_semi"), "line-texts")
 
     def side(name: str) -> DataFrame:
         return held.select(F.col("id").alias(name), F.struct("h1", "h2", "line", "first").alias(name[0]))
