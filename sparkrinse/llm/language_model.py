@@ -30,9 +30,11 @@ from sparkrinse.staging import stage
 CONTEXTS = 4096
 SWEEPS, AVERAGED = 4, 2
 SEED = 7
-TOKENS_PER_BUCKET = 4_000_000
-PORTION_BYTES = 16 << 20
+TOKENS_PER_BUCKET = 1_000_000
+PORTION_BYTES = 4 << 20
 STRENGTH, ROOT_STRENGTH, ROOT_DISCOUNT = 1.0, 1.0, 0.75
+# A bucket's sums per document: log of counts, log of probability, known tokens.
+SUMS = (np.float64, np.float32, np.uint32)
 END = 0  # its number among the frequent words; as a context the same number is the start of a text
 BLOCK = "bucket int, portion string, docs int, held binary, words binary, repeats binary, contexts binary, places binary"
 BUCKET = (
@@ -89,14 +91,14 @@ def _deal(frequent: list[str], buckets: int):
                 mixed = (np.where(keys > len(frequent), keys, keys * 1_000_003 + contexts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
                 bucket = (mixed % np.uint64(buckets)).astype(np.int64)
                 order = np.lexsort((contexts, keys, bucket))
-                keys, contexts, places, bucket = keys[order], contexts[order], places[order], bucket[order]
+                keys, contexts, places, bucket = keys[order], contexts[order].astype(np.uint16), places[order].astype(np.uint32), bucket[order]
                 portion = uuid.uuid4().hex
                 rows: list[tuple] = []
                 for b, a, z in zip(*_stretches(bucket)):
                     _, first, last = _stretches(keys[a:z])
                     rows.append((
                         int(bucket[a]), portion, docs, held.to_numpy(zero_copy_only=False).astype(np.uint8).tobytes(), keys[a:z][first].tobytes(),
-                        (last - first).astype(np.int32).tobytes(), contexts[a:z].astype(np.uint16).tobytes(), places[a:z].astype(np.uint32).tobytes(),
+                        (last - first).astype(np.int32).tobytes(), contexts[a:z].tobytes(), places[a:z].tobytes(),
                     ))
                 doc_table = pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, hi - lo), held, pa.array(np.diff(bounds) + 1, pa.int64())], ["doc_id", "held_out", "n_tokens"]
@@ -105,6 +107,7 @@ def _deal(frequent: list[str], buckets: int):
                 rows.append((-1 - int(portion[:8], 16) % buckets, portion, docs, b"", _ipc(doc_table), b"", b"", b""))
                 kinds = [pa.int32(), pa.string(), pa.int32(), *[pa.binary()] * 5]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [x.strip().split()[0] for x in BLOCK.split(",")])
+                pa.default_memory_pool().release_unused()
 
     return deal
 
@@ -226,6 +229,14 @@ def _seat_bucket(row: dict, root: Root, sweep: int) -> tuple[np.ndarray, np.ndar
     return sat, tables_now, root_now
 
 
+def _one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows as dictionaries, one in memory at a time: a row is a whole bucket."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+            pa.default_memory_pool().release_unused()
+
+
 def _sweep(root: Root, sweep: int):
     """Rows (kind, number, value) to be summed: what one sweep gives each context and frequent word."""
 
@@ -233,18 +244,17 @@ def _sweep(root: Root, sweep: int):
         size = len(root.tables)
         total = np.zeros((3, size), np.int64)
         rare = np.zeros(2, np.int64)
-        for batch in batches:
-            for row in batch.to_pylist():
-                words = np.frombuffer(row["words"], np.int64)
-                mw, mc, mn = np.frombuffer(row["m_w"], np.int32), np.frombuffer(row["m_c"], np.uint16), np.frombuffer(row["m_n"], np.int64)
-                sat, tables, at_root = _seat_bucket(row, root, sweep)
-                once_c = np.frombuffer(row["once_c"], np.int64)
-                total[0] += once_c + np.bincount(mc, weights=mn, minlength=size).astype(np.int64)
-                total[1] += once_c + np.bincount(mc, weights=sat, minlength=size).astype(np.int64)
-                own = np.frombuffer(row["once_w"], np.int64) + np.bincount(mw, weights=sat, minlength=len(words)).astype(np.int64)
-                frequent = words < size
-                np.add.at(total[2], words[frequent], own[frequent])
-                rare += (tables[~frequent].sum(), at_root[~frequent].sum())
+        for row in _one_by_one(batches):
+            words = np.frombuffer(row["words"], np.int64)
+            mw, mc, mn = np.frombuffer(row["m_w"], np.int32), np.frombuffer(row["m_c"], np.uint16), np.frombuffer(row["m_n"], np.int64)
+            sat, tables, at_root = _seat_bucket(row, root, sweep)
+            once_c = np.frombuffer(row["once_c"], np.int64)
+            total[0] += once_c + np.bincount(mc, weights=mn, minlength=size).astype(np.int64)
+            total[1] += once_c + np.bincount(mc, weights=sat, minlength=size).astype(np.int64)
+            own = np.frombuffer(row["once_w"], np.int64) + np.bincount(mw, weights=sat, minlength=len(words)).astype(np.int64)
+            frequent = words < size
+            np.add.at(total[2], words[frequent], own[frequent])
+            rare += (tables[~frequent].sum(), at_root[~frequent].sum())
         values = np.concatenate([total.ravel(), rare])
         kind = np.concatenate([np.repeat([0, 1, 2], size), [3, 4]])
         number = np.concatenate([np.tile(np.arange(size), 3), [0, 0]])
@@ -278,38 +288,37 @@ def _score(roots: list[tuple[int, Root, Root]], frequent_counts: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = len(roots[0][1].tables)
-        for batch in batches:
-            for row in batch.to_pylist():
-                words = np.frombuffer(row["words"], np.int64)
-                w, c, d = np.frombuffer(row["w"], np.int32), np.frombuffer(row["c"], np.uint16), np.frombuffer(row["d"], np.uint32)
-                count = np.frombuffer(row["known"], np.int64).copy()
-                frequent = words < size
-                count[frequent] = frequent_counts[words[frequent]]
-                mw, mc, mn = np.frombuffer(row["m_w"], np.int32), np.frombuffer(row["m_c"], np.uint16), np.frombuffer(row["m_n"], np.int64)
-                pairs, inverse = np.unique(w.astype(np.int64) * size + c, return_inverse=True)
-                pw, px = (pairs // size).astype(np.int64), (pairs % size).astype(np.int64)
-                training = np.unpackbits(np.frombuffer(row["training"], np.uint8), count=len(w)).astype(bool)
-                customers = np.bincount(inverse[training], minlength=len(pairs))
-                many = np.searchsorted(pairs, mw.astype(np.int64) * size + mc)
-                chance = np.zeros(len(pairs))
-                for sweep, before, after in roots:
-                    sat, tables, at_root = _seat_bucket(row, before, sweep)
-                    at = (customers == 1).astype(np.float64)
-                    at[many] = sat
-                    number = np.where(frequent, words, 0)
-                    tables = np.where(frequent, after.word_tables[number], tables)
-                    held = after.base(tables, np.where(frequent, after.word_root[number], at_root))
-                    chance += (customers - after.discount * at + (STRENGTH + after.discount * after.tables[px]) * held[pw]) / (STRENGTH + after.customers[px])
-                logs = np.log10(chance / len(roots))[inverse]
-                base = np.log10(count + 0.5)[w]
-                seen = (count > 0)[w]
-                out, at = [], 0
-                for portion, docs, number in zip(row["portions"], row["docs"], row["sizes"]):
-                    part = slice(at, at + number)
-                    at += number
-                    sums = [np.bincount(d[part], weights=v[part], minlength=docs) for v in (base, logs, seen)]
-                    out.append((portion, np.concatenate(sums).tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out]), pa.array([o[1] for o in out], pa.binary())], ["portion", "sums"])
+        for row in _one_by_one(batches):
+            words = np.frombuffer(row["words"], np.int64)
+            w, c, d = np.frombuffer(row["w"], np.int32), np.frombuffer(row["c"], np.uint16), np.frombuffer(row["d"], np.uint32)
+            count = np.frombuffer(row["known"], np.int64).copy()
+            frequent = words < size
+            count[frequent] = frequent_counts[words[frequent]]
+            mw, mc, mn = np.frombuffer(row["m_w"], np.int32), np.frombuffer(row["m_c"], np.uint16), np.frombuffer(row["m_n"], np.int64)
+            pairs, inverse = np.unique(w.astype(np.int64) * size + c, return_inverse=True)
+            pw, px = (pairs // size).astype(np.int64), (pairs % size).astype(np.int64)
+            training = np.unpackbits(np.frombuffer(row["training"], np.uint8), count=len(w)).astype(bool)
+            customers = np.bincount(inverse[training], minlength=len(pairs))
+            many = np.searchsorted(pairs, mw.astype(np.int64) * size + mc)
+            chance = np.zeros(len(pairs))
+            for sweep, before, after in roots:
+                sat, tables, at_root = _seat_bucket(row, before, sweep)
+                at = (customers == 1).astype(np.float64)
+                at[many] = sat
+                number = np.where(frequent, words, 0)
+                tables = np.where(frequent, after.word_tables[number], tables)
+                held = after.base(tables, np.where(frequent, after.word_root[number], at_root))
+                chance += (customers - after.discount * at + (STRENGTH + after.discount * after.tables[px]) * held[pw]) / (STRENGTH + after.customers[px])
+            logs = np.log10(chance / len(roots))[inverse]
+            base = np.log10(count + 0.5)[w]
+            seen = (count > 0)[w]
+            out, at = [], 0
+            for portion, docs, number in zip(row["portions"], row["docs"], row["sizes"]):
+                part = slice(at, at + number)
+                at += number
+                sums = [np.bincount(d[part], weights=v[part], minlength=docs) for v in (base, logs, seen)]
+                out.append((portion, b"".join(v.astype(kind).tobytes() for v, kind in zip(sums, SUMS))))
+            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out]), pa.array([o[1] for o in out], pa.binary())], ["portion", "sums"])
 
     return run
 
@@ -323,9 +332,13 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if documents is not None:
                 table = pa.ipc.open_stream(documents).read_next_batch()
             else:
-                part = np.frombuffer(sums, np.float64)
-                total = part.copy() if total is None else total + part
-        base, score, known = total.reshape(3, -1)
+                docs = len(sums) // sum(np.dtype(kind).itemsize for kind in SUMS)
+                parts, at = [], 0
+                for kind in SUMS:
+                    parts.append(np.frombuffer(sums, kind, docs, at).astype(np.float64))
+                    at += parts[-1].size * np.dtype(kind).itemsize
+                total = np.stack(parts) if total is None else total + np.stack(parts)
+        base, score, known = total
         yield pa.RecordBatch.from_arrays(
             [*table.columns, pa.array(known.astype(np.int64)), pa.array(base), pa.array(score)],
             ["doc_id", "held_out", "n_tokens", "n_known", "base", "score"],
