@@ -73,29 +73,34 @@ def without(text: Column, characters: str) -> Column:
     return F.length(F.translate(text, characters, ""))
 
 
+def counted(value: Column) -> Column:
+    """The counts of one text, as a struct."""
+    words = F.filter(F.split(value, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    lines = F.filter(F.split(value, "\n"), lambda x: without(x, SPACE) > 0)
+    size = F.length(value)
+    return F.struct(
+        without(value, SPACE).cast("bigint").alias("word_chars"),
+        (size - without(value, SYMBOLS)).cast("bigint").alias("n_symbols"),
+        (size - without(value, "!?")).cast("bigint").alias("n_marks"),
+        (size - without(value, UPPER)).cast("bigint").alias("n_capitals"),
+        (size - without(value, LOWER)).cast("bigint").alias("n_small"),
+        let(words, lambda w: F.struct(
+            F.size(w).cast("bigint").alias("n_words"), repeated_words(w).cast("bigint").alias("n_repeat_words")
+        )).alias("w"),
+        let(lines, lambda x: F.struct(
+            F.size(x).cast("bigint").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("n_dup_lines")
+        )).alias("l"),
+    )
+
+
+def measure_of(text_column: str) -> Column:
+    """Counts of a text column; a null text has none of anything."""
+    return let(F.coalesce(F.col(text_column).cast("string"), F.lit("")), counted)
+
+
 def measures(docs: DataFrame, *, text_column: str = "text") -> DataFrame:
-    """``docs`` with a struct ``__m`` of counts; a null text has none of anything."""
-    text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
-
-    def count(value: Column) -> Column:
-        words = F.filter(F.split(value, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-        lines = F.filter(F.split(value, "\n"), lambda x: without(x, SPACE) > 0)
-        size = F.length(value)
-        return F.struct(
-            without(value, SPACE).cast("bigint").alias("word_chars"),
-            (size - without(value, SYMBOLS)).cast("bigint").alias("n_symbols"),
-            (size - without(value, "!?")).cast("bigint").alias("n_marks"),
-            (size - without(value, UPPER)).cast("bigint").alias("n_capitals"),
-            (size - without(value, LOWER)).cast("bigint").alias("n_small"),
-            let(words, lambda w: F.struct(
-                F.size(w).cast("bigint").alias("n_words"), repeated_words(w).cast("bigint").alias("n_repeat_words")
-            )).alias("w"),
-            let(lines, lambda x: F.struct(
-                F.size(x).cast("bigint").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("n_dup_lines")
-            )).alias("l"),
-        )
-
-    return docs.withColumn("__m", let(text, count))
+    """``docs`` with a struct ``__m`` of counts."""
+    return docs.withColumn("__m", measure_of(text_column))
 
 
 def figures(m: Column) -> dict[str, Column]:
@@ -154,22 +159,18 @@ def fences(sketched: DataFrame) -> DataFrame:
     return joined.select("lang", "source", F.coalesce("own", "language", "corpus").alias("fence"))
 
 
-def judged(measured: DataFrame, limits: DataFrame, keys: tuple[str, str]) -> DataFrame:
-    """``measured`` with ``__base_failed``, ``__kept`` and ``__failed`` (names of the figures beyond a fence)."""
-    limits = limits.select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), F.col("fence").alias("__fence"))
-    m = F.col("__m")
-    beyond = F.array_compact(F.array(*[
-        F.when(~value.between(F.col("__fence")[name]["low"], F.col("__fence")[name]["high"]), F.lit(name))
-        for name, value in figures(m).items()
+def failed_figures(m: Column, fence: Column) -> Column:
+    """Names of the figures beyond a fence."""
+    return F.array_compact(F.array(*[
+        F.when(~value.between(fence[name]["low"], fence[name]["high"]), F.lit(name)) for name, value in figures(m).items()
     ]))
+
+
+def fenced(docs: DataFrame, limits: DataFrame, keys: tuple[str, str]) -> DataFrame:
+    """``docs`` with the ``__fence`` of their language and source."""
+    limits = limits.select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), F.col("fence").alias("__fence"))
     on = F.col(keys[0]).cast("string").eqNullSafe(F.col("__lang")) & F.col(keys[1]).cast("string").eqNullSafe(F.col("__source"))
-    return (
-        measured.join(limits, on, "left")
-        .withColumn("__base_failed", base_failed(m))
-        .withColumn("__failed", beyond)
-        .withColumn("__kept", ~F.col("__base_failed") & (F.size("__failed") == 0))
-        .drop("__lang", "__source", "__fence")
-    )
+    return docs.join(limits, on, "left").drop("__lang", "__source")
 
 
 def assess(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", keys: tuple[str, str] = ("lang", "source")) -> DataFrame:
@@ -183,14 +184,20 @@ def assess(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "te
     )
     measured = stage(measures(chosen).drop("text"), "measures")
     m = F.col("__m")
-    return judged(measured, fences(sketches(measured, ("lang", "source"))), ("lang", "source")).select(
+    judged = fenced(measured, fences(sketches(measured, ("lang", "source"))), ("lang", "source"))
+    failed = failed_figures(m, F.col("__fence"))
+    return judged.select(
         "doc_id", m["w"]["n_words"].alias("n_words"), m["word_chars"].alias("word_chars"), m["n_symbols"].alias("n_symbols"),
         m["l"]["n_dup_lines"].alias("n_dup_lines"), m["w"]["n_repeat_words"].alias("n_repeat_words"),
-        F.col("__base_failed").alias("base_failed"), F.col("__kept").alias("kept"), F.col("__failed").alias("failed"),
+        base_failed(m).alias("base_failed"), (~base_failed(m) & (F.size(failed) == 0)).alias("kept"), failed.alias("failed"),
     )
 
 
 def keep_good(docs: DataFrame, *, text_column: str = "text", keys: tuple[str, str] = ("lang", "source")) -> DataFrame:
     """The rows of ``docs`` that pass, with their own columns. Texts are measured twice instead of being shuffled."""
-    limits = stage(fences(sketches(measures(docs, text_column=text_column), keys)), "fences")
-    return judged(measures(docs, text_column=text_column), limits, keys).filter("__kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    measured = stage(docs.select(F.col(keys[0]).alias("lang"), F.col(keys[1]).alias("source"), measure_of(text_column).alias("__m")), "measures")
+    limits = stage(fences(sketches(measured, ("lang", "source"))), "fences")
+    # One expression that names the counts once: as columns, a pushed filter would work them out again for each use.
+    passes = let(measure_of(text_column), lambda m: ~base_failed(m) & (F.size(failed_figures(m, F.col("__fence"))) == 0))
+    return fenced(docs, limits, keys).filter(passes).select(*names)
