@@ -1,19 +1,22 @@
-"""A hierarchical Pitman-Yor language model of words, trained and applied in the same deal of tokens.
+"""A hierarchical Pitman-Yor language model of words, seated and applied once per pair of words.
 
-A word is drawn in the restaurant of the word before it; its tables are customers of the root
-restaurant, which all contexts share and whose base is even over the known words and one unknown.
-Contexts are the ``contexts`` most frequent training words, the start of a text, and one for all other
-words, so what all tasks need to know (customers and tables per context, tables of frequent words) has
-a fixed size. Tokens are dealt by word, those of frequent words by word and context, and each bucket
-seats its own customers.
+A word is drawn in the restaurant of the word before it, whichever that is; its tables are customers of
+the root restaurant, which all contexts share and whose base is even over the known words and one
+unknown. Texts become portions of word numbers, which are stored and stay as they are. A portion sends
+each of its distinct pairs with a count to a bucket, so a pair costs one entry a portion however often it
+stands there. Pairs are dealt by word, those of the most frequent words by word and context.
 
 Seating is sampled by Gibbs sweeps over blocks: all customers of a word in a context leave and are
-seated one by one, given the tables of the sweep before. Predictive probabilities are averaged over the
-last sweeps. A seating is a function of the seed, the sweep and the bucket, so a lost task repeats it.
+seated one by one, given the tables of the sweep before. After a sweep the buckets send what they seated
+for each word, as word and as context, to the part that holds the word; the part adds up, seats the
+word's customers in the root restaurant and answers. Predictive probabilities are averaged over the last
+sweeps. A seating is a function of the seed, the sweep and the bucket, so a lost task repeats it.
 """
 from __future__ import annotations
 
+import dataclasses
 import itertools
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -25,22 +28,44 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkrinse.llm.words import portions, spaced_table, split_words
-from sparkrinse.staging import stage
+from sparkrinse.staging import discard, stage
 
+# Words whose pairs are dealt by word and context.
 CONTEXTS = 4096
 SWEEPS, AVERAGED = 4, 2
 SEED = 7
 TOKENS_PER_BUCKET = 1_000_000
 PORTION_BYTES = 4 << 20
+BUCKETS_PER_PART = 4
 STRENGTH, ROOT_STRENGTH, ROOT_DISCOUNT = 1.0, 1.0, 0.75
-# A bucket's sums per document: log of counts, log of probability, known tokens.
-SUMS = (np.float64, np.float32, np.uint32)
-END = 0  # its number among the frequent words; as a context the same number is the start of a text
-BLOCK = "bucket int, portion string, docs int, held binary, words binary, repeats binary, contexts binary, places binary"
+END = 0  # key of the end of a text; as a context the same key is the start of a text
+PORTION = "portion string, documents binary, names binary, tokens binary"
+BLOCK = "bucket int, portion string, words binary, repeats binary, contexts binary, customers binary"
 BUCKET = (
-    "bucket int, portions array<string>, docs array<int>, sizes array<bigint>, words binary, known binary, w binary, c binary, d binary, "
-    "training binary, m_w binary, m_c binary, m_n binary, once_w binary, once_c binary, tokens bigint, types bigint, pairs_once bigint, pairs_twice bigint"
+    "bucket int, portions array<string>, sizes array<bigint>, inverse binary, names binary, w binary, c binary, n binary, "
+    "tokens bigint, pairs_once bigint, pairs_twice bigint"
 )
+SEATED = "part int, bucket int, names binary, sums binary"
+# Per word: its tables, its root tables, tables of its restaurant, its count, customers of its restaurant.
+STATE = "bucket int, part int, words binary, tables bigint, root_tables bigint, types bigint"
+ANSWER = "portion string, bucket int, logs binary, counts binary"
+
+
+def _names(schema: str) -> list[str]:
+    return re.findall(r"(\w+) [\w<>]+", schema)
+
+
+def _kinds(schema: str) -> list[pa.DataType]:
+    known = {
+        "int": pa.int32(), "bigint": pa.int64(), "string": pa.string(), "binary": pa.binary(),
+        "array<string>": pa.list_(pa.string()), "array<bigint>": pa.list_(pa.int64()),
+    }
+    return [known[k] for k in re.findall(r"\w+ ([\w<>]+)", schema)]
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else [[] for _ in _names(schema)]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _kinds(schema))], _names(schema))
 
 
 def _chosen(docs: DataFrame, id_column: str, text_column: str, folds: int, held: int) -> DataFrame:
@@ -63,53 +88,73 @@ def frequent_words(chosen: DataFrame, number: int) -> list[tuple[str, int]]:
     return [tuple(r) for r in counted.orderBy(F.desc("n"), "word").limit(number).collect()]
 
 
-def _deal(frequent: list[str], buckets: int):
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top = pa.array(frequent, pa.large_string())
-        for batch in batches:
-            for lo, hi in portions(batch.column(1), PORTION_BYTES):
-                texts, held = batch.column(1).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo)
-                words, bounds = split_words(texts, spaced_table(lower=True))
-                coded = words.dictionary_encode()
-                names = coded.dictionary
-                number = pc.fill_null(pc.index_in(names, value_set=top), -1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
-                hashed = pd.util.hash_array(names.to_numpy(zero_copy_only=False).astype(object), categorize=False).view(np.int64) if len(names) else number
-                key_of = np.where(number > 0, number, (hashed & np.int64((1 << 62) - 1)) | np.int64(1 << 62))
-                index = coded.indices.to_numpy(zero_copy_only=False)
-                docs = hi - lo
-                total = len(index) + docs
-                ends = bounds[1:] + np.arange(docs)
-                inner = np.ones(total, bool)
-                inner[ends] = False
-                keys = np.full(total, END, np.int64)
-                keys[inner] = key_of[index]
-                before = np.zeros(total, np.int64)
-                before[inner] = np.where(number > 0, number, len(frequent) + 1)[index]
-                contexts = np.concatenate([[END], before[:-1]])
-                contexts[np.concatenate([[0], ends[:-1] + 1])] = END
-                places = np.repeat(np.arange(docs), np.diff(bounds) + 1)
-                mixed = (np.where(keys > len(frequent), keys, keys * 1_000_003 + contexts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-                bucket = (mixed % np.uint64(buckets)).astype(np.int64)
-                order = np.lexsort((contexts, keys, bucket))
-                keys, contexts, places, bucket = keys[order], contexts[order].astype(np.uint16), places[order].astype(np.uint32), bucket[order]
-                portion = uuid.uuid4().hex
-                rows: list[tuple] = []
-                for b, a, z in zip(*_stretches(bucket)):
-                    _, first, last = _stretches(keys[a:z])
-                    rows.append((
-                        int(bucket[a]), portion, docs, held.to_numpy(zero_copy_only=False).astype(np.uint8).tobytes(), keys[a:z][first].tobytes(),
-                        (last - first).astype(np.int32).tobytes(), contexts[a:z].tobytes(), places[a:z].tobytes(),
-                    ))
-                doc_table = pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), held, pa.array(np.diff(bounds) + 1, pa.int64())], ["doc_id", "held_out", "n_tokens"]
-                )
-                # The documents of a portion travel along, under the numbers below zero.
-                rows.append((-1 - int(portion[:8], 16) % buckets, portion, docs, b"", _ipc(doc_table), b"", b"", b""))
-                kinds = [pa.int32(), pa.string(), pa.int32(), *[pa.binary()] * 5]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [x.strip().split()[0] for x in BLOCK.split(",")])
-                pa.default_memory_pool().release_unused()
-
-    return deal
+def word_keys(words: np.ndarray) -> np.ndarray:
+    if not len(words):
+        return np.zeros(0, np.int64)
+    return (pd.util.hash_array(words, categorize=False).view(np.int64) & np.int64((1 << 62) - 1)) | np.int64(1 << 62)
+
+
+def _dealt(keys: np.ndarray, number: int) -> np.ndarray:
+    return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % number
+
+
+def _to_portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as numbers into the portion's own list of words; number 0 ends a text."""
+    for batch in batches:
+        for lo, hi in portions(batch.column(1), PORTION_BYTES):
+            words, bounds = split_words(batch.column(1).slice(lo, hi - lo), spaced_table(lower=True))
+            coded = words.dictionary_encode()
+            docs = hi - lo
+            tokens = np.zeros(len(words) + docs, np.int32)
+            inner = np.ones(len(tokens), bool)
+            inner[bounds[1:] + np.arange(docs)] = False
+            tokens[inner] = coded.indices.to_numpy(zero_copy_only=False) + 1
+            names = np.concatenate([[END], word_keys(coded.dictionary.to_numpy(zero_copy_only=False).astype(object))])
+            documents = pa.RecordBatch.from_arrays(
+                [batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(np.diff(bounds) + 1, pa.int64())],
+                ["doc_id", "held_out", "n_tokens"],
+            )
+            yield _batch([(uuid.uuid4().hex, _ipc(documents), names.astype(np.int64).tobytes(), tokens.tobytes())], PORTION)
+            pa.default_memory_pool().release_unused()
+
+
+class Pairs:
+    """The distinct (word, context) of a portion in order of their buckets, and where its tokens stand."""
+
+    def __init__(self, documents: bytes, names: bytes, tokens: bytes, frequent: np.ndarray, buckets: int) -> None:
+        self.documents = pa.ipc.open_stream(documents).read_next_batch()
+        held = self.documents.column(1).to_numpy(zero_copy_only=False).astype(bool)
+        keys, ids = np.frombuffer(names, np.int64), np.frombuffer(tokens, np.int32)
+        self.places = np.cumsum(ids == 0) - (ids == 0)
+        before = np.concatenate([[0], ids[:-1]])  # the end of a text stands before the start of the next
+        pairs, inverse = np.unique(ids.astype(np.int64) * len(keys) + before, return_inverse=True)
+        words, contexts = keys[pairs // len(keys)], keys[pairs % len(keys)]
+        spread = np.isin(words, frequent)
+        bucket = _dealt(np.where(spread, words * np.int64(1_000_003) + contexts, words), buckets)
+        order = np.lexsort((contexts, words, bucket))
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        self.inverse = rank[inverse]
+        self.customers = np.bincount(self.inverse[~held[self.places]], minlength=len(pairs))
+        self.words, self.contexts, self.bucket = words[order], contexts[order], bucket[order]
+
+
+def _to_blocks(frequent: np.ndarray, buckets: int):
+    """Of every portion a row for each bucket: its pairs with the number of training tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _one_by_one(batches):
+            pairs = Pairs(row["documents"], row["names"], row["tokens"], frequent, buckets)
+            rows = []
+            for b, a, z in zip(*_stretches(pairs.bucket)):
+                words, first, last = _stretches(pairs.words[a:z])
+                rows.append((
+                    int(b), row["portion"], words.tobytes(), (last - first).astype(np.int32).tobytes(), pairs.contexts[a:z].tobytes(),
+                    pairs.customers[a:z].astype(np.int32).tobytes(),
+                ))
+            yield _batch(rows, BLOCK)
+
+    return run
 
 
 def _ipc(batch: pa.RecordBatch) -> bytes:
@@ -127,39 +172,33 @@ def _stretches(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return values[start], start, np.append(start[1:], len(values))
 
 
-def _gather(contexts: int):
-    """All blocks of a bucket as one row, with the training counts of its words and of its pairs."""
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    return (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
+
+
+def _gather(parts: int):
+    """All blocks of a bucket as one row, every pair once with its training count."""
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.strip().split(" ")[0] for x in BUCKET.split(",")]
-        kinds = [pa.int32(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int64()), *[pa.binary()] * 11, *[pa.int64()] * 4]
-        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
-        for bucket, group in itertools.groupby(rows, key=lambda r: r[0]):
-            if bucket < 0:
-                for b in group:
-                    row = (bucket, [b[1]], [b[2]], [0], b[4], *[b""] * 10, *[0] * 4)
-                    yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names)
-                continue
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, group in itertools.groupby(_rows(batches), key=lambda r: r[0]):
             blocks = list(group)
-            keys = [np.frombuffer(b[4], np.int64) for b in blocks]
-            words, at = np.unique(np.concatenate(keys), return_inverse=True)
-            w = np.repeat(at.astype(np.int32), np.concatenate([np.frombuffer(b[5], np.int32) for b in blocks]))
-            c = np.concatenate([np.frombuffer(b[6], np.uint16) for b in blocks])
-            d = np.concatenate([np.frombuffer(b[7], np.uint32) for b in blocks])
-            training = np.concatenate([np.frombuffer(b[3], np.uint8)[np.frombuffer(b[7], np.uint32)] == 0 for b in blocks])
-            known = np.bincount(w[training], minlength=len(words))
-            pairs, number = np.unique(w[training].astype(np.int64) * contexts + c[training], return_counts=True)
-            pw, pcx = (pairs // contexts).astype(np.int32), (pairs % contexts).astype(np.uint16)
-            many = number > 1
-            row = (
-                bucket, [b[1] for b in blocks], [b[2] for b in blocks], [len(b[7]) // 4 for b in blocks], words.tobytes(), known.astype(np.int64).tobytes(),
-                w.tobytes(), c.tobytes(), d.tobytes(), np.packbits(training).tobytes(), pw[many].tobytes(), pcx[many].tobytes(), number[many].astype(np.int64).tobytes(),
-                np.bincount(pw[~many], minlength=len(words)).astype(np.int64).tobytes(), np.bincount(pcx[~many], minlength=contexts).astype(np.int64).tobytes(),
-                int(training.sum()), int((known[words >= contexts] > 0).sum()), int((number == 1).sum()), int((number == 2).sum()),
-            )
-            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names)
+            w = np.repeat(np.concatenate([np.frombuffer(b[2], np.int64) for b in blocks]), np.concatenate([np.frombuffer(b[3], np.int32) for b in blocks]))
+            c = np.concatenate([np.frombuffer(b[4], np.int64) for b in blocks])
+            names, at = np.unique(np.concatenate([w, c]), return_inverse=True)
+            order = np.lexsort((names, _dealt(names, parts)))
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            at = rank[at]
+            pairs, inverse = np.unique(at[:len(w)] * len(names) + at[len(w):], return_inverse=True)
+            n = np.bincount(inverse, weights=np.concatenate([np.frombuffer(b[5], np.int32) for b in blocks])).astype(np.int64)
+            yield _batch([(
+                bucket, [b[1] for b in blocks], [len(b[4]) // 8 for b in blocks], inverse.astype(np.int32).tobytes(), names[order].tobytes(),
+                (pairs // len(names)).astype(np.int32).tobytes(), (pairs % len(names)).astype(np.int32).tobytes(), n.tobytes(),
+                int(n.sum()), int((n == 1).sum()), int((n == 2).sum()),
+            )], BUCKET)
+            pa.default_memory_pool().release_unused()
 
-    return gather
+    return run
 
 
 def seated(customers: np.ndarray, pull: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
@@ -186,163 +225,141 @@ def seated(customers: np.ndarray, pull: np.ndarray, discount: float, rng: np.ran
     return tables
 
 
+@dataclasses.dataclass
 class Root:
-    """What a sweep knows of all restaurants: everything here has a size that the corpus does not change."""
+    """What a sweep knows of the root restaurant as a whole."""
 
-    def __init__(self, contexts: int, types: int, discount: float) -> None:
-        self.types, self.discount = types, discount
-        self.customers = np.zeros(contexts, np.int64)  # per context
-        self.tables = np.zeros(contexts, np.int64)
-        self.word_tables = np.zeros(contexts, np.int64)  # per frequent word, by its number
-        self.word_root = np.zeros(contexts, np.int64)
-        self.total = self.root_total = 0
+    types: int
+    discount: float
+    total: int
+    root_total: int
 
-    def base(self, tables: np.ndarray, root: np.ndarray) -> np.ndarray:
+    def even(self) -> float:
+        return (ROOT_STRENGTH + ROOT_DISCOUNT * self.root_total) / (self.types + 1)
+
+    def base(self, state: np.ndarray) -> np.ndarray:
         """Probability of words in the root restaurant, from their customers (child tables) and tables there."""
-        even = 1 / (self.types + 1)
-        return (tables - ROOT_DISCOUNT * root + (ROOT_STRENGTH + ROOT_DISCOUNT * self.root_total) * even) / (ROOT_STRENGTH + self.total)
-
-
-def _seat_bucket(row: dict, root: Root, sweep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Tables of the pairs with several customers; tables and root tables of the bucket's words."""
-    words = np.frombuffer(row["words"], np.int64)
-    mw, mc, mn = np.frombuffer(row["m_w"], np.int32), np.frombuffer(row["m_c"], np.uint16), np.frombuffer(row["m_n"], np.int64)
-    once = np.frombuffer(row["once_w"], np.int64)
-    frequent = words < len(root.tables)
-    rng = np.random.default_rng([SEED, sweep, row["bucket"]])
-    # A rare word has all its pairs here; it starts from one table a pair.
-    tables = once + np.bincount(mw, minlength=len(words))
-    own_root = np.minimum(tables, 1)
-    even = (ROOT_STRENGTH + ROOT_DISCOUNT * root.root_total) / (root.types + 1)
-    sat = np.ones(len(mw), np.int64)
-    for _ in range(2 if root.total else 0):
-        tables_now, root_now = tables.copy(), own_root.copy()
-        tables_now[frequent] = root.word_tables[words[frequent]]
-        root_now[frequent] = root.word_root[words[frequent]]
-        pull = (STRENGTH + root.discount * root.tables[mc]) * root.base(tables_now, root_now)[mw]
-        sat = seated(mn, pull, root.discount, rng)
-        tables = once + np.bincount(mw, weights=sat, minlength=len(words)).astype(np.int64)
-        own_root = np.where(tables > 0, seated(np.maximum(tables, 1), np.full(len(words), even), ROOT_DISCOUNT, rng), 0)
-    tables_now, root_now = tables.copy(), own_root.copy()
-    tables_now[frequent] = root.word_tables[words[frequent]]
-    root_now[frequent] = root.word_root[words[frequent]]
-    return sat, tables_now, root_now
+        return (state[0] - ROOT_DISCOUNT * state[1] + self.even()) / (ROOT_STRENGTH + self.total)
+
+
+def _seat_bucket(bucket: int, w: np.ndarray, c: np.ndarray, n: np.ndarray, sweep: int, state: np.ndarray | None, root: Root | None) -> np.ndarray:
+    """Tables of the bucket's pairs; the first sweep gives each a single one."""
+    sat = np.minimum(n, 1)
+    if root is not None:
+        many = n > 1
+        pull = (STRENGTH + root.discount * state[2][c[many]]) * root.base(state)[w[many]]
+        sat[many] = seated(n[many], pull, root.discount, np.random.default_rng([SEED, sweep, bucket]))
+    return sat
 
 
 def _one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    """Rows as dictionaries, one in memory at a time: a row is a whole bucket."""
+    """Rows as dictionaries, one in memory at a time: a row is a whole portion."""
     for batch in batches:
         for i in range(batch.num_rows):
             yield batch.slice(i, 1).to_pylist()[0]
             pa.default_memory_pool().release_unused()
 
 
-def _sweep(root: Root, sweep: int):
-    """Rows (kind, number, value) to be summed: what one sweep gives each context and frequent word."""
+def _joined(buckets: DataFrame, states: dict[int, DataFrame], columns: list[str], number: int) -> DataFrame:
+    """Buckets, each followed by its states in order of sweep and part."""
+    rows = buckets.select("bucket", F.lit(-1).alias("sweep"), F.lit(-1).alias("part"), F.lit(None).cast("binary").alias("words"), *columns)
+    for sweep, state in states.items():
+        rows = rows.unionByName(state.select("bucket", F.lit(sweep).alias("sweep"), "part", "words"), allowMissingColumns=True)
+    return rows.repartition(number, "bucket").sortWithinPartitions("bucket", "sweep", "part")
+
+
+def _seat(sweep: int, root: Root | None, parts: int):
+    """For every name of a bucket and part: tables as word and as context, tokens as word and as context."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = len(root.tables)
-        total = np.zeros((3, size), np.int64)
-        rare = np.zeros(2, np.int64)
-        for row in _one_by_one(batches):
-            words = np.frombuffer(row["words"], np.int64)
-            mw, mc, mn = np.frombuffer(row["m_w"], np.int32), np.frombuffer(row["m_c"], np.uint16), np.frombuffer(row["m_n"], np.int64)
-            sat, tables, at_root = _seat_bucket(row, root, sweep)
-            once_c = np.frombuffer(row["once_c"], np.int64)
-            total[0] += once_c + np.bincount(mc, weights=mn, minlength=size).astype(np.int64)
-            total[1] += once_c + np.bincount(mc, weights=sat, minlength=size).astype(np.int64)
-            own = np.frombuffer(row["once_w"], np.int64) + np.bincount(mw, weights=sat, minlength=len(words)).astype(np.int64)
-            frequent = words < size
-            np.add.at(total[2], words[frequent], own[frequent])
-            rare += (tables[~frequent].sum(), at_root[~frequent].sum())
-        values = np.concatenate([total.ravel(), rare])
-        kind = np.concatenate([np.repeat([0, 1, 2], size), [3, 4]])
-        number = np.concatenate([np.tile(np.arange(size), 3), [0, 0]])
-        kept = values != 0
-        yield pa.RecordBatch.from_arrays([pa.array(kind[kept], pa.int32()), pa.array(number[kept], pa.int32()), pa.array(values[kept])], ["kind", "number", "value"])
+        for (bucket, names, *arrays), states in _with_buckets(batches):
+            names = np.frombuffer(names, np.int64)
+            w, c, n = (np.frombuffer(a, k) for a, k in zip(arrays, (np.int32, np.int32, np.int64)))
+            sat = _seat_bucket(bucket, w, c, n, sweep, states.get(sweep - 1), root)
+            sums = np.stack([np.bincount(at, weights=v, minlength=len(names)) for v in (sat, n) for at in (w, c)]).astype(np.int64)
+            rows = [(int(p), bucket, names[a:z].tobytes(), sums[:, a:z].tobytes()) for p, a, z in zip(*_stretches(_dealt(names, parts)))]
+            yield _batch(rows, SEATED)
+            pa.default_memory_pool().release_unused()
 
     return run
 
 
-def _advance(buckets: DataFrame, root: Root, sweep: int) -> Root:
-    columns = ["bucket", "words", "m_w", "m_c", "m_n", "once_w", "once_c"]
-    summed = buckets.select(*columns).mapInArrow(_sweep(root, sweep), "kind int, number int, value bigint").groupBy("kind", "number").agg(F.sum("value"))
-    after = Root(len(root.tables), root.types, root.discount)
-    rare = [0, 0]
-    for kind, number, value in summed.collect():  # three numbers for each context at most
-        if kind > 2:
-            rare[kind - 3] = value
-        else:
-            (after.customers, after.tables, after.word_tables)[kind][number] = value
-    rng = np.random.default_rng([SEED, sweep])
-    seen = after.word_tables > 0
-    even = (ROOT_STRENGTH + ROOT_DISCOUNT * root.root_total) / (root.types + 1)
-    after.word_root[seen] = seated(after.word_tables[seen], np.full(int(seen.sum()), even), ROOT_DISCOUNT, rng)
-    after.total = int(after.word_tables.sum()) + rare[0]
-    after.root_total = int(after.word_root.sum()) + rare[1]
-    return after
+def _with_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, dict[int, np.ndarray]]]:
+    """Each bucket's number and columns, and by sweep what the parts answered for its names."""
+    for bucket, group in itertools.groupby(_rows(batches), key=lambda r: r[0]):
+        own = next(group)[4:]
+        answers: dict[int, list] = {}
+        for row in group:
+            answers.setdefault(row[1], []).append(np.frombuffer(row[3], np.int64).reshape(5, -1))
+        yield (bucket, *own), {sweep: np.concatenate(found, axis=1) for sweep, found in answers.items()}
 
 
-def _score(roots: list[tuple[int, Root, Root]], frequent_counts: np.ndarray):
-    """Per portion and bucket the sums of each document: log of counts, log of probability, known tokens."""
+def _answer(sweep: int, root: Root | None):
+    """Add up what the buckets seated for the words of a part, seat them in the root, and tell the buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = len(roots[0][1].tables)
-        for row in _one_by_one(batches):
-            words = np.frombuffer(row["words"], np.int64)
-            w, c, d = np.frombuffer(row["w"], np.int32), np.frombuffer(row["c"], np.uint16), np.frombuffer(row["d"], np.uint32)
-            count = np.frombuffer(row["known"], np.int64).copy()
-            frequent = words < size
-            count[frequent] = frequent_counts[words[frequent]]
-            mw, mc, mn = np.frombuffer(row["m_w"], np.int32), np.frombuffer(row["m_c"], np.uint16), np.frombuffer(row["m_n"], np.int64)
-            pairs, inverse = np.unique(w.astype(np.int64) * size + c, return_inverse=True)
-            pw, px = (pairs // size).astype(np.int64), (pairs % size).astype(np.int64)
-            training = np.unpackbits(np.frombuffer(row["training"], np.uint8), count=len(w)).astype(bool)
-            customers = np.bincount(inverse[training], minlength=len(pairs))
-            many = np.searchsorted(pairs, mw.astype(np.int64) * size + mc)
-            chance = np.zeros(len(pairs))
-            for sweep, before, after in roots:
-                sat, tables, at_root = _seat_bucket(row, before, sweep)
-                at = (customers == 1).astype(np.float64)
-                at[many] = sat
-                number = np.where(frequent, words, 0)
-                tables = np.where(frequent, after.word_tables[number], tables)
-                held = after.base(tables, np.where(frequent, after.word_root[number], at_root))
-                chance += (customers - after.discount * at + (STRENGTH + after.discount * after.tables[px]) * held[pw]) / (STRENGTH + after.customers[px])
-            logs = np.log10(chance / len(roots))[inverse]
-            base = np.log10(count + 0.5)[w]
-            seen = (count > 0)[w]
-            out, at = [], 0
-            for portion, docs, number in zip(row["portions"], row["docs"], row["sizes"]):
-                part = slice(at, at + number)
-                at += number
-                sums = [np.bincount(d[part], weights=v[part], minlength=docs) for v in (base, logs, seen)]
-                out.append((portion, b"".join(v.astype(kind).tobytes() for v, kind in zip(sums, SUMS))))
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out]), pa.array([o[1] for o in out], pa.binary())], ["portion", "sums"])
+        for part, group in itertools.groupby(_rows(batches), key=lambda r: r[0]):
+            sent = [(r[1], np.frombuffer(r[2], np.int64), np.frombuffer(r[3], np.int64).reshape(4, -1)) for r in group]
+            names, at = np.unique(np.concatenate([s[1] for s in sent]), return_inverse=True)
+            values = np.concatenate([s[2] for s in sent], axis=1)
+            tables, inner, count, customers = (np.bincount(at, weights=v, minlength=len(names)).astype(np.int64) for v in values)
+            at_root = np.minimum(tables, 1)
+            if root is not None:
+                some = tables > 0
+                at_root[some] = seated(tables[some], np.full(int(some.sum()), root.even()), ROOT_DISCOUNT, np.random.default_rng([SEED, sweep, part, 1]))
+            state = np.stack([tables, at_root, inner, count, customers])
+            whole = (int(tables.sum()), int(at_root.sum()), int((count > 0).sum()))
+            done = 0
+            for bucket, own, _ in sent:
+                yield _batch([(bucket, part, state[:, at[done:done + len(own)]].tobytes(), *whole)], STATE)
+                done += len(own)
+                whole = (0, 0, 0)
 
     return run
 
 
-def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sum the buckets' parts of a portion and lay them beside its documents."""
-    rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
-    for _, group in itertools.groupby(rows, key=lambda r: r[0]):
-        total, table = None, None
-        for _, documents, sums in group:
-            if documents is not None:
-                table = pa.ipc.open_stream(documents).read_next_batch()
-            else:
-                docs = len(sums) // sum(np.dtype(kind).itemsize for kind in SUMS)
-                parts, at = [], 0
-                for kind in SUMS:
-                    parts.append(np.frombuffer(sums, kind, docs, at).astype(np.float64))
-                    at += parts[-1].size * np.dtype(kind).itemsize
-                total = np.stack(parts) if total is None else total + np.stack(parts)
-        base, score, known = total
-        yield pa.RecordBatch.from_arrays(
-            [*table.columns, pa.array(known.astype(np.int64)), pa.array(base), pa.array(score)],
-            ["doc_id", "held_out", "n_tokens", "n_known", "base", "score"],
-        )
+def _score(used: list[tuple[int, Root, Root]]):
+    """For every block the logs of its pairs' probabilities and the counts of their words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (bucket, names, w, c, n, inverse, names_of, sizes), states in _with_buckets(batches):
+            w, c, n, inverse = (np.frombuffer(a, k) for a, k in zip((w, c, n, inverse), (np.int32, np.int32, np.int64, np.int32)))
+            chance = np.zeros(len(w))
+            for sweep, before, after in used:
+                sat = _seat_bucket(bucket, w, c, n, sweep, states[sweep - 1], before)
+                state = states[sweep]
+                chance += (n - after.discount * sat + (STRENGTH + after.discount * state[2][c]) * after.base(state)[w]) / (STRENGTH + state[4][c])
+            logs = np.log10(chance / len(used)).astype(np.float32)
+            counts = state[3][w]
+            at = 0
+            for portion, size in zip(names_of, sizes):
+                block = inverse[at:at + size]
+                at += size
+                yield _batch([(portion, bucket, logs[block].tobytes(), counts[block].tobytes())], ANSWER)
+
+    return run
+
+
+def _finish(frequent: np.ndarray, buckets: int):
+    """Lay the answers of all buckets beside a portion's tokens and sum them per document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, group in itertools.groupby(_rows(batches), key=lambda r: r[0]):
+            _, _, _, _, documents, names, tokens = next(group)
+            pairs = Pairs(documents, names, tokens, frequent, buckets)
+            answers = [(r[2], r[3]) for r in group]
+            logs = np.concatenate([np.frombuffer(a, np.float32) for a, _ in answers])
+            counts = np.concatenate([np.frombuffer(b, np.int64) for _, b in answers])
+            docs = pairs.documents.num_rows
+            base, scored, known = (
+                np.bincount(pairs.places, weights=v[pairs.inverse], minlength=docs) for v in (np.log10(counts + 0.5), logs, counts > 0)
+            )
+            yield pa.RecordBatch.from_arrays(
+                [*pairs.documents.columns, pa.array(known.astype(np.int64)), pa.array(base), pa.array(scored)],
+                ["doc_id", "held_out", "n_tokens", "n_known", "base", "score"],
+            )
+
+    return run
 
 
 def score(
@@ -357,36 +374,40 @@ def score(
     Repeated rows count and are scored each; columns beyond the two named are not read.
     """
     chosen = _chosen(docs, id_column, text_column, folds, held)
-    top = frequent_words(chosen, contexts)
-    size = len(top) + 2
-    whole = chosen.agg(F.sum(F.octet_length("text")), F.count_if(~F.col("held_out"))).collect()[0]
-    buckets = max(1, -(-(whole[0] or 0) // (6 * tokens_per_bucket)))
-    dealt = chosen.mapInArrow(_deal([w for w, _ in top], buckets), BLOCK)
-    gathered = stage(
-        dealt.repartition(max(buckets, 2), "bucket").sortWithinPartitions("bucket").mapInArrow(_gather(size), BUCKET), "lm-buckets"
-    )
-    held_tokens = gathered.filter("bucket >= 0")
-    known, rare, n1, n2 = held_tokens.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "types", "pairs_once", "pairs_twice")]).collect()[0]
-    types = rare + len(top) + (whole[1] > 0)
+    top = np.array([w for w, _ in frequent_words(chosen, contexts)], object)
+    frequent = np.concatenate([[END], word_keys(top)]).astype(np.int64)
+    size = chosen.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
+    buckets = max(1, -(-size // (6 * tokens_per_bucket)))
+    parts = -(-buckets // BUCKETS_PER_PART)
+    # Stored before anything is dealt: a repeated task reads the same portions under the same names.
+    stored = stage(chosen.mapInArrow(_to_portions, PORTION), "lm-portions")
+    blocks = stored.mapInArrow(_to_blocks(frequent, buckets), BLOCK).repartition(max(buckets, 2), "bucket")
+    gathered = stage(blocks.sortWithinPartitions("bucket", "portion").mapInArrow(_gather(parts), BUCKET), "lm-buckets")
+    known, n1, n2 = gathered.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "pairs_once", "pairs_twice")]).collect()[0]
     discount = min(0.95, max(0.1, n1 / (n1 + 2 * n2))) if n1 else 0.5
-    root = Root(size, types, discount)
-    used = []
+    seats = ["names", "w", "c", "n"]
+    states: dict[int, DataFrame] = {}
+    roots: dict[int, Root] = {}
     for sweep in range(SWEEPS + 1):  # the first one gives every pair a single table
-        after = _advance(held_tokens, root, sweep)
-        if sweep > SWEEPS - AVERAGED:
-            used.append((sweep, root, after))
-        root = after
-    counts = np.zeros(size, np.int64)
-    counts[END] = whole[1]
-    counts[1:len(top) + 1] = [n for _, n in top]
-    parts = held_tokens.select("bucket", "portions", "docs", "sizes", "words", "known", "w", "c", "d", "training", "m_w", "m_c", "m_n", "once_w").mapInArrow(
-        _score(used, counts), "portion string, sums binary"
+        root = roots.get(sweep - 1)
+        before = {sweep - 1: states[sweep - 1]} if sweep else {}
+        sent = _joined(gathered, before, seats, max(buckets, 2)).mapInArrow(_seat(sweep, root, parts), SEATED)
+        states[sweep] = stage(sent.repartition(max(parts, 2), "part").sortWithinPartitions("part", "bucket").mapInArrow(_answer(sweep, root), STATE), "lm-words")
+        total, root_total, types = states[sweep].agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("tables", "root_tables", "types")]).collect()[0]
+        roots[sweep] = Root(types, discount, total, root_total)
+        if 0 < sweep <= SWEEPS - AVERAGED:
+            discard(states.pop(sweep - 1))
+    used = [(sweep, roots[sweep - 1], roots[sweep]) for sweep in range(SWEEPS - AVERAGED + 1, SWEEPS + 1)]
+    columns = [*seats, "inverse", "portions", "sizes"]
+    answers = _joined(gathered, states, columns, max(buckets, 2)).mapInArrow(_score(used), ANSWER)
+    nothing = F.lit(None).cast("binary")
+    both = stored.select("portion", F.lit(-1).alias("bucket"), nothing.alias("logs"), nothing.alias("counts"), "documents", "names", "tokens").unionByName(
+        answers.withColumns({"documents": nothing, "names": nothing, "tokens": nothing})
     )
-    tables = gathered.filter("bucket < 0").select(F.get("portions", F.lit(0)).alias("portion"), F.col("words").alias("documents"))
-    both = tables.withColumn("sums", F.lit(None).cast("binary")).unionByName(parts.withColumn("documents", F.lit(None).cast("binary")).select("portion", "documents", "sums"))
-    found = both.repartition("portion").sortWithinPartitions("portion").mapInArrow(
-        _finish, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, score double"
+    found = both.repartition(max(buckets, 2), "portion").sortWithinPartitions("portion", "bucket").mapInArrow(
+        _finish(frequent, buckets), "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, score double"
     )
+    types = roots[SWEEPS].types
     scale = float(np.log10(known + 0.5 * (types + 1)))
     return found.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(known).cast("bigint").alias("train_tokens"),

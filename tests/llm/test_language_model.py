@@ -97,3 +97,13 @@ def test_empty_table(spark):
     assert run(spark, []) == []
     one = run(spark, [(1, None)])
     assert one[0].n_tokens == 1
+
+
+def test_rare_words_are_contexts_of_their_own(spark):
+    # However few words count as frequent, the model stays the same but for the sampling.
+    rows = corpus(5, 1500)
+    scores = []
+    for contexts in (2, 4096):
+        out = [r for r in run(spark, rows, contexts=contexts, tokens_per_bucket=2000) if r.held_out]
+        scores.append(10 ** (-sum(r.score for r in out) / sum(r.n_tokens for r in out)))
+    assert math.isclose(*scores, rel_tol=0.02)
