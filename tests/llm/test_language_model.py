@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkrinse.llm import language_model
+from sparkrinse.staging import stage
 
 
 def tokens(text):
@@ -107,3 +108,18 @@ def test_rare_words_are_contexts_of_their_own(spark):
         out = [r for r in run(spark, rows, contexts=contexts, tokens_per_bucket=2000) if r.held_out]
         scores.append(10 ** (-sum(r.score for r in out) / sum(r.n_tokens for r in out)))
     assert math.isclose(*scores, rel_tol=0.02)
+
+
+def test_hot_pairs_are_not_gathered(spark, monkeypatch):
+    sizes = []
+
+    def watched(df, label):
+        out = stage(df, label)
+        if label == "lm-buckets":
+            sizes.extend(sum(r.sizes) for r in out.filter("bucket >= 0").select("sizes").collect())
+        return out
+
+    monkeypatch.setattr(language_model, "stage", watched)
+    rows = [*corpus(6), *[(2000 + i, "x " * 2000) for i in range(30)]]
+    assert len(run(spark, rows, tokens_per_bucket=4000)) == len(rows)
+    assert len(sizes) > 1 and max(sizes) <= 4000
