@@ -123,3 +123,14 @@ def test_hot_pairs_are_not_gathered(spark, monkeypatch):
     rows = [*corpus(6), *[(2000 + i, "x " * 2000) for i in range(30)]]
     assert len(run(spark, rows, tokens_per_bucket=4000)) == len(rows)
     assert len(sizes) > 1 and max(sizes) <= 4000
+
+
+def test_repeated_tasks_name_the_same_portions(spark, monkeypatch):
+    def run_twice(df, label):
+        if label == "lm-buckets":
+            first, again = ({r[0] for r in df.select(F.explode("portions")).distinct().collect()} for _ in range(2))
+            assert first == again
+        return stage(df, label)
+
+    monkeypatch.setattr(language_model, "stage", run_twice)
+    assert len(run(spark, [(i, "a b") for i in range(5)])) == 5
