@@ -2,9 +2,10 @@
 
 Paths are first masked (every run of digits, every long hexadecimal run), then the tree grows level by
 level over the distinct masked paths of each host: the children of a node become a wildcard where they
-are many and rare, and sibling branches whose labelled shares do not differ significantly are merged.
-A template whose smoothed share of good labels is too low is rejected. Labels are what the rules say
-of the pages they fit; a template borrows from its host, a host from all pages.
+are many and rare, and sibling branches whose labelled shares do not differ significantly are merged, those
+without labels apart from the others. A template whose smoothed share of good labels is too low is
+rejected. Labels are what the rules say of the pages they fit. Shares lean to an even one, so a template
+without a labelled page of its own is never rejected, whatever stands beside it on the host.
 """
 from __future__ import annotations
 
@@ -22,6 +23,8 @@ MOST_PAGES_PER_CHILD = 4.0
 # Siblings are merged unless their shares differ by so many standard errors.
 APART = 2.0
 SMOOTHING = 4.0
+# The share of a branch without labels, to which others lean.
+EVEN = 0.5
 LEAST_PURITY = 0.5
 # Levels below this one are one open end of the template.
 MOST_LEVELS = 12
@@ -63,18 +66,13 @@ def template_table(paths: DataFrame) -> DataFrame:
     nodes = stage(
         paths.select("host", "masked", segments.alias("parts"), F.lit("").alias("prefix"), "n", "labelled", "bad"), "url-paths"
     )
-    rates = nodes.agg(F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled"), F.max(F.size("parts")).alias("depth")).collect()[0]
-    overall = ((rates["bad"] or 0) + 1.0) / ((rates["labelled"] or 0) + 2.0)
-    hosts = nodes.groupBy("host").agg(
-        ((F.sum("bad") + SMOOTHING * overall) / (F.sum("labelled") + SMOOTHING)).alias("host_share")
-    )
-    nodes = stage(nodes.join(hosts, "host"), "url-nodes")
-    for level in range(min(rates["depth"] or 0, MOST_LEVELS)):
+    depth = nodes.agg(F.max(F.size("parts"))).collect()[0][0] or 0
+    for level in range(min(depth, MOST_LEVELS)):
         nodes = stage(_grow(nodes, level), "url-nodes")
     open_end = F.when(F.size("parts") > MOST_LEVELS, F.lit("/**")).otherwise(F.lit(""))
     leaves = nodes.withColumn("template", F.concat(F.regexp_replace("prefix", "^/", ""), open_end))
     shares = leaves.groupBy("host", "template").agg(
-        ((F.sum("bad") + SMOOTHING * F.first("host_share")) / (F.sum("labelled") + SMOOTHING)).alias("share")
+        ((F.sum("bad") + SMOOTHING * EVEN) / (F.sum("labelled") + SMOOTHING)).alias("share")
     )
     return leaves.select("host", "masked", "template").join(shares, ["host", "template"]).select(
         "host", "masked", "template", (1 - F.col("share")).alias("purity")
@@ -86,27 +84,28 @@ def _grow(nodes: DataFrame, level: int) -> DataFrame:
     here = F.size("parts") > level
     part = F.get("parts", F.lit(level))
     branches = nodes.filter(here).groupBy("host", "prefix", part.alias("part")).agg(
-        F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"), F.first("host_share").alias("host_share")
+        F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")
     )
     totals = branches.groupBy("host", "prefix").agg(F.count("*").alias("children"), F.sum("n").alias("pages"))
     wild = (F.col("children") >= LEAST_CHILDREN) & (F.col("pages") <= MOST_PAGES_PER_CHILD * F.col("children"))
     known = branches.join(totals, ["host", "prefix"]).withColumn("wild", wild)
     # Branches in order of their smoothed share: a significant step up starts a new group.
     weight = F.col("labelled") + SMOOTHING
-    rated = known.withColumn("weight", weight).withColumn("share", (F.col("bad") + SMOOTHING * F.col("host_share")) / weight)
-    order = Window.partitionBy("host", "prefix").orderBy("share", "part")
+    rated = known.withColumn("weight", weight).withColumn("share", (F.col("bad") + SMOOTHING * EVEN) / weight)
+    rated = rated.withColumn("told", F.col("labelled") > 0)
+    order = Window.partitionBy("host", "prefix", "told").orderBy("share", "part")
     last_share, last_weight = F.lag("share").over(order), F.lag("weight").over(order)
     pooled = (F.col("share") * F.col("weight") + last_share * last_weight) / (F.col("weight") + last_weight)
     error = F.sqrt(pooled * (1 - pooled) * (1 / F.col("weight") + 1 / last_weight))
     step = F.when(F.col("share") - last_share > APART * error, 1).otherwise(0)
     grouped = rated.withColumn("step", step).withColumn("group", F.sum("step").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    names = grouped.filter("not wild").groupBy("host", "prefix", "group").agg(
+    names = grouped.filter("not wild").groupBy("host", "prefix", "told", "group").agg(
         F.count("*").alias("size"), F.min("part").alias("least"), F.max("part").alias("most"), F.collect_list(
             F.when(F.col("children") <= NAMED_BRANCHES, F.col("part"))).alias("members"),
     )
     several = F.when(F.size("members") > 0, F.array_join(F.array_sort("members"), "|")).otherwise(F.concat_ws("..", "least", "most"))
     label = F.when(F.col("size") == 1, F.col("least")).otherwise(F.concat(F.lit("{"), several, F.lit("}")))
-    merged = grouped.join(names.select("host", "prefix", "group", label.alias("label")), ["host", "prefix", "group"], "left").select(
+    merged = grouped.join(names.select("host", "prefix", "told", "group", label.alias("label")), ["host", "prefix", "told", "group"], "left").select(
         F.col("host").alias("b_host"), F.col("prefix").alias("b_prefix"), F.col("part").alias("b_part"),
         F.when(F.col("wild"), F.lit("*")).otherwise(F.col("label")).alias("label"),
     )

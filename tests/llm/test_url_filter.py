@@ -67,3 +67,12 @@ def test_templates(spark):
 def test_empty_table(spark):
     assert run(spark, []) == {}
     assert {r.verdict for r in run(spark, ["http://a/b", None], rules=()).values()} == {"allow"}
+
+
+def test_branches_without_labels_stay(spark):
+    urls = [f"http://a.example.com/{x}/{i}" for x in ("de", "en", "fr", "shop/new") for i in range(40)]
+    urls += [f"http://a.example.com/{x}{i}" for x in "pq" for i in range(3)]
+    found = run(spark, urls).values()
+    assert {r.verdict for r in found if r.path.startswith("/de/")} == {"block"}
+    assert {r.verdict for r in found if not r.path.startswith("/de/")} == {"allow"}
+    assert not {r.template for r in found if r.rule} & {r.template for r in found if not r.rule}
