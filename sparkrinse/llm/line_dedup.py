@@ -13,9 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkrinse.llm.quality_rules import let
+from sparkrinse.llm.words import SPACED_WORD
 from sparkrinse.staging import discard, stage
 
 EDITS = 2
+# Lines below this are compared exactly only: two edits would make a short line another one.
 LEAST_CHARACTERS = 24
 # Characters that are counted; any eight would do, frequent ones tell more.
 COUNTED = ("e", "n", "r", "t", "i", "s", "a", "o")
@@ -139,12 +141,13 @@ def within_edits(longer: Column, shorter: Column, edits: int) -> Column:
     return let(F.split(longer, ""), lambda a: let(F.split(shorter, ""), lambda b: distance(a, b))) <= edits
 
 
-def line_table(docs: DataFrame, id_column: str, text_column: str, least: int) -> DataFrame:
-    """Every line long enough: ``__id``, ``__row`` (hash of id and text), ``place`` (from 0), ``line``, ``h1``, ``h2``."""
+def line_table(docs: DataFrame, id_column: str, text_column: str, least: int | None) -> DataFrame:
+    """Every line long enough, without ``least`` every line with a word: ``__id``, ``__row`` (hash of id and text), ``place`` (from 0), ``line``, ``h1``, ``h2``."""
     text = F.col(text_column).cast("string")
+    counts = F.col("line").rlike(SPACED_WORD) if least is None else F.length("line") >= least
     return docs.select(
         F.col(id_column).alias("__id"), F.xxhash64(F.col(id_column), text).alias("__row"), F.posexplode(F.split(text, "\n")).alias("place", "line")
-    ).filter(F.length("line") >= least).withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), F.col("line"))})
+    ).filter(counts).withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), F.col("line"))})
 
 
 def close_lines(known: DataFrame, edits: int) -> DataFrame:
@@ -186,16 +189,16 @@ def close_lines(known: DataFrame, edits: int) -> DataFrame:
 
 
 def duplicate_lines(
-    docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", edits: int = EDITS, least: int = LEAST_CHARACTERS
+    docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", edits: int = EDITS, least: int | None = None
 ) -> DataFrame:
     """The lines to drop: ``__id``, ``__row``, ``place`` and ``near`` (false: equal to an earlier line).
 
     Lines are ordered by document id (null first), then place. A line goes if an equal line stands
     earlier, or if a line within ``edits`` (insert, delete or replace a character) first stands earlier,
-    whether that one stays or not. Lines of fewer than ``least`` characters stay, and so do all lines of
-    null and empty texts. Rows with the same id and the same line at the same place do not drop each other.
+    whether that one stays or not. Equal lines are found at any length, close ones from ``LEAST_CHARACTERS``
+    on; blank lines stay. With ``least`` both begin at that many characters, and shorter lines stay. Rows with the same id and the same line at the same place do not drop each other.
     """
-    if least <= edits:
+    if least is not None and least <= edits:
         raise ValueError("least must be above edits")
     lines = line_table(docs, id_column, text_column, least)
     known = stage(
@@ -204,7 +207,8 @@ def duplicate_lines(
         ).withColumn("id", candidate_id(F.col("line"))),
         "lines",
     )
-    near = close_lines(known, edits).withColumn("is_near", F.lit(True))
+    compared = known if least is not None else known.filter(F.length("line") >= max(LEAST_CHARACTERS, edits + 1))
+    near = close_lines(compared, edits).withColumn("is_near", F.lit(True))
     affected = stage(
         known.select("h1", "h2", "first", "n").join(near, ["h1", "h2"], "left").filter((F.col("n") > 1) | F.col("is_near")),
         "lines-affected",
@@ -218,7 +222,7 @@ def duplicate_lines(
     )
 
 
-def _dropped(docs: DataFrame, id_column: str, text_column: str, edits: int, least: int) -> DataFrame:
+def _dropped(docs: DataFrame, id_column: str, text_column: str, edits: int, least: int | None) -> DataFrame:
     found = duplicate_lines(docs, id_column=id_column, text_column=text_column, edits=edits, least=least)
     return found.groupBy("__id", "__row").agg(
         F.array_sort(F.collect_set("place")).alias("__dropped"), F.array_sort(F.collect_set(F.when(F.col("near"), F.col("place")))).alias("__near")
@@ -226,7 +230,7 @@ def _dropped(docs: DataFrame, id_column: str, text_column: str, edits: int, leas
 
 
 def line_report(
-    docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", edits: int = EDITS, least: int = LEAST_CHARACTERS
+    docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", edits: int = EDITS, least: int | None = None
 ) -> DataFrame:
     """One row per document: doc_id, n_lines, n_exact, n_near, dropped (sorted line numbers from 0)."""
     text = F.col(text_column).cast("string")
@@ -246,7 +250,7 @@ def line_report(
 
 
 def drop_duplicate_lines(
-    docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", edits: int = EDITS, least: int = LEAST_CHARACTERS
+    docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", edits: int = EDITS, least: int | None = None
 ) -> DataFrame:
     """``docs`` without the dropped lines, columns as they were; a document that loses all its text goes."""
     text = F.col(text_column).cast("string")

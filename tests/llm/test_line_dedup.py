@@ -97,3 +97,10 @@ def test_rewritten_texts(spark):
         (1, rows[0][1]), (3, "short\nand another one of its own"), (4, None), (5, ""),
     ]
     assert line_dedup.drop_duplicate_lines(df.drop("__dropped").limit(0)).count() == 0
+
+
+def test_short_lines_repeat_exactly(spark):
+    rows = [(1, "Les.\n\nx\n \t\nLes."), (2, "Lea.\nx\n\n \t\nñ"), (3, "Les.\nñ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted((r.doc_id, r.n_lines, r.n_exact, r.n_near, r.dropped) for r in line_dedup.line_report(df).collect())
+    assert found == [(1, 5, 1, 0, [4]), (2, 5, 1, 0, [1]), (3, 2, 2, 0, [0, 1])]
