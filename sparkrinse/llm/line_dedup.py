@@ -252,12 +252,12 @@ def line_report(
 def drop_duplicate_lines(
     docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", edits: int = EDITS, least: int | None = None
 ) -> DataFrame:
-    """``docs`` without the dropped lines, columns as they were; a document that loses all its text goes."""
+    """``docs`` without the dropped lines, columns as they were; a document that loses all its words goes."""
     text = F.col(text_column).cast("string")
     dropped = _dropped(docs, id_column, text_column, edits, least)
     on = F.col(f"`{id_column}`").eqNullSafe(F.col("__d_id")) & (F.col("__t_row") == F.col("__d_row"))
     kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(F.col("__dropped"), i)), "\n")
     rest = F.when(F.col("__dropped").isNull(), text).otherwise(kept)
     joined = docs.withColumn("__t_row", F.xxhash64(F.col(id_column), text)).join(dropped, on, "left").withColumn(text_column, rest)
-    lost = F.col("__dropped").isNotNull() & (F.trim(F.col(text_column)) == "")
+    lost = F.col("__dropped").isNotNull() & ~F.col(f"`{text_column}`").rlike(SPACED_WORD)
     return joined.filter(~lost).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -104,3 +104,11 @@ def test_short_lines_repeat_exactly(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     found = sorted((r.doc_id, r.n_lines, r.n_exact, r.n_near, r.dropped) for r in line_dedup.line_report(df).collect())
     assert found == [(1, 5, 1, 0, [4]), (2, 5, 1, 0, [1]), (3, 2, 2, 0, [0, 1])]
+
+
+def test_whole_copies_leave_nothing(spark):
+    text = "a line that is long enough for the edit join\n\nLes.\n \t\r\n\nand another line that is long enough"
+    rows = [(1, text), (2, text), (3, "the only line of this text\n\n"), (4, "the only line of this text\n\n\n"), (5, "\n\n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = line_dedup.drop_duplicate_lines(df)
+    assert sorted((r.doc_id, r.text) for r in out.collect()) == [rows[0], rows[2], rows[4]]
