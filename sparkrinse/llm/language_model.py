@@ -15,6 +15,7 @@ sweeps. A seating is a function of the seed, the sweep and the bucket, so a lost
 from __future__ import annotations
 
 import dataclasses
+import gc
 import itertools
 import re
 import uuid
@@ -40,9 +41,9 @@ BUCKETS_PER_PART = 4
 STRENGTH, ROOT_STRENGTH, ROOT_DISCOUNT = 1.0, 1.0, 0.75
 END = 0  # key of the end of a text; as a context the same key is the start of a text
 PORTION = "portion string, documents binary, names binary, tokens binary"
-BLOCK = "bucket int, portion string, words binary, repeats binary, contexts binary, customers binary"
+BLOCK = "bucket int, portion string, words binary, repeats binary, names binary, contexts binary, customers binary"
 BUCKET = (
-    "bucket int, portions array<string>, sizes array<bigint>, inverse binary, names binary, w binary, c binary, n binary, "
+    "bucket int, portions array<string>, sizes array<bigint>, places array<binary>, names binary, w binary, c binary, n binary, "
     "tokens bigint, pairs_once bigint, pairs_twice bigint"
 )
 SEATED = "part int, bucket int, names binary, sums binary"
@@ -58,7 +59,7 @@ def _names(schema: str) -> list[str]:
 def _kinds(schema: str) -> list[pa.DataType]:
     known = {
         "int": pa.int32(), "bigint": pa.int64(), "string": pa.string(), "binary": pa.binary(),
-        "array<string>": pa.list_(pa.string()), "array<bigint>": pa.list_(pa.int64()),
+        "array<string>": pa.list_(pa.string()), "array<bigint>": pa.list_(pa.int64()), "array<binary>": pa.list_(pa.binary()),
     }
     return [known[k] for k in re.findall(r"\w+ ([\w<>]+)", schema)]
 
@@ -88,6 +89,32 @@ def frequent_words(chosen: DataFrame, number: int) -> list[tuple[str, int]]:
     return [tuple(r) for r in counted.orderBy(F.desc("n"), "word").limit(number).collect()]
 
 
+def _packed(*arrays: np.ndarray) -> bytes:
+    """Whole numbers from zero on, each array in as few bytes a number as its largest needs."""
+    out = []
+    for values in arrays:
+        kind = np.min_scalar_type(int(values.max()) if len(values) else 0)
+        out += [bytes([kind.itemsize]), len(values).to_bytes(8, "little"), values.astype(kind).tobytes()]
+    return b"".join(out)
+
+
+def _unpacked(data: bytes) -> list[np.ndarray]:
+    out, at = [], 0
+    while at < len(data):
+        kind, number = np.dtype(f"u{data[at]}"), int.from_bytes(data[at + 1:at + 9], "little")
+        out.append(np.frombuffer(data, kind, number, at + 9).astype(np.int64))
+        at += 9 + number * kind.itemsize
+    return out
+
+
+def _steps(rising: np.ndarray) -> bytes:
+    return _packed(np.diff(rising, prepend=0))
+
+
+def _from_steps(data: bytes) -> np.ndarray:
+    return np.cumsum(_unpacked(data)[0])
+
+
 def word_keys(words: np.ndarray) -> np.ndarray:
     if not len(words):
         return np.zeros(0, np.int64)
@@ -118,6 +145,11 @@ def _to_portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pa.default_memory_pool().release_unused()
 
 
+def _part(keys: np.ndarray, parts: int) -> np.ndarray:
+    """The part that holds a word: parts are stretches of the keys in order."""
+    return ((keys & np.int64((1 << 62) - 1)) >> 31) * parts >> 31
+
+
 class Pairs:
     """The distinct (word, context) of a portion in order of their buckets, and where its tokens stand."""
 
@@ -148,9 +180,9 @@ def _to_blocks(frequent: np.ndarray, buckets: int):
             rows = []
             for b, a, z in zip(*_stretches(pairs.bucket)):
                 words, first, last = _stretches(pairs.words[a:z])
+                names, at = np.unique(pairs.contexts[a:z], return_inverse=True)
                 rows.append((
-                    int(b), row["portion"], words.tobytes(), (last - first).astype(np.int32).tobytes(), pairs.contexts[a:z].tobytes(),
-                    pairs.customers[a:z].astype(np.int32).tobytes(),
+                    int(b), row["portion"], words.tobytes(), _packed(last - first), names.tobytes(), _packed(at), _packed(pairs.customers[a:z]),
                 ))
             yield _batch(rows, BLOCK)
 
@@ -176,24 +208,22 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     return (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
 
 
-def _gather(parts: int):
+def _gather():
     """All blocks of a bucket as one row, every pair once with its training count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, group in itertools.groupby(_rows(batches), key=lambda r: r[0]):
             blocks = list(group)
-            w = np.repeat(np.concatenate([np.frombuffer(b[2], np.int64) for b in blocks]), np.concatenate([np.frombuffer(b[3], np.int32) for b in blocks]))
-            c = np.concatenate([np.frombuffer(b[4], np.int64) for b in blocks])
-            names, at = np.unique(np.concatenate([w, c]), return_inverse=True)
-            order = np.lexsort((names, _dealt(names, parts)))
-            rank = np.empty(len(order), np.int64)
-            rank[order] = np.arange(len(order))
-            at = rank[at]
+            w = np.concatenate([np.repeat(np.frombuffer(b[2], np.int64), _unpacked(b[3])[0]) for b in blocks])
+            contexts = [np.frombuffer(b[4], np.int64)[_unpacked(b[5])[0]] for b in blocks]
+            sizes = [len(c) for c in contexts]
+            names, at = np.unique(np.concatenate([w, *contexts]), return_inverse=True)
             pairs, inverse = np.unique(at[:len(w)] * len(names) + at[len(w):], return_inverse=True)
-            n = np.bincount(inverse, weights=np.concatenate([np.frombuffer(b[5], np.int32) for b in blocks])).astype(np.int64)
+            n = np.bincount(inverse, weights=np.concatenate([_unpacked(b[6])[0] for b in blocks])).astype(np.int64)
+            # Blocks are in the order of the bucket's pairs.
+            places = [_steps(part) for part in np.split(inverse, np.cumsum(sizes)[:-1])]
             yield _batch([(
-                bucket, [b[1] for b in blocks], [len(b[4]) // 8 for b in blocks], inverse.astype(np.int32).tobytes(), names[order].tobytes(),
-                (pairs // len(names)).astype(np.int32).tobytes(), (pairs % len(names)).astype(np.int32).tobytes(), n.tobytes(),
+                bucket, [b[1] for b in blocks], sizes, places, names.tobytes(), _steps(pairs // len(names)), _packed(pairs % len(names)), _packed(n),
                 int(n.sum()), int((n == 1).sum()), int((n == 2).sum()),
             )], BUCKET)
             pa.default_memory_pool().release_unused()
@@ -274,10 +304,10 @@ def _seat(sweep: int, root: Root | None, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (bucket, names, *arrays), states in _with_buckets(batches):
             names = np.frombuffer(names, np.int64)
-            w, c, n = (np.frombuffer(a, k) for a, k in zip(arrays, (np.int32, np.int32, np.int64)))
+            w, c, n = _from_steps(arrays[0]), _unpacked(arrays[1])[0], _unpacked(arrays[2])[0]
             sat = _seat_bucket(bucket, w, c, n, sweep, states.get(sweep - 1), root)
-            sums = np.stack([np.bincount(at, weights=v, minlength=len(names)) for v in (sat, n) for at in (w, c)]).astype(np.int64)
-            rows = [(int(p), bucket, names[a:z].tobytes(), sums[:, a:z].tobytes()) for p, a, z in zip(*_stretches(_dealt(names, parts)))]
+            sums = [np.bincount(at, weights=v, minlength=len(names)).astype(np.int64) for v in (sat, n) for at in (w, c)]
+            rows = [(int(p), bucket, names[a:z].tobytes(), _packed(*(v[a:z] for v in sums))) for p, a, z in zip(*_stretches(_part(names, parts)))]
             yield _batch(rows, SEATED)
             pa.default_memory_pool().release_unused()
 
@@ -290,7 +320,7 @@ def _with_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, di
         own = next(group)[4:]
         answers: dict[int, list] = {}
         for row in group:
-            answers.setdefault(row[1], []).append(np.frombuffer(row[3], np.int64).reshape(5, -1))
+            answers.setdefault(row[1], []).append(np.stack(_unpacked(row[3])))
         yield (bucket, *own), {sweep: np.concatenate(found, axis=1) for sweep, found in answers.items()}
 
 
@@ -299,7 +329,7 @@ def _answer(sweep: int, root: Root | None):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, group in itertools.groupby(_rows(batches), key=lambda r: r[0]):
-            sent = [(r[1], np.frombuffer(r[2], np.int64), np.frombuffer(r[3], np.int64).reshape(4, -1)) for r in group]
+            sent = [(r[1], np.frombuffer(r[2], np.int64), np.stack(_unpacked(r[3]))) for r in group]
             names, at = np.unique(np.concatenate([s[1] for s in sent]), return_inverse=True)
             values = np.concatenate([s[2] for s in sent], axis=1)
             tables, inner, count, customers = (np.bincount(at, weights=v, minlength=len(names)).astype(np.int64) for v in values)
@@ -311,7 +341,7 @@ def _answer(sweep: int, root: Root | None):
             whole = (int(tables.sum()), int(at_root.sum()), int((count > 0).sum()))
             done = 0
             for bucket, own, _ in sent:
-                yield _batch([(bucket, part, state[:, at[done:done + len(own)]].tobytes(), *whole)], STATE)
+                yield _batch([(bucket, part, _packed(*state[:, at[done:done + len(own)]]), *whole)], STATE)
                 done += len(own)
                 whole = (0, 0, 0)
 
@@ -322,8 +352,8 @@ def _score(used: list[tuple[int, Root, Root]]):
     """For every block the logs of its pairs' probabilities and the counts of their words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (bucket, names, w, c, n, inverse, names_of, sizes), states in _with_buckets(batches):
-            w, c, n, inverse = (np.frombuffer(a, k) for a, k in zip((w, c, n, inverse), (np.int32, np.int32, np.int64, np.int32)))
+        for (bucket, _, w, c, n, places, portions_of), states in _with_buckets(batches):
+            w, c, n = _from_steps(w), _unpacked(c)[0], _unpacked(n)[0]
             chance = np.zeros(len(w))
             for sweep, before, after in used:
                 sat = _seat_bucket(bucket, w, c, n, sweep, states[sweep - 1], before)
@@ -331,11 +361,9 @@ def _score(used: list[tuple[int, Root, Root]]):
                 chance += (n - after.discount * sat + (STRENGTH + after.discount * state[2][c]) * after.base(state)[w]) / (STRENGTH + state[4][c])
             logs = np.log10(chance / len(used)).astype(np.float32)
             counts = state[3][w]
-            at = 0
-            for portion, size in zip(names_of, sizes):
-                block = inverse[at:at + size]
-                at += size
-                yield _batch([(portion, bucket, logs[block].tobytes(), counts[block].tobytes())], ANSWER)
+            for portion, place in zip(portions_of, places):
+                block = _from_steps(place)
+                yield _batch([(portion, bucket, logs[block].tobytes(), _packed(counts[block]))], ANSWER)
 
     return run
 
@@ -349,7 +377,7 @@ def _finish(frequent: np.ndarray, buckets: int):
             pairs = Pairs(documents, names, tokens, frequent, buckets)
             answers = [(r[2], r[3]) for r in group]
             logs = np.concatenate([np.frombuffer(a, np.float32) for a, _ in answers])
-            counts = np.concatenate([np.frombuffer(b, np.int64) for _, b in answers])
+            counts = np.concatenate([_unpacked(b)[0] for _, b in answers])
             docs = pairs.documents.num_rows
             base, scored, known = (
                 np.bincount(pairs.places, weights=v[pairs.inverse], minlength=docs) for v in (np.log10(counts + 0.5), logs, counts > 0)
@@ -362,6 +390,12 @@ def _finish(frequent: np.ndarray, buckets: int):
     return run
 
 
+def _let_go(df: DataFrame) -> None:
+    """Spark deletes the shuffles of finished jobs when the driver's memory is cleaned, seldom by itself."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def score(
     docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", folds: int = 5, held: int = 1, contexts: int = CONTEXTS,
     tokens_per_bucket: int = TOKENS_PER_BUCKET,
@@ -382,7 +416,8 @@ def score(
     # Stored before anything is dealt: a repeated task reads the same portions under the same names.
     stored = stage(chosen.mapInArrow(_to_portions, PORTION), "lm-portions")
     blocks = stored.mapInArrow(_to_blocks(frequent, buckets), BLOCK).repartition(max(buckets, 2), "bucket")
-    gathered = stage(blocks.sortWithinPartitions("bucket", "portion").mapInArrow(_gather(parts), BUCKET), "lm-buckets")
+    gathered = stage(blocks.sortWithinPartitions("bucket", "portion").mapInArrow(_gather(), BUCKET), "lm-buckets")
+    del blocks
     known, n1, n2 = gathered.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "pairs_once", "pairs_twice")]).collect()[0]
     discount = min(0.95, max(0.1, n1 / (n1 + 2 * n2))) if n1 else 0.5
     seats = ["names", "w", "c", "n"]
@@ -397,9 +432,14 @@ def score(
         roots[sweep] = Root(types, discount, total, root_total)
         if 0 < sweep <= SWEEPS - AVERAGED:
             discard(states.pop(sweep - 1))
+        del sent
+        _let_go(docs)
     used = [(sweep, roots[sweep - 1], roots[sweep]) for sweep in range(SWEEPS - AVERAGED + 1, SWEEPS + 1)]
-    columns = [*seats, "inverse", "portions", "sizes"]
-    answers = _joined(gathered, states, columns, max(buckets, 2)).mapInArrow(_score(used), ANSWER)
+    columns = [*seats, "places", "portions"]
+    answers = stage(_joined(gathered, states, columns, max(buckets, 2)).mapInArrow(_score(used), ANSWER), "lm-answers")
+    for done in (gathered, *states.values()):
+        discard(done)
+    _let_go(docs)
     nothing = F.lit(None).cast("binary")
     both = stored.select("portion", F.lit(-1).alias("bucket"), nothing.alias("logs"), nothing.alias("counts"), "documents", "names", "tokens").unionByName(
         answers.withColumns({"documents": nothing, "names": nothing, "tokens": nothing})
