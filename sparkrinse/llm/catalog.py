@@ -2,8 +2,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sparkrinse.llm import decontaminate, language_model, line_dedup, near_duplicates, packing, quality_rules, repeats, secret_scan, url_filter, warc
+from sparkrinse.llm import decontaminate, exact_search, hard_negatives, language_model, line_dedup, near_duplicates, packing, quality_rules, repeats, secret_scan, url_filter, warc
 from sparkrinse.staging import fresh_path
 
 QUERIES = {}
@@ -76,3 +77,52 @@ def op3_repeated_strings(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op4_language_model(spark: SparkSession, folder: str) -> DataFrame:
     return language_model.score(table(spark, folder, "documents"))
+
+
+@query
+def op13_exact_search(spark: SparkSession, folder: str) -> DataFrame:
+    return exact_search.top_k(table(spark, folder, "embeddings"), F.col("id") % 20 == 0, 20, scale=64)
+
+
+ORACLES["op13_exact_search"] = """
+with rows as (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as hugeint)) v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), scored as (
+  select q.vec_id query_id, r.vec_id,
+    cast(list_sum(list_transform(list_zip(q.v, r.v), lambda z: z[1] * z[2])) as bigint) score
+  from rows q join rows r on q.vec_id % 20 = 0 and q.vec_id != r.vec_id
+), ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id) n from scored)
+select query_id, cast(n as integer) "rank", vec_id, score from ranked where n <= 20
+"""
+
+
+@query
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    label = F.col("label").cast("bigint")
+    rows = table(spark, folder, "embeddings").withColumn("label", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label))
+    return hard_negatives.mine(rows, F.col("id") % 100 == 0)
+
+
+ORACLES["op11_hard_negatives"] = """
+with rows as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end label,
+    list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as hugeint)) v from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), scored as (
+  select a.vec_id anchor_id, r.vec_id, a.label = r.label same,
+    list_sum(list_transform(list_zip(a.v, r.v), lambda z: z[1] * z[2])) score
+  from rows a join rows r on a.vec_id % 100 = 0 and a.vec_id != r.vec_id
+), positives as (
+  select anchor_id, vec_id positive_id, score positive_score from scored where same
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5
+), negatives as (
+  select p.anchor_id, p.positive_id, s.vec_id negative_id, p.positive_score, s.score negative_score,
+    row_number() over (partition by p.anchor_id, p.positive_id order by s.score desc, s.vec_id) n
+  from positives p join scored s on p.anchor_id = s.anchor_id and not s.same
+    and 100 * s.score between 30 * p.positive_score and 90 * p.positive_score
+)
+select anchor_id, positive_id, cast(n as integer) "rank", negative_id,
+  cast(positive_score as bigint) positive_score, cast(negative_score as bigint) negative_score
+from negatives where n <= 10
+"""
