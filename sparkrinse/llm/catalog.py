@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkrinse.llm import decontaminate, exact_search, hard_negatives, language_model, line_dedup, near_duplicates, packing, quality_rules, repeats, secret_scan, url_filter, warc
+from sparkrinse.llm import decontaminate, exact_search, hard_negatives, language_model, line_dedup, near_duplicates, packing, phrases, quality_rules, repeats, secret_scan, url_filter, warc
 from sparkrinse.staging import fresh_path
 
 QUERIES = {}
@@ -126,3 +126,46 @@ select anchor_id, positive_id, cast(n as integer) "rank", negative_id,
   cast(positive_score as bigint) positive_score, cast(negative_score as bigint) negative_score
 from negatives where n <= 10
 """
+
+
+@query
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(table(spark, folder, "documents"))
+
+
+ORACLES["op12_collocations"] = r"""
+with pieces as (
+  select coalesce(lang, 'und') lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) piece
+  from documents
+), words as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') w from pieces),
+grams as (
+  select lang, 1 size, unnest(w) phrase from words
+  union all select lang, 2, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) from words
+  union all select lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) from words
+),
+counts as materialized (select lang, size, phrase, count(*) n from grams group by all having n >= 10),
+totals as (select lang, sum(len(w)) n from words group by lang),
+phrases as (select lang, size, phrase, n a, string_split(phrase, ' ') w from counts where size > 1),
+longer as (
+  select lang, phrase, max(a) most from (
+    select lang, a, w[1] || ' ' || w[2] phrase from phrases where size = 3
+    union all select lang, a, w[2] || ' ' || w[3] from phrases where size = 3) group by all
+),
+free as (
+  select p.* from phrases p left join longer using (lang, phrase) where most is null or 100 * most < 50 * a
+),
+cuts as (
+  select lang, phrase, a, 1 k, w[1] head, array_to_string(w[2:], ' ') tail from free
+  union all select lang, phrase, a, 2, w[1] || ' ' || w[2], w[3] from free where size = 3
+),
+scored as (
+  select c.lang, c.phrase, c.a, l.n l, r.n r, cast((1000000::hugeint * c.a * c.a) // (l.n::hugeint * r.n) as bigint) score, k
+  from cuts c join counts l on l.lang = c.lang and l.phrase = c.head join counts r on r.lang = c.lang and r.phrase = c.tail
+),
+lowest as (select * from scored qualify row_number() over (partition by lang, phrase order by score, k) = 1)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) "rank", phrase, a, l, r,
+  cast(t.n as bigint) n, score
+from lowest join totals t using (lang)
+qualify "rank" <= 2000
+"""
