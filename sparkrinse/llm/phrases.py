@@ -28,9 +28,9 @@ from sparkrinse.staging import discard, stage
 SAMPLE, LOWERED = 4, 0.8
 # Bits of a set of proposed phrases: 8 MB whatever the corpus.
 BITS = 26
-PORTION_BYTES = 8 << 20
+PORTION_BYTES = 4 << 20
 # Distinct phrases that a task gathers before it hands them on, and that one task adds up.
-GATHERED, ADDED = 4_000_000, 2_000_000
+GATHERED, ADDED = 2_000_000, 2_000_000
 # Bytes of text for one word, to choose how many tasks add up counts.
 WORD_BYTES = 6
 # Bytes that end a piece, and that part words.
@@ -176,8 +176,8 @@ def cut(texts: pa.Array, langs: list[str]) -> Iterator[tuple[pa.Array, list[str]
 
 
 def _summed(numbers: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    each, total = np.concatenate(numbers), np.concatenate(counts)
-    order = np.argsort(each, kind="stable")
+    each, total = np.concatenate(numbers), np.concatenate(counts).astype(np.int64)
+    order = np.argsort(each)
     each, total = each[order], total[order]
     first = np.flatnonzero(np.concatenate([[True], each[1:] != each[:-1]])) if len(each) else np.zeros(0, np.int64)
     return each[first], np.add.reduceat(total, first) if len(first) else total
@@ -209,7 +209,7 @@ def _count(shared, sizes: list[int], parts: int):
                 for size, _, numbers in asked.counted(Words(texts), langs, sizes):
                     found, n = np.unique(numbers, return_counts=True)
                     held[size][0].append(found)
-                    held[size][1].append(n)
+                    held[size][1].append(n.astype(np.uint32))
                     if sum(map(len, held[size][0])) > GATHERED:
                         yield handed_on(size)
         for size in sizes:
@@ -223,7 +223,7 @@ def _add(least: int):
     def add(group: pa.Table) -> pa.Table:
         numbers, counts = _summed(
             [np.frombuffer(x, np.uint64) for x in group.column("numbers").to_pylist()],
-            [np.frombuffer(x, np.uint32).astype(np.int64) for x in group.column("counts").to_pylist()],
+            [np.frombuffer(x, np.uint32) for x in group.column("counts").to_pylist()],
         )
         enough = numbers[counts >= least]
         size = group.column("size")[0].as_py()
