@@ -22,15 +22,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkrinse.llm.words import portions
-from sparkrinse.staging import discard, stage
+from sparkrinse.staging import stage
 
 # One document in so many is in the sample; a phrase is proposed if it has this share of what it needs there.
 SAMPLE, LOWERED = 4, 0.8
 # Bits of a set of proposed phrases: 8 MB whatever the corpus.
 BITS = 26
-PORTION_BYTES = 4 << 20
+PORTION_BYTES = 2 << 20
 # Distinct phrases that a task gathers before it hands them on, and that one task adds up.
-GATHERED, ADDED = 2_000_000, 2_000_000
+GATHERED, ADDED = 1_000_000, 2_000_000
 # Bytes of text for one word, to choose how many tasks add up counts.
 WORD_BYTES = 6
 # Bytes that end a piece, and that part words.
@@ -112,16 +112,6 @@ class Filter:
         return not (self.bits & ~other.bits).any()
 
 
-def filter_of(numbers: DataFrame) -> Filter:
-    """The bitmap of rows ``number``: at most 2**BITS / 64 words of it come to the driver, whatever their count."""
-    bit = f"shiftrightunsigned(number, {64 - BITS})"
-    words = numbers.selectExpr(f"shiftright({bit}, 6) word", f"shiftleft(1L, cast({bit} & 63 as int)) bit")
-    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    bits = np.zeros(max(1, 2**BITS // 64), np.int64)
-    bits[found.column(0).to_numpy()] = found.column(1).to_numpy()
-    return Filter(bits.view(np.uint8))
-
-
 def phrase_numbers(words: Words, langs: list[str]) -> np.ndarray:
     of = np.array([lang_number(x) for x in langs], np.uint64)
     return _mixed(word_numbers(words.data, words.starts, words.ends) ^ of[words.text]) if len(words.starts) else np.zeros(0, np.uint64)
@@ -183,25 +173,23 @@ def _summed(numbers: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.nda
     return each[first], np.add.reduceat(total, first) if len(first) else total
 
 
-def _count(shared, sizes: list[int], parts: int):
-    """Counts of the phrases of a round, as packed numbers dealt by number."""
+def _count(shared, sizes: list[int], doublings: int):
+    """Counts of the phrases of a round, as packed numbers dealt by their leading bits."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, before, longest = shared.value
         asked = Round([Filter(b) for b in now], None if before is None else [Filter(b) for b in before], longest)
         held: dict[int, tuple[list, list]] = {s: ([], []) for s in sizes}
+        firsts = [p << 64 - doublings for p in range(2**doublings)] if doublings else [0]
 
         def handed_on(size: int) -> pa.RecordBatch:
             numbers, counts = _summed(*held[size])
             held[size] = ([], [])
-            part = (numbers % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            bounds = np.searchsorted(part[order], np.arange(parts + 1))
-            used = [p for p in range(parts) if bounds[p + 1] > bounds[p]]
-            places = [order[bounds[p]:bounds[p + 1]] for p in used]
+            bounds = [*np.searchsorted(numbers, np.array(firsts, np.uint64)).tolist(), len(numbers)]
+            used = [(p, lo, hi) for p, (lo, hi) in enumerate(zip(bounds, bounds[1:])) if hi > lo]
             return pa.RecordBatch.from_arrays([
-                pa.array(used, pa.int32()), pa.array([size] * len(used), pa.int32()),
-                pa.array([numbers[at].tobytes() for at in places], pa.binary()),
-                pa.array([counts[at].astype(np.uint32).tobytes() for at in places], pa.binary()),
+                pa.array([p for p, _, _ in used], pa.int32()), pa.array([size] * len(used), pa.int32()),
+                pa.array([numbers[lo:hi].tobytes() for _, lo, hi in used], pa.binary()),
+                pa.array([counts[lo:hi].astype(np.uint32).tobytes() for _, lo, hi in used], pa.binary()),
             ], ["part", "size", "numbers", "counts"])
 
         for batch in batches:
@@ -219,25 +207,36 @@ def _count(shared, sizes: list[int], parts: int):
     return count
 
 
-def _add(least: int):
+def _add(least: int, doublings: int, bits: int):
     def add(group: pa.Table) -> pa.Table:
         numbers, counts = _summed(
             [np.frombuffer(x, np.uint64) for x in group.column("numbers").to_pylist()],
             [np.frombuffer(x, np.uint32) for x in group.column("counts").to_pylist()],
         )
-        enough = numbers[counts >= least]
-        size = group.column("size")[0].as_py()
-        return pa.table({"size": pa.array([size] * len(enough), pa.int32()), "number": pa.array(enough.view(np.int64))})
+        marked = np.zeros(2 ** (bits - doublings), bool)
+        marked[(numbers[counts >= least] >> np.uint64(64 - bits)) & np.uint64(len(marked) - 1)] = True
+        return pa.table({
+            "part": group.column("part")[:1], "size": group.column("size")[:1],
+            "bits": pa.array([np.packbits(marked, bitorder="little").tobytes()], pa.binary()),
+        })
 
     return add
 
 
-def frequent(docs: DataFrame, asked: Round, sizes: list[int], least: int, parts: int) -> DataFrame:
-    """size, number of the phrases that a round counts at least ``least`` times."""
+def frequent(docs: DataFrame, asked: Round, sizes: list[int], least: int, doublings: int) -> dict[int, Filter]:
+    """For each size the phrases that a round counts at least ``least`` times, 2**BITS bits each whatever their count.
+
+    A task adds up the numbers with the same ``doublings`` leading bits, which are one slice of the bitmap.
+    """
+    doublings = min(doublings, BITS - 3)
     before = None if asked.before is None else [f.bits for f in asked.before]
     shared = docs.sparkSession.sparkContext.broadcast(([f.bits for f in asked.now], before, asked.longest))
-    counts = docs.mapInArrow(_count(shared, sizes, parts), COUNTED)
-    return stage(counts.groupBy("part", "size").applyInArrow(_add(least), "size int, number bigint"), "phrases")
+    counts = docs.mapInArrow(_count(shared, sizes, doublings), COUNTED)
+    slices = counts.groupBy("part", "size").applyInArrow(_add(least, doublings, BITS), "part int, size int, bits binary").toArrow()
+    found = {size: np.zeros((2**doublings, 2 ** (BITS - doublings - 3)), np.uint8) for size in sizes}
+    for part, size, bits in zip(*[column.to_pylist() for column in slices.columns]):
+        found[size][part] = np.frombuffer(bits, np.uint8)
+    return {size: Filter(bits.ravel()) for size, bits in found.items()}
 
 
 def _spell(shared):
@@ -303,23 +302,19 @@ def phrase_counts(docs: DataFrame, longest: int, support: int) -> DataFrame:
     ``docs`` has the columns text and lang without nulls. Size 0 has all words of the language.
     """
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = -(-size // (WORD_BYTES * ADDED)) or 1
+    doublings = (size // (WORD_BYTES * ADDED)).bit_length()
     sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0)
     lowered = max(1, int(LOWERED * support / SAMPLE))
     counted: list[Filter] = []
     for k in range(1, longest):
-        found = frequent(sample, Round(counted, None, longest), [k], lowered, parts)
-        counted = [*counted, filter_of(found.select("number"))]
-        discard(found)
-    found = frequent(docs, Round(counted, None, longest), list(range(1, longest + 1)), support, parts)
-    while True:
-        sure = [filter_of(found.where(F.col("size") == k).select("number")) for k in range(1, longest + 1)]
-        if all(a.within(b) for a, b in zip(sure, counted)):
-            break
+        counted.append(frequent(sample, Round(counted, None, longest), [k], lowered, doublings)[k])
+    sizes = list(range(1, longest + 1))
+    sure = list(frequent(docs, Round(counted, None, longest), sizes, support, doublings).values())
+    while not all(a.within(b) for a, b in zip(sure, counted)):
         # Failures of the border: phrases with a part that was not open when phrases were counted.
-        more = frequent(docs, Round(sure[:-1], counted, longest), list(range(2, longest + 1)), support, parts)
-        found = found.unionByName(more)
+        more = frequent(docs, Round(sure[:-1], counted, longest), sizes[1:], support, doublings)
         counted = [a.union(b) for a, b in zip(sure, counted)]
+        sure = [sure[0], *[sure[k - 1].union(more[k]) for k in sizes[1:]]]
     shared = docs.sparkSession.sparkContext.broadcast([f.bits for f in sure])
     each = docs.mapInArrow(_spell(shared), SPELLED).groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"))
     return stage(each.where((F.col("n") >= support) | (F.col("size") == 0)), "phrase-counts")

@@ -88,7 +88,7 @@ def test_failures_of_the_border_open_further_passes(spark, monkeypatch):
     passes = []
     counted = phrases.frequent
     monkeypatch.setattr(phrases, "SAMPLE", 1_000_000)
-    monkeypatch.setattr(phrases, "frequent", lambda docs, asked, sizes, least, parts: passes.append(sizes) or counted(docs, asked, sizes, least, parts))
+    monkeypatch.setattr(phrases, "frequent", lambda docs, asked, sizes, least, parts: passes.append(list(sizes)) or counted(docs, asked, sizes, least, parts))
     rows = texts(4)
     assert mined(spark, rows) == expected(rows)
     assert passes == [[1], [2], [1, 2, 3], [2, 3], [2, 3]]
