@@ -28,9 +28,10 @@ from sparkrinse.staging import stage
 SAMPLE, LOWERED = 4, 0.8
 # Bits of a set of proposed phrases: 8 MB whatever the corpus.
 BITS = 26
-PORTION_BYTES = 2 << 20
+PORTION_BYTES = 1 << 20
 # Distinct phrases that a task gathers before it hands them on, and that one task adds up.
 GATHERED, ADDED = 1_000_000, 2_000_000
+SPELLED_ROWS = 400_000
 # Bytes of text for one word, to choose how many tasks add up counts.
 WORD_BYTES = 6
 # Bytes that end a piece, and that part words.
@@ -239,42 +240,60 @@ def frequent(docs: DataFrame, asked: Round, sizes: list[int], least: int, doubli
     return {size: Filter(bits.ravel()) for size, bits in found.items()}
 
 
-def _spell(shared):
-    """How often each frequent phrase and word occurs, words compared as they are; size 0 counts all words."""
+def _spell(shared, doublings: int):
+    """How often each frequent phrase and word occurs, words compared as they are, packed by leading bits of its number."""
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filters = [Filter(bits) for bits in shared.value]
         held: list[pa.Table] = []
 
-        def put(lang: str, size: int, phrases: pa.Array, counts: np.ndarray) -> None:
-            n = len(phrases)
-            held.append(pa.table({
-                "lang": pa.repeat(pa.scalar(lang, pa.string()), n), "size": pa.repeat(pa.scalar(size, pa.int32()), n),
-                "phrase": phrases.cast(pa.string()), "n": pa.array(counts, pa.int64()),
-            }))
-
-        def handed_on() -> list[pa.RecordBatch]:
-            total = pa.concat_tables(held).group_by(["lang", "size", "phrase"]).aggregate([("n", "sum")])
+        def handed_on() -> pa.RecordBatch:
+            total = pa.concat_tables(held).group_by(["part", "lang", "size", "phrase"]).aggregate([("n", "sum")]).sort_by("part")
             held.clear()
-            return total.select(["lang", "size", "phrase", "n_sum"]).rename_columns(["lang", "size", "phrase", "n"]).to_batches(max_chunksize=50_000)
+            part = total.column("part").to_numpy()
+            bounds = [*np.flatnonzero(np.diff(part, prepend=-1)).tolist(), len(part)]
+            rows = total.select(["lang", "size", "phrase", "n_sum"]).combine_chunks()
+            blobs = [_stream(rows.slice(lo, hi - lo)) for lo, hi in zip(bounds, bounds[1:])]
+            return pa.RecordBatch.from_arrays([pa.array(part[bounds[:-1]], pa.int32()), pa.array(blobs, pa.binary())], ["part", "rows"])
 
         for batch in batches:
-            for lang in batch.column(1).unique().to_pylist():
-                own = batch.column(0).filter(pc.equal(batch.column(1), lang))
-                for texts, langs in cut(own, [lang] * len(own)):
-                    for size, phrases, counts in spelled(Words(texts), langs, filters):
-                        put(lang, size, phrases, counts)
-                    if sum(t.num_rows for t in held) > GATHERED // 4:
-                        yield from handed_on()
+            for texts, langs in cut(batch.column(0), batch.column(1).to_pylist()):
+                for lang in dict.fromkeys(langs):
+                    own = texts.filter(pa.array([x == lang for x in langs]))
+                    for size, numbers, phrases, counts in spelled(Words(own), [lang] * len(own), filters):
+                        n = len(phrases)
+                        part = (numbers >> np.uint64(64 - doublings)).astype(np.int32) if doublings else np.zeros(n, np.int32)
+                        held.append(pa.table({
+                            "part": pa.array(part), "lang": pa.repeat(pa.scalar(lang, pa.string()), n), "size": pa.repeat(pa.scalar(size, pa.int32()), n),
+                            "phrase": phrases.cast(pa.string()), "n": pa.array(counts, pa.int64()),
+                        }))
+                if sum(t.num_rows for t in held) > SPELLED_ROWS:
+                    yield handed_on()
         if held:
-            yield from handed_on()
+            yield handed_on()
 
     return spell
 
 
-def spelled(words: Words, langs: list[str], filters: list[Filter]) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
-    """size, phrases and counts in texts of one language, for phrases whose numbers the filters hold."""
+def _stream(rows: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema) as writer:
+        writer.write_table(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def _add_spelled(support: int):
+    def add(group: pa.Table) -> pa.Table:
+        rows = pa.concat_tables([pa.ipc.open_stream(blob).read_all() for blob in group.column("rows").to_pylist()])
+        total = rows.group_by(["lang", "size", "phrase"]).aggregate([("n_sum", "sum")]).rename_columns(["lang", "size", "phrase", "n"])
+        return total.filter(pc.or_(pc.greater_equal(total.column("n"), support), pc.equal(total.column("size"), 0)))
+
+    return add
+
+
+def spelled(words: Words, langs: list[str], filters: list[Filter]) -> Iterator[tuple[int, np.ndarray, pa.Array, np.ndarray]]:
+    """size, numbers, phrases and counts in texts of one language, for phrases that the filters hold; size 0 counts all words."""
     n = len(words.starts)
-    yield 0, pa.array([""]), np.array([n])
+    yield 0, np.zeros(1, np.uint64), pa.array([""]), np.array([n])
     if not n:
         return
     coded = words.array().dictionary_encode()
@@ -293,7 +312,7 @@ def spelled(words: Words, langs: list[str], filters: list[Filter]) -> Iterator[t
         _, first, counts = np.unique(keys[at], return_index=True, return_counts=True)
         place = at[first]
         parts = [known.take(pa.array(ids[place + i])) for i in range(size)]
-        yield size, pc.binary_join_element_wise(*parts, pa.scalar(" ", known.type)) if size > 1 else parts[0], counts
+        yield size, numbers[place], pc.binary_join_element_wise(*parts, pa.scalar(" ", known.type)) if size > 1 else parts[0], counts
 
 
 def phrase_counts(docs: DataFrame, longest: int, support: int) -> DataFrame:
@@ -316,8 +335,8 @@ def phrase_counts(docs: DataFrame, longest: int, support: int) -> DataFrame:
         counted = [a.union(b) for a, b in zip(sure, counted)]
         sure = [sure[0], *[sure[k - 1].union(more[k]) for k in sizes[1:]]]
     shared = docs.sparkSession.sparkContext.broadcast([f.bits for f in sure])
-    each = docs.mapInArrow(_spell(shared), SPELLED).groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"))
-    return stage(each.where((F.col("n") >= support) | (F.col("size") == 0)), "phrase-counts")
+    packed = docs.mapInArrow(_spell(shared, doublings), "part int, rows binary")
+    return stage(packed.groupBy("part").applyInArrow(_add_spelled(support), SPELLED), "phrase-counts")
 
 
 def collocations(

@@ -80,6 +80,7 @@ def test_neither_sample_nor_bitmap_changes_anything(spark, monkeypatch, sample,
     monkeypatch.setattr(phrases, "PORTION_BYTES", 300)
     monkeypatch.setattr(phrases, "GATHERED", 100)
     monkeypatch.setattr(phrases, "ADDED", 500)
+    monkeypatch.setattr(phrases, "SPELLED_ROWS", 300)
     rows = texts(3)
     assert mined(spark, rows) == expected(rows)
 
