@@ -276,7 +276,7 @@ def _spell(shared, doublings: int):
 
 def _stream(rows: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, rows.schema) as writer:
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
         writer.write_table(rows)
     return sink.getvalue().to_pybytes()
 
