@@ -1,13 +1,12 @@
 """Exact, linearly interpolated quantiles that never gather a column in one task.
 
-The values between the smallest and the largest are counted in cells of equal width, which is one
-aggregation with a partial count per task. The cell that holds a wanted rank is cut into cells again,
-between its own smallest and largest value, until it holds one value or so few that they can be listed.
-The smallest and the largest value of a range never share a cell, so every round leaves fewer.
+Radix selection: every double has a 64-bit key in the same order. A pass counts the values by the next
+sixteen bits of their keys, which is one aggregation with a partial count per task, and keeps the cell
+that holds a wanted rank. Four passes decide every rank of every column and group, whatever the
+distribution; fewer do where a cell holds one value, or so few that they are counted one by one.
 """
 from __future__ import annotations
 
-import sys
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,20 +15,20 @@ from pyspark.sql import functions as F
 from sparkrinse import schema
 from sparkrinse.functions.numbers import outside, to_number
 from sparkrinse.operators.frequency import numeric_value
-from sparkrinse.operators.tidy import measure_columns
 from sparkrinse.staging import discard, stage
 
-CELLS = 1_000
-# A range with so few occurrences is listed and sorted.
-LISTED = 4_096
-HALF = sys.float_info.max / 2
+KEY_BITS, PASS_BITS = 64, 16
+# A cell of so few occurrences is cut into single values at once.
+LISTED = 32_768
+# Fixed values of a double: bits of the fraction, and the exponent of the smallest full number.
+FRACTION, SMALLEST = 52, -1022
 
 
 def quantiles(df: DataFrame, columns: Sequence[str], points: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """``by..., column_name, n, q`` with ``q`` an array aligned with ``points``.
 
     Rows whose group key is missing form no group, and a column without a number in a group has no row.
-    ``df`` is read once for the ends of the columns and once or twice more.
+    ``df`` is read at most four times.
     """
     groups = list(by)
     numbers = df.select(
@@ -44,76 +43,79 @@ def quantiles(df: DataFrame, columns: Sequence[str], points: Sequence[float], by
     return found.select(*[F.col(f"__g{i}").alias(g) for i, g in enumerate(groups)], "column_name", "n", "q")
 
 
+def with_key(long: DataFrame) -> DataFrame:
+    """``x`` without negative zero, and its 64-bit key ``k``: the bits of the double, negative for a negative number."""
+    size, e, power = F.abs("x"), F.col("__e"), F.col("__power")
+    full = (size > 0) & (size < float("inf"))
+    # The rounding of a logarithm may miss the exponent by one.
+    over, under = (power > size) & (e > SMALLEST), power * 2 <= size
+    found = (
+        long.withColumn("__e", F.when(full, F.floor(F.log2(F.greatest(size, F.lit(2.0**SMALLEST)))).cast("int")))
+        .withColumn("__power", F.pow(F.lit(2.0), e))
+        .withColumns({"__e": F.when(over, e - 1).when(under, e + 1).otherwise(e), "__power": F.when(over, power / 2).when(under, power * 2).otherwise(power)})
+    )
+    bits = (e - SMALLEST).cast("bigint") * F.lit(2**FRACTION) + (size / power * F.lit(2.0**FRACTION)).cast("bigint")
+    bits = F.when(full, bits).when(size > 0, F.lit(2047 * 2**FRACTION)).otherwise(F.lit(0).cast("bigint"))
+    return found.withColumn("k", F.when(F.col("x") < 0, -bits).otherwise(bits)).withColumn(
+        "x", F.when(F.col("x") == 0, F.lit(0.0)).otherwise(F.col("x"))
+    ).drop("__e", "__power")
+
+
 def located(long: DataFrame, keys: list[str], points: Sequence[float]) -> DataFrame:
     """``keys..., n, q`` for rows ``keys..., x, w``: value ``x`` occurs ``w`` times. The result is stored."""
-    long = long.where(F.col("x").isNotNull())
-    ends = stage(
-        long.groupBy(*keys).agg(F.sum("w").alias("n"), F.min("x").alias("low"), F.max("x").alias("high")), "quantile-ends"
-    )
+    long = with_key(long.where(F.col("x").isNotNull()))
     at = [F.lit(float(p)) * (F.col("n") - 1) for p in points]
     wanted = F.array_distinct(F.array(*[side(a).cast("bigint") for a in at for side in (F.floor, F.ceil)]))
-    # Per wanted rank the closed range it lies in, how much is below it and how much is in it.
-    ranges = ends.select(*keys, F.explode(wanted).alias("rank"), "low", "high", F.lit(0).cast("bigint").alias("below"), F.col("n").alias("inside"))
-    ranges = stage(ranges, "quantile-ranges")
-    wide = (F.col("low") < F.col("high")) & (F.col("inside") > LISTED)
-    while not ranges.where(wide).isEmpty():
-        narrowed = ranges.where(~wide).unionByName(_narrowed(long, keys, ranges.where(wide)))
-        before, ranges = ranges, stage(narrowed, "quantile-ranges")
+    cells = _counted(long.withColumn("cell", F.shiftright("k", KEY_BITS - PASS_BITS)), keys)
+    n = F.sum("c").over(Window.partitionBy(*keys))
+    chosen = cells.withColumn("n", n).withColumn("rank", F.explode(F.filter(wanted, lambda r: _holds(r, F.col("under")))))
+    ranges = stage(_ranges(chosen, keys, F.col("under"), F.lit(KEY_BITS - PASS_BITS)), "quantile-ranges")
+    while not (pending := ranges.where("value is null")).isEmpty():
+        done = ranges.where("value is not null").unionByName(_narrowed(long, keys, pending))
+        before, ranges = ranges, stage(done, "quantile-ranges")
         discard(before)
-    single = ranges.where(F.col("low") == F.col("high")).select(*keys, "rank", F.col("low").alias("value"))
-    some = ranges.where(F.col("low") < F.col("high"))
-    listed = _inside(long, keys, some).groupBy(*keys, "low", "high").agg(F.array_sort(F.collect_list(F.struct("x", "w"))).alias("values"))
-    place = F.aggregate(
-        "values", F.struct(F.col("below").alias("seen"), F.lit(None).cast("double").alias("value")),
-        lambda s, v: F.struct(
-            (s["seen"] + v["w"]).alias("seen"),
-            F.when(s["value"].isNull() & (F.col("rank") < s["seen"] + v["w"]), v["x"]).otherwise(s["value"]).alias("value"),
-        ),
-        lambda s: s["value"],
-    )
-    values = single.unionByName(some.join(listed, [*keys, "low", "high"]).select(*keys, "rank", place.alias("value")))
-    ranked = values.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("at"))
+    ranked = ranges.groupBy(*keys, "n").agg(F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("at"))
     found = []
     for a in at:
         low, high = (F.element_at("at", side(a).cast("bigint")) for side in (F.floor, F.ceil))
         share = a - F.floor(a)
         found.append(F.when(share == 0, low).otherwise(low * (1 - share) + high * share))
-    done = stage(ends.join(ranked, keys).select(*keys, "n", F.array(*found).alias("q")), "quantiles")
+    result = stage(ranked.select(*keys, "n", F.array(*found).alias("q")), "quantiles")
     discard(ranges)
-    discard(ends)
-    return done
+    return result
 
 
-def _inside(long: DataFrame, keys: list[str], ranges: DataFrame) -> DataFrame:
-    """The rows within a range, with its ``low`` and ``high``. Ranges of a key are equal or apart."""
-    held = ranges.groupBy(*keys).agg(F.collect_set(F.struct("low", "high")).alias("ranges"))
-    within = F.filter("ranges", lambda r: (F.col("x") >= r["low"]) & (F.col("x") <= r["high"]))
-    return long.join(held, keys).select(*keys, "x", "w", F.inline(within))
+def _counted(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """Occurrences ``c`` per cell with its ends ``a`` and ``b``, and how many are ``under`` it."""
+    counts = cells.groupBy(*keys, "cell").agg(F.sum("w").alias("c"), F.min("x").alias("a"), F.max("x").alias("b"))
+    return counts.withColumn("under", F.sum("c").over(Window.partitionBy(*keys).orderBy("cell")) - F.col("c"))
 
 
-def _narrowed(long: DataFrame, keys: list[str], ranges: DataFrame) -> DataFrame:
-    """One round: the cell of each range that holds its rank, as the new range."""
-    x, low, high = F.col("x"), F.col("low"), F.col("high")
-    top, bottom = F.lit(float("inf")), F.lit(float("-inf"))
-    # Halves, so that the width of the widest range is still a number; infinities have cells of their own.
-    least, most = (F.greatest(F.least(end / 2, F.lit(HALF)), F.lit(-HALF)) for end in (low, high))
-    share = F.try_divide(x / 2 - least, most - least)
-    inner = F.least(F.greatest(F.floor(F.coalesce(share, F.lit(0.0)) * CELLS), F.lit(0)), F.lit(CELLS - 1))
-    # The ends are told apart whatever the rounding, so that every round makes progress.
-    cell = F.when(x == bottom, -1).when(x == top, CELLS).when(x == low, 0).when(x == high, CELLS - 1).otherwise(inner).cast("int")
-    cells = _inside(long, keys, ranges).withColumn("cell", cell).groupBy(*keys, "low", "high", "cell").agg(
-        F.sum("w").alias("c"), F.min("x").alias("a"), F.max("x").alias("b")
-    )
-    order = Window.partitionBy(*keys, "low", "high").orderBy("cell")
-    cells = cells.withColumn("under", F.sum("c").over(order) - F.col("c"))
-    start = F.col("below") + F.col("under")
-    return (
-        ranges.join(cells, [*keys, "low", "high"])
-        .where((start <= F.col("rank")) & (F.col("rank") < start + F.col("c")))
-        .select(*keys, "rank", F.col("a").alias("low"), F.col("b").alias("high"), start.alias("below"), F.col("c").alias("inside"))
+def _holds(rank: Column, start: Column) -> Column:
+    return (start <= rank) & (rank < start + F.col("c"))
+
+
+def _ranges(chosen: DataFrame, keys: list[str], below: Column, shift: Column) -> DataFrame:
+    """Per wanted rank the cell it lies in, how much is below it and in it, and its value once there is one only."""
+    # What the next pass leaves of the key.
+    following = F.when(F.col("c") <= LISTED, 0).otherwise(F.greatest(shift - PASS_BITS, F.lit(0)))
+    value = F.when(F.col("a") == F.col("b"), F.col("a"))
+    return chosen.select(
+        *keys, "n", "rank", F.col("cell").alias("prefix"), shift.cast("int").alias("shift"), following.cast("int").alias("following"),
+        below.alias("below"), value.alias("value"),
     )
 
 
+def _narrowed(long: DataFrame, keys: list[str], ranges: DataFrame) -> DataFrame:
+    """One pass: the cell of each range that holds its rank, as the new range."""
+    part = ["prefix", "shift", "following"]
+    # Null-safe, so that no test of the whole key for null is pushed below the join.
+    within = long.join(ranges.select(*keys, *part).distinct(), keys).where("shiftright(k, shift) <=> prefix")
+    cells = _counted(within.withColumn("cell", F.expr("shiftright(k, following)")), [*keys, *part])
+    chosen = ranges.select(*keys, *part, "n", "rank", "below").join(cells, [*keys, *part]).where(_holds(F.col("rank"), F.col("below") + F.col("under")))
+    return _ranges(chosen, keys, F.col("below") + F.col("under"), F.col("following"))
+
+
 def quantile_values(df: DataFrame, columns: Sequence[str], points: Sequence[float]) -> dict[str, list[float]]:
     """Quantiles of whole columns on the driver: one short list per column that has a value."""
     if not columns:
@@ -155,29 +157,23 @@ def numeric_summaries(df: DataFrame, columns: Sequence[str]) -> dict[str, dict]:
 
     A column without a number is left out.
     """
-    typed = df.select(*[to_number(schema.col(c), schema.type_of(df, c)).alias(c) for c in columns])
-    quartiles = quantile_values(typed, columns, (0.25, 0.5, 0.75))
+    quartiles = quantile_values(df, columns, (0.25, 0.5, 0.75))
     fences = iqr_fences(quartiles)
     columns = [c for c in columns if c in quartiles]
     if not columns:
         return {}
-
-    def measures(name: str) -> dict[str, Column]:
-        x, (low, high) = schema.col(name), fences[name]
-        return {
-            "numbers": F.count(x),
-            "mean": F.avg(x),
-            "least": F.min(x),
-            "most": F.max(x),
-            "variance": F.var_pop(x),
-            "skewness": F.skewness(x),
-            "negative": F.count_if(x < 0),
-            "zero": F.count_if(x == 0),
-            "positive": F.count_if(x > 0),
-            "outliers": F.count_if(outside(x, F.lit(low), F.lit(high))),
-        }
-
-    found = measure_columns(typed, columns, measures)
+    typed = df.select(*[to_number(schema.col(c), schema.type_of(df, c)).alias(c) for c in columns])
+    # The plan does not grow with the number of columns, so it stays compiled.
+    limits = df.sparkSession.createDataFrame([(c, *map(float, fence)) for c, fence in fences.items()], "column_name STRING, low DOUBLE, high DOUBLE")
+    x = F.col("x")
+    rows = typed.unpivot([], [schema.col(c) for c in columns], "column_name", "x").where(x.isNotNull()).join(F.broadcast(limits), "column_name")
+    measured = rows.groupBy("column_name").agg(
+        F.count(x).alias("numbers"), F.avg(x).alias("mean"), F.min(x).alias("least"), F.max(x).alias("most"),
+        F.var_pop(x).alias("variance"), F.skewness(x).alias("skewness"),
+        F.count_if(x < 0).alias("negative"), F.count_if(x == 0).alias("zero"), F.count_if(x > 0).alias("positive"),
+        F.count_if(outside(x, F.col("low"), F.col("high"))).alias("outliers"),
+    )
+    found = {line["column_name"]: line.asDict() for line in measured.collect()}
     for c, f in found.items():
         f |= {"quartiles": quartiles[c], "fence": fences[c], "squares": f["variance"] * f["numbers"]}
         f["cubes"] = (f["skewness"] or 0.0) * f["variance"] ** 1.5 * f["numbers"]
