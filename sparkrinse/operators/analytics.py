@@ -18,7 +18,7 @@ from sparkrinse import schema
 from sparkrinse.functions.dates import DATE_FORMATS, month_of, parse_date
 from sparkrinse.functions.numbers import to_number
 from sparkrinse.operators.duplicates import duplicate_count
-from sparkrinse.operators.frequency import first_values, value_frequencies
+from sparkrinse.operators.frequency import top_values
 from sparkrinse.operators.quantiles import numeric_summaries
 from sparkrinse.operators.semantics import SemanticMapping, detect_semantics
 from sparkrinse.operators.tidy import measure_columns
@@ -150,7 +150,7 @@ def categorical_distributions(
     if columns is None:
         columns = schema.categorical_columns(df)
     rows = df.count()
-    return first_values(value_frequencies(df, columns, keep_missing=True), top).withColumn(
+    return top_values(df, columns, top, keep_missing=True).withColumn(
         "percentage", F.round(F.col("n") * 100.0 / F.lit(rows), 1)
     )
 

@@ -18,6 +18,13 @@ from pyspark.sql import types as T
 from sparkrinse import schema
 from sparkrinse.functions.numbers import to_number
 from sparkrinse.functions.text import fold
+from sparkrinse.staging import stage
+
+# Values that a summary of frequent values tracks per column and task, and the longest text it keeps.
+TRACKED, KEPT_CHARACTERS = 10_000, 256
+# Beyond its capacity such a summary misses at most this share of all rows per value.
+MISSED = 3.5 / 16_384
+_TOO_LONG = "\0"
 
 
 def comparable(df: DataFrame, name: str) -> Column:
@@ -116,7 +123,101 @@ def first_values(freq: DataFrame, k: int, by_count: bool = True) -> DataFrame:
     return ranked.select("column_name", "rank", shown_value().alias("value"), "n")
 
 
+def top_values(df: DataFrame, columns: Sequence[str], k: int, keep_missing: bool = False) -> DataFrame:
+    """The same as ``first_values`` of ``value_frequencies``, exactly, without a shuffle of all values.
+
+    One scan makes a mergeable summary of frequent values per column. It is exact for a column of up to
+    about ten thousand values. Of other columns it names candidates, which a second scan counts; they are
+    the answer if the last of them occurs more often than any value that the summary may have missed.
+    Only columns where that cannot be shown count all their values.
+    """
+    typed = {c: _summarised(df, c) for c in columns}
+    summary = stage(
+        df.select(*[v.alias(f"v{i}") for i, v in enumerate(typed.values())]).agg(
+            F.count(F.lit(1)).alias("rows"),
+            *[F.call_function("approx_top_k", F.col(f"v{i}"), F.lit(TRACKED), F.lit(TRACKED)).alias(f"v{i}") for i in range(len(typed))],
+        ),
+        "frequent-values",
+    )
+    facts = summary.select("rows", *[
+        F.struct(
+            F.coalesce(F.aggregate(f"v{i}", F.lit(0).cast("bigint"), lambda n, x: n + x["count"]), F.lit(0)).alias("counted"),
+            F.size(f"v{i}").alias("size"),
+            (F.exists(f"v{i}", lambda x: F.startswith(x["item"], F.lit(_TOO_LONG))) if schema.is_text(schema.type_of(df, c)) else F.lit(False)).alias("cut"),
+        ).alias(f"v{i}") for i, c in enumerate(typed)
+    ]).first()
+    sure, open_, rest = [], [], []
+    for i, c in enumerate(typed):
+        fact = facts[f"v{i}"]
+        if facts["rows"] == 0 or (fact["counted"] == facts["rows"] and fact["size"] < TRACKED and not fact["cut"]):
+            sure.append((i, c))
+        else:
+            (open_ if fact["size"] >= k and not fact["cut"] else rest).append((i, c))
+
+    def named(numbered: list[tuple[int, str]]) -> DataFrame:
+        frames = []
+        for i, c in numbered:
+            family = _family(schema.type_of(df, c))
+            value, none = F.col("item"), F.lit(None)
+            whole, decimal = family == "bigint", family.startswith("decimal")
+            frames.append(summary.select(F.inline(f"v{i}")).select(
+                F.lit(c).alias("column_name"),
+                (value if whole else none).cast("bigint").alias("whole"),
+                (value if family == "double" or decimal else none).cast("double").alias("number"),
+                (none if whole or family == "double" else value).cast("string").alias("text"),
+                F.col("count").alias("n"),
+            ))
+        found = reduce(DataFrame.unionByName, frames)
+        return found if keep_missing else found.where("coalesce(cast(whole as string), cast(number as string), text) is not null")
+
+    parts = [named(sure)] if sure else []
+    if open_:
+        names = named(open_).select("column_name", "whole", "number", "text")
+        counted = stage(_counted_only(df, [c for _, c in open_], names, keep_missing), "candidate-values")
+        last = {
+            line["column_name"]: (line["n"], line["values"])
+            for line in first_values(counted, k).groupBy("column_name").agg(F.min("n").alias("n"), F.count(F.lit(1)).alias("values")).collect()
+        }
+        shown = [(i, c) for i, c in open_ if last.get(c, (0, 0))[1] == k and last[c][0] > 2 * MISSED * facts["rows"]]
+        rest += [x for x in open_ if x not in shown]
+        if shown:
+            parts.append(counted.where(F.col("column_name").isin(*[c for _, c in shown])))
+    if rest:
+        parts.append(value_frequencies(df, [c for _, c in rest], keep_missing))
+    return first_values(reduce(DataFrame.unionByName, parts), k)
+
+
+def _summarised(df: DataFrame, name: str) -> Column:
+    """The value as its family; a text too long to be tracked as a short stand-in."""
+    value = comparable(df, name).cast(_family(schema.type_of(df, name)))
+    if not schema.is_text(schema.type_of(df, name)):
+        return value
+    return F.when(F.length(value) > KEPT_CHARACTERS, F.concat(F.lit(_TOO_LONG), F.md5(value))).otherwise(value)
+
+
+def _counted_only(df: DataFrame, columns: Sequence[str], names: DataFrame, keep_missing: bool) -> DataFrame:
+    """``value_frequencies`` of some columns, only for the values named: a few thousand per column."""
+    frames = []
+    for name in columns:
+        family = _family(schema.type_of(df, name))
+        slot = "whole" if family == "bigint" else "number" if family == "double" or family.startswith("decimal") else "text"
+        wanted = names.where(F.col("column_name") == F.lit(name)).select(F.col(slot).alias("wanted"))
+        value = comparable(df, name).cast(family)
+        rows = df.select(value.alias("value")).withColumn("shown", F.col("value").cast({"whole": "bigint", "number": "double", "text": "string"}[slot]))
+        frames.append(
+            rows.join(F.broadcast(wanted), F.col("shown").eqNullSafe(F.col("wanted")), "left_semi").groupBy("value").agg(F.count(F.lit(1)).alias("n")).select(
+                F.lit(name).alias("column_name"),
+                (F.col("value") if slot == "whole" else F.lit(None)).cast("bigint").alias("whole"),
+                (F.col("value") if slot == "number" else F.lit(None)).cast("double").alias("number"),
+                (F.lit(None) if family in ("bigint", "double") else F.col("value")).cast("string").alias("text"),
+                "n",
+            )
+        )
+    found = reduce(DataFrame.unionByName, frames)
+    return found if keep_missing else found.where("coalesce(cast(whole as string), cast(number as string), text) is not null")
+
+
 def modes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``column_name, mode, n``: the most frequent value, the smallest among equals, as text."""
-    best = first_values(value_frequencies(df, columns), 1)
+    best = top_values(df, columns, 1)
     return best.select("column_name", F.col("value").alias("mode"), "n")

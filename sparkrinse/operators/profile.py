@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from sparkrinse import schema
 from sparkrinse.functions.dates import DATE_FORMATS, parse_date
+from sparkrinse.functions.numbers import to_number
 from sparkrinse.functions.text import fold, has_space_defect, is_email
 from sparkrinse.operators import frequency
 from sparkrinse.operators.duplicates import duplicate_count
@@ -32,7 +33,6 @@ BOOLEAN_WORDS = ("true", "false", "0", "1", "yes", "no")
 AT_SIGN_SHARE = 0.5
 CATEGORY_FLOOR, CATEGORY_SHARE = 30, 0.05
 TOP_VALUES = SAMPLE_VALUES = 5
-# Rows looked at for samples; a column empty in all of them shows none.
 # The issue texts.
 ISSUE_MISSING = "{} missing values ({:.1f}%)"
 ISSUE_DATES = "{} invalid date formats"
@@ -261,6 +261,67 @@ def profile_dataset(
     return _assemble(df.sparkSession, total, duplicates, profiles, roles, negatives)
 
 
+# Relative error of an estimated number of distinct values, and how many errors settle a question.
+ESTIMATE_ERROR, SETTLED = 0.01, 4
+
+
+def classify_columns(df: DataFrame, overrides: Mapping[str, str | None] | None = None) -> DataFrame:
+    """``column_name, position, inferred_type``: the classes of ``profile_dataset`` from one scan.
+
+    How many values a column has is estimated by mergeable sketches. Values are counted exactly only for
+    columns whose estimate is near what makes a column categorical, or so small that they may be Boolean.
+    """
+    roles = detect_semantics(df.columns, overrides)
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    scalars = [c for c in df.columns if schema.is_scalar(kinds[c])]
+
+    def measures(name: str) -> dict[str, Column]:
+        value = frequency.comparable(df, name)
+        found = {"present": F.count(value), "total": F.count(F.lit(1)), "estimate": F.approx_count_distinct(value, ESTIMATE_ERROR)}
+        if schema.is_text(kinds[name]):
+            found["numbers"] = F.count(to_number(value, kinds[name]))
+        return found
+
+    scan = measure_columns(df, scalars, measures)
+    classes = dict.fromkeys(df.columns, "Text/ID")
+    gates, asked = {}, []
+    for c in scalars:
+        dated = schema.is_text(kinds[c]) and looks_like_date(c, roles)
+        base = _base_class(kinds[c], scan[c] | {"numbers": scan[c].get("numbers", 0)}, dated)
+        if base == "Datetime" and (dated or scan[c]["present"] or looks_like_date(c, roles)):
+            classes[c] = "Datetime"
+        elif base == "Numeric":
+            classes[c] = "Numeric"
+        elif schema.is_boolean(kinds[c]):
+            classes[c] = "Boolean"
+        else:
+            gates[c] = _category_gate(scan[c]["total"])
+            room = SETTLED * ESTIMATE_ERROR
+            few, near = scan[c]["estimate"] <= CATEGORY_FLOOR * 2, abs(scan[c]["estimate"] - gates[c]) <= room * gates[c]
+            asked += [c] if few or near else []
+    distinct = {c: scan[c]["estimate"] for c in gates}
+    only_words = dict.fromkeys(gates, False)
+    if asked:
+        word = F.lower(frequency.shown_value()).isin(*BOOLEAN_WORDS)
+        exact = frequency.value_frequencies(df, asked).groupBy("column_name").agg(F.count(F.lit(1)).alias("n"), F.every(word).alias("words"))
+        distinct |= dict.fromkeys(asked, 0)
+        only_words |= dict.fromkeys(asked, True)
+        for line in exact.collect():
+            distinct[line["column_name"]], only_words[line["column_name"]] = line["n"], line["words"]
+    for c, gate in gates.items():
+        if distinct[c] <= 2 and only_words[c]:
+            classes[c] = "Boolean"
+        elif distinct[c] <= gate:
+            classes[c] = "Categorical"
+    rows = [(c, i, classes[c]) for i, c in enumerate(df.columns, start=1)]
+    return df.sparkSession.createDataFrame(rows, "column_name STRING, position INT, inferred_type STRING")
+
+
+def _category_gate(rows: int) -> int:
+    """The most values that a categorical column has."""
+    return max(CATEGORY_FLOOR, int(rows * CATEGORY_SHARE))
+
+
 def _describe(name, position, kind, total, scan, top, base, quartiles, roles) -> ColumnProfile:
     """Apply the classification and issue rules to the measured numbers of one column."""
     present = scan["present"]
@@ -315,7 +376,7 @@ def _describe(name, position, kind, total, scan, top, base, quartiles, roles) ->
     p.has_mixed_case = folded < p.unique_count
     if p.has_mixed_case:
         p.quality_issues.append(ISSUE_CASE.format(p.unique_count, folded))
-    if p.unique_count <= max(CATEGORY_FLOOR, int(total * CATEGORY_SHARE)):
+    if p.unique_count <= _category_gate(total):
         p.inferred_type = "Categorical"
     return p
 

@@ -9,7 +9,7 @@ from sparkrinse.functions.numbers import rounded_share
 from sparkrinse.functions.text import has_space_defect
 from sparkrinse.operators import duplicates, frequency, validate
 from sparkrinse.operators.analytics import general_kpis
-from sparkrinse.operators.profile import DatasetProfile, profile_dataset
+from sparkrinse.operators.profile import DatasetProfile, classify_columns, profile_dataset
 from sparkrinse.operators.tidy import rows_per_column
 from workload.dirty_sales import (
     COLUMNS, EMAIL, NUMBER_COLUMNS, TEXT_COLUMNS, day_of, dirty_sales, stored_sales, union_all, with_dirty,
@@ -98,7 +98,7 @@ def distinct_by_column(spark, folder):
     ])),
 )
 def top5_by_column(spark, folder):
-    return frequency.first_values(frequency.value_frequencies(stored_sales(spark, folder), COLUMNS), 5)
+    return frequency.top_values(stored_sales(spark, folder), COLUMNS, 5)
 
 
 @query(
@@ -405,6 +405,9 @@ GIVEN = {
 }
 
 
+DOCUMENT_KINDS = [("doc_id", "number"), ("text", "text"), ("lang", "text"), ("source", "text"), ("n_chars", "number")]
+
+
 def _register_given(name: str) -> None:
     columns, date, money = GIVEN[name]
     ctes = profile_ctes(name, columns, date, money)
@@ -413,11 +416,22 @@ def _register_given(name: str) -> None:
     def column_classes_of(spark, folder):
         return classes(profile_dataset(table(spark, folder, name)))
 
+    _register_inferred(name, columns, ctes)
+
+
+def _register_inferred(name: str, columns: list, ctes: list[str]) -> None:
+    @query(f"inferred_classes_{name}", f"WITH {', '.join(ctes)} SELECT column_name, inferred_type FROM described")
+    def inferred_classes_of(spark, folder):
+        return classify_columns(table(spark, folder, name)).drop("position")
+
 
 for _name in GIVEN:
     _register_given(_name)
 
 
+_register_inferred("documents", DOCUMENT_KINDS, profile_ctes("documents", DOCUMENT_KINDS, None, ()))
+
+
 @query("column_classes_documents")
 def column_classes_documents(spark, folder):
     return classes(profile_dataset(table(spark, folder, "documents")))
