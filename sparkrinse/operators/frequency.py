@@ -131,59 +131,47 @@ def top_values(df: DataFrame, columns: Sequence[str], k: int, keep_missing: bool
     the answer if the last of them occurs more often than any value that the summary may have missed.
     Only columns where that cannot be shown count all their values.
     """
-    typed = {c: _summarised(df, c) for c in columns}
-    summary = stage(
-        df.select(*[v.alias(f"v{i}") for i, v in enumerate(typed.values())]).agg(
-            F.count(F.lit(1)).alias("rows"),
-            *[F.call_function("approx_top_k", F.col(f"v{i}"), F.lit(TRACKED), F.lit(TRACKED)).alias(f"v{i}") for i in range(len(typed))],
-        ),
-        "frequent-values",
-    )
-    facts = summary.select("rows", *[
-        F.struct(
-            F.coalesce(F.aggregate(f"v{i}", F.lit(0).cast("bigint"), lambda n, x: n + x["count"]), F.lit(0)).alias("counted"),
-            F.size(f"v{i}").alias("size"),
-            (F.exists(f"v{i}", lambda x: F.startswith(x["item"], F.lit(_TOO_LONG))) if schema.is_text(schema.type_of(df, c)) else F.lit(False)).alias("cut"),
-        ).alias(f"v{i}") for i, c in enumerate(typed)
+    # Decimals are ordered by number and shown as text, so they are counted as they are.
+    exact = [c for c in columns if _family(schema.type_of(df, c)).startswith("decimal")]
+    slots = {c: _slot(_family(schema.type_of(df, c))) for c in columns if c not in exact}
+    summaries = [F.call_function("approx_top_k", F.col(f"v{i}"), F.lit(TRACKED), F.lit(TRACKED)).alias(f"v{i}") for i in range(len(slots))]
+    tracked = df.select(*[_summarised(df, c).alias(f"v{i}") for i, c in enumerate(slots)])
+    # At most TRACKED values per column, and short ones.
+    summary = tracked.agg(F.count(F.lit(1)).alias("rows"), *[
+        F.transform(s, lambda x: F.struct(x["item"].cast(kind).alias("item"), x["count"].alias("count"))).alias(f"v{i}")
+        for i, (s, kind) in enumerate(zip(summaries, map(_SLOTS.get, slots.values())))
     ]).first()
-    sure, open_, rest = [], [], []
-    for i, c in enumerate(typed):
-        fact = facts[f"v{i}"]
-        if facts["rows"] == 0 or (fact["counted"] == facts["rows"] and fact["size"] < TRACKED and not fact["cut"]):
-            sure.append((i, c))
+    total, sure, open_, rest = summary["rows"], [], {}, exact
+    for i, (c, slot) in enumerate(slots.items()):
+        found = [(x["item"], x["count"]) for x in summary[f"v{i}"] or []]
+        cut = slot == "text" and any(x is not None and x.startswith(_TOO_LONG) for x, _ in found)
+        if sum(n for _, n in found) == total and len(found) < TRACKED and not cut:
+            wanted = sorted((x for x in found if keep_missing or x[0] is not None), key=lambda x: (-x[1], x[0] is not None, x[0]))
+            sure += [(c, slot, *x) for x in wanted[:k]]
+        # A summary never counts too few, so what it has not seen often enough needs no second look.
+        elif len(found) >= k and found[k - 1][1] > 2 * MISSED * total and not cut:
+            open_[c] = [x for x, _ in found if keep_missing or x is not None]
         else:
-            (open_ if fact["size"] >= k and not fact["cut"] else rest).append((i, c))
-
-    def named(numbered: list[tuple[int, str]]) -> DataFrame:
-        frames = []
-        for i, c in numbered:
-            family = _family(schema.type_of(df, c))
-            value, none = F.col("item"), F.lit(None)
-            whole, decimal = family == "bigint", family.startswith("decimal")
-            frames.append(summary.select(F.inline(f"v{i}")).select(
-                F.lit(c).alias("column_name"),
-                (value if whole else none).cast("bigint").alias("whole"),
-                (value if family == "double" or decimal else none).cast("double").alias("number"),
-                (none if whole or family == "double" else value).cast("string").alias("text"),
-                F.col("count").alias("n"),
-            ))
-        found = reduce(DataFrame.unionByName, frames)
-        return found if keep_missing else found.where("coalesce(cast(whole as string), cast(number as string), text) is not null")
+            rest.append(c)
 
-    parts = [named(sure)] if sure else []
+    def named(values: list[tuple]) -> DataFrame:
+        """Rows of the table of values from column, slot, value and count."""
+        rows = [(c, *[v if slot == s else None for s in _SLOTS], n) for c, slot, v, n in values]
+        return df.sparkSession.createDataFrame(rows, "column_name STRING, " + ", ".join(f"{s} {t}" for s, t in _SLOTS.items()) + ", n BIGINT")
+
+    parts = [named(sure)]
     if open_:
-        names = named(open_).select("column_name", "whole", "number", "text")
-        counted = stage(_counted_only(df, [c for _, c in open_], names, keep_missing), "candidate-values")
+        names = named([(c, slots[c], x, 0) for c, values in open_.items() for x in values])
+        counted = stage(_counted_only(df, slots, list(open_), names), "candidate-values")
         last = {
             line["column_name"]: (line["n"], line["values"])
             for line in first_values(counted, k).groupBy("column_name").agg(F.min("n").alias("n"), F.count(F.lit(1)).alias("values")).collect()
         }
-        shown = [(i, c) for i, c in open_ if last.get(c, (0, 0))[1] == k and last[c][0] > 2 * MISSED * facts["rows"]]
-        rest += [x for x in open_ if x not in shown]
-        if shown:
-            parts.append(counted.where(F.col("column_name").isin(*[c for _, c in shown])))
+        shown = [c for c in open_ if last.get(c, (0, 0))[1] == k and last[c][0] > 2 * MISSED * total]
+        rest += [c for c in open_ if c not in shown]
+        parts.append(counted.where(F.col("column_name").isin(*shown)))
     if rest:
-        parts.append(value_frequencies(df, [c for _, c in rest], keep_missing))
+        parts.append(value_frequencies(df, rest, keep_missing))
     return first_values(reduce(DataFrame.unionByName, parts), k)
 
 
@@ -195,26 +183,24 @@ def _summarised(df: DataFrame, name: str) -> Column:
     return F.when(F.length(value) > KEPT_CHARACTERS, F.concat(F.lit(_TOO_LONG), F.md5(value))).otherwise(value)
 
 
-def _counted_only(df: DataFrame, columns: Sequence[str], names: DataFrame, keep_missing: bool) -> DataFrame:
-    """``value_frequencies`` of some columns, only for the values named: a few thousand per column."""
+# The slots of the table of values.
+_SLOTS = {"whole": "bigint", "number": "double", "text": "string"}
+
+
+def _slot(family: str) -> str:
+    return "whole" if family == "bigint" else "number" if family == "double" else "text"
+
+
+def _counted_only(df: DataFrame, slots: dict[str, str], columns: Sequence[str], names: DataFrame) -> DataFrame:
+    """``value_frequencies`` of some columns, only for the values named: some thousand per column."""
     frames = []
     for name in columns:
-        family = _family(schema.type_of(df, name))
-        slot = "whole" if family == "bigint" else "number" if family == "double" or family.startswith("decimal") else "text"
-        wanted = names.where(F.col("column_name") == F.lit(name)).select(F.col(slot).alias("wanted"))
-        value = comparable(df, name).cast(family)
-        rows = df.select(value.alias("value")).withColumn("shown", F.col("value").cast({"whole": "bigint", "number": "double", "text": "string"}[slot]))
-        frames.append(
-            rows.join(F.broadcast(wanted), F.col("shown").eqNullSafe(F.col("wanted")), "left_semi").groupBy("value").agg(F.count(F.lit(1)).alias("n")).select(
-                F.lit(name).alias("column_name"),
-                (F.col("value") if slot == "whole" else F.lit(None)).cast("bigint").alias("whole"),
-                (F.col("value") if slot == "number" else F.lit(None)).cast("double").alias("number"),
-                (F.lit(None) if family in ("bigint", "double") else F.col("value")).cast("string").alias("text"),
-                "n",
-            )
-        )
-    found = reduce(DataFrame.unionByName, frames)
-    return found if keep_missing else found.where("coalesce(cast(whole as string), cast(number as string), text) is not null")
+        family, slot = _family(schema.type_of(df, name)), slots[name]
+        wanted = names.where(F.col("column_name") == F.lit(name)).select(F.col(slot).alias("value"))
+        rows = df.select(comparable(df, name).cast(family).cast(_SLOTS[slot]).alias("value"))
+        counts = rows.join(F.broadcast(wanted), rows["value"].eqNullSafe(wanted["value"]), "left_semi").groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+        frames.append(counts.select(F.lit(name).alias("column_name"), *[(F.col("value") if s == slot else F.lit(None)).cast(t).alias(s) for s, t in _SLOTS.items()], "n"))
+    return reduce(DataFrame.unionByName, frames)
 
 
 def modes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
