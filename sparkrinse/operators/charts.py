@@ -1,7 +1,9 @@
 """The data behind each chart; drawing them is left to whatever front end is at hand."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Row
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from sparkrinse import schema
@@ -14,6 +16,7 @@ HISTOGRAM_BINS = 30
 EXPLORER_BINS = 35
 CATEGORY_BARS, PRODUCT_BARS, REPORT_PRODUCTS = 7, 8, 6
 TRENDLINE_MINIMUM = 5
+OUTLIER_POINTS = 100
 
 
 def histogram(df: DataFrame, column: str, bins: int = HISTOGRAM_BINS) -> DataFrame:
@@ -43,12 +46,11 @@ def histogram(df: DataFrame, column: str, bins: int = HISTOGRAM_BINS) -> DataFra
     )
 
 
-def box_statistics(df: DataFrame, column: str, by: str | None = None) -> DataFrame:
-    """Quartiles, whiskers within the fences, and how many points lie beyond them, per group."""
-    keys = [by] if by else []
+def _fences(df: DataFrame, column: str, keys: Sequence[str]) -> DataFrame:
+    """``label, n, q25, median, q75, low_fence, high_fence`` per group, without a label for the whole."""
     spread = quantiles(df, [column], (0.25, 0.5, 0.75), by=keys)
     reach = (F.col("q")[2] - F.col("q")[0]) * 1.5
-    fences = spread.select(
+    return spread.select(
         *[schema.col(k).alias("label") for k in keys],
         "n",
         F.col("q")[0].alias("q25"),
@@ -57,6 +59,33 @@ def box_statistics(df: DataFrame, column: str, by: str | None = None) -> DataFra
         (F.col("q")[0] - reach).alias("low_fence"),
         (F.col("q")[2] + reach).alias("high_fence"),
     )
+
+
+def box_outliers(df: DataFrame, column: str, key: Sequence[str], by: str | None = None, limit: int = OUTLIER_POINTS) -> DataFrame:
+    """``label, rank, x`` and the key of up to ``limit`` points per group beyond the fences, the farthest first.
+
+    Equally far points are ordered by the key. Every task forwards ``limit`` points of a group at most, and
+    only points beyond the fences are ordered, so a hot group gathers nowhere.
+    """
+    keys = [by] if by else []
+    fences = _fences(df, column, keys).withColumn("label", F.col("label") if by else F.lit(None).cast("string"))
+    fences = fences.select("label", "low_fence", "high_fence")
+    x = to_number(schema.col(column), schema.type_of(df, column))
+    label = schema.col(by) if by else F.lit(None).cast("string")
+    points = df.select(label.alias("label"), x.alias("x"), F.struct(*[schema.col(k).alias(k) for k in key]).alias("key")).where(F.col("x").isNotNull())
+    same = points["label"].eqNullSafe(fences["label"])
+    beyond = points.join(fences, same).select(
+        points["label"], "x", "key", F.greatest(F.col("low_fence") - F.col("x"), F.col("x") - F.col("high_fence")).alias("distance")
+    ).where(F.col("distance") > 0)
+    order = F.row_number().over(Window.partitionBy("label").orderBy(F.col("distance").desc(), "key"))
+    found = beyond.withColumn("rank", order).where(F.col("rank") <= limit)
+    return found.select(*(["label"] if by else []), "rank", "x", "key.*")
+
+
+def box_statistics(df: DataFrame, column: str, by: str | None = None) -> DataFrame:
+    """Quartiles, whiskers within the fences, and how many points lie beyond them, per group."""
+    keys = [by] if by else []
+    fences = _fences(df, column, keys)
     x = to_number(schema.col(column), schema.type_of(df, column))
     points = df.select(*[schema.col(k).alias("label") for k in keys], x.alias("x")).where(F.col("x").isNotNull())
     if not by:

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from sparkrinse.operators.profile import DatasetProfile
 from sparkrinse.operators.tidy import metric_rows
 
 EXTRACT_ROWS = 10_000
+PREVIEW_ROWS = 15
 AUDIT_ROWS = 15
 # Lengths to which the printed report cuts its texts.
 DESCRIPTION_LENGTH, ISSUES_LENGTH = 100, 120
@@ -93,8 +95,19 @@ def data_extract(cleaned: DataFrame, order_by: Sequence[str | Column], rows: int
     return cleaned.orderBy(*order).limit(rows)
 
 
-def preview(df: DataFrame, rows: int = 15) -> DataFrame:
-    return df.limit(rows)
+def preview(df: DataFrame, rows: int = PREVIEW_ROWS, order_by: Sequence[str | Column] | None = None) -> DataFrame:
+    """The first rows in the given order, or else as they are stored: by file, then by place in the file.
+
+    Stored order is known for Parquet tables only. Every task keeps ``rows`` rows, nothing is sorted whole.
+    """
+    if order_by is not None:
+        return data_extract(df, order_by, rows)
+    place = ["__file", "__row"]
+    try:
+        placed = df.select("*", F.col("_metadata.file_path").alias(place[0]), F.col("_metadata.row_index").alias(place[1]))
+    except AnalysisException as error:
+        raise ValueError("rows of this table have no stored order; name the columns to order by") from error
+    return placed.orderBy(*place).limit(rows).drop(*place)
 
 
 def printed_audit(audit: DataFrame, rows: int = AUDIT_ROWS) -> DataFrame:

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkrinse import schema
@@ -137,3 +137,42 @@ def outlier_samples(df: DataFrame, column: str, key: Sequence[str], limit: int =
     low, high = F.lit(fence[0]), F.lit(fence[1])
     reason = F.when(number < low, TOO_LOW).otherwise(TOO_HIGH)
     return _samples(df, outside(number, low, high), key, number, reason, limit)
+
+
+def rejected_samples(
+    df: DataFrame,
+    key: Sequence[str],
+    *,
+    emails: Sequence[str] = (),
+    dates: Sequence[str] = (),
+    numbers: Sequence[str] = (),
+    formats: Sequence[str] = DATE_FORMATS,
+    limit: int = SAMPLES,
+) -> DataFrame:
+    """``column_name, key..., value, reason``: the first rejected rows of every column, in one job.
+
+    The same rows as ``invalid_emails``, ``invalid_dates`` and ``outlier_samples`` of the single columns,
+    values as text. Every task forwards ``limit`` rows per column, whatever share of them is rejected.
+    """
+    tests = []
+    for name in emails:
+        text = _texts(df, name)
+        tests.append((name, ~is_email(text), trim_spaces(text), F.lit(None).cast("double"), F.lit(BAD_EMAIL)))
+    for name in dates:
+        value = schema.col(name)
+        day = parse_date(value, schema.type_of(df, name), formats)
+        tests.append((name, value.isNotNull() & day.isNull(), value.cast("string"), F.lit(None).cast("double"), F.lit(BAD_DATE)))
+    for name, (low, high) in numeric_fences(df, numbers).items():
+        number = to_number(schema.col(name), schema.type_of(df, name))
+        reason = F.when(number < low, TOO_LOW).otherwise(TOO_HIGH)
+        tests.append((name, outside(number, F.lit(low), F.lit(high)), number.cast("string"), number, reason))
+    each = [
+        F.struct(F.lit(name).alias("column_name"), F.coalesce(rejected, F.lit(False)).alias("rejected"), value.alias("value"), number.alias("number"), reason.alias("reason"))
+        for name, rejected, value, number, reason in tests
+    ]
+    if not each:
+        raise ValueError("name a column to check")
+    places = F.struct(*[schema.col(k).alias(k) for k in key])
+    rows = df.select(places.alias("key"), F.inline(F.filter(F.array(*each), lambda x: x["rejected"])))
+    order = F.row_number().over(Window.partitionBy("column_name").orderBy("key", "number", "value"))
+    return rows.withColumn("rank", order).where(F.col("rank") <= limit).select("column_name", "key.*", "value", "reason")

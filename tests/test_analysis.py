@@ -108,3 +108,43 @@ def test_stream(spark, tmp_path):
     out = fresh_path(spark, "stream")
     clean_stream(rows, fit(df), out, str(tmp_path / "state")).awaitTermination()
     assert sorted(r["label"] for r in spark.read.parquet(out).collect()) == ["A B", "C"]
+
+
+def test_outlier_points_per_group(spark):
+    from sparkrinse.operators.charts import box_outliers
+
+    rows = [(i, "hot", float(i % 10)) for i in range(300)] + [(i, "hot", 1000.0 + i % 3) for i in range(300, 330)]
+    rows += [(i, "cold", float(i % 7)) for i in range(400, 420)] + [(450, "cold", -99.0), (451, None, 1e9), (452, "cold", None)]
+    df = spark.createDataFrame(rows, "id LONG, g STRING, v DOUBLE").repartition(5)
+    found = [tuple(r) for r in box_outliers(df, "v", ["id"], "g", limit=12).orderBy("label", "rank").collect()]
+    hot = [(1002.0, i) for i in range(302, 330, 3)] + [(1001.0, i) for i in range(301, 330, 3)]
+    assert found == [("cold", 1, -99.0, 450)] + [("hot", n, x, i) for n, (x, i) in enumerate(hot[:12], 1)]
+    whole = box_outliers(df, "v", ["id"], limit=1)
+    assert [tuple(r) for r in whole.collect()] == [(1, 1e9, 451)]
+
+
+def test_rejected_rows_of_several_columns(spark):
+    from sparkrinse.operators import validate
+
+    rows = [(i, f"a{i}@b.c" if i % 3 else "bad", "2024-01-05" if i % 4 else "no day", 1e6 * (i - 20) if i % 10 == 0 else i / 2) for i in range(60)]
+    df = spark.createDataFrame(rows, "id LONG, mail STRING, day STRING, price DOUBLE").repartition(3)
+    found = validate.rejected_samples(df, ["id"], emails=["mail"], dates=["day"], numbers=["price"], limit=4)
+    single = [("mail", validate.invalid_emails(df, "mail", ["id"], 4)), ("day", validate.invalid_dates(df, "day", ["id"], limit=4)), ("price", validate.outlier_samples(df, "price", ["id"], 4))]
+    expected = [(name, r["id"], str(r["value"]), r["reason"]) for name, rows_ in single for r in rows_.collect()]
+    shown = [(r["column_name"], r["id"], str(float(r["value"])) if r["column_name"] == "price" else r["value"], r["reason"]) for r in found.collect()]
+    assert sorted(shown) == sorted(expected) and len(shown) == 12
+
+
+def test_preview_in_stored_order(spark, tmp_path):
+    import pytest
+
+    from sparkrinse.operators.reports import preview
+
+    path = str(tmp_path / "rows")
+    spark.range(0, 1_000, numPartitions=1).selectExpr("999 - id AS n", "'x' AS __name").write.parquet(path)
+    stored = spark.read.parquet(path)
+    assert [r["n"] for r in preview(stored).collect()] == list(range(999, 984, -1))
+    assert [r["n"] for r in preview(stored.where("n < 500"), 3).collect()] == [499, 498, 497]
+    assert [r["id"] for r in preview(spark.range(9), 2, order_by=["id"]).collect()] == [0, 1]
+    with pytest.raises(ValueError):
+        preview(spark.range(9))

@@ -279,6 +279,30 @@ def box_events_by_type(spark, folder):
     return _box(table(spark, folder, "events"), "value", "event_type")
 
 
+def _far_points(value: str, relation: str, key: tuple[str, ...], by: str | None, limit: int) -> str:
+    label, group = (f"{by} AS label, ", f"WHERE {by} IS NOT NULL GROUP BY {by}") if by else ("", "")
+    return f"""WITH q AS (SELECT {label}quantile_cont({value}::DOUBLE, 0.25) AS a, quantile_cont({value}::DOUBLE, 0.75) AS b FROM {relation} {group}),
+    beyond AS (SELECT {'label, ' if by else ''}{value}::DOUBLE AS x, {', '.join(key)},
+      greatest(a - 1.5 * (b - a) - {value}, {value} - (b + 1.5 * (b - a))) AS distance FROM {relation} t JOIN q ON {f'q.label = t.{by}' if by else 'true'})
+    SELECT * EXCLUDE (distance), row_number() OVER ({'PARTITION BY label ' if by else ''}ORDER BY distance DESC, {', '.join(key)})::INTEGER AS rank
+    FROM beyond WHERE distance > 0 QUALIFY rank <= {limit}"""
+
+
+@query("box_outlier_points", _far_points("value", "events", ("event_id",), "event_type", 25))
+def box_outlier_points(spark, folder):
+    return charts.box_outliers(table(spark, folder, "events"), "value", ["event_id"], "event_type", limit=25)
+
+
+@query("box_outlier_points_overall", _far_points("l_extendedprice", "lineitem", ("l_orderkey", "l_linenumber"), None, 100))
+def box_outlier_points_overall(spark, folder):
+    return charts.box_outliers(table(spark, folder, "lineitem"), "l_extendedprice", ["l_orderkey", "l_linenumber"])
+
+
+@query("preview_15", "SELECT * FROM lineitem LIMIT 15")
+def preview_15(spark, folder):
+    return reports.preview(table(spark, folder, "lineitem"))
+
+
 def _line(x: str, y: str, relation: str, by: str | None) -> str:
     label = f"{by} AS label, " if by else ""
     return f"""SELECT {label}regr_count({y}, {x})::BIGINT AS n, round(regr_slope({y}, {x}), 6) AS slope,
@@ -499,9 +523,19 @@ def csv_ragged(spark, folder):
     path = fresh_path(spark, "ragged-csv")
     key, rest = F.col("o_orderkey").cast("string"), F.concat_ws(",", "o_orderstatus", "o_orderpriority")
     line = F.when(F.col("o_orderkey") % 3 == 0, key).when(F.col("o_orderkey") % 3 == 1, F.concat_ws(",", key, rest)).otherwise(F.concat_ws(",", key, rest, F.lit("more")))
-    lines = table(spark, folder, "orders").select(line.alias("value")).coalesce(1)
-    header = spark.createDataFrame([("o_orderkey,o_orderstatus,o_orderpriority",)], "value STRING")
-    header.unionByName(lines).coalesce(1).write.text(path)
+    # The header is the name of the only column, so every task writes it above its own lines.
+    lines = table(spark, folder, "orders").select(line.alias("o_orderkey,o_orderstatus,o_orderpriority"))
+    lines.write.option("header", True).option("sep", "\x01").option("quote", "").csv(path)
+    return read_dataset(spark, path, fmt="csv")
+
+
+@query("csv_colliding_headers", "SELECT o_orderkey, o_custkey AS o_orderkey_2, o_orderstatus AS status FROM orders")
+def csv_colliding_headers(spark, folder):
+    """Headers are trimmed, and equal ones are told apart."""
+    path = fresh_path(spark, "headers-csv")
+    orders = table(spark, folder, "orders").select(F.col("o_orderkey").alias(" o_orderkey"), F.col("o_custkey").alias("o_orderkey "), F.col("o_orderstatus").alias(" status "))
+    plain = orders.write.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+    plain.csv(path)
     return read_dataset(spark, path, fmt="csv")
 
 

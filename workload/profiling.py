@@ -253,6 +253,18 @@ def outlier_samples(spark, folder):
     return validate.outlier_samples(stored_sales(spark, folder), "unit_price", ["order_id", "product"])
 
 
+@query(
+    "rejected_samples",
+    with_dirty(f"""(SELECT 'customer_email' AS column_name, order_id, product, trim(customer_email) AS value, 'Malformed email format' AS reason
+    FROM dirty_sales WHERE NOT regexp_full_match(trim(customer_email), '{EMAIL}') ORDER BY order_id, product, value LIMIT 10)
+    UNION ALL (SELECT 'order_date', order_id, product, order_date, 'Unparseable date expression'
+    FROM dirty_sales WHERE order_date IS NOT NULL AND {day_of("order_date")} IS NULL ORDER BY order_id, product, order_date LIMIT 10)"""),
+)
+def rejected_samples(spark, folder):
+    """Samples of several columns from one job."""
+    return validate.rejected_samples(dirty_sales(spark, folder), ["order_id", "product"], emails=["customer_email"], dates=["order_date"])
+
+
 # ---- column profiles -----------------------------------------------------------------------------
 
 @query(
@@ -408,6 +420,25 @@ GIVEN = {
 DOCUMENT_KINDS = [("doc_id", "number"), ("text", "text"), ("lang", "text"), ("source", "text"), ("n_chars", "number")]
 
 
+_ANSWERS = {
+    "large": "o_totalprice > 100000", "answer": "CASE WHEN o_orderkey % 2 = 0 THEN 'Yes' ELSE 'NO' END",
+    "digit": "CASE WHEN o_custkey % 2 = 0 THEN '1' END", "word": "CASE WHEN o_orderkey % 2 = 0 THEN 'yes' ELSE 'maybe' END",
+}
+
+
+@query(
+    "boolean_classes",
+    union_all([
+        f"""SELECT '{c}' AS column_name, '{kind}' AS inferred_type, count(*) - count({e}) AS null_count, count(DISTINCT {e}) AS unique_count FROM orders"""
+        for (c, e), kind in zip(_ANSWERS.items(), ("Boolean", "Boolean", "Numeric", "Categorical"))
+    ]),
+)
+def boolean_classes(spark, folder):
+    """Flags, and texts that say yes and no; digits in a text are numbers first."""
+    answers = table(spark, folder, "orders").select(*[F.expr(e).alias(c) for c, e in _ANSWERS.items()])
+    return profile_dataset(answers).columns_frame().select("column_name", "inferred_type", "null_count", "unique_count")
+
+
 def _register_given(name: str) -> None:
     columns, date, money = GIVEN[name]
     ctes = profile_ctes(name, columns, date, money)
