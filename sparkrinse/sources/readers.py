@@ -14,6 +14,8 @@ from sparkrinse import schema
 from sparkrinse.functions.numbers import to_number
 from sparkrinse.operators.tidy import measure_columns
 from sparkrinse.plans.cleaning import trim_headers
+from sparkrinse.sources.quoted_lines import quoted_records, well_quoted
+from sparkrinse.staging import stage
 
 # Spellings that stand for a missing value in a delimited file.
 NA_TOKENS = (
@@ -134,8 +136,9 @@ def read_delimited(
 ) -> DataFrame:
     """All columns as text. Rows with too many fields are dropped, short rows padded with nulls.
 
-    Line breaks inside quotes are found out unless ``multi_line`` tells; a file that has them is read by
-    one task. Files whose first lines differ have no common header and raise ``ValueError``.
+    Line breaks inside quotes are found out unless ``multi_line`` tells. Byte ranges of such a file are read
+    side by side, unless quotes stand inside values as well; then only one task per file can tell where a
+    value ends. Files whose first lines differ have no common header and raise ``ValueError``.
     """
     layout = text_layout(spark, path)
     if len({line.lstrip("\ufeff").rstrip("\r") for line in layout.first_lines}) > 1:
@@ -145,6 +148,10 @@ def read_delimited(
     encoding = encoding or layout.encoding
     names = _unique(_header(spark, path, sep, encoding))
     columns = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
+    if multi_line:
+        found = _quoted_rows(spark, path, sep, encoding, columns)
+        if found is not None:
+            return found.select(*[F.col(f"c{i}").alias(name) for i, name in enumerate(names)])
     rows = (
         spark.read.schema(columns.add(_RAW, T.StringType()))
         .options(
@@ -160,6 +167,26 @@ def read_delimited(
     return kept.select(*[F.col(f"c{i}").alias(name) for i, name in enumerate(names)])
 
 
+def _quoted_rows(spark: SparkSession, path: str, sep: str, encoding: str, columns: T.StructType) -> DataFrame | None:
+    """Rows of files with line breaks inside quotes, or nothing where quotes do not tell where values end."""
+    if len(sep) > 1 or encoding.upper() not in ("UTF-8", "ISO-8859-1"):
+        return None
+    text = F.col("record").cast("string") if encoding.upper() == "UTF-8" else F.decode("record", encoding)
+    records = quoted_records(spark, path).select("file", "block", "number", F.regexp_replace(text, "^\ufeff|\r$", "").alias("record"))
+    records = records.where(F.length(F.trim("record")) > 0)
+    header = records.groupBy("file").agg(
+        F.min(F.struct("block", "number")).alias("header"), F.bool_and(well_quoted(F.col("record"), sep)).alias("fine")
+    )
+    header = stage(header, "quoted-headers")
+    if not header.agg(F.bool_and("fine").alias("fine")).first()["fine"]:
+        return None
+    rows = records.join(header, "file").where(F.struct("block", "number") != F.col("header"))
+    fields = _occurrences(_outside_quotes(F.col("record")), sep) + 1
+    options = {"sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
+    parsed = rows.where(fields <= len(columns.fields)).select(F.from_csv("record", columns.simpleString()[len("struct<"):-1].replace(":", " "), options).alias("row"))
+    return parsed.select("row.*")
+
+
 def normalize_na(df: DataFrame, tokens: Sequence[str] = NA_TOKENS) -> DataFrame:
     """Spellings of "missing" become NULL in every text column."""
     def value(f: T.StructField) -> Column:

@@ -1,5 +1,7 @@
 import pytest
+from pyspark.sql import types as T
 
+from sparkrinse.sources import readers
 from sparkrinse.sources.metadata import dataset_metadata
 from sparkrinse.sources.readers import NA_TOKENS, detect_delimiter, detect_encoding, read_dataset
 from sparkrinse.sources.writers import write_audit, write_table
@@ -95,3 +97,51 @@ def test_files_with_other_headers_raise(spark, tmp_path):
     (tmp_path / "b.csv").write_text("b,a\ny,2\n")
     with pytest.raises(ValueError, match="different headers"):
         read_dataset(spark, str(tmp_path), fmt="csv")
+
+
+def _split_small(spark, size):
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = {n: spark.conf.get(n) for n in names}
+    for n, v in zip(names, (size, 0)):
+        spark.conf.set(n, v)
+    return before
+
+
+def test_quoted_breaks_in_byte_ranges(spark, tmp_path):
+    """Records that end in the range they began in, in the next one, and several ranges later."""
+    import csv as reader
+    import random
+
+    from sparkrinse.sources import quoted_lines
+
+    rng = random.Random(3)
+    rows = []
+    for i in range(400):
+        text = rng.choice(["plain", "two\nlines", 'say ""hi""\nthere, you', "\n\n", "x" * 700 + "\n" + "y, " * 300, "ä\r\nö", "", "\n".join("abcdefgh" * 9)])
+        rows.append(rng.choice([f'{i},"{text}",z', f'{i},"{text}"', f"{i}", f'{i},"{text}",z,"more\nof it"', ""]))
+    path = tmp_path / "broken"
+    path.mkdir()
+    for name, part in (("a.csv", rows[:300]), ("b.csv", rows[300:])):
+        (path / name).write_text("\n".join(["id,text,last", *part, ""]), encoding="utf-8", newline="")
+    expected = []
+    for part in (rows[:300], rows[300:]):
+        for row in reader.reader(("\n".join(part) + "\n").splitlines(keepends=True)):
+            if row and len(row) <= 3:
+                expected.append(tuple(x or None for x in row) + (None,) * (3 - len(row)))
+    before = _split_small(spark, 900)
+    try:
+        blocks = {r["block"] for r in quoted_lines.quoted_records(spark, str(path)).select("block").collect()}
+        found = readers.read_delimited(spark, str(path), sep=",")
+        assert len(blocks) > 20
+        assert sorted((tuple(x or None for x in r) for r in found.collect()), key=str) == sorted(expected, key=str)
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)
+
+
+def test_quotes_inside_values_are_left_to_the_parser(spark, tmp_path):
+    path = tmp_path / "inches.csv"
+    path.write_text('id,size\n1,5" pipe\n2,"two\nlines"\n')
+    columns = T.StructType([T.StructField("c0", T.StringType()), T.StructField("c1", T.StringType())])
+    assert readers._quoted_rows(spark, str(path), ",", "UTF-8", columns) is None
+    assert [tuple(r) for r in readers.read_delimited(spark, str(path)).collect()] == [("1", '5" pipe'), ("2", "two\nlines")]

@@ -497,7 +497,7 @@ def csv_round_trip(spark, folder):
 
 @query("csv_quoted_breaks", "SELECT doc_id, text, lang FROM documents")
 def csv_quoted_breaks(spark, folder):
-    """Texts with line breaks, commas and quotes, several files."""
+    """Texts with line breaks, commas and quotes, three files of many records each."""
     path = fresh_path(spark, "documents-csv")
     rows = table(spark, folder, "documents").select("doc_id", "text", "lang").repartition(3)
     rows.write.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
