@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkrinse import schema
@@ -21,7 +21,6 @@ from sparkrinse.operators.duplicates import duplicate_count
 from sparkrinse.operators.frequency import top_values
 from sparkrinse.operators.quantiles import numeric_summaries
 from sparkrinse.operators.semantics import SemanticMapping, detect_semantics
-from sparkrinse.operators.tidy import measure_columns
 
 TOP_GROUPS = 10
 REPORT_CATEGORICALS = 8
@@ -158,42 +157,57 @@ def categorical_distributions(
 def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Pearson r of every ordered pair over complete pairs; NULL when a side is constant.
 
-    Values are centred on their column mean, and then one pass over the rows sums, per task, the
-    products of all columns at once: a few numbers per pair leave each task, however many rows it has.
+    One scan. A task sums the products of all columns about the first values it meets and hands on counts,
+    means and co-moments, a few numbers per pair; those of all tasks are merged about the common means,
+    so values far from zero lose nothing.
     """
     columns = list(columns or schema.numeric_columns(df))
     width = len(columns)
-    raw = {c: to_number(schema.col(c), schema.type_of(df, c)) for c in columns}
-    means = measure_columns(df, columns, lambda c: {"mean": F.avg(raw[c])})
-    centred = df.select(*[(raw[c] - F.lit(means[c]["mean"])).alias(f"x{i}") for i, c in enumerate(columns)])
+    raw = df.select(*[to_number(schema.col(c), schema.type_of(df, c)).alias(f"x{i}") for i, c in enumerate(columns)])
 
     def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((4, width, width))
+        sums, origin = np.zeros((5, width, width)), np.full(width, np.nan)
         lows, highs = np.full((width, width), np.inf), np.full((width, width), -np.inf)
         for batch in batches:
             values = np.column_stack([c.cast(pa.float64()).to_numpy(zero_copy_only=False) for c in batch.columns])
             given = ~np.isnan(values)
-            x, m = np.where(given, values, 0.0), given.astype(np.float64)
-            sums += (m.T @ m, x.T @ m, (x * x).T @ m, x.T @ x)
+            for j in np.flatnonzero(np.isnan(origin) & given.any(axis=0)):
+                finite = values[np.isfinite(values[:, j]), j]
+                origin[j] = finite.mean() if len(finite) else 0.0
+            x, m = np.where(given, values - np.where(np.isnan(origin), 0.0, origin), 0.0), given.astype(np.float64)
+            sums += (m.T @ m, x.T @ m, m.T @ x, (x * x).T @ m, x.T @ x)
             for j in range(width):  # what the others span where column j has a value
                 rows = given[:, j]
                 if rows.any():
                     lows[:, j] = np.minimum(lows[:, j], np.where(given[rows], values[rows], np.inf).min(axis=0))
                     highs[:, j] = np.maximum(highs[:, j], np.where(given[rows], values[rows], -np.inf).max(axis=0))
+        if not sums[0].any():
+            return
+        n, sx, sy, sxx, sxy = sums
+        with np.errstate(invalid="ignore", divide="ignore"):
+            start = np.where(np.isnan(origin), 0.0, origin)
+            moments = (sx / n + start[:, None], sy / n + start[None, :], sxx - sx * sx / n, sxy - sx * sy / n)
+        kept = n.ravel() > 0
         at = np.indices((width, width)).reshape(2, -1)
-        columns_out = [*at.astype(np.int32), *sums.reshape(4, -1), lows.ravel(), highs.ravel()]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns_out], ["i", "j", "n", "s", "ss", "p", "low", "high"])
-
-    parts = centred.mapInArrow(products, "i INT, j INT, n DOUBLE, s DOUBLE, ss DOUBLE, p DOUBLE, low DOUBLE, high DOUBLE")
-    total = parts.groupBy("i", "j").agg(
-        *[F.sum(c).alias(c) for c in ("n", "s", "ss", "p")], F.min("low").alias("low"), F.max("high").alias("high")
+        columns_out = [*at.astype(np.int32), n.ravel(), *[x.ravel() for x in (*moments, lows, highs)]]
+        yield pa.RecordBatch.from_arrays([pa.array(c[kept]) for c in columns_out], ["i", "j", "n", "x", "y", "xx", "xy", "low", "high"])
+
+    parts = raw.mapInArrow(products, "i INT, j INT, " + ", ".join(f"{c} DOUBLE" for c in ("n", "x", "y", "xx", "xy", "low", "high")))
+    # One row per task and pair; the common means come first.
+    pair = Window.partitionBy("i", "j")
+    means = {f"mean_{c}": F.sum(F.col("n") * F.col(c)).over(pair) / F.sum("n").over(pair) for c in ("x", "y")}
+    gap_x, gap_y = F.col("x") - F.col("mean_x"), F.col("y") - F.col("mean_y")
+    total = parts.withColumns(means).groupBy("i", "j").agg(
+        F.sum(F.col("xx") + F.col("n") * gap_x * gap_x).alias("xx"), F.sum(F.col("xy") + F.col("n") * gap_x * gap_y).alias("xy"),
+        F.min("low").alias("low"), F.max("high").alias("high"),
     )
-    other = total.select(F.col("j").alias("i"), F.col("i").alias("j"), *[F.col(c).alias(f"{c}2") for c in ("s", "ss", "low", "high")])
-    both = total.join(other, ["i", "j"])
-    spread = F.sqrt(F.col("ss") - F.col("s") * F.try_divide("s", "n")) * F.sqrt(F.col("ss2") - F.col("s2") * F.try_divide("s2", "n"))
-    varies = (F.col("low") < F.col("high")) & (F.col("low2") < F.col("high2"))
+    every = df.sparkSession.createDataFrame([(i, j) for i in range(width) for j in range(width)], "i INT, j INT")
+    other = total.select(F.col("j").alias("i"), F.col("i").alias("j"), F.col("xx").alias("yy"), (F.col("low") < F.col("high")).alias("other_varies"))
+    both = every.join(total.join(other, ["i", "j"]), ["i", "j"], "left")
+    spread = F.sqrt("xx") * F.sqrt("yy")
+    varies = (F.col("low") < F.col("high")) & F.col("other_varies")
     names = F.array(*[F.lit(c) for c in columns])
-    r = F.try_divide(F.col("p") - F.col("s") * F.try_divide("s2", "n"), F.when(varies, spread))
+    r = F.try_divide(F.col("xy"), F.when(varies, spread))
     return both.select(F.get(names, F.col("i")).alias("col_x"), F.get(names, F.col("j")).alias("col_y"), F.round(r, 2).alias("r"))
 
 

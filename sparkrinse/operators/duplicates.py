@@ -33,7 +33,8 @@ def duplicate_count(df: DataFrame) -> DataFrame:
 
     Rows are first grouped by a 64-bit hash, which shuffles a few bytes per row instead of whole
     rows. A row whose hash occurs once has no copy; only rows that share a hash are compared in full.
-    The shared hashes are stored, so their true size decides how they are joined.
+    The shared hashes are stored, so their true size decides how they are joined; without any the rows are
+    read once.
     """
     # maps cannot be hashed; leaving them out only makes the first test coarser
     hashed = F.xxhash64(*[schema.col(f.name) for f in df.schema.fields if "map<" not in f.dataType.simpleString()])
@@ -43,10 +44,12 @@ def duplicate_count(df: DataFrame) -> DataFrame:
         ).agg(F.sum(COPIES).alias(COPIES)),
         "shared-hashes",
     )
-    shared = grouped.where(F.col(_HASH).isNotNull()).select(_HASH)
-    rows = df.withColumn(_HASH, hashed).join(shared, _HASH, "left_semi").drop(_HASH)
-    extra = collapse_duplicates(rows).agg(F.coalesce(F.sum(F.col(COPIES) - 1), F.lit(0)).alias("n")).first()["n"]
-    total = grouped.agg(F.coalesce(F.sum(COPIES), F.lit(0)).alias("n")).first()["n"]
+    facts = grouped.agg(F.coalesce(F.sum(COPIES), F.lit(0)).alias("rows"), F.count(_HASH).alias("shared")).first()
+    total, extra = facts["rows"], 0
+    if facts["shared"]:
+        shared = grouped.where(F.col(_HASH).isNotNull()).select(_HASH)
+        rows = df.withColumn(_HASH, hashed).join(shared, _HASH, "left_semi").drop(_HASH)
+        extra = collapse_duplicates(rows).agg(F.sum(F.col(COPIES) - 1).alias("n")).first()["n"]
     discard(grouped)
     return df.sparkSession.createDataFrame(
         [(total, total - extra, extra)], "total_rows BIGINT, distinct_rows BIGINT, duplicate_rows BIGINT"

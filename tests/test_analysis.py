@@ -148,3 +148,19 @@ def test_preview_in_stored_order(spark, tmp_path):
     assert [r["id"] for r in preview(spark.range(9), 2, order_by=["id"]).collect()] == [0, 1]
     with pytest.raises(ValueError):
         preview(spark.range(9))
+
+
+def test_correlations_far_from_zero(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=3_000)
+    data = {"a": 1e9 + x, "b": -1e9 + 0.4 * x + rng.normal(size=3_000), "c": np.full(3_000, 1e9 + 0.1), "d": rng.normal(size=3_000)}
+    data["d"][:2_900] = np.nan
+    df = spark.createDataFrame([tuple(map(float, r)) for r in zip(*data.values())], "a DOUBLE, b DOUBLE, c DOUBLE, d DOUBLE").repartition(7)
+    pairs = {(r["col_x"], r["col_y"]): r["r"] for r in analytics.correlations(df).collect()}
+    assert len(pairs) == 16
+    assert pairs["a", "b"] == pairs["b", "a"] == round(float(np.corrcoef(data["a"], data["b"])[0, 1]), 2)
+    assert pairs["a", "d"] == round(float(np.corrcoef(data["a"][2_900:], data["d"][2_900:])[0, 1]), 2)
+    assert pairs["a", "a"] == 1.0 and all(pairs[k] is None for k in pairs if "c" in k)
+    assert all(r["r"] is None for r in analytics.correlations(df.where("a < 0")).collect())
