@@ -12,7 +12,7 @@ from sparkrinse.plans.cleaning import clean, fit
 from sparkrinse.plans.report import build_report
 from sparkrinse.sources.metadata import dataset_metadata as metadata_of
 from sparkrinse.sources.readers import detect_delimiter, detect_encoding, read_dataset
-from sparkrinse.sources.writers import write_audit, write_report, write_table
+from sparkrinse.sources.writers import read_manifest, read_report, write_audit, write_report, write_table
 from sparkrinse.staging import fresh_path, stage
 from sparkrinse.streaming.clean_stream import clean_stream
 from workload.cleaning import AUDIT, CLEANED, missing_cells
@@ -596,6 +596,21 @@ def cleaned_sink(spark, folder):
     )
 
 
+@query(
+    "orders_by_month",
+    """SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n, min(o_orderkey) AS first_key, round(sum(o_totalprice), 2) AS total
+    FROM orders GROUP BY 1""",
+)
+def orders_by_month(spark, folder):
+    """A table written in a folder per month and read back from them."""
+    path = fresh_path(spark, "orders-by-month")
+    write_table(table(spark, folder, "orders").withColumn("month", F.date_format("o_orderdate", "yyyy-MM")), path, partition_by=["month"])
+    back = spark.read.parquet(path)
+    return back.groupBy(F.col("month").cast("string").alias("month")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("first_key"), F.round(F.sum("o_totalprice"), 2).alias("total")
+    )
+
+
 @query("audit_sink", AUDIT)
 def audit_sink(spark, folder):
     path = fresh_path(spark, "audit-csv")
@@ -618,10 +633,13 @@ def report_bundle(spark, folder):
     path = fresh_path(spark, "report")
     tables = build_report(stored_sales(spark, folder)).tables()
     write_report(tables, path)
-    back = {name: spark.read.parquet(f"{path}/{name}") for name in tables}
+    back = read_report(spark, path)
+    rows = {line["name"]: line["rows"] for line in read_manifest(spark, path).collect()}
+    if set(back) != set(tables):
+        raise ValueError("the report came back with other tables")
     for name, frame in back.items():
-        if frame.columns != tables[name].columns:
-            raise ValueError(f"{name} came back with other columns")
+        if frame.columns != tables[name].columns or frame.count() != rows[name]:
+            raise ValueError(f"{name} came back with other columns or rows")
     keys = {"revenue_by_category": "label", "monthly_revenue": "month", "revenue_by_region": "label"}
     parts = [back[name].select(F.lit(name).alias("name"), F.col(key).alias("label"), F.col("revenue").alias("value")) for name, key in keys.items()]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
