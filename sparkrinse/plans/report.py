@@ -11,7 +11,7 @@ from sparkrinse.operators.analytics import AnalyticsReport, analyze_dataset
 from sparkrinse.operators.profile import DatasetProfile, profile_dataset
 from sparkrinse.plans.cleaning import CleanResult, clean
 from sparkrinse.plans.config import CleaningConfig
-from sparkrinse.sources.writers import write_report
+from sparkrinse.sources.writers import publish_report, write_report
 from sparkrinse.staging import stage
 
 
@@ -43,6 +43,10 @@ class Report:
     def write(self, folder: str, fmt: str = "parquet") -> None:
         write_report(self.tables(), folder, fmt)
 
+    def publish(self, folder: str, fmt: str = "parquet") -> str:
+        """All tables at once or none, read back by ``sources.writers.read_report``; runs may be repeated."""
+        return publish_report(self.tables(), folder, fmt)
+
 
 def build_report(df: DataFrame, config: CleaningConfig | None = None) -> Report:
     """The cleaned table is written once to shared storage because half a dozen jobs read it."""

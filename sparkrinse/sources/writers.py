@@ -31,7 +31,13 @@ def write_audit(audit: DataFrame, path: str, mode: str = "errorifexists") -> Non
     ordered.write.mode(mode).option("header", True).option("escape", '"').csv(path)
 
 
-def write_report(tables: Mapping[str, DataFrame], folder: str, fmt: str = "parquet") -> str:
+def write_report(tables: Mapping[str, DataFrame], folder: str, fmt: str = "parquet", mode: str = "errorifexists") -> None:
+    """One sub-folder per report table."""
+    for name, table in tables.items():
+        write_table(table, f"{folder.rstrip('/')}/{name}", fmt=fmt, mode=mode)
+
+
+def publish_report(tables: Mapping[str, DataFrame], folder: str, fmt: str = "parquet") -> str:
     """All tables or none: they go to a fresh folder below ``folder``, and a manifest names them last.
 
     Readers follow the latest manifest, so a run that fails half-way leaves what was there before, and a

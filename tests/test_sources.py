@@ -4,7 +4,7 @@ from pyspark.sql import types as T
 from sparkrinse.sources import readers
 from sparkrinse.sources.metadata import dataset_metadata
 from sparkrinse.sources.readers import NA_TOKENS, detect_delimiter, detect_encoding, read_dataset
-from sparkrinse.sources.writers import read_manifest, read_report, write_audit, write_report, write_table
+from sparkrinse.sources.writers import publish_report, read_manifest, read_report, write_audit, write_table
 
 
 def put(folder, name, content):
@@ -150,14 +150,14 @@ def test_quotes_inside_values_are_left_to_the_parser(spark, tmp_path):
 def test_a_report_is_all_there_or_not_there(spark, tmp_path):
     folder = str(tmp_path / "report")
     first = {"small": spark.range(3), "texts": spark.createDataFrame([("a", 1.5), (None, None)], "t STRING, x DOUBLE")}
-    write_report(first, folder)
+    publish_report(first, folder)
     broken = first | {"small": spark.range(9), "broken": spark.range(5).selectExpr("raise_error('no') AS x", "id")}
     with pytest.raises(Exception, match="no"):
-        write_report(broken, folder)
+        publish_report(broken, folder)
     back = read_report(spark, folder)
     assert set(back) == {"small", "texts"} and back["small"].count() == 3
     assert rows(back["texts"]) == rows(first["texts"]) and back["texts"].schema == first["texts"].schema
-    version = write_report({"small": spark.range(7)}, folder, fmt="csv")
+    version = publish_report({"small": spark.range(7)}, folder, fmt="csv")
     back = read_report(spark, folder)
     assert set(back) == {"small"} and sorted(r["id"] for r in back["small"].collect()) == list(range(7))
     assert [(r["version"], r["rows"]) for r in read_manifest(spark, folder).collect()] == [(version, 7)]

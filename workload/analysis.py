@@ -12,7 +12,7 @@ from sparkrinse.plans.cleaning import clean, fit
 from sparkrinse.plans.report import build_report
 from sparkrinse.sources.metadata import dataset_metadata as metadata_of
 from sparkrinse.sources.readers import detect_delimiter, detect_encoding, read_dataset
-from sparkrinse.sources.writers import read_manifest, read_report, write_audit, write_report, write_table
+from sparkrinse.sources.writers import publish_report, read_manifest, read_report, write_audit, write_table
 from sparkrinse.staging import fresh_path, stage
 from sparkrinse.streaming.clean_stream import clean_stream
 from workload.cleaning import AUDIT, CLEANED, missing_cells
@@ -632,7 +632,7 @@ def report_bundle(spark, folder):
     """The whole bundle written to a folder; every table of it read back, the values of three compared."""
     path = fresh_path(spark, "report")
     tables = build_report(stored_sales(spark, folder)).tables()
-    write_report(tables, path)
+    publish_report(tables, path)
     back = read_report(spark, path)
     rows = {line["name"]: line["rows"] for line in read_manifest(spark, path).collect()}
     if set(back) != set(tables):
