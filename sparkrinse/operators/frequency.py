@@ -8,7 +8,7 @@ record per task.
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from sparkrinse import schema
 from sparkrinse.functions.numbers import to_number
 from sparkrinse.functions.text import fold
+from sparkrinse.operators.tidy import batches
 from sparkrinse.staging import stage
 
 # Values that a summary of frequent values tracks per column and task, and the longest text it keeps.
@@ -25,6 +26,7 @@ TRACKED, KEPT_CHARACTERS = 10_000, 256
 # Beyond its capacity such a summary misses at most this share of all rows per value.
 MISSED = 3.5 / 16_384
 _TOO_LONG = "\0"
+SUMMARIES_PER_PASS = 3
 
 
 def comparable(df: DataFrame, name: str) -> Column:
@@ -134,16 +136,10 @@ def top_values(df: DataFrame, columns: Sequence[str], k: int, keep_missing: bool
     # Decimals are ordered by number and shown as text, so they are counted as they are.
     exact = [c for c in columns if _family(schema.type_of(df, c)).startswith("decimal")]
     slots = {c: _slot(_family(schema.type_of(df, c))) for c in columns if c not in exact}
-    summaries = [F.call_function("approx_top_k", F.col(f"v{i}"), F.lit(TRACKED), F.lit(TRACKED)).alias(f"v{i}") for i in range(len(slots))]
-    tracked = df.select(*[_summarised(df, c).alias(f"v{i}") for i, c in enumerate(slots)])
-    # At most TRACKED values per column, and short ones.
-    summary = tracked.agg(F.count(F.lit(1)).alias("rows"), *[
-        F.transform(s, lambda x: F.struct(x["item"].cast(kind).alias("item"), x["count"].alias("count"))).alias(f"v{i}")
-        for i, (s, kind) in enumerate(zip(summaries, map(_SLOTS.get, slots.values())))
-    ]).first()
-    total, sure, open_, rest = summary["rows"], [], {}, exact
-    for i, (c, slot) in enumerate(slots.items()):
-        found = [(x["item"], x["count"]) for x in summary[f"v{i}"] or []]
+    found_in, total = _summaries(df, slots), 0
+    sure, open_, rest = [], {}, exact
+    for c, slot in slots.items():
+        total, found = found_in[c]
         cut = slot == "text" and any(x is not None and x.startswith(_TOO_LONG) for x, _ in found)
         if sum(n for _, n in found) == total and len(found) < TRACKED and not cut:
             wanted = sorted((x for x in found if keep_missing or x[0] is not None), key=lambda x: (-x[1], x[0] is not None, x[0]))
@@ -175,6 +171,30 @@ def top_values(df: DataFrame, columns: Sequence[str], k: int, keep_missing: bool
     return first_values(reduce(DataFrame.unionByName, parts), k)
 
 
+def _summaries(df: DataFrame, slots: dict[str, str]) -> dict[str, tuple[int, list]]:
+    """Rows, and the tracked values with their counts, of each column: TRACKED of them at most, and short ones.
+
+    Batches of columns run side by side in one job, each reads only its own columns.
+    """
+    frames = []
+    for batch in batches(list(enumerate(slots)), SUMMARIES_PER_PASS):
+        tracked = df.select(*[_summarised(df, c).alias(f"v{i}") for i, c in batch]).agg(
+            F.count(F.lit(1)).alias("rows"),
+            *[F.call_function("approx_top_k", F.col(f"v{i}"), F.lit(TRACKED), F.lit(TRACKED)).alias(f"v{i}") for i, _ in batch],
+        )
+        entries = [F.struct(F.lit(i).alias("i"), F.col("rows"), F.transform(f"v{i}", _slotted(slots[c])).alias("found")) for i, c in batch]
+        frames.append(tracked.select(F.inline(F.array(*entries))))
+    names, out = list(slots), {}
+    for line in reduce(DataFrame.unionByName, frames).collect() if frames else []:
+        c = names[line["i"]]
+        out[c] = (line["rows"], [(x[slots[c]], x["n"]) for x in line["found"] or []])
+    return out
+
+
+def _slotted(slot: str) -> Callable[[Column], Column]:
+    return lambda x: F.struct(*[(x["item"] if s == slot else F.lit(None)).cast(t).alias(s) for s, t in _SLOTS.items()], x["count"].alias("n"))
+
+
 def _summarised(df: DataFrame, name: str) -> Column:
     """The value as its family; a text too long to be tracked as a short stand-in."""
     value = comparable(df, name).cast(_family(schema.type_of(df, name)))
