@@ -17,10 +17,10 @@ from sparkrinse.llm.words import SPACED_WORD
 from sparkrinse.staging import discard, stage
 
 EDITS = 2
-# Lines below this are compared exactly only: two edits would make a short line another one.
-LEAST_CHARACTERS = 24
-# Characters that are counted; any eight would do, frequent ones tell more.
-COUNTED = ("e", "n", "r", "t", "i", "s", "a", "o")
+# Characters that are counted; any twenty would do, frequent ones tell more.
+COUNTED = tuple("etaoinsrhldcumfpgwyb")
+# The lower of the two bits of every count.
+LOW_BITS = sum(1 << 2 * k for k in range(len(COUNTED)))
 # Numbers of lines that are sent to every task; more of them are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
 
@@ -64,24 +64,24 @@ def probe_keys(wide: Column, length: Column, edits: int) -> Column:
 
 
 def candidate_id(line: Column) -> Column:
-    """A number for the line whose low 24 bits are eight character counts, each modulo 8.
+    """A number for the line whose low 40 bits are twenty character counts, each modulo 4 as a Gray code.
 
     Lines that share a number are told apart when their texts are compared.
     """
     counts = F.lit(0).cast("bigint")
     for k, character in enumerate(COUNTED):
-        count = (F.length(line) - F.length(F.replace(line, F.lit(character), F.lit("")))) % 8
-        counts = counts.bitwiseOR(F.shiftleft(count.cast("bigint"), 3 * k))
-    return F.xxhash64(line).bitwiseAND(F.lit(-1 << 24).cast("bigint")).bitwiseOR(counts)
+        count = (F.octet_length(line) - F.octet_length(F.replace(line, F.lit(character), F.lit("")))) % 4
+        counts = counts.bitwiseOR(F.shiftleft(count.cast("bigint"), 2 * k))
+    coded = let(counts, lambda c: c.bitwiseXOR(F.shiftright(c, 1).bitwiseAND(F.lit(LOW_BITS).cast("bigint"))))
+    return F.xxhash64(line).bitwiseAND(F.lit(-1 << 2 * len(COUNTED)).cast("bigint")).bitwiseOR(coded)
 
 
 def counts_apart(a: Column, b: Column) -> Column:
-    """At most twice the edit distance: an edit takes from one count and adds to another."""
-    total = F.lit(0)
-    for k in range(len(COUNTED)):
-        apart = F.abs(F.shiftrightunsigned(a, 3 * k).bitwiseAND(F.lit(7)) - F.shiftrightunsigned(b, 3 * k).bitwiseAND(F.lit(7)))
-        total = total + F.least(apart, 8 - apart)
-    return total
+    """At most twice the edit distance: an edit takes from one count and adds to another.
+
+    Neighbouring Gray codes differ in one bit, so the bits that differ are the sum over the counts.
+    """
+    return F.bit_count(a.bitwiseXOR(b).bitwiseAND(F.lit((1 << 2 * len(COUNTED)) - 1).cast("bigint")))
 
 
 def within_edits(longer: Column, shorter: Column, edits: int) -> Column:
@@ -195,8 +195,8 @@ def duplicate_lines(
 
     Lines are ordered by document id (null first), then place. A line goes if an equal line stands
     earlier, or if a line within ``edits`` (insert, delete or replace a character) first stands earlier,
-    whether that one stays or not. Equal lines are found at any length, close ones from ``LEAST_CHARACTERS``
-    on; blank lines stay. With ``least`` both begin at that many characters, and shorter lines stay. Rows with the same id and the same line at the same place do not drop each other.
+    whether that one stays or not. Equal lines are found at any length, close ones where both are longer
+    than ``edits``; blank lines stay. With ``least`` both begin at that many characters, and shorter lines stay. Rows with the same id and the same line at the same place do not drop each other.
     """
     if least is not None and least <= edits:
         raise ValueError("least must be above edits")
@@ -207,8 +207,7 @@ def duplicate_lines(
         ).withColumn("id", candidate_id(F.col("line"))),
         "lines",
     )
-    compared = known if least is not None else known.filter(F.length("line") >= max(LEAST_CHARACTERS, edits + 1))
-    near = close_lines(compared, edits).withColumn("is_near", F.lit(True))
+    near = close_lines(known.filter(F.length("line") > edits), edits).withColumn("is_near", F.lit(True))
     affected = stage(
         known.select("h1", "h2", "first", "n").join(near, ["h1", "h2"], "left").filter((F.col("n") > 1) | F.col("is_near")),
         "lines-affected",

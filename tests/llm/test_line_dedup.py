@@ -50,12 +50,12 @@ def expected(rows, edits, least):
     lines = []
     for doc, text in rows:
         for place, line in enumerate(text.split("\n") if text is not None else []):
-            if len(line) >= least:
+            if (len(line) >= least if least is not None else line.strip(" \t\n\v\f\r")):
                 lines.append(((doc is not None, doc or 0, place), line, (doc, text)))
     first = {}
     for order, line, _ in sorted(lines, key=lambda x: x[0]):
         first.setdefault(line, order)
-    near = {x for x in first if any(first[y] < first[x] and abs(len(x) - len(y)) <= edits and distance(x, y) <= edits for y in first if y != x)}
+    near = {x for x in first if len(x) > edits and any(len(y) > edits and first[y] < first[x] and abs(len(x) - len(y)) <= edits and distance(x, y) <= edits for y in first if y != x)}
     dropped = {}
     for order, line, row in lines:
         if line in near or order != first[line]:
@@ -79,12 +79,28 @@ def corpus(seed):
     return rows + [rows[3], rows[3]]
 
 
-@pytest.mark.parametrize("edits", [0, 1, 2, 3])
-def test_report_against_all_pairs(spark, edits):
+@pytest.mark.parametrize(("edits", "least"), [(0, 8), (1, 8), (2, 8), (3, 8), (0, None), (1, None), (2, None), (3, None)])
+def test_report_against_all_pairs(spark, edits, least):
     rows = corpus(edits)
+    rng = random.Random(edits + 10)
+    rows += [(600 + i, "\n".join("".join(rng.choice("abcdé ") for _ in range(rng.randrange(9))) for _ in range(4))) for i in range(8)]
     df = spark.createDataFrame([(*r, 1, "h") for r in rows], "doc_id long, text string, place int, line string")
-    found = sorted((tuple(r) for r in line_dedup.line_report(df, edits=edits, least=8).collect()), key=str)
-    assert found == expected(rows, edits, 8)
+    found = sorted((tuple(r) for r in line_dedup.line_report(df, edits=edits, least=least).collect()), key=str)
+    assert found == expected(rows, edits, least)
+
+
+@pytest.mark.parametrize("edits", [1, 2, 3])
+def test_counts_never_refuse_close_lines(spark, edits):
+    rng = random.Random(edits)
+    rows = []
+    for _ in range(500):
+        a = "".join(rng.choice("etaoinsrhldcumfpgwyb XÉ") for _ in range(rng.randrange(4, 80)))
+        rows.append((a, edited(rng, a, edits)))
+    apart = line_dedup.counts_apart(line_dedup.candidate_id(F.col("a")), line_dedup.candidate_id(F.col("b")))
+    found = spark.createDataFrame(rows, "a string, b string").select("a", "b", apart.alias("apart")).collect()
+    for r in found:
+        lee = sum(min(d, 4 - d) for d in ((r.a.count(c) - r.b.count(c)) % 4 for c in line_dedup.COUNTED))
+        assert r.apart == lee <= 2 * edits
 
 
 def test_rewritten_texts(spark):
@@ -99,11 +115,11 @@ def test_rewritten_texts(spark):
     assert line_dedup.drop_duplicate_lines(df.drop("__dropped").limit(0)).count() == 0
 
 
-def test_short_lines_repeat_exactly(spark):
-    rows = [(1, "Les.\n\nx\n \t\nLes."), (2, "Lea.\nx\n\n \t\nñ"), (3, "Les.\nñ")]
+def test_short_lines(spark):
+    rows = [(1, "Les.\n\nx\n \t\nLes."), (2, "Lea.\nx\n\n \t\nñ"), (3, "Les.\nñ"), (4, "ab\nabc\nxyz\nxyc")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     found = sorted((r.doc_id, r.n_lines, r.n_exact, r.n_near, r.dropped) for r in line_dedup.line_report(df).collect())
-    assert found == [(1, 5, 1, 0, [4]), (2, 5, 1, 0, [1]), (3, 2, 2, 0, [0, 1])]
+    assert found == [(1, 5, 1, 0, [4]), (2, 5, 1, 1, [0, 1]), (3, 2, 2, 0, [0, 1]), (4, 4, 0, 1, [3])]
 
 
 def test_whole_copies_leave_nothing(spark):
