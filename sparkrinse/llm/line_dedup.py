@@ -17,10 +17,12 @@ from sparkrinse.llm.words import SPACED_WORD
 from sparkrinse.staging import discard, stage
 
 EDITS = 2
-# Characters that are counted; any twenty would do, frequent ones tell more.
-COUNTED = tuple("etaoinsrhldcumfpgwyb")
+# Characters that are counted; any sixteen would do, frequent ones tell more.
+COUNTED = tuple("etaoinsrhldcumpg")
 # The lower of the two bits of every count.
 LOW_BITS = sum(1 << 2 * k for k in range(len(COUNTED)))
+# Below the counts.
+ROW_BITS = 64 - 2 * len(COUNTED)
 # Numbers of lines that are sent to every task; more of them are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
 
@@ -59,29 +61,36 @@ def probe_keys(wide: Column, length: Column, edits: int) -> Column:
     for shorter in range(edits + 1):
         for i in range(edits + 1):
             right = edits - i  # segments to the right of this one
-            places += [(shorter, i, moved) for moved in range(max(-i, shorter - right), min(i, shorter + right) + 1)]
-    return F.array_distinct(_keys(wide, length, edits, places))
+            least = max(-i, shorter - right)
+            # Lines of equal length probe each other. Up to three edits hold one insertion and one deletion at
+            # most, so all segments that moved, moved the same way, and the other way seen from the other line.
+            if shorter == 0 and edits <= 3:
+                least = 0
+            places += [(shorter, i, moved) for moved in range(least, min(i, shorter + right) + 1)]
+    return _keys(wide, length, edits, places)
 
 
 def candidate_id(line: Column) -> Column:
-    """A number for the line whose low 40 bits are twenty character counts, each modulo 4 as a Gray code.
+    """A number for the line: low bits of its row while it is written, above them sixteen character counts modulo 4.
 
-    Lines that share a number are told apart when their texts are compared.
+    Rows that follow each other have numbers that compress well. Lines that share a number are told
+    apart when their texts are compared.
     """
-    counts = F.lit(0).cast("bigint")
+    number = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << ROW_BITS) - 1).cast("bigint"))
     for k, character in enumerate(COUNTED):
         count = (F.octet_length(line) - F.octet_length(F.replace(line, F.lit(character), F.lit("")))) % 4
-        counts = counts.bitwiseOR(F.shiftleft(count.cast("bigint"), 2 * k))
-    coded = let(counts, lambda c: c.bitwiseXOR(F.shiftright(c, 1).bitwiseAND(F.lit(LOW_BITS).cast("bigint"))))
-    return F.xxhash64(line).bitwiseAND(F.lit(-1 << 2 * len(COUNTED)).cast("bigint")).bitwiseOR(coded)
+        number = number.bitwiseOR(F.shiftleft(count.cast("bigint"), ROW_BITS + 2 * k))
+    return number
 
 
 def counts_apart(a: Column, b: Column) -> Column:
     """At most twice the edit distance: an edit takes from one count and adds to another.
 
-    Neighbouring Gray codes differ in one bit, so the bits that differ are the sum over the counts.
+    Gray codes of neighbours differ in one bit, so the bits in which they differ are the sum over the
+    counts; the code of a difference is the difference of the codes.
     """
-    return F.bit_count(a.bitwiseXOR(b).bitwiseAND(F.lit((1 << 2 * len(COUNTED)) - 1).cast("bigint")))
+    differ = F.shiftrightunsigned(a.bitwiseXOR(b), ROW_BITS)
+    return F.bit_count(differ.bitwiseXOR(F.shiftright(differ, 1).bitwiseAND(F.lit(LOW_BITS).cast("bigint"))))
 
 
 def within_edits(longer: Column, shorter: Column, edits: int) -> Column:
@@ -205,7 +214,7 @@ def duplicate_lines(
         lines.groupBy("h1", "h2").agg(
             F.min(F.struct("__id", "place")).alias("first"), F.count("*").alias("n"), F.any_value("line").alias("line")
         ).withColumn("id", candidate_id(F.col("line"))),
-        "lines",
+        "lines", "zstd",
     )
     near = close_lines(known.filter(F.length("line") > edits), edits).withColumn("is_near", F.lit(True))
     affected = stage(
