@@ -124,9 +124,9 @@ def longer(numbers: np.ndarray, singles: np.ndarray, size: int) -> np.ndarray:
 
 
 class Round:
-    """What one pass counts: phrases whose parts are open now, and were not all open before."""
+    """What one pass counts: phrases whose parts are open now, and were not all open in one pass before."""
 
-    def __init__(self, now: list[Filter], before: list[Filter] | None, longest: int) -> None:
+    def __init__(self, now: list[Filter], before: list[list[Filter]], longest: int) -> None:
         # The filter at k - 1 holds phrases of k words that are open: parts of phrases to be counted.
         self.now, self.before, self.longest = now, before, longest
 
@@ -142,8 +142,8 @@ class Round:
                 return
             open_now = self.now[size - 2].holds(numbers)
             fits = open_now[:-1] & open_now[1:] & (words.piece[:n - size + 1] == words.piece[size - 1:])
-            if self.before is not None:
-                known = self.before[size - 2].holds(numbers)
+            for opened in self.before:
+                known = opened[size - 2].holds(numbers)
                 fits &= ~(known[:-1] & known[1:])
             numbers = longer(numbers, singles, size)
             if size in sizes:
@@ -178,7 +178,7 @@ def _count(shared, sizes: list[int], doublings: int):
     """Counts of the phrases of a round, as packed numbers dealt by their leading bits."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, before, longest = shared.value
-        asked = Round([Filter(b) for b in now], None if before is None else [Filter(b) for b in before], longest)
+        asked = Round([Filter(b) for b in now], [[Filter(b) for b in opened] for opened in before], longest)
         held: dict[int, tuple[list, list]] = {s: ([], []) for s in sizes}
         firsts = [p << 64 - doublings for p in range(2**doublings)] if doublings else [0]
 
@@ -230,7 +230,7 @@ def frequent(docs: DataFrame, asked: Round, sizes: list[int], least: int, doubli
     A task adds up the numbers with the same ``doublings`` leading bits, which are one slice of the bitmap.
     """
     doublings = min(doublings, BITS - 3)
-    before = None if asked.before is None else [f.bits for f in asked.before]
+    before = [[f.bits for f in opened] for opened in asked.before]
     shared = docs.sparkSession.sparkContext.broadcast(([f.bits for f in asked.now], before, asked.longest))
     counts = docs.mapInArrow(_count(shared, sizes, doublings), COUNTED)
     slices = counts.groupBy("part", "size").applyInArrow(_add(least, doublings, BITS), "part int, size int, bits binary").toArrow()
@@ -326,13 +326,17 @@ def phrase_counts(docs: DataFrame, longest: int, support: int) -> DataFrame:
     lowered = max(1, int(LOWERED * support / SAMPLE))
     counted: list[Filter] = []
     for k in range(1, longest):
-        counted.append(frequent(sample, Round(counted, None, longest), [k], lowered, doublings)[k])
+        counted.append(frequent(sample, Round(counted, [], longest), [k], lowered, doublings)[k])
     sizes = list(range(1, longest + 1))
-    sure = list(frequent(docs, Round(counted, None, longest), sizes, support, doublings).values())
-    while not all(a.within(b) for a, b in zip(sure, counted)):
+    sure = list(frequent(docs, Round(counted, [], longest), sizes, support, doublings).values())
+    # What passes had open. A phrase was counted if one pass had all its parts open: parts that share bits
+    # with proposed phrases may be open in one pass and the rest in another, so passes are not united.
+    passes = [counted]
+    while not any(all(a.within(b) for a, b in zip(sure, opened)) for opened in passes):
         # Failures of the border: phrases with a part that was not open when phrases were counted.
-        more = frequent(docs, Round(sure[:-1], counted, longest), sizes[1:], support, doublings)
-        counted = [a.union(b) for a, b in zip(sure, counted)]
+        more = frequent(docs, Round(sure[:-1], passes, longest), sizes[1:], support, doublings)
+        # What is sure only grows, so the last pass holds those between.
+        passes = [counted, sure[:-1]]
         sure = [sure[0], *[sure[k - 1].union(more[k]) for k in sizes[1:]]]
     shared = docs.sparkSession.sparkContext.broadcast([f.bits for f in sure])
     packed = docs.mapInArrow(_spell(shared, doublings), "part int, rows binary")

@@ -104,3 +104,16 @@ def test_words_and_pieces():
     assert words.array().to_pylist() == ["a", "b", "c", "d", "e", "f"]
     assert words.text.tolist() == [0, 0, 0, 2, 2, 3]
     assert len(set(words.piece.tolist())) == 5 and words.piece[0] == words.piece[1]
+
+
+def test_shared_bits_lose_no_phrase(spark, monkeypatch):
+    """Few bits: parts of frequent phrases seem proposed although the sample missed their words."""
+    monkeypatch.setattr(phrases, "BITS", 12)
+    rng = random.Random(1)
+    rows = []
+    for i in range(400):
+        a, b, c = (f"w{i}{x}" for x in "abc")
+        rows += [("en", f"{a} {b} {c}. {rng.random()}") for _ in range(rng.randrange(10, 13))]
+        rows += [("en", f"{b} z{rng.random()} {c}") for _ in range(8)]
+    found = mined(spark, rows)
+    assert len(found) == 400 and all(phrase.count(" ") == 2 for _, _, phrase, *_ in found)
