@@ -123,7 +123,7 @@ def business_kpis(totals: DataFrame) -> DataFrame:
         "total_revenue": show_currency(F.col("total_revenue")),
         "avg_order_value": show_currency(F.col("avg_order_value")),
         "total_quantity": show_number(F.col("total_quantity")),
-        "total_orders": show_number(F.col("total_orders")),
+        "total_orders": show_count(F.col("total_orders")),
         "unique_customers": show_count(F.col("unique_customers")),
     }
     rows = metric_rows(totals, {label: shown[name] for label, name, _ in BUSINESS_METRICS})

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 
 from sparkrinse import analyze_dataset, detect_semantics
-from sparkrinse.operators import analytics, charts, quantiles
+from sparkrinse.operators import analytics, charts, quantiles, reports
 from sparkrinse.plans.report import build_report
 from sparkrinse.plans.cleaning import fit
 from sparkrinse.staging import fresh_path, release
@@ -164,3 +164,12 @@ def test_correlations_far_from_zero(spark):
     assert pairs["a", "d"] == round(float(np.corrcoef(data["a"][2_900:], data["d"][2_900:])[0, 1]), 2)
     assert pairs["a", "a"] == 1.0 and all(pairs[k] is None for k in pairs if "c" in k)
     assert all(r["r"] is None for r in analytics.correlations(df.where("a < 0")).collect())
+
+
+def test_millions_of_orders_are_written_out(spark):
+    totals = spark.createDataFrame(
+        [(2.5e9, 678.4, 12_345_678, 3_690_012, 90_000)],
+        "total_revenue DOUBLE, avg_order_value DOUBLE, total_quantity BIGINT, total_orders BIGINT, unique_customers BIGINT",
+    )
+    shown = [r["value"] for r in reports.business_kpis(totals).orderBy("position").collect()]
+    assert shown == ["$2500.00M", "$678.40", "12.35M", "3,690,012", "90,000"]
