@@ -39,6 +39,8 @@ UNTYPED_NAMES = ("id", "date")
 POSITIVE_NAMES = ("quantity", "price", "sales", "revenue")
 CASING_FLOOR, CASING_SHARE = 50, 0.1
 OUTLIER_MINIMUM = 10
+# Columns of at most so many values are cleaned by looking their values up, some MB a column in every executor.
+LOOKED_UP = 50_000
 DATE_SHARE = 0.5
 UNKNOWN = "Unknown"
 
@@ -49,6 +51,11 @@ class ColumnPlan:
     steps: list[Step] = field(default_factory=list)
 
 
+def _staged_steps(steps: list[Step]) -> list[Step]:
+    """The steps of a column, texts to be read as dates trimmed beforehand."""
+    return [s for step in steps for s in ([{"step": "trim"}, step] if step["step"] == "date" else [step])]
+
+
 @dataclass
 class CleaningPlan:
     """Decisions only, no data: can be stored as JSON and applied elsewhere."""
@@ -56,13 +63,21 @@ class CleaningPlan:
     columns: list[ColumnPlan]
 
     def apply(self, df: DataFrame) -> DataFrame:
-        """One projection over a table with the fitted columns (headers are trimmed first)."""
+        """Narrow projections over a table with the fitted columns (headers are trimmed first)."""
         df = trim_headers(df)
-        cleaned = []
-        for plan in self.columns:
-            value, _ = run_steps(schema.null_if_nan(df, plan.name), schema.type_of(df, plan.name), plan.steps)
-            cleaned.append(value.alias(plan.name))
-        return df.select(*cleaned)
+        kinds = {c.name: schema.type_of(df, c.name) for c in self.columns}
+        df = df.select(*[schema.null_if_nan(df, c.name).alias(c.name) for c in self.columns])
+        # The steps of one place after the other, so that a step that looks at a value several times reads a column
+        # and does not repeat the steps before it.
+        for place in range(max((len(_staged_steps(c.steps)) for c in self.columns), default=0)):
+            cleaned = []
+            for plan in self.columns:
+                value, steps = schema.col(plan.name), _staged_steps(plan.steps)
+                if place < len(steps):
+                    value, kinds[plan.name] = run_step(value, kinds[plan.name], steps[place])
+                cleaned.append(value.alias(plan.name))
+            df = df.select(*cleaned)
+        return df
 
     def to_json(self) -> str:
         return json.dumps([{"name": c.name, "steps": c.steps} for c in self.columns])
@@ -241,14 +256,39 @@ class _Fitting:
         self._decide_fills_and_types()
         plan = CleaningPlan([ColumnPlan(c, self.steps[c]) for c in self.names])
         return CleanResult(
-            plan.apply(self.rows.select(*[schema.col(c) for c in self.names])),
-            plan, self._ordered_audit(), self.source, self.before, self.total, self.missing_after,
+            self._applied(plan), plan, self._ordered_audit(), self.source, self.before, self.total, self.missing_after,
         )
 
+    def _applied(self, plan: CleaningPlan) -> DataFrame:
+        """The same as ``plan.apply`` of the rows: texts of few values are looked up instead of computed in every row."""
+        rows = self.rows.select(*[schema.col(c) for c in self.names])
+        few = {
+            c: self.steps[c] for c in self.scalars
+            if self.kinds[c] == T.StringType() and self.steps[c] and 0 < self.found[c]["values"] <= LOOKED_UP
+            and self._value(c)[1] == T.StringType()
+        }
+        if not few:
+            return plan.apply(rows)
+        name, done = F.col("column_name"), F.when(F.lit(False), F.lit(None))
+        listed = self.values.where(name.isin(*few) & F.col("text").isNotNull())
+        for c, steps in few.items():
+            done = done.when(name == F.lit(c), run_steps(F.col("text"), T.StringType(), steps)[0])
+        listed = stage(listed.select("column_name", "text", done.alias("cleaned")), "cleaned-values")
+        for i, c in enumerate(few):
+            own = listed.where(name == F.lit(c)).select(F.col("text").alias(f"__text{i}"), F.col("cleaned").alias(f"__cleaned{i}"))
+            rows = rows.join(F.broadcast(own), schema.col(c) == F.col(f"__text{i}"), "left")
+        looked_up = {
+            c: F.when(schema.col(c).isNull(), run_steps(F.lit(None).cast("string"), T.StringType(), steps)[0]).otherwise(F.col(f"__cleaned{i}"))
+            for i, (c, steps) in enumerate(few.items())
+        }
+        rows = rows.select(*[looked_up[c].alias(c) if c in few else schema.col(c) for c in self.names])
+        return CleaningPlan([ColumnPlan(c, [] if c in few else self.steps[c]) for c in self.names]).apply(rows)
+
     def _collapse(self) -> None:
         """Remove duplicates and list the distinct values, each once, on shared storage.
 
-        The copies counter still tells the raw counts. All later passes read only the distinct values.
+        The copies counter still tells the raw counts. All later passes read only the distinct values. Whole
+        numbers without gaps need no list unless outliers are sought: a few counts are all that is asked of them.
         """
         if self.config.remove_duplicates:
             self.rows = stage(collapse_duplicates(self.source), "distinct-rows")
@@ -257,9 +297,26 @@ class _Fitting:
             self.rows = self.source
             weighted, weight = self.source.withColumn(COPIES, F.lit(1)), COPIES
         self.scalars = [c for c in self.names if schema.is_scalar(self.kinds[c])]
+        self.counted = self._count_whole_columns(weighted)
+        self.scalars = [c for c in self.scalars if c not in self.counted]
         freq = frequency.value_frequencies(weighted, self.scalars, keep_missing=True, weight=weight)
         self.values = stage(freq, "values")
 
+    def _count_whole_columns(self, weighted: DataFrame) -> dict[str, dict]:
+        """Counts of the columns of whole numbers that have no gaps, if some column with a list of values is left."""
+        whole = [c for c in self.scalars if isinstance(self.kinds[c], T.IntegralType)]
+        if self.config.outlier_strategy != "flag_only" or len(whole) == len(self.scalars):
+            return {}
+
+        def measures(name: str) -> dict[str, Column]:
+            return {
+                "rows": F.count(F.lit(1)), "raw_rows": F.sum(COPIES), "present": F.count(schema.col(name)),
+                "negatives": F.count_if(schema.col(name) < 0) if self._must_be_positive(name) else F.lit(0),
+            }
+
+        found = measure_columns(weighted, whole, measures)
+        return {c: {**f, "raw_missing": 0} for c, f in found.items() if f["rows"] and f["rows"] == f["present"]}
+
     def _value(self, name: str) -> tuple[Column, T.DataType]:
         """A column of the rows after the steps decided so far."""
         return run_steps(schema.col(name), self.kinds[name], self.steps[name])
@@ -335,6 +392,8 @@ class _Fitting:
         self.found = {c: dict(empty) for c in self.names}
         for line in counted.collect():
             self.found[line["column_name"]] |= line.asDict()
+        for name, found in self.counted.items():
+            self.found[name] |= found
         self._count_nested()
 
         sizes = self.found[self.scalars[0]] if self.scalars else self.found[self.names[0]]
@@ -349,7 +408,7 @@ class _Fitting:
 
     def _count_nested(self) -> None:
         """Columns with nested types are only looked at for missing values."""
-        nested = [c for c in self.names if c not in self.scalars]
+        nested = [c for c in self.names if not schema.is_scalar(self.kinds[c])]
         copies = F.col(COPIES) if self.config.remove_duplicates else F.lit(1)
 
         def measures(name: str) -> dict[str, Column]:
@@ -366,7 +425,7 @@ class _Fitting:
     def _decide_text_signs_and_dates(self) -> None:
         limit = max(CASING_FLOOR, int(self.total * CASING_SHARE))
         self.recased = set()
-        for name in self.scalars:
+        for name in [*self.scalars, *self.counted]:
             found = self.found[name]
             if self._is_cleanable_text(name) and found["present"]:
                 for step in self._text_steps(name):

@@ -100,6 +100,8 @@ def run_step(value: Column, kind: T.DataType, step: Step) -> Typed:
     name = step["step"]
     if name == "squeeze":
         return tx.squeeze_spaces(value), kind
+    if name == "trim":
+        return (tx.trim_spaces(value) if schema.is_text(kind) else value), kind
     if name == "email":
         return F.lower(tx.trim_spaces(value)), kind
     if name == "synonyms":

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from sparkrinse.plans import cleaning
 from sparkrinse.plans.cleaning import CleaningPlan, clean, fit, trim_headers
 from sparkrinse.plans.config import CleaningConfig
 from workload.dirty_sales import dirty_sales
@@ -126,3 +127,26 @@ def test_options_are_checked(spark):
         CleaningConfig(custom_missing_rules={"a": "guess"})
     with pytest.raises(ValueError):
         clean(frame(spark, [1], "INT"), CleaningConfig(custom_missing_rules={"v": "unknown"}))
+
+
+def test_texts_of_few_values_are_looked_up(spark, monkeypatch):
+    rows = [(i, [" a  b ", "C d", None, "é-x 3rd"][i % 4], ["2024-01-05", "05/02/2023", "never", None][i % 4], -1.5) for i in range(80)]
+    df = spark.createDataFrame(rows, "row_id BIGINT, category STRING, order_date STRING, price DOUBLE")
+    result = clean(df)
+    shown = result.cleaned._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" not in shown and "Join" in shown
+    found = sorted(map(tuple, result.cleaned.collect()))
+    assert found == sorted(map(tuple, result.plan.apply(df).collect()))
+    monkeypatch.setattr(cleaning, "LOOKED_UP", 0)
+    assert found == sorted(map(tuple, clean(df).cleaned.collect()))
+    assert found[3][1:] == ("É-X 3Rd", "Unknown", 1.5) and found[0][1:] == ("A B", "2024-01-05", 1.5)
+
+
+def test_whole_numbers_without_gaps_are_not_listed(spark):
+    df = spark.createDataFrame([(i, -i, None if i % 3 else i, "x") for i in range(30)], "id BIGINT, quantity BIGINT, sales BIGINT, text STRING")
+    fitting = cleaning._Fitting(df, CleaningConfig())
+    result = fitting.run()
+    assert {r[0] for r in fitting.values.select("column_name").distinct().collect()} == {"sales", "text"}
+    negatives = [e.records_affected for e in result.audit if e.operation == "Negative Value Correction" and e.column == "quantity"]
+    assert negatives == [29] and result.rows_after == 30 and result.missing_after == 0
+    assert sorted(r["quantity"] for r in result.cleaned.collect()) == list(range(30))
