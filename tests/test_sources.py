@@ -5,6 +5,7 @@ from sparkrinse.sources import readers
 from sparkrinse.sources.metadata import dataset_metadata
 from sparkrinse.sources.readers import NA_TOKENS, detect_delimiter, detect_encoding, read_dataset
 from sparkrinse.sources.writers import publish_report, read_manifest, read_report, write_audit, write_table
+from workload import analysis
 
 
 def put(folder, name, content):
@@ -161,3 +162,13 @@ def test_a_report_is_all_there_or_not_there(spark, tmp_path):
     back = read_report(spark, folder)
     assert set(back) == {"small"} and sorted(r["id"] for r in back["small"].collect()) == list(range(7))
     assert [(r["version"], r["rows"]) for r in read_manifest(spark, folder).collect()] == [(version, 7)]
+
+
+def test_files_with_quoted_breaks_grow_in_number(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, "é" * 50) for i in range(10)], "doc_id INT, text STRING")
+    assert analysis.csv_files(rows) == 3 and analysis.csv_files(rows.limit(0)) == 3
+    monkeypatch.setattr(analysis, "CSV_FILE_BYTES", 130)
+    assert analysis.csv_files(rows) == 8
+    monkeypatch.setattr(analysis, "CSV_FILE_BYTES", 50_000)
+    back = analysis.csv_quoted_breaks(spark, "/root/testdata/sf0.001")
+    assert back.count() == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()

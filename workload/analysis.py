@@ -495,11 +495,21 @@ def csv_round_trip(spark, folder):
     return read_dataset(spark, path, fmt="csv")
 
 
+# Texts of about so many bytes go to one file, beyond the least number of files.
+CSV_FILE_BYTES, CSV_FILES = 64 << 20, 3
+
+
+def csv_files(rows):
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(CSV_FILES, -(-size // CSV_FILE_BYTES))
+
+
 @query("csv_quoted_breaks", "SELECT doc_id, text, lang FROM documents")
 def csv_quoted_breaks(spark, folder):
-    """Texts with line breaks, commas and quotes, three files of many records each."""
+    """Texts with line breaks, commas and quotes, three files of many records each, more of them for large tables."""
     path = fresh_path(spark, "documents-csv")
-    rows = table(spark, folder, "documents").select("doc_id", "text", "lang").repartition(3)
+    rows = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    rows = rows.repartition(csv_files(rows))
     rows.write.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
     return read_dataset(spark, path, fmt="csv")
 
