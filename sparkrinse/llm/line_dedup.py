@@ -3,8 +3,8 @@
 Equal lines are counted first and stay one row from then on. For the rest, a line is cut into one more
 segment than edits are allowed: two lines that close share a segment, at a place that their lengths and
 the segment's number bound. Segments by (length, number, content) are the index; a line probes it with
-the substrings those bounds leave. Candidates whose character counts differ too much go within the
-join, the others are verified with a banded bit-parallel edit distance: one bit vector per character, as wide as
+the substrings those bounds leave. Candidates whose character counts at both ends differ too much go within
+the join, those that differ too much as a whole once their texts are there; the others are verified with a banded bit-parallel edit distance: one bit vector per character, as wide as
 the band, whatever the line's length.
 """
 from __future__ import annotations
@@ -23,6 +23,8 @@ COUNTED = tuple("etaoinsrhldcumpg")
 LOW_BITS = sum(1 << 2 * k for k in range(len(COUNTED)))
 # Below the counts.
 ROW_BITS = 64 - 2 * len(COUNTED)
+# Characters at either end of a line that are counted for its number; shorter lines are counted as a whole.
+COUNTED_END = 320
 # Numbers of lines that are sent to every task; more of them are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
 
@@ -70,17 +72,34 @@ def probe_keys(wide: Column, length: Column, edits: int) -> Column:
     return _keys(wide, length, edits, places)
 
 
+def ends(line: Column) -> Column:
+    """Both ends of a long line. An edit inside moves a character out of an end or into it, so that counts
+    over the ends, like those over a whole line, change by two at most."""
+    size = F.length(line)
+    return F.when(size <= 2 * COUNTED_END, line).otherwise(
+        F.concat(F.substr(line, F.lit(1), F.lit(COUNTED_END)), F.substr(line, size - (COUNTED_END - 1), F.lit(COUNTED_END)))
+    )
+
+
+def with_counts(number: Column, line: Column) -> Column:
+    """``number`` with sixteen character counts modulo 4 in its high bits.
+
+    What was counted is taken out, so that the line gets shorter; the common parts are worked out once.
+    """
+    for k, character in enumerate(COUNTED):
+        rest = F.replace(line, F.lit(character), F.lit(""))
+        number = number.bitwiseOR(F.shiftleft(((F.octet_length(line) - F.octet_length(rest)) % 4).cast("bigint"), ROW_BITS + 2 * k))
+        line = rest
+    return number
+
+
 def candidate_id(line: Column) -> Column:
-    """A number for the line: low bits of its row while it is written, above them sixteen character counts modulo 4.
+    """A number for the line: low bits of its row while it is written, above them the counts of ``line``.
 
     Rows that follow each other have numbers that compress well. Lines that share a number are told
     apart when their texts are compared.
     """
-    number = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << ROW_BITS) - 1).cast("bigint"))
-    for k, character in enumerate(COUNTED):
-        count = (F.octet_length(line) - F.octet_length(F.replace(line, F.lit(character), F.lit("")))) % 4
-        number = number.bitwiseOR(F.shiftleft(count.cast("bigint"), ROW_BITS + 2 * k))
-    return number
+    return with_counts(F.monotonically_increasing_id().bitwiseAND(F.lit((1 << ROW_BITS) - 1).cast("bigint")), line)
 
 
 def counts_apart(a: Column, b: Column) -> Column:
@@ -183,16 +202,22 @@ def close_lines(known: DataFrame, edits: int) -> DataFrame:
     involved = stage(pairs.select(F.col("longer").alias("id")).unionByName(pairs.select(F.col("shorter").alias("id"))).distinct(), "line-ids")
     # Eight bytes a line: while they are few, the texts of all others need not be shuffled.
     few = involved.count() <= MOST_BROADCAST
-    held = stage(known.join(F.broadcast(involved) if few else involved, "id", "left_semi"), "line-texts")
+    held = stage(
+        known.join(F.broadcast(involved) if few else involved, "id", "left_semi").withColumn("counts", with_counts(F.lit(0).cast("bigint"), F.col("line"))),
+        "line-texts",
+    )
 
     def side(name: str) -> DataFrame:
-        return held.select(F.col("id").alias(name), F.struct("h1", "h2", "line", "first").alias(name[0]))
+        return held.select(F.col("id").alias(name), F.struct("h1", "h2", "line", "first", "counts").alias(name[0]))
 
     far = F.abs(F.length("l.line") - F.length("s.line")) > edits
     swapped = F.length("l.line") < F.length("s.line")
-    close = pairs.join(side("longer"), "longer").join(side("shorter"), "shorter").filter(~far & (F.col("l.line") != F.col("s.line"))).filter(
-        within_edits(F.when(swapped, F.col("s.line")).otherwise(F.col("l.line")), F.when(swapped, F.col("l.line")).otherwise(F.col("s.line")), edits)
+    alike = ~far & (counts_apart(F.col("l.counts"), F.col("s.counts")) <= 2 * edits) & (F.col("l.line") != F.col("s.line"))
+    verified = within_edits(
+        F.when(swapped, F.col("s.line")).otherwise(F.col("l.line")), F.when(swapped, F.col("l.line")).otherwise(F.col("s.line")), edits
     )
+    # As a case: the optimizer would take the distance first among several conditions.
+    close = pairs.join(side("longer"), "longer").join(side("shorter"), "shorter").filter(F.when(alike, verified))
     later = F.when(F.col("l.first") > F.col("s.first"), F.col("l")).when(F.col("l.first") < F.col("s.first"), F.col("s"))
     return close.select(later.alias("x")).filter("x is not null").select("x.h1", "x.h2").distinct()
 
@@ -213,7 +238,7 @@ def duplicate_lines(
     known = stage(
         lines.groupBy("h1", "h2").agg(
             F.min(F.struct("__id", "place")).alias("first"), F.count("*").alias("n"), F.any_value("line").alias("line")
-        ).withColumn("id", candidate_id(F.col("line"))),
+        ).withColumn("seen", ends(F.col("line"))).withColumn("id", candidate_id(F.col("seen"))).drop("seen"),
         "lines", "zstd",
     )
     near = close_lines(known.filter(F.length("line") > edits), edits).withColumn("is_near", F.lit(True))

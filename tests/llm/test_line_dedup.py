@@ -103,6 +103,29 @@ def test_counts_never_refuse_close_lines(spark, edits):
         assert r.apart == lee <= 2 * edits
 
 
+@pytest.mark.parametrize("edits", [1, 2, 3])
+def test_counts_at_the_ends_never_refuse_close_lines(spark, edits):
+    rng = random.Random(edits)
+    rows = []
+    for _ in range(300):
+        a = "".join(rng.choice("etaoinsrhldcumfpgwyb XÉ") for _ in range(rng.randrange(630, 650) if rng.random() < 0.7 else 900))
+        rows.append((a, edited(rng, a, edits)))
+    number = [line_dedup.candidate_id(line_dedup.ends(F.col(c))) for c in "ab"]
+    df = spark.createDataFrame(rows, "a string, b string")
+    found = df.select("a", F.length(line_dedup.ends(F.col("a"))).alias("seen"), line_dedup.counts_apart(*number).alias("apart")).collect()
+    assert all(r.apart <= 2 * edits and r.seen == min(len(r.a), 2 * line_dedup.COUNTED_END) for r in found)
+
+
+def test_long_lines_that_differ_inside(spark):
+    rng = random.Random(3)
+    a, b = ("".join(rng.choice("etaoin shrdlu") for _ in range(900)) for _ in range(2))
+    inside = a[:450] + "xyz" + a[453:]  # three edits, seen only when whole lines are counted or compared
+    rows = [(1, a), (2, a[:440] + "x" + a[441:]), (3, inside), (4, b), (5, b[:50] + b[51:450] + "qq" + b[451:])]
+    found = line_dedup.line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    dropped = {r.doc_id for r in found if r.n_near}
+    assert dropped == {y for y, later in rows for x, earlier in rows if x < y and distance(earlier, later) <= 2}
+
+
 def test_rewritten_texts(spark):
     line = "a line that many documents have in common"
     rows = [(1, f"{line}\nfirst of its kind, this one"), (2, f"{line}\n{line}"), (3, f"short\n{line}!\nand another one of its own"), (4, None), (5, "")]
