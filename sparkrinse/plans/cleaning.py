@@ -291,7 +291,7 @@ class _Fitting:
         numbers without gaps need no list unless outliers are sought: a few counts are all that is asked of them.
         """
         if self.config.remove_duplicates:
-            self.rows = stage(collapse_duplicates(self.source), "distinct-rows")
+            self.rows = stage(collapse_duplicates(self.source), "distinct-rows", small_tasks=True)
             weighted, weight = self.rows, COPIES
         else:
             self.rows = self.source
@@ -300,7 +300,7 @@ class _Fitting:
         self.counted = self._count_whole_columns(weighted)
         self.scalars = [c for c in self.scalars if c not in self.counted]
         freq = frequency.value_frequencies(weighted, self.scalars, keep_missing=True, weight=weight)
-        self.values = stage(freq, "values")
+        self.values = stage(freq, "values", small_tasks=True)
 
     def _count_whole_columns(self, weighted: DataFrame) -> dict[str, dict]:
         """Counts of the columns of whole numbers that have no gaps, if some column with a list of values is left."""
