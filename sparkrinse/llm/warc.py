@@ -36,11 +36,12 @@ def base32_sha1(payload: Column) -> Column:
     return F.translate(F.upper(F.concat(*parts)), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def _record(headers: list[tuple[str, Column]], block: Column) -> Column:
-    """One record without its last line end. Headers with a null value are left out."""
+def _record(headers: list[tuple[str, Column]], *block: Column, size: Column | None = None) -> Column:
+    """One record without its last line end. Headers with a null value are left out; ``size`` is the block's in bytes."""
     lines = [F.concat(F.lit(name + ": "), value, F.lit("\r\n")) for name, value in headers]
-    length = F.concat(F.lit("Content-Length: "), F.octet_length(block).cast("string"), F.lit("\r\n"))
-    return F.concat(F.lit("WARC/1.1\r\n"), F.concat_ws("", *lines), length, F.lit("\r\n"), block, F.lit("\r\n"))
+    size = F.octet_length(F.concat(*block)) if size is None else size
+    length = F.concat(F.lit("Content-Length: "), size.cast("string"), F.lit("\r\n"))
+    return F.concat(F.lit("WARC/1.1\r\n"), F.concat_ws("", *lines), length, F.lit("\r\n"), *block, F.lit("\r\n"))
 
 
 def write_warc(
@@ -70,8 +71,9 @@ def write_warc(
     def name(kind: str) -> Column:
         return F.concat(F.lit("<urn:uuid:"), F.regexp_replace(F.md5(F.concat_ws("/", "number", "id", F.lit(kind))), "^(.{8})(.{4})(.{4})(.{4})", "$1-$2-$3-$4-"), F.lit(">"))
 
-    response, request, metadata = name("response"), name("request"), name("metadata")
-    digest = F.concat(F.lit("sha1:"), base32_sha1(F.col("html")))
+    # Columns of their own, below the explode: inside it every use would compute them again.
+    made = {kind: name(kind) for kind in ("response", "request", "metadata")} | {"digest": F.concat(F.lit("sha1:"), base32_sha1(F.col("html")))}
+    response, request, metadata, digest = (F.col(c) for c in made)
     target = ("WARC-Target-URI", F.col("url"))
     http = F.concat(
         F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes").cast("string"), F.lit("\r\n\r\n")
@@ -92,7 +94,8 @@ def write_warc(
     )
     http_type = F.lit("application/http; msgtype=response")
     full = _record(
-        [*head("response", response), ("WARC-Payload-Digest", digest), ("Content-Type", http_type)], F.concat(http, F.col("html"))
+        [*head("response", response), ("WARC-Payload-Digest", digest), ("Content-Type", http_type)],
+        http, F.col("html"), size=F.octet_length(http) + F.col("bytes"),
     )
     again = _record(
         [*head("revisit", response), ("WARC-Payload-Digest", digest), ("WARC-Profile", F.lit(REVISIT_PROFILE)),
@@ -104,7 +107,7 @@ def write_warc(
         _record([*head("metadata", metadata), ("WARC-Concurrent-To", request), ("Content-Type", F.lit("application/warc-fields"))], fields),
     )
     # The number sets rows with the same id apart; the records of a row are written by one task.
-    numbered = marked.withColumn("number", F.monotonically_increasing_id())
+    numbered = marked.withColumn("number", F.monotonically_increasing_id()).withColumns(made)
     (
         numbered.select(F.explode(records).alias("value"))
         .write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", 3 * captures_per_file).text(path)
@@ -180,13 +183,13 @@ def captures(records: DataFrame) -> DataFrame:
 
     ``response`` is a response or revisit, null where only others name the capture. A request belongs to
     the capture it is concurrent to; a metadata record likewise, or to its request's. Records that name
-    several belong to each. Other record types are left out.
+    several belong to each. Other record types are left out. Archives are read twice: once for requests and
+    metadata, which are stored, and once for the rest.
     """
     own = [F.col(c) for c in ("record_type", "target_uri", "date", "named_digest", "payload_bytes", "payload_digest", "headers", "block")]
     responses = records.filter(F.col("record_type").isin("response", "revisit"))
-    others = records.filter(F.col("record_type").isin("request", "metadata")).withColumn(
-        "to", F.explode(F.when(F.size("concurrent_to") > 0, F.col("concurrent_to")).otherwise(F.array("record_id")))
-    )
+    named = F.explode(F.when(F.size("concurrent_to") > 0, F.col("concurrent_to")).otherwise(F.array("record_id")))
+    others = stage(records.filter(F.col("record_type").isin("request", "metadata")).select("record_id", *own, named.alias("to")), "warc-others")
     through = others.filter("record_type = 'request'").select(F.col("record_id").alias("asked"), F.col("to").alias("further"))
     rooted = others.join(through, F.col("to") == F.col("asked"), "left").withColumn("root", F.coalesce("further", "to"))
     struct = F.struct("record_id", *own)

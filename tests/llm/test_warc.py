@@ -84,3 +84,11 @@ def test_foreign_archive(spark, tmp_path):
 def test_digest(spark):
     got = spark.createDataFrame([(x,) for x in ["", "a", "größe"]], "p string").select(warc.base32_sha1(F.col("p"))).collect()
     assert [r[0] for r in got] == [base64.b32encode(hashlib.sha1(x.encode()).digest()).decode() for x in ["", "a", "größe"]]
+
+
+def test_archives_read_once_more(spark, tmp_path):
+    df = spark.createDataFrame(ODD, "page_id long, url string, html string")
+    warc.write_warc(df, str(tmp_path / "w"))
+    found = warc.captures(warc.read_warc(spark, str(tmp_path / "w")))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1  # requests and metadata are stored by then
