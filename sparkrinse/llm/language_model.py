@@ -34,6 +34,8 @@ from sparkrinse.staging import discard, stage
 # Words whose pairs are dealt by word and context.
 CONTEXTS = 4096
 SWEEPS, AVERAGED = 4, 2
+# Rounds in which buckets are scored.
+ROUNDS = 4
 SEED = 7
 TOKENS_PER_BUCKET = 1_000_000
 PORTION_BYTES = 4 << 20
@@ -41,15 +43,15 @@ BUCKETS_PER_PART = 4
 STRENGTH, ROOT_STRENGTH, ROOT_DISCOUNT = 1.0, 1.0, 0.75
 END = 0  # key of the end of a text; as a context the same key is the start of a text
 PORTION = "portion string, documents binary, names binary, tokens binary"
-BLOCK = "bucket int, portion string, words binary, repeats binary, names binary, contexts binary, customers binary"
+BLOCK = "bucket int, portion string, pairs binary"
 BUCKET = (
     "bucket int, portions array<string>, sizes array<bigint>, places array<binary>, names binary, w binary, c binary, n binary, "
     "tokens bigint, pairs_once bigint, pairs_twice bigint"
 )
-SEATED = "part int, bucket int, names binary, sums binary"
+SEATED = "part int, bucket int, sums binary"
 # Per word: its tables, its root tables, tables of its restaurant, its count, customers of its restaurant.
 STATE = "bucket int, part int, words binary, tables bigint, root_tables bigint, types bigint"
-ANSWER = "portion string, bucket int, logs binary, counts binary"
+ANSWER = "portion string, bucket int, answers binary"
 
 
 def _names(schema: str) -> list[str]:
@@ -90,29 +92,41 @@ def frequent_words(chosen: DataFrame, number: int) -> list[tuple[str, int]]:
 
 
 def _packed(*arrays: np.ndarray) -> bytes:
-    """Whole numbers from zero on, each array in as few bytes a number as its largest needs."""
-    out = []
+    """Whole numbers from zero on, each array in as few bytes a number as its largest needs, compressed together.
+
+    All first bytes of an array stand in front, then all second ones. What is packed lies on disk and travels.
+    """
+    heads, planes = [len(arrays).to_bytes(1, "little")], []
     for values in arrays:
         kind = np.min_scalar_type(int(values.max()) if len(values) else 0)
-        out += [bytes([kind.itemsize]), len(values).to_bytes(8, "little"), values.astype(kind).tobytes()]
-    return b"".join(out)
+        heads += [bytes([kind.itemsize]), len(values).to_bytes(8, "little")]
+        planes.append(values.astype(kind).view(np.uint8).reshape(-1, kind.itemsize).T.tobytes())
+    return b"".join([*heads, pa.compress(b"".join(planes), codec="zstd", asbytes=True)])
 
 
 def _unpacked(data: bytes) -> list[np.ndarray]:
-    out, at = [], 0
-    while at < len(data):
-        kind, number = np.dtype(f"u{data[at]}"), int.from_bytes(data[at + 1:at + 9], "little")
-        out.append(np.frombuffer(data, kind, number, at + 9).astype(np.int64))
-        at += 9 + number * kind.itemsize
+    at = 1 + 9 * data[0]
+    sizes = [(data[k], int.from_bytes(data[k + 1:k + 9], "little")) for k in range(1, at, 9)]
+    planes = np.frombuffer(pa.decompress(pa.py_buffer(data).slice(at), sum(w * n for w, n in sizes), codec="zstd"), np.uint8)
+    out, done = [], 0
+    for width, number in sizes:
+        values = np.ascontiguousarray(planes[done:done + width * number].reshape(width, number).T)
+        out.append(values.view(f"u{width}").ravel().astype(np.int64))
+        done += width * number
     return out
 
 
-def _steps(rising: np.ndarray) -> bytes:
-    return _packed(np.diff(rising, prepend=0))
+def _ranked(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values in order and the place of each value among them; only distinct ones are sorted."""
+    codes, found = pd.factorize(values)
+    order = np.argsort(found)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return found[order], place[codes]
 
 
-def _from_steps(data: bytes) -> np.ndarray:
-    return np.cumsum(_unpacked(data)[0])
+def _steps(rising: np.ndarray) -> np.ndarray:
+    return np.diff(rising, prepend=0)
 
 
 def word_keys(words: np.ndarray) -> np.ndarray:
@@ -141,7 +155,7 @@ def _to_portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(np.diff(bounds) + 1, pa.int64())],
                 ["doc_id", "held_out", "n_tokens"],
             )
-            yield _batch([(uuid.uuid4().hex, _ipc(documents), names.astype(np.int64).tobytes(), tokens.tobytes())], PORTION)
+            yield _batch([(uuid.uuid4().hex, _ipc(documents), names.astype(np.int64).tobytes(), _packed(tokens))], PORTION)
             pa.default_memory_pool().release_unused()
 
 
@@ -156,14 +170,15 @@ class Pairs:
     def __init__(self, documents: bytes, names: bytes, tokens: bytes, frequent: np.ndarray, buckets: int) -> None:
         self.documents = pa.ipc.open_stream(documents).read_next_batch()
         held = self.documents.column(1).to_numpy(zero_copy_only=False).astype(bool)
-        keys, ids = np.frombuffer(names, np.int64), np.frombuffer(tokens, np.int32)
+        keys, ids = np.frombuffer(names, np.int64), _unpacked(tokens)[0]
         self.places = np.cumsum(ids == 0) - (ids == 0)
         before = np.concatenate([[0], ids[:-1]])  # the end of a text stands before the start of the next
-        pairs, inverse = np.unique(ids.astype(np.int64) * len(keys) + before, return_inverse=True)
-        words, contexts = keys[pairs // len(keys)], keys[pairs % len(keys)]
-        spread = np.isin(words, frequent)
-        bucket = _dealt(np.where(spread, words * np.int64(1_000_003) + contexts, words), buckets)
-        order = np.lexsort((contexts, words, bucket))
+        inverse, pairs = pd.factorize(ids * len(keys) + before)
+        word, context = pairs // len(keys), pairs % len(keys)
+        words, contexts = keys[word], keys[context]
+        bucket = _dealt(np.where(np.isin(keys, frequent)[word], words * np.int64(1_000_003) + contexts, words), buckets)
+        named = np.argsort(np.argsort(keys))  # places in the order of the keys, three of them in one number
+        order = np.argsort((bucket * len(keys) + named[word]) * len(keys) + named[context])
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         self.inverse = rank[inverse]
@@ -180,10 +195,8 @@ def _to_blocks(frequent: np.ndarray, buckets: int):
             rows = []
             for b, a, z in zip(*_stretches(pairs.bucket)):
                 words, first, last = _stretches(pairs.words[a:z])
-                names, at = np.unique(pairs.contexts[a:z], return_inverse=True)
-                rows.append((
-                    int(b), row["portion"], words.tobytes(), _packed(last - first), names.tobytes(), _packed(at), _packed(pairs.customers[a:z]),
-                ))
+                names, at = _ranked(pairs.contexts[a:z])
+                rows.append((int(b), row["portion"], _packed(_steps(words), last - first, _steps(names), at, pairs.customers[a:z])))
             yield _batch(rows, BLOCK)
 
     return run
@@ -213,17 +226,17 @@ def _gather():
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, group in itertools.groupby(_rows(batches), key=lambda r: r[0]):
-            blocks = list(group)
-            w = np.concatenate([np.repeat(np.frombuffer(b[2], np.int64), _unpacked(b[3])[0]) for b in blocks])
-            contexts = [np.frombuffer(b[4], np.int64)[_unpacked(b[5])[0]] for b in blocks]
-            sizes = [len(c) for c in contexts]
-            names, at = np.unique(np.concatenate([w, *contexts]), return_inverse=True)
-            pairs, inverse = np.unique(at[:len(w)] * len(names) + at[len(w):], return_inverse=True)
-            n = np.bincount(inverse, weights=np.concatenate([_unpacked(b[6])[0] for b in blocks])).astype(np.int64)
+            blocks = [(portion, *_unpacked(pairs)) for _, portion, pairs in group]
+            names, at = _ranked(np.concatenate([np.cumsum(steps) for b in blocks for steps in (b[1], b[3])]))
+            placed = iter(np.split(at, np.cumsum([len(steps) for b in blocks for steps in (b[1], b[3])])[:-1]))
+            own = [np.repeat(next(placed), b[2]) * len(names) + next(placed)[b[4]] for b in blocks]
+            pairs, inverse = _ranked(np.concatenate(own))
+            n = np.bincount(inverse, weights=np.concatenate([b[5] for b in blocks])).astype(np.int64)
             # Blocks are in the order of the bucket's pairs.
-            places = [_steps(part) for part in np.split(inverse, np.cumsum(sizes)[:-1])]
+            places = [_packed(_steps(part)) for part in np.split(inverse, np.cumsum([len(x) for x in own])[:-1])]
             yield _batch([(
-                bucket, [b[1] for b in blocks], sizes, places, names.tobytes(), _steps(pairs // len(names)), _packed(pairs % len(names)), _packed(n),
+                bucket, [b[0] for b in blocks], [len(x) for x in own], places, _packed(_steps(names)), _packed(_steps(pairs // len(names))),
+                _packed(pairs % len(names)), _packed(n),
                 int(n.sum()), int((n == 1).sum()), int((n == 2).sum()),
             )], BUCKET)
             pa.default_memory_pool().release_unused()
@@ -303,11 +316,11 @@ def _seat(sweep: int, root: Root | None, parts: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (bucket, names, *arrays), states in _with_buckets(batches):
-            names = np.frombuffer(names, np.int64)
-            w, c, n = _from_steps(arrays[0]), _unpacked(arrays[1])[0], _unpacked(arrays[2])[0]
+            names = np.cumsum(_unpacked(names)[0])
+            w, c, n = np.cumsum(_unpacked(arrays[0])[0]), _unpacked(arrays[1])[0], _unpacked(arrays[2])[0]
             sat = _seat_bucket(bucket, w, c, n, sweep, states.get(sweep - 1), root)
             sums = [np.bincount(at, weights=v, minlength=len(names)).astype(np.int64) for v in (sat, n) for at in (w, c)]
-            rows = [(int(p), bucket, names[a:z].tobytes(), _packed(*(v[a:z] for v in sums))) for p, a, z in zip(*_stretches(_part(names, parts)))]
+            rows = [(int(p), bucket, _packed(_steps(names[a:z]), *(v[a:z] for v in sums))) for p, a, z in zip(*_stretches(_part(names, parts)))]
             yield _batch(rows, SEATED)
             pa.default_memory_pool().release_unused()
 
@@ -329,8 +342,8 @@ def _answer(sweep: int, root: Root | None):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, group in itertools.groupby(_rows(batches), key=lambda r: r[0]):
-            sent = [(r[1], np.frombuffer(r[2], np.int64), np.stack(_unpacked(r[3]))) for r in group]
-            names, at = np.unique(np.concatenate([s[1] for s in sent]), return_inverse=True)
+            sent = [(bucket, np.cumsum(steps), np.stack(sums)) for _, bucket, packed in group for steps, *sums in [_unpacked(packed)]]
+            names, at = _ranked(np.concatenate([s[1] for s in sent]))
             values = np.concatenate([s[2] for s in sent], axis=1)
             tables, inner, count, customers = (np.bincount(at, weights=v, minlength=len(names)).astype(np.int64) for v in values)
             at_root = np.minimum(tables, 1)
@@ -349,21 +362,21 @@ def _answer(sweep: int, root: Root | None):
 
 
 def _score(used: list[tuple[int, Root, Root]]):
-    """For every block the logs of its pairs' probabilities and the counts of their words."""
+    """For every block the logs of its pairs' probabilities and the counts of its words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (bucket, _, w, c, n, places, portions_of), states in _with_buckets(batches):
-            w, c, n = _from_steps(w), _unpacked(c)[0], _unpacked(n)[0]
+        for (bucket, w, c, n, places, portions_of), states in _with_buckets(batches):
+            w, c, n = np.cumsum(_unpacked(w)[0]), _unpacked(c)[0], _unpacked(n)[0]
             chance = np.zeros(len(w))
             for sweep, before, after in used:
                 sat = _seat_bucket(bucket, w, c, n, sweep, states[sweep - 1], before)
                 state = states[sweep]
                 chance += (n - after.discount * sat + (STRENGTH + after.discount * state[2][c]) * after.base(state)[w]) / (STRENGTH + state[4][c])
             logs = np.log10(chance / len(used)).astype(np.float32)
-            counts = state[3][w]
+            counts = state[3]
             for portion, place in zip(portions_of, places):
-                block = _from_steps(place)
-                yield _batch([(portion, bucket, logs[block].tobytes(), _packed(counts[block]))], ANSWER)
+                block = np.cumsum(_unpacked(place)[0])
+                yield _batch([(portion, bucket, _packed(logs[block].view(np.uint32), counts[_stretches(w[block])[0]]))], ANSWER)
 
     return run
 
@@ -373,11 +386,13 @@ def _finish(frequent: np.ndarray, buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, group in itertools.groupby(_rows(batches), key=lambda r: r[0]):
-            _, _, _, _, documents, names, tokens = next(group)
+            _, _, _, documents, names, tokens = next(group)
             pairs = Pairs(documents, names, tokens, frequent, buckets)
-            answers = [(r[2], r[3]) for r in group]
-            logs = np.concatenate([np.frombuffer(a, np.float32) for a, _ in answers])
-            counts = np.concatenate([_unpacked(b)[0] for _, b in answers])
+            answers = [_unpacked(r[2]) for r in group]
+            logs = np.concatenate([a for a, _ in answers]).astype(np.uint32).view(np.float32)
+            # A word's count is told once a block, where its pairs stand side by side.
+            first = np.flatnonzero(np.diff(pairs.words, prepend=-1) | np.diff(pairs.bucket, prepend=-1))
+            counts = np.repeat(np.concatenate([b for _, b in answers]), np.diff(first, append=len(pairs.words)))
             docs = pairs.documents.num_rows
             base, scored, known = (
                 np.bincount(pairs.places, weights=v[pairs.inverse], minlength=docs) for v in (np.log10(counts + 0.5), logs, counts > 0)
@@ -411,6 +426,7 @@ def score(
     top = np.array([w for w, _ in frequent_words(chosen, contexts)], object)
     frequent = np.concatenate([[END], word_keys(top)]).astype(np.int64)
     size = chosen.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
+    _let_go(docs)
     buckets = max(1, -(-size // (6 * tokens_per_bucket)))
     parts = -(-buckets // BUCKETS_PER_PART)
     # Stored before anything is dealt: a repeated task reads the same portions under the same names.
@@ -435,13 +451,19 @@ def score(
         del sent
         _let_go(docs)
     used = [(sweep, roots[sweep - 1], roots[sweep]) for sweep in range(SWEEPS - AVERAGED + 1, SWEEPS + 1)]
-    columns = [*seats, "places", "portions"]
-    answers = stage(_joined(gathered, states, columns, max(buckets, 2)).mapInArrow(_score(used), ANSWER), "lm-answers")
+    columns = ["w", "c", "n", "places", "portions"]
+    answers, rounds = None, min(ROUNDS, buckets)
+    for k in range(rounds):  # what a round shuffles is gone before the next
+        lo, hi = buckets * k // rounds, buckets * (k + 1) // rounds
+        mine = F.col("bucket").between(lo, hi - 1)
+        joined = _joined(gathered.where(mine), {sweep: state.where(mine) for sweep, state in states.items()}, columns, max(hi - lo, 2))
+        found = stage(joined.mapInArrow(_score(used), ANSWER), "lm-answers")
+        answers = found if answers is None else answers.unionByName(found)
     for done in (gathered, *states.values()):
         discard(done)
     _let_go(docs)
     nothing = F.lit(None).cast("binary")
-    both = stored.select("portion", F.lit(-1).alias("bucket"), nothing.alias("logs"), nothing.alias("counts"), "documents", "names", "tokens").unionByName(
+    both = stored.select("portion", F.lit(-1).alias("bucket"), nothing.alias("answers"), "documents", "names", "tokens").unionByName(
         answers.withColumns({"documents": nothing, "names": nothing, "tokens": nothing})
     )
     found = both.repartition(max(buckets, 2), "portion").sortWithinPartitions("portion", "bucket").mapInArrow(

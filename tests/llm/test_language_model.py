@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -134,3 +135,22 @@ def test_repeated_tasks_name_the_same_portions(spark, monkeypatch):
 
     monkeypatch.setattr(language_model, "stage", run_twice)
     assert len(run(spark, [(i, "a b") for i in range(5)])) == 5
+
+
+def test_tokens_take_few_bytes():
+    rng = random.Random(3)
+    texts = [" ".join(f"w{int(rng.paretovariate(1))}" for _ in range(500)) for _ in range(100)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(100), pa.int64()), pa.array(texts), pa.array([False] * 100)], ["doc_id", "text", "held_out"])
+    [portion] = [row for out in language_model._to_portions(iter([batch])) for row in out.to_pylist()]
+    assert len(portion["tokens"]) < 2 * 501 * 100
+    pairs = language_model.Pairs(portion["documents"], portion["names"], portion["tokens"], np.zeros(1, np.int64), 3)
+    assert len(pairs.inverse) == 501 * 100 and pairs.customers.sum() == 501 * 100
+    assert list(zip(pairs.bucket, pairs.words, pairs.contexts)) == sorted(zip(pairs.bucket, pairs.words, pairs.contexts))
+
+
+def test_answers_come_in_rounds(spark, monkeypatch):
+    labels = []
+    monkeypatch.setattr(language_model, "stage", lambda df, label: labels.append(label) or stage(df, label))
+    rows = corpus(8)
+    assert len(run(spark, rows, tokens_per_bucket=4000)) == len(rows)
+    assert labels.count("lm-answers") == language_model.ROUNDS
