@@ -166,9 +166,10 @@ def top_values(df: DataFrame, columns: Sequence[str], k: int, keep_missing: bool
         shown = [c for c in open_ if last.get(c, (0, 0))[1] == k and last[c][0] > 2 * MISSED * total]
         rest += [c for c in open_ if c not in shown]
         parts.append(counted.where(F.col("column_name").isin(*shown)))
-    if rest:
-        parts.append(value_frequencies(df, rest, keep_missing))
-    return first_values(reduce(DataFrame.unionByName, parts), k)
+    top = first_values(reduce(DataFrame.unionByName, parts), k)
+    if rest:  # values beyond number are grouped in tasks of bounded size; a few rows are stored
+        top = top.unionByName(stage(first_values(value_frequencies(df, rest, keep_missing), k), "top-values", small_tasks=True))
+    return top
 
 
 def _summaries(df: DataFrame, slots: dict[str, str]) -> dict[str, tuple[int, list]]:

@@ -2,6 +2,7 @@
 from pyspark.sql import functions as F
 
 from sparkrinse.operators import frequency, profile
+from sparkrinse.staging import stage
 
 
 def skewed(spark):
@@ -74,3 +75,17 @@ def test_texts_are_no_shuffle_keys_when_only_classes_are_asked_for(spark, monkey
     df = spark.range(5_000).select(F.concat(F.lit("a text "), F.col("id")).alias("text"), (F.col("id") * 2).alias("n"))
     assert {r["inferred_type"] for r in profile.classify_columns(df).collect()} == {"Text/ID", "Numeric"}
     assert asked == []
+
+
+def test_values_beyond_number_are_grouped_in_small_tasks(spark, monkeypatch):
+    asked = []
+
+    def watched(df, label, **options):
+        asked.append((label, options))
+        return stage(df, label, **options)
+
+    monkeypatch.setattr(frequency, "stage", watched)
+    df = spark.range(40_000).selectExpr("id", "cast(id % 3 as string) as few")
+    got = {(r.column_name, r["rank"]): (r.value, r.n) for r in frequency.top_values(df, ["id", "few"], 2).collect()}
+    assert got == {("id", 1): ("0", 1), ("id", 2): ("1", 1), ("few", 1): ("0", 13_334), ("few", 2): ("1", 13_333)}
+    assert ("top-values", {"small_tasks": True}) in asked

@@ -87,7 +87,7 @@ def dirty_sales(spark: SparkSession, folder: str) -> DataFrame:
 
 def stored_sales(spark: SparkSession, folder: str) -> DataFrame:
     """The same table written once, for operators that read their input several times."""
-    return stage(dirty_sales(spark, folder), "dirty-sales")
+    return stage(dirty_sales(spark, folder), "dirty-sales", small_tasks=True)
 
 
 # The same table for the checking engine, as the first entry of a WITH clause.
