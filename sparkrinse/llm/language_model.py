@@ -4,7 +4,8 @@ A word is drawn in the restaurant of the word before it, whichever that is; its
 the root restaurant, which all contexts share and whose base is even over the known words and one
 unknown. Texts become portions of word numbers, which are stored and stay as they are. A portion sends
 each of its distinct pairs with a count to a bucket, so a pair costs one entry a portion however often it
-stands there. Pairs are dealt by word, those of the most frequent words by word and context.
+stands there. Pairs are dealt by word, those of the most frequent words by word and context. Words are
+told by 62-bit keys, some ten thousand frequent ones by short numbers: most of what is stored and moved names them.
 
 Seating is sampled by Gibbs sweeps over blocks: all customers of a word in a context leave and are
 seated one by one, given the tables of the sweep before. After a sweep the buckets send what they seated
@@ -33,6 +34,9 @@ from sparkrinse.staging import discard, stage
 
 # Words whose pairs are dealt by word and context.
 CONTEXTS = 4096
+# Frequent words have the numbers from one up to this in place of keys: those that stand once among so many
+# bytes of text at least, so that few words beyond them are sorted.
+NUMBERED, ONE_AMONG = 1 << 16, 6 << 20
 SWEEPS, AVERAGED = 4, 2
 # Rounds in which buckets are scored.
 ROUNDS = 4
@@ -77,8 +81,8 @@ def _chosen(docs: DataFrame, id_column: str, text_column: str, folds: int, held:
     return docs.select(doc.alias("doc_id"), F.col(text_column).cast("string").alias("text"), (fold == held).alias("held_out"))
 
 
-def frequent_words(chosen: DataFrame, number: int) -> list[tuple[str, int]]:
-    """The most frequent training words with their counts; ties go to the smaller word."""
+def frequent_words(chosen: DataFrame, number: int, least: int = 1) -> list[tuple[str, int]]:
+    """The most frequent training words of ``least`` occurrences with their counts; ties go to the smaller word."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,7 +92,7 @@ def frequent_words(chosen: DataFrame, number: int) -> list[tuple[str, int]]:
                 yield pa.RecordBatch.from_arrays([counted.field(0).cast(pa.string()), counted.field(1)], ["word", "n"])
 
     counted = chosen.filter("not held_out").select("text").mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    return [tuple(r) for r in counted.orderBy(F.desc("n"), "word").limit(number).collect()]
+    return [tuple(r) for r in counted.where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(number).collect()]
 
 
 def _packed(*arrays: np.ndarray) -> bytes:
@@ -135,11 +139,18 @@ def word_keys(words: np.ndarray) -> np.ndarray:
     return (pd.util.hash_array(words, categorize=False).view(np.int64) & np.int64((1 << 62) - 1)) | np.int64(1 << 62)
 
 
+def _numbered(keys: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """Keys, those of the frequent words (sorted) replaced by numbers that are spread evenly."""
+    at = np.searchsorted(frequent, keys)
+    found = np.append(frequent, -1)[at] == keys
+    return np.where(found, at * NUMBERED // max(1, len(frequent)) + 1, keys)
+
+
 def _dealt(keys: np.ndarray, number: int) -> np.ndarray:
     return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % number
 
 
-def _to_portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _to_portions(batches: Iterator[pa.RecordBatch], numbered: np.ndarray = np.zeros(0, np.int64)) -> Iterator[pa.RecordBatch]:
     """Texts as numbers into the portion's own list of words; number 0 ends a text."""
     for batch in batches:
         for lo, hi in portions(batch.column(1), PORTION_BYTES):
@@ -150,18 +161,20 @@ def _to_portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             inner = np.ones(len(tokens), bool)
             inner[bounds[1:] + np.arange(docs)] = False
             tokens[inner] = coded.indices.to_numpy(zero_copy_only=False) + 1
-            names = np.concatenate([[END], word_keys(coded.dictionary.to_numpy(zero_copy_only=False).astype(object))])
+            names = np.append(END, _numbered(word_keys(coded.dictionary.to_numpy(zero_copy_only=False).astype(object)), numbered))
             documents = pa.RecordBatch.from_arrays(
                 [batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(np.diff(bounds) + 1, pa.int64())],
                 ["doc_id", "held_out", "n_tokens"],
             )
-            yield _batch([(uuid.uuid4().hex, _ipc(documents), names.astype(np.int64).tobytes(), _packed(tokens))], PORTION)
+            yield _batch([(uuid.uuid4().hex, _ipc(documents), _packed(names), _packed(tokens))], PORTION)
             pa.default_memory_pool().release_unused()
 
 
 def _part(keys: np.ndarray, parts: int) -> np.ndarray:
-    """The part that holds a word: parts are stretches of the keys in order."""
-    return ((keys & np.int64((1 << 62) - 1)) >> 31) * parts >> 31
+    """The part that holds a word: parts are stretches of the keys in order, the first quarter of them for frequent words."""
+    few = parts // 4
+    others = few + (((keys & np.int64((1 << 62) - 1)) >> 31) * (parts - few) >> 31)
+    return np.where(keys <= NUMBERED, keys * few // (NUMBERED + 1), others)
 
 
 class Pairs:
@@ -170,7 +183,7 @@ class Pairs:
     def __init__(self, documents: bytes, names: bytes, tokens: bytes, frequent: np.ndarray, buckets: int) -> None:
         self.documents = pa.ipc.open_stream(documents).read_next_batch()
         held = self.documents.column(1).to_numpy(zero_copy_only=False).astype(bool)
-        keys, ids = np.frombuffer(names, np.int64), _unpacked(tokens)[0]
+        keys, ids = _unpacked(names)[0], _unpacked(tokens)[0]
         self.places = np.cumsum(ids == 0) - (ids == 0)
         before = np.concatenate([[0], ids[:-1]])  # the end of a text stands before the start of the next
         inverse, pairs = pd.factorize(ids * len(keys) + before)
@@ -423,14 +436,15 @@ def score(
     Repeated rows count and are scored each; columns beyond the two named are not read.
     """
     chosen = _chosen(docs, id_column, text_column, folds, held)
-    top = np.array([w for w, _ in frequent_words(chosen, contexts)], object)
-    frequent = np.concatenate([[END], word_keys(top)]).astype(np.int64)
     size = chosen.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
+    top = word_keys(np.array([w for w, _ in frequent_words(chosen, max(contexts, NUMBERED), -(-size // ONE_AMONG))], object))
+    numbered = np.unique(top[:NUMBERED])
+    frequent = np.append(END, _numbered(top[:contexts], numbered))
     _let_go(docs)
     buckets = max(1, -(-size // (6 * tokens_per_bucket)))
     parts = -(-buckets // BUCKETS_PER_PART)
     # Stored before anything is dealt: a repeated task reads the same portions under the same names.
-    stored = stage(chosen.mapInArrow(_to_portions, PORTION), "lm-portions")
+    stored = stage(chosen.mapInArrow(lambda batches: _to_portions(batches, numbered), PORTION), "lm-portions")
     blocks = stored.mapInArrow(_to_blocks(frequent, buckets), BLOCK).repartition(max(buckets, 2), "bucket")
     gathered = stage(blocks.sortWithinPartitions("bucket", "portion").mapInArrow(_gather(), BUCKET), "lm-buckets")
     del blocks

@@ -154,3 +154,31 @@ def test_answers_come_in_rounds(spark, monkeypatch):
     rows = corpus(8)
     assert len(run(spark, rows, tokens_per_bucket=4000)) == len(rows)
     assert labels.count("lm-answers") == language_model.ROUNDS
+
+
+def test_frequent_words_have_short_names():
+    rng = random.Random(9)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.7))}" for _ in range(500)) for _ in range(100)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(100), pa.int64()), pa.array(texts), pa.array([False] * 100)], ["doc_id", "text", "held_out"])
+    top = [w for w, _ in Counter(w for t in texts for w in t.split()).most_common(1000)]
+    numbered = np.unique(language_model.word_keys(np.array(top, object)))
+    sizes, seen = [], []
+    for words in (numbered[:0], numbered):
+        [portion] = list(language_model._to_portions(iter([batch]), words))
+        [blocks] = list(language_model._to_blocks(np.zeros(1, np.int64), 30)(iter([portion])))
+        sizes.append(sum(len(b) for b in blocks.column(2).to_pylist()))
+        row = portion.to_pylist()[0]
+        pairs = language_model.Pairs(row["documents"], row["names"], row["tokens"], np.zeros(1, np.int64), 30)
+        seen.append(sorted(pairs.customers.tolist()))
+    assert seen[0] == seen[1] and sizes[1] < 0.75 * sizes[0]
+
+
+def test_parts_are_stretches_of_the_names():
+    rng = np.random.default_rng(1)
+    frequent = np.sort(rng.integers(1 << 62, (1 << 63) - 1, 500))
+    keys = np.concatenate([[language_model.END], frequent, rng.integers(1 << 62, (1 << 63) - 1, 5000)])
+    names = np.sort(language_model._numbered(keys, frequent))
+    assert len(np.unique(names)) == len(keys) and (names <= language_model.NUMBERED).sum() == 501
+    for parts in (1, 3, 4, 37):
+        part = language_model._part(names, parts)
+        assert (np.diff(part) >= 0).all() and set(part.tolist()) == set(range(parts))
