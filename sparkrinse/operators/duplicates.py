@@ -11,7 +11,8 @@ from sparkrinse.staging import discard, stage
 
 COPIES = "__copies"
 _HASH = "__hash"
-# Hashes held by several rows are broadcast up to this number, 8 MB of them.
+# Hashes held by several rows are broadcast up to this number, 64 MB of them.
+BROADCAST = 8_000_000
 
 
 def collapse_duplicates(df: DataFrame) -> DataFrame:
@@ -33,7 +34,7 @@ def duplicate_count(df: DataFrame) -> DataFrame:
 
     Rows are first grouped by a 64-bit hash, which shuffles a few bytes per row instead of whole
     rows. A row whose hash occurs once has no copy; only rows that share a hash are compared in full.
-    The shared hashes are stored, so their true size decides how they are joined; without any the rows are
+    The shared hashes are stored, so their true number decides how they are joined; without any the rows are
     read once.
     """
     # maps cannot be hashed; leaving them out only makes the first test coarser
@@ -48,6 +49,8 @@ def duplicate_count(df: DataFrame) -> DataFrame:
     total, extra = facts["rows"], 0
     if facts["shared"]:
         shared = grouped.where(F.col(_HASH).isNotNull()).select(_HASH)
+        if facts["shared"] <= BROADCAST:  # else all rows are shuffled whole to find a few
+            shared = F.broadcast(shared)
         rows = df.withColumn(_HASH, hashed).join(shared, _HASH, "left_semi").drop(_HASH)
         extra = collapse_duplicates(rows).agg(F.sum(F.col(COPIES) - 1).alias("n")).first()["n"]
     discard(grouped)

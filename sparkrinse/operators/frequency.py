@@ -25,6 +25,8 @@ from sparkrinse.staging import stage
 TRACKED, KEPT_CHARACTERS = 10_000, 256
 # Beyond its capacity such a summary misses at most this share of all rows per value.
 MISSED = 3.5 / 16_384
+# Groups into which the values of a column are dealt to find the outermost ones.
+GROUPS = 64
 _TOO_LONG = "\0"
 SUMMARIES_PER_PASS = 3
 
@@ -125,6 +127,26 @@ def first_values(freq: DataFrame, k: int, by_count: bool = True) -> DataFrame:
     return ranked.select("column_name", "rank", shown_value().alias("value"), "n")
 
 
+def outermost(freq: DataFrame, k: int) -> DataFrame:
+    """The rows of the table of values that ``first_values`` may choose for ``k``; of numbers not many more.
+
+    The values of a column are dealt into groups. No value rarer than the k-th of the groups' largest counts
+    is among the ``k`` most frequent, no number beyond the k-th of their least numbers among the ``k`` smallest.
+    Where all values are that frequent, the smallest ones stand before the others. So only a rest is sorted.
+    """
+    group = F.pmod(F.xxhash64("whole", "number", "text"), F.lit(GROUPS))
+    found = freq.groupBy("column_name", group.alias("group")).agg(
+        F.min("n").alias("rarest"), F.max("n").alias("n"), F.min("whole").alias("whole"), F.min("number").alias("number")
+    )
+    limits = found.groupBy("column_name").agg(
+        F.min("rarest").alias("rarest"),
+        *[F.get(F.sort_array(F.collect_list(c), asc=c != "n"), k - 1).alias(f"k_{c}") for c in ("n", "whole", "number")],
+    ).select("column_name", F.when(F.col("k_n") == F.col("rarest"), F.col("k_n") + 1).otherwise(F.col("k_n")).alias("k_n"), "k_whole", "k_number")
+    few = freq.sparkSession.createDataFrame(limits.collect(), limits.schema)
+    beyond = F.coalesce(F.col("whole") > F.col("k_whole"), F.col("number") > F.col("k_number"), F.lit(False))
+    return freq.join(F.broadcast(few), "column_name").where(~beyond | (F.col("n") >= F.coalesce("k_n", F.lit(0)))).select(*freq.columns)
+
+
 def top_values(df: DataFrame, columns: Sequence[str], k: int, keep_missing: bool = False) -> DataFrame:
     """The same as ``first_values`` of ``value_frequencies``, exactly, without a shuffle of all values.
 

@@ -239,10 +239,12 @@ def profile_dataset(
         values = stage(frequency.value_frequencies(df, scalars), "values")
         for line in measure_values(values, dated, timed, formats).collect():
             scan[line["column_name"]] |= line.asDict()
-        for line in frequency.first_values(values, TOP_VALUES).collect():
+        outer = stage(frequency.outermost(values, max(TOP_VALUES, SAMPLE_VALUES)), "outermost")
+        for line in frequency.first_values(outer, TOP_VALUES).collect():
             top[line["column_name"]].append((line["rank"], line["value"], line["n"]))
-        for line in frequency.first_values(values, SAMPLE_VALUES, by_count=False).orderBy("rank").collect():
+        for line in frequency.first_values(outer, SAMPLE_VALUES, by_count=False).orderBy("rank").collect():
             samples[line["column_name"]].append(line["value"])
+        discard(outer)
         base = {c: _base_class(kinds[c], scan[c], c in dated) for c in df.columns}
         numeric = [c for c in scalars if base[c] == "Numeric" and scan[c]["numbers"]]
         quartiles = value_quantiles(values, numeric, (0.25, 0.5, 0.75))

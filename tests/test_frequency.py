@@ -89,3 +89,30 @@ def test_values_beyond_number_are_grouped_in_small_tasks(spark, monkeypatch):
     got = {(r.column_name, r["rank"]): (r.value, r.n) for r in frequency.top_values(df, ["id", "few"], 2).collect()}
     assert got == {("id", 1): ("0", 1), ("id", 2): ("1", 1), ("few", 1): ("0", 13_334), ("few", 2): ("1", 13_333)}
     assert ("top-values", {"small_tasks": True}) in asked
+
+
+def test_little_but_the_outermost_values_is_sorted(spark):
+    df = skewed(spark).withColumn("twice", F.when(F.col("number") % 100 == 7, F.col("number") - 1).otherwise(F.col("number")))
+    for missing in (False, True):
+        values = stage(frequency.value_frequencies(df, df.columns, keep_missing=missing), "values")
+        for k in (1, 5):
+            outer = stage(frequency.outermost(values, k), "outermost")
+            for by_count in (True, False):
+                assert rows(frequency.first_values(outer, k, by_count)) == rows(frequency.first_values(values, k, by_count))
+        left = dict(outer.where("column_name in ('number', 'twice', 'doubles')").groupBy("column_name").count().collect())
+        assert left["number"] < 200 and left["twice"] < 600 and left["doubles"] < 200
+    assert frequency.outermost(values.where("false"), 5).count() == 0
+
+
+def test_profiles_sort_few_numbers(spark, monkeypatch):
+    sizes = {}
+
+    def watched(df, label, *rest, **options):
+        out = stage(df, label, *rest, **options)
+        sizes[label] = out.count()
+        return out
+
+    monkeypatch.setattr(profile, "stage", watched)
+    found = profile.profile_dataset(spark.range(20_000).withColumn("half", F.col("id") / 2)).columns
+    assert found["id"].sample_values == [str(i) for i in range(5)] and found["half"].top_values[1] == ("0.5", 1)
+    assert sizes["values"] == 40_000 and sizes["outermost"] < 1000

@@ -1,5 +1,6 @@
 import pytest
 
+from sparkrinse.operators import duplicates
 from sparkrinse.operators.duplicates import dedupe_by_key, duplicate_count
 from sparkrinse.operators.profile import profile_dataset
 from sparkrinse.operators.quality import grade_of, quality_score
@@ -95,3 +96,11 @@ def test_dedupe_by_key(spark):
     assert sorted(map(tuple, dedupe_by_key(df, ["k"], ["t"], "last").collect())) == [("a", 2, "y"), ("b", 3, "z")]
     with pytest.raises(ValueError):
         dedupe_by_key(df, ["k"], ["t"], "all")
+
+
+def test_rows_stay_in_place_when_copies_are_sought(spark, monkeypatch):
+    plans = []
+    whole = duplicates.collapse_duplicates
+    monkeypatch.setattr(duplicates, "collapse_duplicates", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or whole(df))
+    found = duplicate_count(spark.range(1000).selectExpr("id % 900 AS id", "repeat('x', 50) AS text")).first()
+    assert tuple(found) == (1000, 900, 100) and "strategy=broadcast" in plans[0]
